@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filter
+from . import decontamination, quality_rules, secret_scan, url_filter
 
 QUERIES = {
+    "op2_secret_scan": secret_scan.op2,
     "op4_quality_rules": quality_rules.op4,
     "op8_url_filter": url_filter.op8,
+    "op10_decontamination": decontamination.op10,
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
+    "op10_decontamination": decontamination.OP10_SQL,
 }
