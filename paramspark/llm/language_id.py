@@ -28,7 +28,7 @@ from .common import held_out, map_batches, record_batch, slices
 PROFILE_SIZE = 300
 SAMPLE_PER_LANG = 4000
 
-_BMP = np.array([c if chr(c).isalpha() else 0 for c in range(0x10000)], np.uint64)
+_BMP = np.array([c if chr(c).isalpha() else 0 for c in range(0x10000)], np.uint32)
 
 
 def letters(text: str) -> np.ndarray:
@@ -41,7 +41,7 @@ def letters(text: str) -> np.ndarray:
     else:
         out = _BMP[codes]
     if not out.any():
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint32)
     out = np.concatenate([[0], out, [0]]).astype(np.uint64)
     return out[np.concatenate([[True], (out[1:] | out[:-1]) > 0])]
 
