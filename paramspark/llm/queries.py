@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, packing, quality_rules, secret_scan, simhash, url_filter
+from . import decontamination, language_id, lm_score, packing, quality_rules, secret_scan, simhash, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_simhash": simhash.op6,
     "op7_packing": packing.op7,
     "op8_url_filter": url_filter.op8,
+    "op9_lm_score": lm_score.op9,
     "op10_decontamination": decontamination.op10,
 }
 
