@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash, url_filter
+from . import decontamination, language_id, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op2_secret_scan": secret_scan.op2,
     "op3_quality_classifier": quality_classifier.op3,
     "op4_quality_rules": quality_rules.op4,
+    "op5_substring_dedup": substring_dedup.op5,
     "op6_simhash": simhash.op6,
     "op7_packing": packing.op7,
     "op8_url_filter": url_filter.op8,
