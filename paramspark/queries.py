@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registry import learning, params, sketches
+
+QUERIES = params.QUERIES | sketches.QUERIES | learning.QUERIES
+ORACLE_SQL = params.ORACLE_SQL | sketches.ORACLE_SQL | learning.ORACLE_SQL
