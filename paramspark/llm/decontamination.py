@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, record_batch
+from .common import map_batches, materialize, record_batch, rewrite_batches
 
 WINDOW, K = 8, 4
 BLOCK_BYTES = 32 << 20
@@ -138,17 +138,11 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int, k
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         index = ItemIndex(shared.value, window, k)
-        number = index.number.get
         kind = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [words(raw) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-            ids = np.zeros(starts[-1], np.int32)
-            for w, at in zip(own, starts.tolist(), strict=False):
-                ids[at : at + len(w)] = list(map(number, w, repeat(0)))
-            hits: list[list[dict]] = [[] for _ in own]
+            ids, starts, sizes = _numbered(batch.column(1).cast(pa.binary()).to_pylist(), index)
+            hits: list[list[dict]] = [[] for _ in sizes]
             for item, start, end in index.hits(ids):
                 doc = int(np.searchsorted(starts, start, "right")) - 1
                 hits[doc].append({"item_id": index.names[item], "start": start - int(starts[doc]), "end": end - int(starts[doc])})
@@ -177,6 +171,44 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits")).drop("row")
 
 
+def _numbered(raws: list[bytes | None], index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of several texts, a 0 after each; where each begins; their sizes."""
+    own = [words(raw) for raw in raws]
+    sizes = np.fromiter(map(len, own), np.int64, len(own))
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    ids = np.zeros(starts[-1], np.int32)
+    for w, at in zip(own, starts.tolist(), strict=False):
+        ids[at : at + len(w)] = list(map(index.number.get, w, repeat(0)))
+    return ids, starts, sizes
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs``, all columns, without the documents that hold a run of ``window`` words of any benchmark item. Items of fewer words are left out:
+    a phrase of a few words is no evidence of a leak."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("binary").alias("text")).where("text IS NOT NULL")
+    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    place = docs.columns.index(text)
+    for b in range(blocks):
+        own = [(r["item_id"] or "", r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+        shared = docs.sparkSession.sparkContext.broadcast([x for x in own if len(words(x[1])) >= window])
+
+        def make(shared=shared) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+            index = ItemIndex(shared.value, window, k)
+
+            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+                ids, starts, sizes = _numbered(batch.column(place).cast(pa.binary()).to_pylist(), index)
+                clean = np.ones(len(sizes), bool)
+                for _, start, _ in index.hits(ids):
+                    clean[int(np.searchsorted(starts, start, "right")) - 1] = False
+                return batch.filter(pa.array(clean))
+
+            return each
+
+        docs = rewrite_batches(docs, make)
+    return docs
+
+
 def covered_words(hits):
     """Words inside any run of a column of hits."""
     runs = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("s"), h["end"].alias("e"))))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_bucket, map_batches, record_batch
+from .common import held_out, id_bucket, map_batches, record_batch, rewrite_batches
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -169,6 +169,20 @@ def learn_from(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(docs.where(ours), labels.where(ours))
 
 
+def keep_good(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs``, all columns, without the texts that score under ``least``."""
+    place = docs.columns.index(text)
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = np.array([features(raw) for raw in batch.column(place).cast(pa.binary()).to_pylist()])
+            return batch.filter(pa.array(model.scores(x) >= least))
+
+        return each
+
+    return rewrite_batches(docs, make)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(docs, learn_from(docs, labels))

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, record_batch
+from .common import map_batches, record_batch, rewrite_batches
 
 # Fixed values of the op2 contract, in its order.
 KINDS = ("assign", "access", "hex")
@@ -255,6 +255,27 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
     return "".join([*parts, text[at:]])
 
 
+def redact_documents(docs: DataFrame, *, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """``docs``, all columns, with secrets replaced in the texts; a ``chars`` column is set to the new number of code points. Null stays null."""
+    place = docs.columns.index(text)
+    counted = docs.columns.index(chars) if chars in docs.columns else None
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            old = batch.column(place).to_pylist()
+            new = [None if x is None else redact(x) for x in old]
+            columns = list(batch.columns)
+            columns[place] = pa.array(new, columns[place].type)
+            if counted is not None:
+                kept = columns[counted].to_pylist()
+                columns[counted] = pa.array([n if a == b else len(b) for n, a, b in zip(kept, old, new, strict=True)], columns[counted].type)
+            return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+        return each
+
+    return rewrite_batches(docs, make)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
