@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,12 +27,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append((df.sparkSession, path))
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    spark = SparkSession.getActiveSession()
+    for path in _written if spark else []:
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -126,7 +126,7 @@ def time_split(spark, d):
 def activity_quantiles(spark, d):
     counts = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
     q = [0.1, 0.25, 0.5, 0.75, 0.9]
-    found = counts.agg(*(F.percentile("n", F.lit(x)).alias(f"q{int(100 * x)}") for x in q))
+    found = counts.agg(*(F.round(F.percentile("n", F.lit(x)), 6).alias(f"q{int(100 * x)}") for x in q))
     return found
 
 
@@ -176,6 +176,6 @@ ORACLE_SQL = {
         FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2""",
     "time_split": """SELECT user_id, count(*) AS n, CASE WHEN d < 10 THEN 'train' ELSE 'test' END AS part FROM (
         SELECT user_id, floor((floor(epoch(ts)) - floor(epoch((SELECT min(ts) FROM events)))) / 86400) AS d FROM events) WHERE d < 15 GROUP BY user_id, part""",
-    "user_activity_quantiles": """SELECT quantile_cont(n, 0.1) AS q10, quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75, quantile_cont(n, 0.9) AS q90
+    "user_activity_quantiles": """SELECT round(quantile_cont(n, 0.1), 6) AS q10, round(quantile_cont(n, 0.25), 6) AS q25, round(quantile_cont(n, 0.5), 6) AS q50, round(quantile_cont(n, 0.75), 6) AS q75, round(quantile_cont(n, 0.9), 6) AS q90
         FROM (SELECT count(*) AS n FROM events GROUP BY user_id)""",
 }
