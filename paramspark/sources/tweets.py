@@ -11,7 +11,7 @@ ID_FIELD, TIME_FIELD, TEXT_FIELD = 0, 1, 5
 def words_of(text: Column, keep: list[str] | None = None, lower: bool = True, separator: str = " ") -> Column:
     """Words of a text, those of ``keep`` only if given, without empty ones."""
     words = F.split(F.lower(text) if lower else text, f"[{separator}]" if separator == " " else separator)
-    return F.filter(words, lambda w: (w != "") & (w.isin(keep) if keep else F.lit(True)))
+    return F.filter(words, lambda w: w.isin(keep)) if keep else F.array_remove(words, "")
 
 
 def time_slot(seconds: Column, start: int, hours: int) -> Column:
