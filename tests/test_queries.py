@@ -2,7 +2,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import same_rows
+from rows import same_rows
 
 from paramspark import queries as Q
 
