@@ -3,7 +3,8 @@
 Each step is a grouped aggregation over links; the number of steps grows with the logarithm of the longest chain. Each round is
 written to the shared folder, so lineage stays short. No link or component reaches the driver: only a count of changes does.
 Large-star connects a node's larger neighbours to its smallest neighbour, so a hot node's links are spread over its neighbours
-as rows; the minimum of each node is found by a partial aggregation, never by gathering its neighbours.
+as rows; the minimum of each node is found by a partial aggregation, never by gathering its neighbours, and written before links
+meet it, so that the join's sides are plain shuffles, which adaptive execution splits where a node is hot.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         # Large star: all neighbours larger than a node meet the smallest of its neighbourhood.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "lowest")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node and its smaller neighbours meet the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large, "links")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         met = large.join(low, "a")
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         after = materialize(small, "links")

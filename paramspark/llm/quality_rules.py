@@ -38,8 +38,8 @@ THRESHOLDS = [
     Threshold("word_chars", "n_words", 2, 14),
     Threshold("n_words", None, 50, None),
     Threshold("n_symbols", "n_words", None, 0.1),
-    Threshold("n_stop_words", "n_words", 0.05, None),
-    Threshold("n_dup_lines", "n_lines", None, 0.3),
+    Threshold("n_stop_words", "n_words", 0.03, None),
+    Threshold("n_dup_lines", "n_lines", None, 0.4),
     Threshold("n_upper_chars", "word_chars", None, 0.5),
     Threshold("n_mark_lines", "n_lines", None, 0.5),
 ]
@@ -141,8 +141,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
     AND (n_words = 0 OR (word_chars >= 2 * n_words AND word_chars <= 14 * n_words)) AND n_words >= 50
-    AND (n_words = 0 OR n_symbols <= 0.1::DOUBLE * n_words) AND (n_words = 0 OR n_stop >= 0.05::DOUBLE * n_words)
-    AND (n_lines = 0 OR n_dup_lines <= 0.3::DOUBLE * n_lines) AND (word_chars = 0 OR n_upper <= 0.5::DOUBLE * word_chars)
+    AND (n_words = 0 OR n_symbols <= 0.1::DOUBLE * n_words) AND (n_words = 0 OR n_stop >= 0.03::DOUBLE * n_words)
+    AND (n_lines = 0 OR n_dup_lines <= 0.4::DOUBLE * n_lines) AND (word_chars = 0 OR n_upper <= 0.5::DOUBLE * word_chars)
     AND (n_lines = 0 OR n_mark <= 0.5::DOUBLE * n_lines) AS kept
 FROM m
 """
