@@ -144,6 +144,15 @@ def train_and_predict(examples: DataFrame, features: DataFrame, *, batches: int,
     return answers
 
 
+def classify_offline(train: DataFrame, labels: DataFrame, test: DataFrame, *, classes: int = 2, rounds: int = 5, **options) -> tuple[DataFrame, DataFrame]:
+    """Trains for some rounds, then answers the test examples: (answers, weights). Two classes: labels -1 and 1; more: 0 to ``classes`` - 1."""
+    if classes == 2:
+        weights = train_binary(train, labels, rounds=rounds, **options)
+        return binary_predict(test, weights), weights
+    weights = train_multi(train, labels, classes=classes, rounds=rounds, **options)
+    return multi_predict(test, weights, classes), weights
+
+
 class BinaryLearner:
     """Exact one-at-a-time steps over a weight map, for dense or sparse examples (indices, values)."""
 

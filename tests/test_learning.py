@@ -74,6 +74,14 @@ def test_ndcg_values(spark):
     assert {r["period"] for r in E.ndcg_by_period(E.gains(lists, events)).collect()} == {0, 1}
 
 
+def test_ndcg_lines(spark):
+    events = spark.createDataFrame([(1, 8, 0)], "event int, item int, ts bigint")
+    lists = spark.createDataFrame([(1, 1, 8)], "query int, rank int, item int")
+    gained = E.gains(lists, events)
+    assert E.ndcg_lines(gained).first()["value"] == "n: 1, hits: 1, ndcg_sum: 1.0, ndcg_avg: 1.0"
+    assert E.ndcg_lines(gained, 10, csv=True).first()["value"] == "0,1,1,1.0"
+
+
 @pytest.fixture(scope="module")
 def separable(spark):
     rng = np.random.default_rng(50)
@@ -104,6 +112,12 @@ def test_exact_learner_and_one_example_round(spark, variant):
     assert got == {i: pytest.approx(learner.w[i]) for i in range(3)} and len(delta) == 3
 
 
+def test_offline_job(separable):
+    features, labels, _, y = separable
+    answers, weights = PA.classify_offline(features, labels, features.where("vec < 20"), rounds=3)
+    assert np.mean([r["predicted"] == (y[r["vec"]] > 0) for r in answers.collect()]) >= 0.8 and weights.count() == 30
+
+
 def test_exact_learner_separates(separable):
     _, _, x, y = separable
     learner = PA.BinaryLearner()

@@ -81,3 +81,26 @@ def test_sequential_equals_fold(spark):
 def test_bsp_rounds(spark):
     params = spark.createDataFrame([(1, 1.0)], "id int, value double")
     assert rows(run_bsp(params, lambda p, i: p.withColumn("value", F.col("value") * 2 + i), 3)) == {(1, 12.0)}
+
+
+def test_end_of_input_comes_once_to_each_worker(spark):
+    from paramspark.operators.flow import delayed, flat_map_with_end
+
+    class Sum:
+        def __init__(self):
+            self.total = 0
+
+        def on_row(self, row):
+            self.total += row.x
+            return []
+
+        def on_end(self):
+            yield (1, self.total)
+
+    data = spark.createDataFrame([(s, s) for s in range(7) for _ in range(5)], "source int, x int")
+    got = flat_map_with_end(data, Sum, "ends int, total int", key="source", parts=4).collect()
+    assert len(got) == 4 and sum(r["ends"] for r in got) == 4 and sum(r["total"] for r in got) == sum(range(7)) * 5
+    import time
+
+    began = time.time()
+    assert delayed(data.coalesce(1), 1.0).count() == 35 and time.time() - began >= 0.9
