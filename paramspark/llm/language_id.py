@@ -6,7 +6,8 @@ with a fixed largest value for n-grams that the profile lacks. The nearest profi
 that sorts first.
 
 Profiles are fitted on a sample of labelled rows, at most about ``sample_per_lang`` rows a language, drawn by a hash of the id
-(a documented bound, so fitting does not grow with the corpus). What reaches the driver is ``profile_size`` n-grams a language.
+(a documented bound, so fitting does not grow with the corpus). What reaches the driver is
+``profile_size`` n-grams for each of at most ``MAX_LANGS`` languages.
 Prediction reads every whole text once, row by row; nothing is shuffled.
 
 Edge cases: null texts and texts without a letter give ``und`` and score 0, and so does every text if nothing was learned;
@@ -27,6 +28,7 @@ from .common import held_out, map_batches, record_batch, slices
 
 PROFILE_SIZE = 300
 SAMPLE_PER_LANG = 4000
+MAX_LANGS = 5000
 
 _BMP = np.array([c if chr(c).isalpha() else 0 for c in range(0x10000)], np.uint32)
 
@@ -67,8 +69,10 @@ def ranked(grams: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 def fit_profiles(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", profile_size: int = PROFILE_SIZE, sample_per_lang: int = SAMPLE_PER_LANG) -> dict[str, list[int]]:
     """Ranked n-grams by language, from a bounded sample of the rows that have a text and a language."""
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").count()
-    share = F.broadcast(sizes.select("lang", (F.lit(float(sample_per_lang)) / F.col("count")).alias("share")))
+    sizes = [tuple(r) for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()]
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"profiles of at most {MAX_LANGS} languages can be learned")
+    share = F.broadcast(labelled.sparkSession.createDataFrame([(name, sample_per_lang / n) for name, n in sizes], "lang string, share double"))
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     sample = rows.join(share, "lang").where(drawn).select("lang", "text")
 
