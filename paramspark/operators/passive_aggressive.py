@@ -11,9 +11,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from ..plans.storage import materialize
 
 VARIANTS = ("PA", "PA-I", "PA-II")
@@ -132,8 +133,8 @@ def train_multi(features: DataFrame, labels: DataFrame, *, classes: int, rounds:
 def train_and_predict(examples: DataFrame, features: DataFrame, *, batches: int, variant: str = "PA", c: float = 1.0) -> DataFrame:
     """A mixed stream (vec, seq, label or null) in micro-batches: labelled examples train, the others get the model's answer of their time."""
     weights, answers = zero_weights(features), None
-    part = F.floor((F.percent_rank().over(Window.orderBy("seq"))) * batches * 0.999999)
-    cut = materialize(examples.withColumn("batch", part), "examples")
+    n = max(1, examples.count())
+    cut = materialize(numbered(examples, [F.col("seq"), F.col("vec")], "place").withColumn("batch", F.floor(F.col("place") * batches / n)), "examples")
     for b in range(batches):
         now = cut.where(F.col("batch") == b)
         asked = binary_predict(features.join(now.where("label IS NULL").select("vec"), "vec", "left_semi"), weights).withColumn("batch", F.lit(b))

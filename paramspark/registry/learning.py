@@ -140,7 +140,8 @@ def popular_lists(spark, d):
 
     rated = implicit(spark, d)
     counts = rated.groupBy("item").agg(F.count("*").alias("n"))
-    best = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "item"))).where("rank <= 10")
+    most = counts.orderBy(F.desc("n"), "item").limit(10)
+    best = most.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "item")))  # of ten rows
     return rated, rated.select(F.col("event").alias("query")).crossJoin(F.broadcast(best.select("rank", "item")))
 
 

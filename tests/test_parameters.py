@@ -104,3 +104,11 @@ def test_end_of_input_comes_once_to_each_worker(spark):
 
     began = time.time()
     assert delayed(data.coalesce(1), 1.0).count() == 35 and time.time() - began >= 0.9
+
+
+def test_numbers_follow_the_order(spark):
+    from paramspark.plans.numbering import numbered
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("x")).repartition(7)
+    got = [(r["x"], r["k"]) for r in numbered(df, [F.desc("x")], "k").collect()]
+    assert sorted(got, reverse=True) == [(x, k) for k, x in enumerate(sorted((x for x, _ in got), reverse=True))]
