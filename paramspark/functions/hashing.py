@@ -33,6 +33,7 @@ def _rotate(x: int, n: int) -> int:
     return (x << n | x >> (32 - n)) & 0xFFFFFFFF
 
 
+# The multipliers and shifts below are fixed values of 32-bit Murmur3.
 def _murmur_mix(k: int) -> int:
     return _rotate(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Places of a line's fields.
 ID_FIELD, TIME_FIELD, TEXT_FIELD = 0, 1, 5
 
 
