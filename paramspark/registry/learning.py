@@ -100,7 +100,7 @@ def top_unknown(spark, d):
     queries, items = split(spark, d)
     asked = table(spark, d, "customer").where(F.col("c_custkey") % 50 == 0).select(F.col("c_custkey").alias("id")).join(items, "id", "left")
     lists = K.top_items(asked, items, k=3, strategy="length")
-    return asked.select(F.col("id").alias("query")).join(lists, "query", "left").groupBy("query").agg(F.count("item").alias("n"), F.sum("item").alias("items"))
+    return asked.select(F.col("id").alias("query")).join(lists, "query", "left").groupBy("query").agg(F.count("item").alias("n"), F.coalesce(F.sum("item"), F.lit(0)).alias("items"))
 
 
 def top_memory(spark, d):
@@ -388,7 +388,7 @@ ORACLE_SQL = {
     "vector_lengths": "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS len FROM embeddings",
     **{f"topk_{k}": _TOP for k in ("length", "coord", "incr", "lc", "li")},
     "topk_unknown_user": f"""WITH q AS (SELECT c_custkey AS query FROM customer WHERE c_custkey % 50 = 0), l AS ({_best(_SCORES, 3)})
-        SELECT query, count(item) AS n, CAST(sum(item) AS BIGINT) AS items FROM q LEFT JOIN l USING (query) GROUP BY 1""",
+        SELECT query, count(item) AS n, CAST(coalesce(sum(item), 0) AS BIGINT) AS items FROM q LEFT JOIN l USING (query) GROUP BY 1""",
     "topk_memory_exclusion": _best(f"{_SCORES} WHERE q.vec_id % 50 = 0 AND NOT (x.vec_id BETWEEN q.vec_id - 10 AND q.vec_id)", 5),
     "ndcg_total": f"{_GAINS} SELECT count(*) AS n, count(*) FILTER (ndcg > 0) AS hits, round(sum(ndcg), 6) AS ndcg_sum, round(avg(ndcg), 6) AS ndcg_avg FROM g",
     "ndcg_by_period": f"{_GAINS} SELECT ts // 100 AS period, count(*) AS n, count(*) FILTER (ndcg > 0) AS hits, round(avg(ndcg), 6) AS ndcg_avg FROM g GROUP BY 1",

@@ -9,7 +9,7 @@ from ..operators import evaluation as E
 from ..operators import sketches as S
 from .tables import EVENTS_SQL, PAIRS_SQL, WORDED_SQL, hash_sql, slotted, word_list, worded
 
-BITS, HASHES, TOW, MEANS, K = 1024, 4, 32, 4, 10
+BITS, HASHES, TOW, MEANS, K = 1 << 16, 4, 32, 4, 10
 QUERY_WORDS = ["the", "of", "und", "la", "queque"]
 SLOT_WORDS = ["click", "u7", "u46", "nobody"]
 
