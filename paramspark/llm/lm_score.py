@@ -2,8 +2,8 @@
 
 A text is a run of pieces of an existing vocabulary and an end; its probability is the sum over all segmentations. Pieces do not
 cross words, so a text's log probability is the sum over its words of a word's marginal, found by a forward recursion in log
-space over the word's lattice, plus that of the end. The vocabulary's own scores weigh the segmentations first; with them, a
-forward-backward pass over the counted words of the training texts gives each piece its expected count, and the smoothed
+space over the word's lattice, plus that of the end. The vocabulary's own scores weigh the segmentations first; with them,
+forward-backward passes over all counted words of the training texts give each piece its expected count, and the smoothed
 counts give the piece probabilities that score. The vocabulary itself is never changed.
 
 Plan: documents are cut once into blocks of at most ``BLOCK_BYTES`` of text. A block keeps its own word list with training
@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +34,12 @@ from .common import held_out, materialize, record_batch, slices
 BLOCK_BYTES = 24 << 20
 #: Weight of the vocabulary's own scores, in counts.
 PRIOR_COUNTS = 1000.0
+#: Passes of expected counts over the training words.
+ROUNDS = 3
 BYTE_COST = math.log(1e-4)
 NEVER = -1e30
 SPACE = "▁"
+_FACTOR, _SLOT, _SHIFT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 46
 
 
 def vocabulary(path: str) -> dict[str, float]:
@@ -59,21 +61,50 @@ class Lattice:
         self.number = {p: i for i, p in enumerate(pieces)}
         self.weights = np.array([*pieces.values(), NEVER])
         self.longest = max(map(len, pieces), default=1)
+        # Pieces by a 64-bit hash of their letters: layers of slots, each piece in the first layer whose slot is free.
+        self.keys = np.zeros(len(pieces) + 1, np.uint64)
+        layers: list[np.ndarray] = []
+        for p, i in self.number.items():
+            h = 0
+            for c in p:
+                h = (h * _FACTOR + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            self.keys[i] = h
+            slot = (h * _SLOT & 0xFFFFFFFFFFFFFFFF) >> _SHIFT
+            for layer in layers:
+                if layer[slot] == len(pieces):
+                    break
+            else:
+                layers.append(layer := np.full(1 << (64 - _SHIFT), len(pieces), np.int32))
+            layer[slot] = i
+        self.layers = layers
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Piece numbers of hashes; the last number: none."""
+        slot = (hashes * np.uint64(_SLOT)) >> np.uint64(_SHIFT)
+        found = np.full(hashes.shape, len(self.weights) - 1, np.int32)
+        for layer in self.layers:
+            x = layer[slot]
+            np.copyto(found, x, where=self.keys[x] == hashes)
+        return found
 
     def _edges(self, words: list[str], n: int) -> tuple[dict[tuple[int, int], np.ndarray], dict[tuple[int, int], np.ndarray]]:
-        """Piece numbers (the last one: none) and log weights of each stretch that some word has."""
-        get, none = self.number.get, len(self.weights) - 1
+        """Piece numbers and log weights of each stretch that some word has as a piece, and of each letter."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).T.astype(np.uint64)
         numbers, weights = {}, {}
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                found = np.fromiter(map(get, [w[i:j] for w in words], repeat(none)), np.int64, len(words))
+        hashes, none = np.zeros((n + 1, len(words)), np.uint64), len(self.weights) - 1
+        for length in range(1, min(n, self.longest) + 1):
+            hashes = hashes[: n - length + 1] * np.uint64(_FACTOR) + codes[length - 1 :] + np.uint64(1)
+            found = self._find(hashes)
+            if length == 1:
                 value = self.weights[found]
-                if j == i + 1:
-                    lacks = np.flatnonzero(found == none)
-                    value[lacks] = [len(words[x][i].encode("utf-8", "surrogatepass")) * BYTE_COST for x in lacks.tolist()]
-                elif (found == none).all():
-                    continue
-                numbers[i, j], weights[i, j] = found, value
+                bytes_of = 1 + (codes >= 0x80).astype(int) + (codes >= 0x800) + (codes >= 0x10000)
+                value = np.where(found == none, bytes_of * BYTE_COST, value)
+                used = range(n)
+            else:
+                used = np.flatnonzero((found != none).any(axis=1)).tolist()
+                value = {i: self.weights[found[i]] for i in used}
+            for i in used:
+                numbers[i, i + length], weights[i, i + length] = found[i], value[i]
         return numbers, weights
 
     @staticmethod
@@ -194,7 +225,23 @@ def _scored(texts: pa.Table, words: pa.Table, model: tuple[int, int, int, float]
     return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64())})
 
 
-def lm_scores(docs: DataFrame, vocabulary_path: str, *, doc_id: str = "doc_id", text: str = "text", modulus: int = 7) -> DataFrame:
+def _expected_counts(counted: DataFrame, weights: dict[str, float]) -> list:
+    """(piece, n): expected uses of each piece over all counted words; one row for each piece of the vocabulary at most."""
+    shared = counted.sparkSession.sparkContext.broadcast(weights)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(shared.value)
+        out = np.zeros(len(shared.value) + 1)
+        for batch in batches:
+            words = [SPACE + w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
+            out += lattice.expected(words, batch.column(1).to_numpy())
+        used = np.flatnonzero(out)
+        yield record_batch({"piece": pa.array(used), "n": pa.array(out[used])})
+
+    return counted.where("c > 0").mapInArrow(expect, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+
+
+def lm_scores(docs: DataFrame, vocabulary_path: str, *, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from rows that are not held out."""
     spark = docs.sparkSession
     kept = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id), modulus).alias("held_out"), F.col(text).alias("text"))
@@ -206,23 +253,14 @@ def lm_scores(docs: DataFrame, vocabulary_path: str, *, doc_id: str = "doc_id",
     total, distinct = sums["total"] + ends, sums["distinct"] + (ends > 0)
 
     prior = vocabulary(vocabulary_path)
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(shared.value)
-        out = np.zeros(len(shared.value) + 1)
-        for batch in batches:
-            words = [SPACE + w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            out += lattice.expected(words, batch.column(1).to_numpy())
-        used = np.flatnonzero(out)
-        yield record_batch({"piece": pa.array(used), "n": pa.array(out[used])})
-
-    shared = spark.sparkContext.broadcast(prior)
-    gathered = counted.where("c > 0").mapInArrow(expect, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    counts = PRIOR_COUNTS * np.exp(np.array(list(prior.values())))
-    for row in gathered:
-        counts[row["piece"]] += row["n"]
-    mass = counts.sum() + ends + 1.0
-    learned = spark.sparkContext.broadcast(dict(zip(prior, np.log(counts / mass).tolist(), strict=True)))
+    weights, mass = prior, 1.0
+    for _ in range(rounds):
+        counts = PRIOR_COUNTS * np.exp(np.array(list(prior.values())))
+        for row in _expected_counts(counted, weights):
+            counts[row["piece"]] += row["n"]
+        mass = counts.sum() + ends + 1.0
+        weights = dict(zip(prior, np.log(counts / mass).tolist(), strict=True))
+    learned = spark.sparkContext.broadcast(weights)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(learned.value)
