@@ -91,9 +91,12 @@ class Run:
     def __init__(self, table: pa.Table):
         ids = table["doc_id"].combine_chunks().cast(pa.int64())
         number = ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
-        order = np.argsort(number, kind="stable")
-        self.ids, self.number = ids.take(pa.array(order)), number[order]
-        texts = [x or b"" for x in table["text"].cast(pa.binary()).combine_chunks().take(pa.array(order)).to_pylist()]
+        texts = [x or b"" for x in table["text"].cast(pa.binary()).combine_chunks().to_pylist()]
+        by_id = number.tolist()
+        # Rows come in any order, another one each time they are read: equal ids are put in order of their texts.
+        order = sorted(range(len(texts)), key=lambda i: (by_id[i], texts[i]))
+        self.ids, self.number = ids.take(pa.array(order, pa.int64())), number[order]
+        texts = [texts[i] for i in order]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
