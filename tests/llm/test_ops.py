@@ -300,9 +300,6 @@ def test_packing(spark, folder, request):
             at += r["length"]
         assert at == 2048 or n == max(pieces)
     ids = {k: np.array([*library.encode(k[1] or "", add_special_tokens=False).ids, 1], "<u4") for k in rows}
-    want = Counter()
-    for (doc, _), n in rows.items():
-        want[doc] += n * len(next(v for k, v in ids.items() if k[0] == doc)) if sum(k[0] == doc for k in rows) == 1 else 0
     for (doc, text), n in rows.items():
         if sum(k[0] == doc for k in rows) > 1 or n > 1:
             continue
