@@ -58,7 +58,7 @@ def _with_repeats(words: Column) -> Column:
         n = F.size(order)
         at = F.filter(F.transform(order, lambda p, j: F.when((p["h"] == F.get(order, j - 1)["h"]) | (p["h"] == F.get(order, j + 1)["h"]), p["i"])), lambda x: x.isNotNull())
         gaps = lambda s: F.aggregate(s, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("end")), lambda a, x: F.struct((a["n"] + x + 3 - F.greatest(x, a["end"])).alias("n"), (x + 3).alias("end")), lambda a: a["n"])
-        return F.when(n > 0, gaps(F.array_sort(at))).otherwise(F.lit(0).cast("long"))
+        return F.when(n > 0, gaps(F.sort_array(at))).otherwise(F.lit(0).cast("long"))
 
     return F.when(F.size(words) > 3, _let(F.sort_array(F.slice(pairs, 1, F.greatest(F.size(words) - 2, F.lit(0)))), covered)).otherwise(F.lit(0).cast("long"))
 
