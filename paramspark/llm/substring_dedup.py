@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,18 +114,31 @@ class Run:
         self.doc = np.searchsorted(self.ends, self.at, "right")
 
     def hashes(self) -> np.ndarray:
+        """48 bits of each suffix's gram; two grams that share them only keep a suffix that could have been left out."""
         if not len(self.at):
             return np.empty(0, np.uint64)
         words = _words(self.data)
-        return _mix(words[self.at], words[self.at + 8], 0x5851F42D4C957F2D) | _MULTIPLE
+        return _mix(words[self.at], words[self.at + 8], 0x5851F42D4C957F2D) >> np.uint64(16) | _MULTIPLE
 
     def key(self, i: int) -> bytes:
         at, low, high = int(self.at[i]), int(self.low[i]), int(self.high[i])
         return self.bytes[at : high + LENGTH] + self.bytes[low:at] + bytes((high + LENGTH - at,))
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted 48-bit numbers in 6 planes of bytes, highest last: the high planes hardly change, so they compress."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<u8").ravel()
+
+
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((hashes >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _gram_hashes(table: pa.Table, buckets: list[int]) -> pa.Table:
@@ -145,13 +159,13 @@ def _gram_hashes(table: pa.Table, buckets: list[int]) -> pa.Table:
     used = [b for b in range(len(buckets)) if cuts[b + 1] > cuts[b]]
     return pa.table({
         "bucket": pa.array([buckets[b] for b in used], pa.int64()), "place": pa.array(used, pa.int64()), "run": pa.array([table["run"][0].as_py()] * len(used), pa.int64()),
-        "hashes": pa.array([distinct[cuts[b] : cuts[b + 1]].astype("<u8").tobytes() for b in used], pa.binary()),
+        "hashes": pa.array([_packed(distinct[cuts[b] : cuts[b + 1]]) for b in used], pa.binary()),
     })
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """(run, place, bits): for each hash that a run sent to this bucket, whether two documents have it."""
-    every = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
+    every = [_unpacked(x) for x in table["hashes"].to_pylist()]
     joined = np.sort(np.concatenate(every))
     bare = joined | _MULTIPLE
     twice = np.concatenate([bare[1:][bare[1:] == bare[:-1]], joined[(joined & _MULTIPLE) > 0]])
@@ -219,8 +233,8 @@ def _sorted_runs(table: pa.Table, masks: pa.Table, buckets: int, splitters: list
                 mine.append(i)
 
         def add(range_: int, place: int, own: list[int]) -> None:
-            shared, sizes, rests = front_coded([keys[i] for i in own])
-            row = (range_, place, name, shared, sizes, rests, np.array([number[i] for i in own], "<i8").tobytes(), np.array([left[i] for i in own], "<u4").tobytes(), b"", b"")
+            parts = (*front_coded([keys[i] for i in own]), np.array([number[i] for i in own], "<i8").tobytes(), np.array([left[i] for i in own], "<u4").tobytes())
+            row = (range_, place, name, *map(zstandard.compress, parts), b"", b"")
             for column, x in zip(out.values(), row, strict=True):
                 column.append(x)
 
@@ -332,6 +346,8 @@ def _merged(table: pa.Table) -> pa.Table:
     """(run, suffixes, bits, whole, alias): windows to cut (bit j: the j-th window) by suffix; whole suffixes; equal suffixes of one document."""
     rows = table.to_pylist()
     own = [r for r in rows if r["place"] >= 0]
+    for r in own:
+        r |= {n: zstandard.decompress(r[n]) for n in ("shared", "sizes", "rests", "docs", "suffixes")}
     docs, suffixes = [np.frombuffer(r["docs"], "<i8") for r in own], [np.frombuffer(r["suffixes"], "<u4") for r in own]
     marks: list[dict[int, int]] = [{} for _ in own]
     whole: list[list[int]] = [[] for _ in own]
