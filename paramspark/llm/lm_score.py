@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,7 +186,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             for at in range(0, len(docs), 1000):
                 some = docs[at : at + 1000]
                 n = len(some)
-                yield record_batch({"block": pa.array(np.full(n, block)), "at": pa.nulls(n, pa.int64()), "word": pa.nulls(n, pa.binary()), "n": pa.nulls(n, pa.int64()), "doc_id": pa.array([d[0].as_py() for d in some], id_type), "held_out": pa.array([d[1] for d in some], pa.bool_()), "numbers": pa.array([place[d[2]].astype("<u4").tobytes() for d in some], pa.binary())})
+                yield record_batch({"block": pa.array(np.full(n, block)), "at": pa.nulls(n, pa.int64()), "word": pa.nulls(n, pa.binary()), "n": pa.nulls(n, pa.int64()), "doc_id": pa.array([d[0].as_py() for d in some], id_type), "held_out": pa.array([d[1] for d in some], pa.bool_()), "numbers": pa.array([zstandard.compress(place[d[2]].astype("<u4").tobytes()) for d in some], pa.binary())})
 
         number: dict[bytes, int] = {}
         held: list[tuple[pa.Scalar, bool, np.ndarray]] = []
@@ -216,7 +217,7 @@ def _scored(texts: pa.Table, words: pa.Table, model: tuple[int, int, int, float]
     base = np.log10(count + 1.0) - floor
     n_tokens, n_known, base_score, score = [], [], [], []
     for data in texts["numbers"].to_pylist():
-        own = np.frombuffer(data, "<u4")
+        own = np.frombuffer(zstandard.decompress(data), "<u4")
         n_tokens.append(len(own) + 1)
         n_known.append(int((count[own] > 0).sum()) + (ends > 0))
         base_score.append(float(base[own].sum()) + math.log10(ends + 1) - floor)
