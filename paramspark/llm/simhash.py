@@ -177,81 +177,55 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(members, "fp")
 
 
-# --- A lower similarity than blocks of one fingerprint can guarantee ---
+# --- A lower similarity than blocks of a fingerprint can guarantee ---
 
-WORDS = 16
-BLOCK_BITS = 20
-CHECK_WORDS = 4
-_LANES = np.uint64(0x0101010101010101)
+BANDS, ROWS = 32, 7
+#: Groups of a key up to this size send out all their pairs at once; larger ones the nearest few of each member, round by round.
+WHOLE = 5
+_COMPARED = 32 << 20
 
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """``WORDS`` x 64 majority bits over the distinct hashes, each word by a hash family of its own."""
-    hashes = np.unique(hashes)
-    ones = np.zeros((WORDS, 64), np.int64)
-    salts = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    for at in range(0, len(hashes), 255):  # a byte of a lane counts to 255
-        h = hashes[at : at + 255] + salts
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        for k in range(8):
-            lanes = ((h >> np.uint64(k)) & _LANES).sum(axis=1, dtype=np.uint64)
-            ones[:, k::8] += lanes.astype("<u8").view(np.uint8).reshape(WORDS, 8)
-    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").tobytes()
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    factors, shifts = rng.integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
+    return factors | np.uint32(1), shifts
 
 
-def most_differing(similarity: float, bits: int) -> int:
-    """Differing bits that shingle sets of this Jaccard similarity have on average, and a deviation more."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + 0.75 * np.sqrt(bits * p * (1 - p)))
+def minima(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """The smallest of the hashes under each permutation: two sets agree in one with a probability of their Jaccard similarity."""
+    low = np.full(len(factors), 0xFFFFFFFF, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1024):
+        np.minimum(low, (factors[:, None] * short[at : at + 1024] + shifts[:, None]).min(axis=1), out=low)
+    return low
 
 
-def _block_keys(distinct: DataFrame) -> DataFrame:
-    """(key, node, check) for each block of each wide fingerprint (fp, node)."""
-    blocks = WORDS * 64 // BLOCK_BITS
+def least_agreeing(similarity: float) -> int:
+    """Minima that sets of this similarity agree in, less four deviations: 1 pair of 30,000 agrees in fewer."""
+    n = BANDS * ROWS
+    return max(0, int(n * similarity - 4 * np.sqrt(n * similarity * (1 - similarity))))
+
+
+def _keys(distinct: DataFrame) -> DataFrame:
+    """(key, node) for each band of each set of shingles."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, WORDS * 8)
-            bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : blocks * BLOCK_BITS].reshape(len(raw), blocks, BLOCK_BITS)
-            keys = bits.astype(np.int64) @ (1 << np.arange(BLOCK_BITS)) + (np.arange(blocks) << BLOCK_BITS)
-            at = pa.array(np.repeat(np.arange(len(raw)), blocks))
-            checks = pa.array([x.tobytes() for x in raw[:, : CHECK_WORDS * 8]], pa.binary())
-            return record_batch({"key": pa.array(keys.ravel()), "node": batch.column(1).take(at), "check": checks.take(at)})
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
+            return record_batch({"key": pa.array(keys), "node": batch.column(1).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))})
 
         return each
 
-    return map_batches(distinct.select("fp", "node"), make, "key bigint, node bigint, check binary")
+    return map_batches(distinct.select("bands", "node"), make, "key bigint, node bigint")
 
 
-def _wide_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, check) in order of keys; yields links of a spanning forest of each key."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows in order of ``key``: tables of whole groups, with where the groups start and stop."""
     rest: pa.Table | None = None
 
-    def close(rows: pa.Table) -> pa.RecordBatch | None:
-        key, node = rows["key"].to_numpy(), rows["node"].to_numpy()
-        check = np.frombuffer(b"".join(rows["check"].to_pylist()), np.uint64).reshape(-1, CHECK_WORDS)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-        stops = np.concatenate([starts[1:], [len(key)]])
-        two = starts[stops - starts == 2]
-        near = np.bitwise_count(check[two] ^ check[two + 1]).sum(axis=1) <= most
-        a, b = node[two[near]].tolist(), node[two[near] + 1].tolist()
-        more = stops - starts > 2
-        for s, e in zip(starts[more].tolist(), stops[more].tolist(), strict=True):
-            left = np.arange(s, e)
-            while len(left) > 1:
-                reached, left = [int(left[0])], left[1:]
-                while reached and len(left):
-                    at = reached.pop()
-                    close_by = np.bitwise_count(check[left] ^ check[at]).sum(axis=1) <= most
-                    if close_by.any():
-                        found = left[close_by].tolist()
-                        a += [int(node[at])] * len(found)
-                        b += node[found].tolist()
-                        reached += found
-                        left = left[~close_by]
-        return record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}) if a else None
+    def bounds(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(rows["key"].to_numpy())) + 1])
+        return rows, starts, np.concatenate([starts[1:], [rows.num_rows]])
 
     for batch in batches:
         if not batch.num_rows:
@@ -261,36 +235,139 @@ def _wide_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         key = now["key"].to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
         rest = now.slice(cut)
-        if cut and (out := close(now.slice(0, cut))) is not None:
-            yield out
-    if rest is not None and (out := close(rest)) is not None:
-        yield out
+        if cut:
+            yield bounds(now.slice(0, cut))
+    if rest is not None:
+        yield bounds(rest)
+
+
+def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) in order of keys: all pairs (a, b) of the small groups, with a null key, and the members (a) of the large ones."""
+    for rows, starts, stops in _groups(batches):
+        key, node, sizes = rows["key"].to_numpy(), rows["node"].to_numpy(), stops - starts
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for size in range(2, WHOLE + 1):
+            at = starts[sizes == size]
+            for i, j in combinations(range(size), 2):
+                a.append(node[at + i])
+                b.append(node[at + j])
+        x, y = np.concatenate(a), np.concatenate(b)
+        large = np.repeat(sizes > WHOLE, sizes)
+        n, more = len(x), int(large.sum())
+        if n + more:
+            yield record_batch({
+                "key": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key[large])]),
+                "a": pa.array(np.concatenate([x, node[large]])),
+                "b": pa.concat_arrays([pa.array(y), pa.nulls(more, pa.int64())]),
+            })
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, root, signs) in order of keys: pairs (a, b) of each member and the ``most`` that agree with it best of those which
+    have another root and agree in ``least`` minima; the key instead, with null ends, once if some were left for another round."""
+    for rows, starts, stops in _groups(batches):
+        node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+        for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
+            ids, roots = node[s:e], root[s:e]
+            names, of, counts = np.unique(roots, return_inverse=True, return_counts=True)
+            if len(names) == 1:
+                continue
+            signs = np.frombuffer(b"".join(rows["signs"].slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, -1)
+            asking = np.flatnonzero(of != counts.argmax())  # pairs with the largest part are found from their other end
+            step, left = max(1, _COMPARED // signs.size), False
+            for at in range(0, len(asking), step):
+                own = asking[at : at + step]
+                agree = (signs[own][:, None, :] == signs[None, :, :]).sum(axis=2, dtype=np.int32)
+                agree[roots[own][:, None] == roots[None, :]] = -1
+                a, b = np.nonzero(agree >= least)
+                if len(a):
+                    order = np.lexsort((-agree[a, b], a))
+                    a, b = a[order], b[order]
+                    place = np.arange(len(a)) - np.searchsorted(a, a)
+                    left = left or bool((place >= most).any())
+                    a, b = ids[own[a[place < most]]], ids[b[place < most]]
+                    yield record_batch({"key": pa.nulls(len(a), pa.int64()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+            if left:
+                yield record_batch({"key": rows["key"].slice(s, 1).combine_chunks(), "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
+
+
+def _alike(pairs: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids of ``kept`` whose whole shingle sets have the Jaccard similarity or more, written."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+
+    def shingled() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique(shingle_hashes(raw, shingle)).tobytes() for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+            return record_batch({"node": batch.column(0), "hashes": pa.array(sets, pa.binary())})
 
+        return each
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) by chains of documents whose shingle sets are about ``similarity`` alike or more; ids are integers.
+    def compared() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            near = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if min(len(x), len(y)) / max(len(x), len(y), 1) < similarity:
+                    continue
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+                shared = int((both[1:] == both[:-1]).sum())
+                near[i] = shared / max(len(both) - shared, 1) >= similarity
+            at = pa.array(np.flatnonzero(near))
+            return record_batch({"a": batch.column(0).take(at), "b": batch.column(1).take(at)})
+
+        return each
+
+    sets = materialize(map_batches(kept.join(side, "doc_id", "left_semi").select("doc_id", "text"), shingled, "node bigint, hashes binary"), "sets")
+    first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
+    met = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
+    return materialize(map_batches(met, compared, "a bigint, b bigint"), "alike")
 
-    At this similarity some 15 of 100 fingerprint bits differ, so no block of a 64-bit fingerprint is sure to agree. Fingerprints of
-    1024 bits give 51 blocks of 20 bits: alike texts agree in one with a probability of 0.86 at 0.8, 0.96 at 0.85 and 0.997 at 0.9.
-    Block mates are verified by the Hamming distance of 256 bits. Equal fingerprints (exact copies) are one row before that; rows
-    with a null id are left out."""
+
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) by chains of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more; ids are integers.
+
+    At 0.8 some 15 of 100 bits of a SimHash differ, so no block of it that is long enough to have few chance mates is likely to agree.
+    Candidates therefore share one of ``BANDS`` bands of ``ROWS`` minima of their shingle hashes each: a pair does with a probability
+    of 0.9995 at 0.8, 0.99998 at 0.85 and more above. Every link is verified on the whole shingle sets (64-bit hashes), so none is
+    under ``similarity``. Groups of a key of more than ``WHOLE`` texts send each member's nearest few (by all minima) of other
+    components, verify and connect them, and repeat with four times as many until no pair of two components is left: groups that
+    are linked, however large, cost rows in proportion, and no candidate is given up. Equal sets (exact copies) are one row before
+    that; rows with a null id are left out."""
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        factors, shifts = _permutations()
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [wide_fingerprint(shingle_hashes(raw, shingle)) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-            return record_batch({"doc_id": batch.column(0), "fp": pa.array(found, pa.binary())})
+            digests, bands, signs = [], [], []
+            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+                hashes = np.unique(shingle_hashes(raw, shingle))
+                low = minima(hashes, factors, shifts)
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                bands.append(b"".join(xxhash.xxh3_64_digest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, ROWS))))
+                signs.append((low >> np.uint32(8)).astype(np.uint8).tobytes())
+            return record_batch({"doc_id": batch.column(0), "digest": pa.array(digests, pa.binary()), "bands": pa.array(bands, pa.binary()), "signs": pa.array(signs, pa.binary())})
 
         return each
 
-    prints = materialize(map_batches(kept, make, "doc_id bigint, fp binary"), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
+    prints = materialize(map_batches(kept, make, "doc_id bigint, digest binary, bands binary, signs binary"), "fingerprints")
+    distinct = materialize(prints.groupBy("digest", "bands", "signs").agg(F.min("doc_id").alias("node")), "distinct")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = most_differing(similarity, 64 * CHECK_WORDS)
-    dealt = _block_keys(distinct).repartition(n, "key").sortWithinPartitions("key", "node")
-    roots = connected_components(dealt.mapInArrow(lambda batches: _wide_links(batches, most), "a bigint, b bigint"))
-    rooted = distinct.join(roots, "node", "left").select(F.col("fp"), F.coalesce("root", "node").alias("component_id"))
-    return prints.join(rooted, "fp").select("doc_id", "component_id")
+    mates = materialize(_keys(distinct).repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_mates, "key bigint, a bigint, b bigint"), "mates")
+    links = _alike(materialize(mates.where("key IS NULL AND a <> b").select("a", "b").distinct(), "pairs"), kept, shingle, similarity)
+    large = mates.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
+    roots, most, least = connected_components(links), 1, least_agreeing(similarity)
+    while large.take(1):
+        rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(distinct.select("node", "signs"), "node")
+        dealt = rooted.select("key", "node", "root", "signs").repartition(n, "key").sortWithinPartitions("key", "node")
+        found = materialize(dealt.mapInArrow(lambda batches, most=most: _nearest(batches, most, least), "key bigint, a bigint, b bigint"), "nearest")
+        pairs = materialize(found.where("key IS NULL AND a <> b").select("a", "b").distinct(), "pairs")
+        links = links.unionByName(_alike(pairs, kept, shingle, similarity))
+        roots = connected_components(links)
+        large = materialize(large.join(found.where("key IS NOT NULL").select("key"), "key", "left_semi"), "large")
+        most *= 4
+    rooted = distinct.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
+    return prints.select("doc_id", "digest").join(rooted, "digest").select("doc_id", "component_id")
 
 
 BROADCAST_IDS = 1_000_000
