@@ -36,6 +36,10 @@ def test_lone_pairs_at_the_threshold_are_caught(spark):
     assert pairs_kept(spark, 1, 0.80, 0.85) == {2 * i for i in range(150)}
 
 
+def test_lone_pairs_under_the_threshold_stay(spark):
+    assert pairs_kept(spark, 2, 0.70, 0.80) == set(range(300))
+
+
 def test_groups_equal_brute_force(spark):
     """Copies of one text at all similarities: the components are those of the exact links, whatever the size of a group."""
     rng = np.random.default_rng(3)
