@@ -6,8 +6,11 @@ patterns and its spans are mapped back to code points of the original text: esca
 characters that hold the bytes, compressed data to the whole run that held it. A layer seen before at the same place is not
 unwrapped again, which ends cycles (a compressed stream may contain itself).
 
-One row stays in one task; memory follows one text and its layers. ``max_layer_bytes`` bounds what one compressed run may unfold
-to (a decompression bomb is cut there and still scanned); ``cut_layers`` counts such runs, so nothing is cut silently.
+One row stays in one task. Compressed runs are unfolded as streams to the end of their last member and scanned in chunks that end
+where no pattern or run can go on, so memory follows one text and some chunks, and time follows what the runs unfold to. Where that
+must be bounded (decompression bombs), ``max_layer_bytes`` stops a run there. ``cut_layers`` counts the runs that were stopped, are
+damaged behind some readable part, or hold an unbroken run of over MAX_RUN_BYTES, which is scanned in overlapping parts (a secret in
+it is found, another encoding in it is decoded only within a part). Redaction replaces all such runs as a whole.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned one by one; equal spans from several layers count once.
 """
@@ -20,7 +23,7 @@ import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,12 @@ _B64_CLASS = bytes(98 if chr(c).isascii() and (chr(c).isalnum() or c in b"+/_-")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 _ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
 _ODD = re.compile(r"[^\x20-\x7e\t\r\n\xa0-\U0010ffff]")
-MAX_LAYER_BYTES = 8 << 20
+#: Characters at which no pattern, escape or base64 run goes on.
+_BREAKS = bytes(10 if c < 128 and not chr(c).isalnum() and chr(c) not in "+/_.=-\"' :%\\{}" else 32 for c in range(256))
+_PIECE = 1 << 16
+CHUNK_BYTES, MAX_RUN_BYTES, OVERLAP = 1 << 20, 16 << 20, 4096
+#: What redaction unfolds a compressed run to before it replaces the run as a whole.
+REDACT_LAYER_BYTES = 1 << 30
 
 Span = tuple[int, int, int]  # start, index in KINDS, end
 
@@ -124,31 +132,165 @@ def _unescape(layer: Layer) -> Layer | None:
     return Layer("".join(parts), begin, end)
 
 
-def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
-    """Unfolds compressed data to ``most`` bytes; None if it is not compressed. The flag: whether it was cut."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and not (data[0] * 256 + data[1]) % 31:
-            unpack = zlib.decompressobj(47)
-            out = unpack.decompress(data, most)
-            return out, bool(unpack.unconsumed_tail)
-        if data[:3] == b"BZh":
-            unpack = bz2.BZ2Decompressor()
-            return unpack.decompress(data, most), not unpack.needs_input and not unpack.eof
-        if data[:6] == b"\xfd7zXZ\x00":
-            unpack = lzma.LZMADecompressor()
-            return unpack.decompress(data, most), not unpack.needs_input and not unpack.eof
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(most)
-                return out, bool(reader.read(1))
-    except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
+class _Stream:
+    """Bytes that come piece by piece, with a look ahead."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.ahead = iter(pieces), b""
+
+    def peek(self, size: int) -> bytes:
+        more = [self.ahead]
+        have = len(self.ahead)
+        while have < size and (piece := next(self.pieces, None)) is not None:
+            more.append(piece)
+            have += len(piece)
+        self.ahead = b"".join(more)
+        return self.ahead[:size]
+
+    def read(self, size: int = _PIECE) -> bytes:
+        if not self.ahead:
+            self.ahead = next((x for x in self.pieces if x), b"")
+        out, self.ahead = self.ahead[:size], self.ahead[size:]
+        return out
+
+
+def _sliced(data: bytes) -> Iterator[bytes]:
+    return (data[at : at + _PIECE] for at in range(0, len(data), _PIECE))
+
+
+def _packing(head: bytes) -> str | None:
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and not (head[0] * 256 + head[1]) % 31:
+        return "zlib"
+    return next((k for k, magic in (("bz2", b"BZh"), ("xz", b"\xfd7zXZ\x00"), ("zstd", b"\x28\xb5\x2f\xfd")) if head.startswith(magic)), None)
+
+
+def _one_member(source: _Stream, kind: str) -> Iterator[bytes]:
+    """The content of the first member or stream of ``source`` (of all frames of zstd), whose rest is left there. Empty pieces: input was read."""
+    if kind == "zstd":
+        with zstandard.ZstdDecompressor().stream_reader(source, read_size=_PIECE, read_across_frames=True, closefd=False) as reader:
+            while out := reader.read(_PIECE):
+                yield out
+        return
+    unpack = {"zlib": lambda: zlib.decompressobj(47), "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
+    data = b""
+    while not unpack.eof:
+        if kind == "zlib":
+            data = data or source.read()
+            if not data:
+                yield unpack.flush()
+                return
+            out, data = unpack.decompress(data, _PIECE), unpack.unconsumed_tail
+        else:
+            if unpack.needs_input and not (data := source.read()):
+                return
+            out, data = unpack.decompress(data, _PIECE), b""
+        yield out
+    source.ahead = unpack.unused_data + source.ahead
+
+
+class _Unpacked(_Stream):
+    """The contents of all members that follow each other in ``source``, and the bytes behind them. ``plain``: it was not compressed, and is
+    passed on as it is. ``cut``: some of it could not be read, or came after ``most`` bytes."""
+
+    def __init__(self, source: _Stream, most: int | None):
+        super().__init__(self._run(source, most))
+        self.plain = self.cut = False
+
+    def _run(self, source: _Stream, most: int | None) -> Iterator[bytes]:
+        total, first = 0, True
+        while (kind := _packing(source.peek(6))) is not None:
+            held: list[bytes] | None = []  # what a member that turns out to be none has taken
+            taken = _Stream(())
+            taken.pieces = self._noted(source, held)
+            got = False
+            try:
+                for out in _one_member(taken, kind):
+                    if out:
+                        got = True
+                        held.clear()
+                        if most is not None and total + len(out) > most:
+                            self.cut = True
+                            yield out[: most - total]
+                            return
+                        total += len(out)
+                        yield out
+                    elif got:
+                        held.clear()
+            except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
+                if got:
+                    self.cut = True
+                    return
+                self.plain = first
+                source.ahead = b"".join(held) + source.ahead
+                break
+            source.ahead = taken.ahead + source.ahead
+            first = False
+        while piece := source.read():
+            yield piece
+
+    @staticmethod
+    def _noted(source: _Stream, held: list[bytes]) -> Iterator[bytes]:
+        while piece := source.read():
+            held.append(piece)
+            yield piece
+
+
+def _unfold(data: bytes, most: int | None) -> tuple[_Stream, list[_Unpacked]] | None:
+    """What compressed data unfolds to, through all its layers, and these layers; None if it is not compressed."""
+    if _packing(data) is None:
         return None
-    return None
+    stream, through, seen = _Stream(_sliced(data)), [], {xxhash.xxh3_128_digest(data[:CHUNK_BYTES])}
+    while _packing(stream.peek(6)) is not None:
+        inner = _Unpacked(stream, most)
+        head = inner.peek(CHUNK_BYTES + 1)
+        if inner.plain:
+            if not through:
+                return None
+            return inner, through
+        through.append(inner)
+        key = xxhash.xxh3_128_digest(head[:CHUNK_BYTES])
+        stream = inner
+        if key in seen:  # it contains itself
+            inner.cut |= len(head) > CHUNK_BYTES
+            break
+        seen.add(key)
+        if len(head) <= CHUNK_BYTES:
+            stream = _Stream(_sliced(head))
+    return stream, through
+
+
+def _chunks(stream: _Stream) -> Iterator[tuple[bytes, bool]]:
+    """The stream in chunks that end where no pattern, escape or base64 run can go on. The flag: a run of over MAX_RUN_BYTES was divided; its
+    parts overlap."""
+    rest = b""
+    while True:
+        new = stream.peek(CHUNK_BYTES)
+        stream.ahead = stream.ahead[len(new) :]
+        buffer = rest + new
+        if not new:
+            if buffer:
+                yield buffer, False
+            return
+        cut = buffer.translate(_BREAKS).rfind(b"\n") + 1
+        if cut:
+            yield buffer[:cut], False
+            rest = buffer[cut:]
+        elif len(buffer) >= MAX_RUN_BYTES:
+            yield buffer, True
+            rest = buffer[-OVERLAP:]
+        else:
+            rest = buffer
+
 
+class _Found:
+    """What a scan of one text has met."""
 
-def _decoded_runs(layer: Layer, most: int) -> tuple[list[Layer], int]:
-    """The layers inside base64 runs, and how many were cut."""
-    found, cut = [], 0
+    def __init__(self) -> None:
+        self.cut, self.unread = 0, set()
+
+
+def _decoded_runs(layer: Layer, most: int | None, met: _Found) -> Iterator[Layer]:
+    """The layers inside base64 runs, one at a time."""
     for m in _B64.finditer(layer.text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
@@ -157,21 +299,24 @@ def _decoded_runs(layer: Layer, most: int) -> tuple[list[Layer], int]:
             data = base64.b64decode(run + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
-        packed = False
-        while (more := _inflate(data, most)) is not None and more[0] != data:
-            data, packed = more[0], True
-            cut += more[1]
-            if more[1]:
-                break
+        if (unfolded := _unfold(data, most)) is not None:
+            stream, through = unfolded
+            begin, end = layer.source(m.start(), m.end())
+            divided = False
+            for chunk, forced in _chunks(stream):
+                divided |= forced
+                if text := chunk.decode("utf-8", "ignore"):
+                    yield Layer(text, np.broadcast_to(np.int64(begin), len(text)), np.broadcast_to(np.int64(end), len(text)))
+            cut = sum(x.cut for x in through) + divided
+            if cut:
+                met.cut += cut
+                met.unread.add((begin, end))
+            continue
         try:
-            text = data.decode("utf-8", "strict" if not packed else "ignore")
+            text = data.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if not text or not packed and _ODD.search(text):
-            continue
-        if packed:
-            begin, end = layer.source(m.start(), m.end())
-            found.append(Layer(text, np.full(len(text), begin), np.full(len(text), end)))
+        if not text or _ODD.search(text):
             continue
         sizes = np.fromiter((len(c.encode()) for c in text), np.int64, len(text)) if not text.isascii() else np.ones(len(text), np.int64)
         stops = np.cumsum(sizes)
@@ -179,35 +324,44 @@ def _decoded_runs(layer: Layer, most: int) -> tuple[list[Layer], int]:
         end = m.start() + -(-stops * 4 // 3)
         if layer.begin is not None:
             begin, end = layer.begin[begin], layer.end[end - 1]
-        found.append(Layer(text, begin, end))
-    return found, cut
+        yield Layer(text, begin, end)
 
 
-def decoded_spans(text: str, raw: bytes, most: int = MAX_LAYER_BYTES) -> tuple[set[Span], int, int]:
-    """Spans found in decoded layers, mapped to the text; the numbers of layers and of cut ones."""
+def _inner(layer: Layer, most: int | None, met: _Found) -> Iterator[Layer]:
+    if (plain := _unescape(layer)) is not None:
+        yield plain
+    yield from _decoded_runs(layer, most, met)
+
+
+def _scan(text: str, raw: bytes, most: int | None) -> tuple[set[Span], int, _Found]:
+    met = _Found()
     coded = b"%" in raw or b"\\u" in raw or b"\\U" in raw or b"\\x" in raw
     if not coded and b"b" * 20 not in raw.translate(_B64_CLASS):
-        return set(), 0, 0
-    work, seen, spans, layers, cut = [Layer(text, None, None)], set(), set(), 0, 0
+        return set(), 0, met
+    work, seen, spans, layers = [_inner(Layer(text, None, None), most, met)], set(), set(), 0
     while work:
-        layer = work.pop()
-        inner, more = _decoded_runs(layer, most)
-        cut += more
-        if (plain := _unescape(layer)) is not None:
-            inner.append(plain)
-        for x in inner:
-            if not x.text:
-                continue
-            key = (xxhash.xxh3_128_digest(x.text.encode("utf-8", "surrogatepass")), *x.source(0, len(x.text)))
-            if key in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            work.append(x)
-            for start, kind, end in find(x.text):
-                begin, stop = x.source(start, end)
-                spans.add((begin, kind, stop))
-    return spans, layers, cut
+        x = next(work[-1], None)
+        if x is None:
+            work.pop()
+            continue
+        if not x.text:
+            continue
+        key = (xxhash.xxh3_128_digest(x.text.encode("utf-8", "surrogatepass")), *x.source(0, len(x.text)))
+        if key in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        for start, kind, end in find(x.text):
+            begin, stop = x.source(start, end)
+            spans.add((begin, kind, stop))
+        work.append(_inner(x, most, met))
+    return spans, layers, met
+
+
+def decoded_spans(text: str, raw: bytes, most: int | None = None) -> tuple[set[Span], int, int]:
+    """Spans found in decoded layers, mapped to the text; the numbers of layers and of cut ones."""
+    spans, layers, met = _scan(text, raw, most)
+    return spans, layers, met.cut
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -217,7 +371,7 @@ def _structs(spans: list[Span]) -> list[dict]:
     return [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
 
 
-def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_layer_bytes: int = MAX_LAYER_BYTES) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_layer_bytes: int | None = None) -> DataFrame:
     """(doc_id, base, decoded, layers, cut_layers): spans (kind, start, end) of the text itself, and those that only layers show."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -241,10 +395,12 @@ def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return map_batches(kept, make, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, base {spans}, decoded {spans}, layers bigint, cut_layers bigint")
 
 
-def redact(text: str, mark: str = "[SECRET]") -> str:
-    """The text with every found span, decoded ones included, replaced; overlapping spans as one."""
+def redact(text: str, mark: str = "[SECRET]", most: int | None = REDACT_LAYER_BYTES) -> str:
+    """The text with every found span, decoded ones included, replaced, and so every compressed run that could not be read whole;
+    overlapping spans as one."""
     raw = text.encode("utf-8", "surrogatepass")
-    spans = sorted({*find(text, raw), *decoded_spans(text, raw)[0]})
+    extra, _, met = _scan(text, raw, most)
+    spans = sorted({*find(text, raw), *extra, *((begin, -1, end) for begin, end in met.unread)})
     if not spans:
         return text
     parts, at = [], 0
