@@ -8,15 +8,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+#: Folders of tables written and not deleted yet.
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir``. Where it is unset, a folder of our own if all runs on this machine, else an error: executors elsewhere
+    could not see it."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
@@ -27,15 +31,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._shared_path = path
+    _written.add(path)
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that no later plan reads. Others are left alone."""
+    for table in tables:
+        path = getattr(table, "_shared_path", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _clean() -> None:
     spark = SparkSession.getActiveSession()
-    for path in _written if spark else []:
+    for path in list(_written) if spark else []:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before
             break
