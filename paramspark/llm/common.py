@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize, shared_dir
+from ..plans.storage import discard, materialize, shared_dir
 
-__all__ = ["materialize", "shared_dir"]
+__all__ = ["discard", "materialize", "shared_dir"]
 
 #: Upper-case ASCII and what it becomes; the contracts lower-case A-Z only, never other letters.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -1,10 +1,11 @@
 """Connected components of a graph given as links, by alternating large-star and small-star steps.
 
 Each step is a grouped aggregation over links; the number of steps grows with the logarithm of the longest chain. Each round is
-written to the shared folder, so lineage stays short. No link or component reaches the driver: only a count of changes does.
-Large-star connects a node's larger neighbours to its smallest neighbour, so a hot node's links are spread over its neighbours
-as rows; the minimum of each node is found by a partial aggregation, never by gathering its neighbours, and written before links
-meet it, so that the join's sides are plain shuffles, which adaptive execution splits where a node is hot.
+written to the shared folder, so lineage stays short. No link or component reaches the driver: only whether a link is left that
+is not yet between a node and its root. Large-star connects a node's larger neighbours to its smallest neighbour, so a hot node's
+links are spread over its neighbours as rows; the minimum of each node is found by a partial aggregation, never by gathering its
+neighbours, and written before links meet it, so that the join's sides are plain shuffles, which adaptive execution splits where
+a node is hot.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -23,15 +24,18 @@ def connected_components(links: DataFrame) -> DataFrame:
         # Large star: all neighbours larger than a node meet the smallest of its neighbourhood.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "lowest")
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        met = materialize(both.join(low, "a").select("a", "b", "m", (F.col("m") != F.least("a", "b")).alias("open")), "large")
+        # Links are stars around the smallest nodes exactly if each end of each link has the link's smaller end as its smallest.
+        if not met.where("open").take(1):
+            found = low.select(F.col("a").alias("node"), F.col("m").alias("root"))
+            discard(met, links)
+            return found
+        large = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node and its smaller neighbours meet the smallest of them.
         large = materialize(large, "links")
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
-        met = large.join(low, "a")
-        small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        lowest = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
+        joined = large.join(lowest, "a")
+        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
         after = materialize(small, "links")
-        # Done when every node has one link and no root is linked itself.
-        shape = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0)).alias("h")).first()
-        if shape(after) == shape(links):
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        discard(links, low, met, large, lowest)
         links = after

@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, materialize, record_batch
+from .common import discard, map_batches, materialize, record_batch
 from .components import connected_components
 
 DISTANCE = 3
@@ -182,6 +183,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 BANDS, ROWS = 32, 7
 #: Groups of a key up to this size send out all their pairs at once; larger ones the nearest few of each member, round by round.
 WHOLE = 5
+#: Members of a key that one task compares.
+PIECE = 20_000
 _COMPARED = 32 << 20
 
 
@@ -220,11 +223,17 @@ def _keys(distinct: DataFrame) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Rows in order of ``key``: tables of whole groups, with where the groups start and stop."""
+    """Rows in order of ``key`` (and ``piece``, if there are any): tables of whole groups, with where the groups start and stop."""
     rest: pa.Table | None = None
 
+    def changes(rows: pa.Table) -> np.ndarray:
+        new = np.diff(rows["key"].to_numpy()) != 0
+        if "piece" in rows.column_names:
+            new |= np.diff(rows["piece"].to_numpy()) != 0
+        return np.flatnonzero(new) + 1
+
     def bounds(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(rows["key"].to_numpy())) + 1])
+        starts = np.concatenate([[0], changes(rows)])
         return rows, starts, np.concatenate([starts[1:], [rows.num_rows]])
 
     for batch in batches:
@@ -232,8 +241,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
             continue
         now = pa.Table.from_batches([batch])
         now = now if rest is None else pa.concat_tables([rest, now])
-        key = now["key"].to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
+        cut = int(changes(now)[-1:].sum())
         rest = now.slice(cut)
         if cut:
             yield bounds(now.slice(0, cut))
@@ -263,8 +271,9 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, root, signs) in order of keys: pairs (a, b) of each member and the ``most`` that agree with it best of those which
-    have another root and agree in ``least`` minima; the key instead, with null ends, once if some were left for another round."""
+    """Rows (key, piece, node, root, asks, signs) in order of keys and pieces: pairs (a, b) of each asking member and the ``most`` that agree
+    with it best of those which have another root and agree in ``least`` minima; the key instead, with null ends, once if some were
+    left for another round. Where ``asks`` is null, all ask but the largest part: pairs with it are found from their other end."""
     for rows, starts, stops in _groups(batches):
         node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
         for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
@@ -273,7 +282,8 @@ def _nearest(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterat
             if len(names) == 1:
                 continue
             signs = np.frombuffer(b"".join(rows["signs"].slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, -1)
-            asking = np.flatnonzero(of != counts.argmax())  # pairs with the largest part are found from their other end
+            told = rows["asks"].slice(s, e - s)
+            asking = np.flatnonzero(of != counts.argmax() if told.null_count else told.to_numpy())
             step, left = max(1, _COMPARED // signs.size), False
             for at in range(0, len(asking), step):
                 own = asking[at : at + step]
@@ -291,15 +301,32 @@ def _nearest(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterat
                 yield record_batch({"key": rows["key"].slice(s, 1).combine_chunks(), "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
 
 
-def _alike(pairs: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of ids of ``kept`` whose whole shingle sets have the Jaccard similarity or more, written."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+def _pieces(rooted: DataFrame, alone: bool) -> DataFrame:
+    """(key, piece, node, root, asks, signs): the members of keys of more than ``PIECE`` dealt out over pieces. ``alone``: the pieces are to find
+    links of their own only, which leaves few parts of a large group; else members outside of a key's largest part ask in every piece,
+    so that no pair of two parts is missed."""
+    of = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    of = of.where(F.col("size") > PIECE).select("key", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"), "main")
+    sized = rooted.join(of, "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    own = F.pmod(F.xxhash64("node", "key"), F.col("pieces")).cast("int")
+    none = F.lit(None).cast("boolean")
+    if alone:
+        return sized.select("key", own.alias("piece"), "node", "root", none.alias("asks"), "signs")
+    dealt = sized.select("key", own.alias("piece"), "node", "root", F.when(F.col("pieces") > 1, False).alias("asks"), "signs")
+    asking = sized.where((F.col("pieces") > 1) & (F.col("root") != F.col("main"))).select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "node", "root", F.lit(True).alias("asks"), "signs")
+    return dealt.unionByName(asking)
+
+
+def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes of ``distinct`` whose whole shingle sets have the Jaccard similarity or more, written."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "digest", "first"), "node"), "compared")
+    ids = wanted.select(F.col("first").alias("doc_id")).distinct()
+    side = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
 
     def shingled() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [np.unique(shingle_hashes(raw, shingle)).tobytes() for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-            return record_batch({"node": batch.column(0), "hashes": pa.array(sets, pa.binary())})
+            return record_batch({"digest": pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), "hashes": pa.array(sets, pa.binary())})
 
         return each
 
@@ -317,22 +344,52 @@ def _alike(pairs: DataFrame, kept: DataFrame, shingle: int, similarity: float) -
 
         return each
 
-    sets = materialize(map_batches(kept.join(side, "doc_id", "left_semi").select("doc_id", "text"), shingled, "node bigint, hashes binary"), "sets")
+    read = map_batches(kept.join(side, "doc_id", "left_semi").select("doc_id", "text"), shingled, "digest binary, hashes binary")
+    sets = materialize(read.join(wanted.select("node", "digest"), "digest").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
     first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
     met = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    return materialize(map_batches(met, compared, "a bigint, b bigint"), "alike")
+    found = materialize(map_batches(met, compared, "a bigint, b bigint"), "alike")
+    discard(wanted, sets)
+    return found
 
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) by chains of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more; ids are integers.
-
-    At 0.8 some 15 of 100 bits of a SimHash differ, so no block of it that is long enough to have few chance mates is likely to agree.
-    Candidates therefore share one of ``BANDS`` bands of ``ROWS`` minima of their shingle hashes each: a pair does with a probability
-    of 0.9995 at 0.8, 0.99998 at 0.85 and more above. Every link is verified on the whole shingle sets (64-bit hashes), so none is
-    under ``similarity``. Groups of a key of more than ``WHOLE`` texts send each member's nearest few (by all minima) of other
-    components, verify and connect them, and repeat with four times as many until no pair of two components is left: groups that
-    are linked, however large, cost rows in proportion, and no candidate is given up. Equal sets (exact copies) are one row before
-    that; rows with a null id are left out."""
+def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of all nodes that have a link."""
+    n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mates = materialize(_keys(distinct).repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_mates, "key bigint, a bigint, b bigint"), "mates")
+    pairs = materialize(mates.where("key IS NULL AND a <> b").select("a", "b").distinct(), "pairs")
+    links = _alike(pairs, distinct, kept, shingle, similarity)
+    large = mates.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
+    split = bool(large.groupBy("key").count().where(F.col("count") > PIECE).take(1))
+    alone, most, least = split, 1, least_agreeing(similarity)
+    roots = connected_components(links)
+    done = pairs
+    while large.take(1):
+        rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(distinct.select("node", "signs"), "node")
+        if split:
+            rooted = materialize(rooted, "rooted")
+            members = _pieces(rooted, alone)
+        else:
+            members = rooted.select("key", F.lit(0).alias("piece"), "node", "root", F.lit(None).cast("boolean").alias("asks"), "signs")
+        dealt = members.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", "node")
+        found = materialize(dealt.mapInArrow(lambda batches, most=most: _nearest(batches, most, least), "key bigint, a bigint, b bigint"), "nearest")
+        fresh = found.where("key IS NULL AND a <> b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+        pairs = materialize(fresh, "pairs")
+        links = _alike(pairs, distinct, kept, shingle, similarity)
+        if links.take(1):  # what was linked before is a star by now
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        if not alone:
+            large = materialize(large.join(found.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi"), "large")
+            most *= 16
+        done, alone = done.unionByName(pairs), False
+        if split:
+            discard(rooted)
+    return roots
+
+
+def shingle_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, digest, root, component_id) of each row with an id: the digest of its shingle set; the group that chains of sets with a
+    Jaccard similarity of ``similarity`` or more connect; the smallest id in the group. Written."""
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -351,40 +408,64 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
         return each
 
     prints = materialize(map_batches(kept, make, "doc_id bigint, digest binary, bands binary, signs binary"), "fingerprints")
-    distinct = materialize(prints.groupBy("digest", "bands", "signs").agg(F.min("doc_id").alias("node")), "distinct")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mates = materialize(_keys(distinct).repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_mates, "key bigint, a bigint, b bigint"), "mates")
-    links = _alike(materialize(mates.where("key IS NULL AND a <> b").select("a", "b").distinct(), "pairs"), kept, shingle, similarity)
-    large = mates.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
-    roots, most, least = connected_components(links), 1, least_agreeing(similarity)
-    while large.take(1):
-        rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(distinct.select("node", "signs"), "node")
-        dealt = rooted.select("key", "node", "root", "signs").repartition(n, "key").sortWithinPartitions("key", "node")
-        found = materialize(dealt.mapInArrow(lambda batches, most=most: _nearest(batches, most, least), "key bigint, a bigint, b bigint"), "nearest")
-        pairs = materialize(found.where("key IS NULL AND a <> b").select("a", "b").distinct(), "pairs")
-        links = links.unionByName(_alike(pairs, kept, shingle, similarity))
-        roots = connected_components(links)
-        large = materialize(large.join(found.where("key IS NOT NULL").select("key"), "key", "left_semi"), "large")
-        most *= 4
-    rooted = distinct.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("doc_id", "digest").join(rooted, "digest").select("doc_id", "component_id")
+    # Numbers of the rows of a written table: they stay what they are.
+    distinct = materialize(prints.groupBy("digest", "bands", "signs").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    roots = _compared_as_groups(distinct, kept, shingle, similarity)
+    rooted = distinct.join(roots, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    members = rooted.select("digest", "root").join(lowest, "root")
+    return materialize(prints.select("doc_id", "digest").join(members, "digest").select("doc_id", "digest", "root", "component_id"), "groups")
+
+
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) by chains of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more; ids are integers.
+
+    At 0.8 some 15 of 100 bits of a SimHash differ, so no block of it that is long enough to have few chance mates is likely to agree.
+    Candidates therefore share one of ``BANDS`` bands of ``ROWS`` minima of their shingle hashes each: a pair does with a probability
+    of 0.9995 at 0.8, 0.99998 at 0.85 and more above. Every link is verified on the whole shingle sets (64-bit hashes), so none is
+    under ``similarity``. Groups of a key of more than ``WHOLE`` texts send each member's nearest few (by all minima) of other
+    components, verify and connect them, and repeat with sixteen times as many until no pair of two components is left: groups that
+    are linked, however large, cost rows in proportion, and no candidate is given up. A key of more than ``PIECE`` texts is dealt out over
+    tasks, and those outside of its largest component meet every piece of it. Equal sets (exact copies) are one row before that;
+    rows with a null id are left out; rows of one id with unlike texts are judged each by its text."""
+    return shingle_groups(docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity).select("doc_id", "component_id")
 
 
 BROADCAST_IDS = 1_000_000
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs``, all columns, without the documents of a group other than that of the smallest id. Repeated ids with similar texts are one
-    document; a null id is kept. All texts without words are one group."""
-    groups = materialize(similar_documents(docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(side, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
-    again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    """``docs``, all columns, without the rows of a group of similar texts other than one of the smallest id (of several rows of that id,
+    the one with the smallest hash). Rows of one id whose texts are unlike are documents of their own, each kept or not by its own
+    group. A row with a null id is kept. All texts without words are one group."""
+    groups = shingle_groups(docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity)
+    stays = F.col("doc_id") == F.col("component_id")
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(stays).alias("stay"))
+    ids = materialize(ids.where("stay = 0 OR n > 1"), "judged_ids")
+    number = F.col(doc_id).cast("long")
+    gone = ids.where("stay = 0").select(F.col("doc_id").alias("__gone"))
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, number == F.col("__gone"), "left_anti")
+    again = ids.where("stay > 0").select(F.col("doc_id").alias("__again"))
     if not again.take(1):
         return left
-    repeated = F.col(doc_id).cast("long") == F.col("__again")
-    return left.join(again, repeated, "left_anti").unionByName(left.join(again, repeated, "left_semi").dropDuplicates([doc_id]))
+    # Rows of repeated ids: each by its own text, and one row of each group.
+    once = left.join(again, number == F.col("__again"), "left_anti")
+    place = docs.columns.index(text)
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            digests = [xxhash.xxh3_128_digest(np.unique(shingle_hashes(raw, shingle)).tobytes()) for raw in batch.column(place).cast(pa.binary()).to_pylist()]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "__digest"])
+
+        return each
+
+    rows = left.join(again, number == F.col("__again"), "left_semi")
+    schema = T.StructType([*rows.schema.fields, T.StructField("__digest", T.BinaryType())])
+    kept = groups.where(stays).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("root").alias("__root")).distinct()
+    met = map_batches(rows, make, schema).join(kept, "__digest")
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    best = met.where(F.col("__id") == number).groupBy("__id", "__root").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("__row"))
+    return once.unionByName(best.select("__row.*"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

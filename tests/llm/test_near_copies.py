@@ -62,3 +62,45 @@ def test_groups_equal_brute_force(spark):
                 root[max(a, b)] = min(a, b)
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def components(texts):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_large_keys_are_dealt_out(spark, monkeypatch):
+    """Keys of more texts than one task may compare: two groups that share no link but many bands, and a chain."""
+    monkeypatch.setattr(simhash, "PIECE", 12)
+    rng = np.random.default_rng(8)
+    own = [f"w{x}" for x in rng.integers(1 << 40, size=200)]
+    texts = [own]
+    for n in range(99):
+        low, high = (0.70, 0.79) if n % 9 == 0 else (0.82, 0.97)
+        texts.append(changed(rng, texts[rng.integers(len(texts))], low, high))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == components(texts)
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    """Rows are judged by their own text, whatever other row has their id."""
+    rng = np.random.default_rng(9)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(1 << 40, size=60)) for _ in range(3))
+    rows = [(5, a, 1), (5, b, 2), (6, c, 3), (6, a, 4), (7, b, 5), (7, b, 6), (8, c, 7), (8, c, 8), (None, a, 9), (9, None, 10), (10, "", 11), (10, "", 11)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, node int")
+    left = [(r["doc_id"], r["text"]) for r in simhash.keep_first(docs).collect()]
+    assert sorted(left, key=str) == sorted([(5, a), (5, b), (6, c), (None, a), (9, None)], key=str)
+    once = spark.createDataFrame([(3, a, 1), (3, a, 2), (3, a, 1)], "doc_id bigint, text string, node int")
+    assert len(simhash.keep_first(once).collect()) == 1
