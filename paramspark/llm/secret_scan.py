@@ -1,11 +1,15 @@
 r"""Secret scan with a recursive decoding worklist.
 
 Base patterns run over the text as it is. Then a worklist unwraps layers until nothing new appears: URL and Unicode escapes
-(character by character), base64 runs, and gzip, zlib, bzip2, xz or zstd data inside them. Each layer is scanned with the same
+(character by character), base64 runs, and gzip, zlib, bzip2, xz or zstd data inside of either. Each layer is scanned with the same
 patterns and its spans are mapped back to code points of the original text: escapes map character by character, base64 by the
 characters that hold the bytes, compressed data to the whole run that held it. A layer seen before at the same place is not
 unwrapped again, which ends cycles (a compressed stream may contain itself).
 
+Decoding is tolerant: bytes that are no UTF-8 stand for themselves; bytes are read as UTF-16 too where 16 letters look like it; a base64
+run is decoded at each of its four alignments, as it may be glued to other letters; compressed data may begin anywhere in a run. A
+reading without 16 plain characters in a row is left out: no pattern and no further encoding fits into fewer.
+
 One row stays in one task. Compressed runs are unfolded as streams to the end of their last member and scanned in chunks that end
 where no pattern or run can go on, so memory follows one text and some chunks, and time follows what the runs unfold to. Where that
 must be bounded (decompression bombs), ``max_layer_bytes`` stops a run there. ``cut_layers`` counts the runs that were stopped, are
@@ -46,7 +50,13 @@ _HEX_CLASS = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 _B64_CLASS = bytes(98 if chr(c).isascii() and (chr(c).isalnum() or c in b"+/_-") else 32 for c in range(256))
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 _ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
-_ODD = re.compile(r"[^\x20-\x7e\t\r\n\xa0-\U0010ffff]")
+#: Tokens that may write bytes with escapes, and the escapes.
+_ESCAPED = re.compile(r"[A-Za-z0-9_.~/%\\+!*'()-]{12,}")
+_BYTE = re.compile(rb"(?:%|\\x)([0-9A-Fa-f]{2})")
+_PLAIN_RUN = re.compile(rb"[\x20-\x7e\t\r\n]{16}")
+_WIDE_RUN = re.compile(rb"(?:[\x20-\x7e\t\r\n]\x00){15}[\x20-\x7e\t\r\n]")
+#: Where compressed data may begin.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: Characters at which no pattern, escape or base64 run goes on.
 _BREAKS = bytes(10 if c < 128 and not chr(c).isalnum() and chr(c) not in "+/_.=-\"' :%\\{}" else 32 for c in range(256))
 _PIECE = 1 << 16
@@ -82,6 +92,36 @@ class Layer:
         return (start, stop) if self.begin is None else (int(self.begin[start]), int(self.end[stop - 1]))
 
 
+def _utf8(data: bytes) -> tuple[str, np.ndarray]:
+    """Text of bytes, and the bytes of each character; a byte that is no UTF-8 is a character of its own."""
+    text = data.decode("utf-8", "surrogateescape")
+    if len(text) == len(data):
+        return text, np.ones(len(text), np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    sizes[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+    return text, sizes
+
+
+def _utf16(data: bytes, order: str) -> tuple[str, np.ndarray]:
+    """The same for an even number of bytes of UTF-16; half a pair is a character of its own."""
+    text = data.decode(order, "surrogatepass")
+    return text, np.fromiter((4 if ord(c) > 0xFFFF else 2 for c in text), np.int64, len(text))
+
+
+def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts that bytes may be, with where the bytes of each character begin and end."""
+    if _PLAIN_RUN.search(data):
+        text, sizes = _utf8(data)
+        stops = np.cumsum(sizes)
+        yield text, stops - sizes, stops
+    if b"\x00" in data:
+        for parity in sorted({m.start() % 2 for m in _WIDE_RUN.finditer(data)}):
+            text, sizes = _utf16(data[parity : parity + (len(data) - parity) // 2 * 2], "utf-16-le")
+            stops = parity + np.cumsum(sizes)
+            yield text, stops - sizes, stops
+
+
 def _unescape(layer: Layer) -> Layer | None:
     """One step of URL and Unicode unescaping; None if nothing changes."""
     parts: list[str] = []
@@ -99,10 +139,10 @@ def _unescape(layer: Layer) -> Layer | None:
     for m in _ESCAPE.finditer(layer.text):
         if m[1]:
             unit, width = binascii.unhexlify(m[1].replace("%", "")), 3
-            decode = lambda b: (b.decode("utf-8"), [len(c.encode()) for c in b.decode("utf-8")])
+            text, sizes = _utf8(unit)
         elif m[2]:
             unit, width = binascii.unhexlify(m[2].replace("\\u", "")), 3  # two bytes for six characters
-            decode = lambda b: (b.decode("utf-16-be"), [len(c.encode("utf-16-be")) for c in b.decode("utf-16-be")])
+            text, sizes = _utf16(unit, "utf-16-be")
         else:
             code = int(m[3] or m[4] or m[5], 16)
             if code > 0x10FFFF or 0xD800 <= code < 0xE000:
@@ -113,10 +153,6 @@ def _unescape(layer: Layer) -> Layer | None:
             ends.append(np.array([m.end()]))
             at = m.end()
             continue
-        try:
-            text, sizes = decode(unit)
-        except UnicodeDecodeError:
-            continue
         keep(m.start())
         stops = m.start() + np.cumsum(sizes) * width
         parts.append(text)
@@ -190,11 +226,11 @@ def _one_member(source: _Stream, kind: str) -> Iterator[bytes]:
 
 class _Unpacked(_Stream):
     """The contents of all members that follow each other in ``source``, and the bytes behind them. ``plain``: it was not compressed, and is
-    passed on as it is. ``cut``: some of it could not be read, or came after ``most`` bytes."""
+    passed on as it is. ``cut``: some of it could not be read, or came after ``most`` bytes (``stopped``)."""
 
     def __init__(self, source: _Stream, most: int | None):
         super().__init__(self._run(source, most))
-        self.plain = self.cut = False
+        self.plain = self.cut = self.stopped = False
 
     def _run(self, source: _Stream, most: int | None) -> Iterator[bytes]:
         total, first = 0, True
@@ -209,7 +245,7 @@ class _Unpacked(_Stream):
                         got = True
                         held.clear()
                         if most is not None and total + len(out) > most:
-                            self.cut = True
+                            self.cut = self.stopped = True
                             yield out[: most - total]
                             return
                         total += len(out)
@@ -289,47 +325,66 @@ class _Found:
         self.cut, self.unread = 0, set()
 
 
+def _begins(head: bytes) -> bool:
+    """Whether zlib can read these first bytes; those of other kinds are told by longer marks."""
+    if _packing(head) != "zlib":
+        return True
+    try:
+        zlib.decompressobj(47).decompress(head)
+    except zlib.error:
+        return False
+    return True
+
+
+def _unfolded(data: bytes, begin: int, end: int, most: int | None, met: _Found) -> Iterator[Layer]:
+    """The layers inside compressed data that begins anywhere in the bytes of a run. Damage counts where the data begins the run; further
+    inside, what looks like a beginning may be none."""
+    starts = [0] if _packing(data) is not None else []
+    for at in [*starts, *(m.start() for m in _MAGIC.finditer(data, 1))]:
+        if at and not _begins(data[at : at + 64]) or (unfolded := _unfold(data[at:], most)) is None:
+            continue
+        stream, through = unfolded
+        divided = False
+        for chunk, forced in _chunks(stream):
+            divided |= forced
+            for text, _, _ in _readings(chunk):
+                yield Layer(text, np.broadcast_to(np.int64(begin), len(text)), np.broadcast_to(np.int64(end), len(text)))
+        stopped = most is not None and any(x.stopped for x in through)
+        if at == 0 or stopped or divided:
+            if cut := sum(x.cut for x in through) + divided:
+                met.cut += cut
+                met.unread.add((begin, end))
+
+
 def _decoded_runs(layer: Layer, most: int | None, met: _Found) -> Iterator[Layer]:
     """The layers inside base64 runs, one at a time."""
     for m in _B64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
+        whole = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        for shift in range(4):
+            run = whole[shift:]
+            run = run[:-1] if len(run) % 4 == 1 else run
             data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        if (unfolded := _unfold(data, most)) is not None:
-            stream, through = unfolded
-            begin, end = layer.source(m.start(), m.end())
-            divided = False
-            for chunk, forced in _chunks(stream):
-                divided |= forced
-                if text := chunk.decode("utf-8", "ignore"):
-                    yield Layer(text, np.broadcast_to(np.int64(begin), len(text)), np.broadcast_to(np.int64(end), len(text)))
-            cut = sum(x.cut for x in through) + divided
-            if cut:
-                met.cut += cut
-                met.unread.add((begin, end))
-            continue
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not text or _ODD.search(text):
-            continue
-        sizes = np.fromiter((len(c.encode()) for c in text), np.int64, len(text)) if not text.isascii() else np.ones(len(text), np.int64)
-        stops = np.cumsum(sizes)
-        begin = m.start() + (stops - sizes) * 4 // 3
-        end = m.start() + -(-stops * 4 // 3)
-        if layer.begin is not None:
-            begin, end = layer.begin[begin], layer.end[end - 1]
-        yield Layer(text, begin, end)
+            yield from _unfolded(data, *layer.source(m.start() + shift, m.end()), most, met)
+            for text, begin, end in _readings(data):
+                begin, end = m.start() + shift + begin * 4 // 3, m.start() + shift + -(-end * 4 // 3)
+                if layer.begin is not None:
+                    begin, end = layer.begin[begin], layer.end[end - 1]
+                yield Layer(text, begin, end)
+
+
+def _escaped_runs(layer: Layer, most: int | None, met: _Found) -> Iterator[Layer]:
+    """The layers inside compressed data that is written with escapes of bytes."""
+    for m in _ESCAPED.finditer(layer.text):
+        if "%" in m[0] or "\\x" in m[0]:
+            data = _BYTE.sub(lambda x: bytes([int(x[1], 16)]), m[0].encode())
+            if not data.isascii():
+                yield from _unfolded(data, *layer.source(m.start(), m.end()), most, met)
 
 
 def _inner(layer: Layer, most: int | None, met: _Found) -> Iterator[Layer]:
     if (plain := _unescape(layer)) is not None:
         yield plain
+        yield from _escaped_runs(layer, most, met)
     yield from _decoded_runs(layer, most, met)
 
 
