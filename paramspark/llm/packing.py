@@ -1,26 +1,27 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every document becomes token ids plus an end id and joins the queue of its source. Each window of ``size`` tokens serves all
-queues in turn: a queue's deficit grows by its quantum (its target share of a window), the whole tokens of the deficit are
-served, slots left over go to the largest remainders, and the rest of the deficit is carried to the next window. Quanta are
-multiples of 1/PERIOD token, so deficits repeat after PERIOD windows: one period is simulated, and the state at any later window
-is periods passed times tokens a period. So any partition knows the window and place of each of its tokens without any other
-partition's work, and deficits carry across windows and partitions. When a queue runs dry, its share goes to the others and a
-new phase begins; there are at most as many phases as sources. Without targets the shares are those of the sources' tokens.
+queues in turn: a queue's deficit grows by its quantum (its target share of what the window serves), the whole tokens of the deficit,
+rounded, are served, and the rest, at most half a token, is carried to the next window. The quantum of a window is the one step of
+a common clock that makes the served tokens fill it: after the clock's time T a queue of weight w has served round(T * w) tokens. So the
+state before any window is a function of the window's number alone: any partition knows the window and place of each of its tokens
+without any other partition's work, and deficits carry across windows and partitions. A queue that runs dry stops counting, and
+the others share its part in their proportions. Sources without a target come after the others. Without targets the shares are
+those of the sources' tokens.
 
 Three steps: documents are tokenised once and written to the shared folder with their place among the tokens of their source in
 their partition; sums by (partition, source) give each partition's first place in each queue; the pieces follow row by row. Only
-totals by source reach the driver (``MAX_SOURCES`` bounds them). Nothing is grouped by source, so a hot source is more rows.
+totals by source reach the driver (``MAX_SOURCES`` bounds them, 32 bytes each; more sources are an error, to be folded into fewer before).
+Nothing is grouped by source, so a hot source is more rows.
 
-Edge cases: null and empty texts hold just the end id; a null source is the queue of the empty name; repeated rows are packed one
-by one; no rows give no pieces; only the last window can be short.
+Edge cases: null and empty texts hold just the end id; very long texts, long blank runs included, are encoded whole; a null source
+is the queue of the empty name; repeated rows are packed one by one; no rows give no pieces; only the last window can be short.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -35,14 +36,16 @@ from tokenizers import Tokenizer
 from .common import map_batches, materialize, record_batch, slices
 
 SIZE = 2048
-PERIOD = 1024
-MAX_SOURCES = 10_000
+MAX_SOURCES = 100_000
+#: Numbers of a table of windows by sources that is held at once.
+_CELLS = 1 << 18
 BROADCAST_ROWS = 200_000
 END_ID = 1
 # Fixed value: the split pattern of byte-level BPE with 50,257 ids.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on whose classes all Unicode versions agree; a text with others goes to the tokenizers library itself.
-_UNUSUAL = re.compile(r"[^\x20-\x7e\t\n\r\xa1-ɏ–—‘-‟…€]")
+#: So does one with a long blank run, which the fast encoder's pattern cannot take.
+_UNUSUAL = re.compile(r"(?<!\s)\s{1000}|[^\x20-\x7e\t\n\r\xa1-ɏ–—‘-‟…€]")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -93,102 +96,101 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
     return docs.mapInArrow(run, f"doc_id {kind}, source string, n bigint, ids binary, wide boolean, part bigint, place bigint")
 
 
-def _quanta(weights: np.ndarray, size: int) -> np.ndarray:
-    """Whole numbers of 1/PERIOD token a window, in proportion to the weights; their sum is that of a window."""
-    exact = weights / weights.sum() * size * PERIOD
-    whole = np.floor(exact).astype(np.int64)
-    whole[np.argsort(whole - exact, kind="stable")[: size * PERIOD - int(whole.sum())]] += 1
-    return whole
-
-
-def _period(quanta: np.ndarray, size: int) -> np.ndarray:
-    """Tokens served to each queue before each window of a period (PERIOD + 1 rows)."""
-    served, deficit = np.zeros((PERIOD + 1, len(quanta)), np.int64), np.zeros(len(quanta), np.int64)
-    for w in range(PERIOD):
-        deficit = deficit + quanta
-        take = np.maximum(deficit // PERIOD, 0)
-        while (left := size - int(take.sum())) > 0:
-            take[np.argsort(take * PERIOD - deficit, kind="stable")[:left]] += 1
-        while left < 0:
-            some = np.flatnonzero(take)
-            give = some[np.argsort((deficit - take * PERIOD)[some], kind="stable")[:-left]]
-            take[give] -= 1
-            left += len(give)
-        deficit -= take * PERIOD
-        served[w + 1] = served[w] + take
-    return served
-
-
 class Schedule:
-    """Which tokens of which queue each window gets; a list of segments, each a table that repeats."""
+    """Which tokens of which queue each window gets."""
 
     def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, size: int = SIZE):
         self.sources, self.size = sorted(totals), size
         self.number = {s: i for i, s in enumerate(self.sources)}
-        left = np.array([totals[s] for s in self.sources], np.int64)
+        self.totals = np.array([totals[s] for s in self.sources], np.int64)
+        self.total = int(self.totals.sum())
+        self.windows = -(-self.total // size)
         weights = np.array([float((targets or totals).get(s, 0)) for s in self.sources])
-        self.segments: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # first window, windows, tokens before them, table
-        self.windows, done = 0, np.zeros_like(left)
-
-        def add(windows: int, table: np.ndarray) -> None:
-            nonlocal left, done
-            if windows:
-                self.segments.append((self.windows, windows, done.copy(), table))
-                gone = table[-1] * (windows // (len(table) - 1)) + table[windows % (len(table) - 1)]
-                left, done = left - gone, done + gone
-                self.windows += windows
-
-        while left.sum() > 0:
-            live = np.where(left > 0, weights, 0)
-            if live.sum() <= 0:  # sources without a target share what is left
-                live = left.astype(float)
-            table = _period(_quanta(live, size), size) if left.sum() >= size else np.zeros((2, len(left)), np.int64)
-            some = table[-1] > 0
-            if some.any():
-                rounds = int((left[some] // table[-1][some]).min())
-                over = left - rounds * table[-1]
-                rows = int((table <= over).all(axis=1).sum()) - 1
-                add(rounds * PERIOD + rows, table)
-            if left.sum() <= 0:
-                break
-            # A window in which a queue runs dry, or the last one: what its queue lacks goes to the others in turn.
-            row = self.segments[-1][1] % PERIOD if some.any() and self.segments and self.segments[-1][3] is table else 0
-            want = table[row + 1] - table[row]
-            take = np.minimum(want, left)
-            for i in np.argsort(-live, kind="stable").tolist():
-                take[i] += min(int(left[i] - take[i]), size - int(take.sum()))
-            add(1, np.stack([np.zeros_like(take), take]))
-        self._first = [s[0] for s in self.segments]
-
-    def pieces(self, source: str, place: int, n: int) -> Iterator[tuple[int, int, int]]:
-        """(window, offset in it, length) for ``n`` tokens of a queue from ``place`` on."""
-        s, end = self.number[source], place + n
-        at = bisect_right([seg[2][s] for seg in self.segments], place) - 1 if len(self.segments) < 8 else self._segment(s, place)
-        while place < end:
-            first, windows, before, table = self.segments[at]
-            rows = len(table) - 1
-            each = int(table[-1][s])
-            passed = place - int(before[s])
-            rounds, rest = divmod(passed, each) if each else (0, 0)
-            row = int(np.searchsorted(table[:, s], rest, "right")) - 1
-            window = rounds * rows + row
-            if not each or window >= windows:
-                at += 1
-                continue
-            inside = rest - int(table[row, s])
-            length = min(end - place, int(table[row + 1, s] - table[row, s]) - inside)
-            offset = int((table[row + 1, :s] - table[row, :s]).sum()) + inside
-            yield first + window, offset, length
-            place += length
-
-    def _segment(self, s: int, place: int) -> int:
-        low, high = 0, len(self.segments)
-        while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (middle, high) if self.segments[middle][2][s] <= place else (low, middle)
-        while low and self.segments[low - 1][2][s] == self.segments[low][2][s] > place:
-            low -= 1
-        return low
+        weights = np.where(self.totals > 0, weights, 0)
+        aimed = weights > 0
+        weights[~aimed] = self.totals[~aimed]  # sources without a target share what is left
+        self.weights = np.where(weights > 0, weights, 1.0)
+        for part in (aimed, ~aimed):
+            self.weights[part] /= max(self.weights[part].sum(), 1e-300)
+        # Clock times at which queues begin and end.
+        self.begins = np.zeros(len(self.sources))
+        self.begins[~aimed] = (self.totals[aimed] / self.weights[aimed]).max(initial=0.0)
+        ends = self.begins + self.totals / self.weights
+        # Tokens served by the clock, were they divisible: piecewise linear.
+        self.times = np.unique(np.concatenate([self.begins, ends]))
+        slope = np.zeros(len(self.times))
+        np.add.at(slope, np.searchsorted(self.times, self.begins), self.weights)
+        np.add.at(slope, np.searchsorted(self.times, ends), -self.weights)
+        self.fluid = np.concatenate([[0.0], np.cumsum(np.cumsum(slope)[:-1] * np.diff(self.times))])
+
+    def _served(self, times: np.ndarray) -> np.ndarray:
+        """Tokens of each queue (columns) that the clock has served by each time (rows)."""
+        return np.clip(np.floor((times[:, None] - self.begins) * self.weights + 0.5), 0, self.totals).astype(np.int64)
+
+    def before(self, windows: np.ndarray) -> np.ndarray:
+        """Tokens of each queue served before each window: the state that deficits carry."""
+        wanted = np.minimum(windows * self.size, self.total)
+        slack = len(self.sources) / 2 + 1
+        low, high = (np.interp(wanted + x, self.fluid, self.times) for x in (-slack, slack))
+        low, high = low - 1 - 1e-9 * low, high + 1 + 1e-9 * high
+        below, above = self._served(low), self._served(high)
+        active = np.flatnonzero((wanted > 0) & (wanted < self.total))
+        while len(active):  # bisection, until one token or no time is between
+            middle = low[active] + (high[active] - low[active]) / 2
+            moved = (middle > low[active]) & (middle < high[active]) & ((above[active] - below[active]).sum(axis=1) > 1)
+            active, middle = active[moved], middle[moved]
+            now = self._served(middle)
+            under = now.sum(axis=1) < wanted[active]
+            low[active[under]], below[active[under]] = middle[under], now[under]
+            high[active[~under]], above[active[~under]] = middle[~under], now[~under]
+        # Tokens of one moment go to the queues in turn.
+        more = above - below
+        ahead = np.cumsum(more, axis=1) - more
+        found = below + np.clip((wanted - below.sum(axis=1))[:, None] - ahead, 0, more)
+        found[wanted <= 0] = 0
+        found[wanted >= self.total] = self.totals
+        return found
+
+    def _about(self, source: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The window of the token at a place of a queue, or one close to it."""
+        times = self.begins[source] + (place + 0.5) / self.weights[source]
+        return np.interp(times, self.times, self.fluid).astype(np.int64) // self.size
+
+    def pieces(self, source: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, window, offset in it, length), in order, for ``n`` tokens of a queue from ``place`` on, of each row."""
+        margin = 1 + (len(self.sources) + 1) // self.size + 1
+        first = np.maximum(self._about(source, place) - margin, 0)
+        last = np.minimum(self._about(source, place + n - 1) + margin, self.windows - 1)
+        spans = last - first + 1
+        rare = spans > n * (2 * margin + 1)  # most of these windows hold none of the queue's tokens
+        spans[rare] = 0
+        row = np.repeat(np.arange(len(source)), spans)
+        window = np.arange(len(row)) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(first, spans)
+        if rare.any():
+            one = np.repeat(np.flatnonzero(rare), n[rare])
+            token = np.arange(len(one)) - np.repeat(np.cumsum(n[rare]) - n[rare], n[rare]) + place[one]
+            near = self._about(source[one], token)[:, None] + np.arange(-margin, margin + 1)
+            pairs = np.stack([np.repeat(one, 2 * margin + 1), near.clip(0, self.windows - 1).ravel()])
+            row, window = np.unique(np.concatenate([[row, window], pairs], axis=1), axis=1)
+        offset, length = np.zeros_like(window), np.zeros_like(window)
+        names, of = np.unique(window, return_inverse=True)
+        order, step = np.argsort(of, kind="stable"), max(1, _CELLS // max(1, len(self.sources)))
+        for at in range(0, len(names), step):
+            some = names[at : at + step]
+            edges, place_of = np.unique(np.concatenate([some, some + 1]), return_inverse=True)
+            state = self.before(edges)
+            own = order[np.searchsorted(of[order], at) : np.searchsorted(of[order], at + step)]
+            s = source[row[own]]
+            i, j = place_of[of[own] - at], place_of[len(some) + of[own] - at]
+            start, stop = np.maximum(state[i, s], place[row[own]]), np.minimum(state[j, s], place[row[own]] + n[row[own]])
+            ahead = np.cumsum(state, axis=1) - state
+            offset[own] = ahead[j, s] - ahead[i, s] + start - state[i, s]
+            length[own] = np.maximum(stop - start, 0)
+        kept = length > 0
+        row, length = row[kept], length[kept]
+        if not np.array_equal(np.bincount(row, length, len(n)).astype(np.int64), n):
+            raise AssertionError("a token has no window")
+        return row, window[kept], offset[kept], length
 
 
 def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -201,27 +203,24 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     totals = firsts.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"a schedule holds at most {MAX_SOURCES} sources")
-    schedule = Schedule({r["source"]: r["n"] for r in totals}, targets, size)
+    shared = docs.sparkSession.sparkContext.broadcast(Schedule({r["source"]: r["n"] for r in totals}, targets, size))
     small = firsts.count() <= BROADCAST_ROWS
     firsts = firsts.select("part", "source", "first")
     placed = tokens.join(F.broadcast(firsts) if small else firsts, ["part", "source"]).select("doc_id", "source", (F.col("first") + F.col("place")).alias("place"), "ids", "wide")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        schedule = shared.value
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at: list[int] = []
-            out: list[tuple[int, int, int, int, int]] = []
-            ids: list[bytes] = []
-            columns = (batch.column(i).to_pylist() for i in range(1, 5))
-            for i, (source, place, data, wide) in enumerate(zip(*columns, strict=True)):
-                own = np.frombuffer(data, "<u4" if wide else "<u2").astype("<u4").tobytes()
-                n, start = len(own) // 4, 0
-                for window, offset, length in schedule.pieces(source, place, n):
-                    at.append(i)
-                    out.append((start, length, n, window, offset))
-                    ids.append(own[4 * start : 4 * (start + length)])
-                    start += length
-            start, length, n, window, offset = np.array(out, np.int64).reshape(-1, 5).T
-            return record_batch({"doc_id": batch.column(0).take(pa.array(at, pa.int64())), "start": pa.array(start), "length": pa.array(length), "ids": pa.array(ids, pa.binary()), "doc_tokens": pa.array(n), "sequence_id": pa.array(window), "offset": pa.array(offset)})
+            source, place, data, wide = (batch.column(i).to_pylist() for i in range(1, 5))
+            own = [x if w else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, w in zip(data, wide, strict=True)]
+            n = np.fromiter((len(x) // 4 for x in own), np.int64, len(own))
+            number = np.fromiter((schedule.number[s] for s in source), np.int64, len(own))
+            row, window, offset, length = schedule.pieces(number, np.array(place, np.int64), n)
+            start = np.cumsum(length) - length
+            start -= (np.cumsum(n) - n)[row]
+            ids = [own[r][4 * s : 4 * (s + k)] for r, s, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
+            return record_batch({"doc_id": batch.column(0).take(pa.array(row)), "start": pa.array(start), "length": pa.array(length), "ids": pa.array(ids, pa.binary()), "doc_tokens": pa.array(n[row]), "sequence_id": pa.array(window), "offset": pa.array(offset)})
 
         return each
 

@@ -2,9 +2,13 @@
 
 import base64
 import gzip
+import heapq
 import math
+import pickle
+import tracemalloc
 import zlib
 from collections import Counter
+from fractions import Fraction
 from itertools import product
 from urllib.parse import quote
 
@@ -313,38 +317,106 @@ def test_packing(spark, folder, request):
     assert sum(r["length"] for r in got) == sum(n * len(ids[k]) for k, n in rows.items())
 
 
+def served(schedule, totals):
+    """Tokens by (window, source), and the places that are filled, from one piece list for each source."""
+    names = [n for n in totals if totals[n]]
+    at = [np.array(x, np.int64) for x in zip(*((schedule.number[s], p, min(999, totals[s] - p)) for s in names for p in range(0, totals[s], 999)), strict=True)]
+    row, window, offset, length = schedule.pieces(*at)
+    given, filled = Counter(), Counter()
+    for r, w, o, k in zip(row.tolist(), window.tolist(), offset.tolist(), length.tolist(), strict=True):
+        given[w, schedule.sources[at[0][r]]] += k
+        filled.update((w, x) for x in range(o, o + k))
+    return given, filled
+
+
+def round_robin(totals, weights, size):
+    """Plain deficit round-robin: the next token is that of the queue with the earliest middle; tokens by (window, source)."""
+    given, heap, n = Counter(), [(Fraction(1, 2) / weights[s], s, 0) for s in sorted(totals) if totals[s]], 0
+    heapq.heapify(heap)
+    while heap:
+        _, s, k = heapq.heappop(heap)
+        given[n // size, s] += 1
+        n += 1
+        if k + 1 < totals[s]:
+            heapq.heappush(heap, ((k + Fraction(3, 2)) / weights[s], s, k + 1))
+    return given
+
+
+def test_schedule_is_deficit_round_robin():
+    rng = np.random.default_rng(6)
+    for size in (8, 64, 2048):
+        for _ in range(6):
+            totals = {f"s{i}": int(rng.integers(0, 3000)) for i in range(rng.integers(1, 9))} | {"z": 77}
+            weights = {s: Fraction(1 << int(rng.integers(0, 5))) for s in totals}
+            s = packing.Schedule(totals, {k: float(w) for k, w in weights.items()}, size)
+            given, filled = served(s, totals)
+            whole = sum(w for k, w in weights.items() if totals[k])
+            want = round_robin(totals, weights, size)
+            assert max(filled.values()) == 1 and len(filled) == sum(totals.values()) and all(x < size for _, x in filled)
+            if not int(whole) & (int(whole) - 1):
+                assert given == want  # shares without rounding: token by token the same
+            for w in range(s.windows):
+                assert all(abs(given[w, k] - want[w, k]) <= 1 for k in totals)
+            assert sum(given.values()) == sum(totals.values())
+
+
 def test_windows_keep_the_mixture():
     totals = {"a": 300_000, "b": 100_000, "c": 37_123, "d": 5}
     s = packing.Schedule(totals)
-    served = Counter()
-    for name, n in totals.items():
-        place = 0
-        while place < n:
-            step = min(999, n - place)
-            for w, _, length in s.pieces(name, place, step):
-                served[w, name] += length
-            place += step
+    given, _ = served(s, totals)
     whole = sum(totals.values())
     assert s.windows == -(-whole // 2048)
     for w in range(s.windows - 2):
-        assert sum(served[w, n] for n in totals) == 2048
+        assert sum(given[w, n] for n in totals) == 2048
         for n in totals:
-            assert abs(served[w, n] - 2048 * totals[n] / whole) <= 2
+            assert abs(given[w, n] - 2048 * totals[n] / whole) <= 2
     for n in totals:
-        assert sum(served[w, n] for w in range(s.windows)) == totals[n]
+        assert sum(given[w, n] for w in range(s.windows)) == totals[n]
 
 
 def test_targets_and_dry_queues():
     totals = {"a": 50_000, "b": 50_000, "c": 9_000, "e": 700}
     s = packing.Schedule(totals, {"a": 3, "b": 1, "c": 1})
-    filled = Counter()
-    for name, n in totals.items():
-        assert sum(x[2] for x in s.pieces(name, 0, n)) == n
-        for w, offset, length in s.pieces(name, 0, n):
-            filled.update((w, x) for x in range(offset, offset + length))
-            if name == "a" and w < 5:
-                assert abs(length - 2048 * 3 / 5) <= 2
+    given, filled = served(s, totals)
     assert max(filled.values()) == 1 and len(filled) == sum(totals.values())
+    for w in range(5):
+        assert abs(given[w, "a"] - 2048 * 3 / 5) <= 2 and given[w, "e"] == 0
+    late = s.windows - 3  # a, b and c end before what has no target
+    assert given[late, "a"] == 0 and abs(given[late, "b"] + given[late, "c"] + given[late, "e"] - 2048) == 0
+    assert given[s.windows - 1, "e"] > 0
+
+
+def test_packing_to_targets(spark):
+    """The whole operator with target proportions, against the plain round-robin."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(50, size=rng.integers(1, 60))), "abcd"[min(3, int(rng.integers(0, 9)))]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = packing.pack(docs, BPE, targets={"a": 4, "b": 2, "c": 1, "d": 1}, size=256).collect()
+    library, source = Tokenizer.from_file(BPE), {i: s for i, _, s in rows}
+    totals, given = Counter(), Counter()
+    for i, t, s in rows:
+        totals[s] += len(library.encode(t).ids) + 1
+    for r in got:
+        given[r["sequence_id"], source[r["doc_id"]]] += r["length"]
+    assert given == round_robin(totals, {k: Fraction(w) for k, w in zip("abcd", (4, 2, 1, 1), strict=True)}, 256)
+
+
+def test_many_sources_in_little_memory():
+    rng = np.random.default_rng(13)
+    totals = {f"h{i}": int(x) for i, x in enumerate(rng.zipf(1.3, 10_000).clip(1, 1_000_000))}
+    tracemalloc.start()
+    s = packing.Schedule(totals)
+    n = len(totals)
+    row, window, offset, length = s.pieces(np.arange(0, n, 500), np.zeros(n // 500, np.int64), np.minimum(s.totals[::500], 10))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20 and len(pickle.dumps(s)) < 4 << 20
+    tracemalloc.stop()
+    assert length.sum() == np.minimum(s.totals[::500], 10).sum() and (offset + length <= 2048).all()
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 1_500_000 + "b", " \t" * 600 + "x" + "\u00a0" * 5000, "x" * 300_000])
+def test_long_runs(text):
+    bpe, library = packing.ByteBpe(BPE), Tokenizer.from_file(BPE)
+    assert bpe.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_fast_ids_equal_the_library():
