@@ -12,8 +12,12 @@ a block), each distinct word's lattice is solved once, and the results join the
 where they meet the documents. So what is shuffled is block vocabularies and word numbers, not words of documents. To the driver
 come the totals and one expected count for each piece of the vocabulary, whose size bounds what is broadcast.
 
+Probabilities add up to at most 1 over all texts: a hundredth of each step's mass is for the bytes of letters that the vocabulary
+lacks, the rest for the pieces and the end.
+
 Edge cases: null and empty texts are just the end; repeated rows count and are scored one by one; without training rows counts are
-0 and the vocabulary's own scores stand; characters that the vocabulary lacks cost a fixed amount a byte.
+0 and the vocabulary's own scores stand; a word of over ``LONG`` letters is solved in stretches, with 16 bytes a letter besides (scoring
+keeps one stretch only), whatever its length.
 """
 
 from __future__ import annotations
@@ -37,7 +41,11 @@ BLOCK_BYTES = 24 << 20
 PRIOR_COUNTS = 1000.0
 #: Passes of expected counts over the training words.
 ROUNDS = 3
-BYTE_COST = math.log(1e-4)
+#: Part of the mass of each step that is for bytes of letters that are no piece.
+BYTE_SHARE = 0.01
+BYTE_COST = math.log(BYTE_SHARE / 256)
+#: Letters of a word beyond which it is solved alone, in stretches of this many letters.
+LONG, STRETCH = 512, 1 << 14
 NEVER = -1e30
 SPACE = "▁"
 _FACTOR, _SLOT, _SHIFT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 46
@@ -55,6 +63,10 @@ def vocabulary(path: str) -> dict[str, float]:
     return dict(zip([model.id_to_piece(i) for i in usual], scores.tolist(), strict=True))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
 class Lattice:
     """Solves the lattices of many words at once: words of one length share each step of the recursion."""
 
@@ -90,7 +102,7 @@ class Lattice:
 
     def _edges(self, words: list[str], n: int) -> tuple[dict[tuple[int, int], np.ndarray], dict[tuple[int, int], np.ndarray]]:
         """Piece numbers and log weights of each stretch that some word has as a piece, and of each letter."""
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).T.astype(np.uint64)
+        codes = _codes("".join(words)).reshape(len(words), n).T
         numbers, weights = {}, {}
         hashes, none = np.zeros((n + 1, len(words)), np.uint64), len(self.weights) - 1
         for length in range(1, min(n, self.longest) + 1):
@@ -125,6 +137,62 @@ class Lattice:
             alpha.append(self._total([alpha[i] + weights[i, j] for i in by_end[j]]))
         return alpha
 
+    def _stretches(self, word: str, back: bool = False) -> Iterator[tuple[int, list[list[tuple[int, int, float]]]]]:
+        """For stretches of a long word, in order (``back``: from the end): the first position, and for each position the edges (length, piece,
+        log weight) that end there (``back``: that begin there)."""
+        codes, n, none = _codes(word), len(word), len(self.weights) - 1
+        places = range(0, n, STRETCH)
+        for at in reversed(places) if back else places:
+            stop = min(n, at + STRETCH)
+            # Letters from which edges of this stretch begin or to which they go.
+            low, high = (at, min(n, stop + self.longest - 1)) if back else (max(0, at - self.longest + 1), stop)
+            own = codes[low:high]
+            edges: list[list[tuple[int, int, float]]] = [[] for _ in range(stop - at)]
+            hashes = np.zeros(len(own) + 1, np.uint64)
+            for length in range(1, min(len(own), self.longest) + 1):
+                hashes = hashes[: len(own) - length + 1] * np.uint64(_FACTOR) + own[length - 1 :] + np.uint64(1)
+                found = self._find(hashes)
+                value = self.weights[found]
+                if length == 1:
+                    bytes_of = 1 + (own >= 0x80).astype(int) + (own >= 0x800) + (own >= 0x10000)
+                    value = np.where(found == none, bytes_of * BYTE_COST, value)
+                    used = np.arange(len(own))
+                else:
+                    used = np.flatnonzero(found != none)
+                place = low + used - at + (0 if back else length - 1)
+                inside = (place >= 0) & (place < stop - at)
+                for i, f, v in zip(place[inside].tolist(), found[used[inside]].tolist(), value[used[inside]].tolist(), strict=True):
+                    edges[i].append((length, f, v))
+            yield at, edges
+
+    def _long_forward(self, word: str, keep: bool) -> tuple[float, np.ndarray]:
+        """Log weight of all segmentations of a long word; ``keep``: and of all its beginnings."""
+        every = np.zeros(len(word) + 1 if keep else 1)
+        last = [0.0]  # of the positions before, the latest at the end
+        for at, edges in self._stretches(word):
+            for i, into in enumerate(edges):
+                terms = [last[-length] + v for length, _, v in into]
+                top = max(terms)
+                last.append(top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else top)
+                if keep:
+                    every[at + i + 1] = last[-1]
+            del last[: -self.longest]
+        return last[-1], every
+
+    def _long_expected(self, word: str, count: float, out: np.ndarray) -> None:
+        """Adds the expected uses of each piece in a long word that occurs ``count`` times."""
+        total, alpha = self._long_forward(word, True)
+        after = [0.0]  # of the positions behind, the nearest at the end
+        for at, edges in self._stretches(word, back=True):
+            for i in range(len(edges) - 1, -1, -1):
+                terms = [after[-length] + v for length, _, v in edges[i]]
+                begin = float(alpha[at + i]) - total
+                for (_, piece, _), t in zip(edges[i], terms, strict=True):
+                    out[piece] += count * math.exp(begin + t)
+                top = max(terms)
+                after.append(top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else top)
+            del after[: -self.longest]
+
     @staticmethod
     def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -139,6 +207,9 @@ class Lattice:
         """Natural log of each word's summed weight over all segmentations; words carry their leading mark."""
         out = np.zeros(len(words))
         for n, group in self._by_length(words):
+            if n > LONG:
+                out[group] = [self._long_forward(words[i], False)[0] for i in group.tolist()]
+                continue
             _, weights = self._edges([words[i] for i in group.tolist()], n)
             out[group] = self._forward(weights, n, len(group))[-1]
         return out
@@ -147,6 +218,10 @@ class Lattice:
         """Expected number of uses of each piece, over words that occur ``counts`` times."""
         out = np.zeros(len(self.weights))
         for n, group in self._by_length(words):
+            if n > LONG:
+                for i in group.tolist():
+                    self._long_expected(words[i], float(counts[i]), out)
+                continue
             numbers, weights = self._edges([words[i] for i in group.tolist()], n)
             alpha = self._forward(weights, n, len(group))
             by_start: dict[int, list[int]] = defaultdict(list)
@@ -254,12 +329,13 @@ def lm_scores(docs: DataFrame, vocabulary_path: str, *, doc_id: str = "doc_id",
     total, distinct = sums["total"] + ends, sums["distinct"] + (ends > 0)
 
     prior = vocabulary(vocabulary_path)
-    weights, mass = prior, 1.0
+    usual = 1 - BYTE_SHARE
+    weights, mass = {p: w + math.log(usual) for p, w in prior.items()}, 1.0
     for _ in range(rounds):
         counts = PRIOR_COUNTS * np.exp(np.array(list(prior.values())))
         for row in _expected_counts(counted, weights):
             counts[row["piece"]] += row["n"]
-        mass = counts.sum() + ends + 1.0
+        mass = (counts.sum() + ends + 1.0) / usual
         weights = dict(zip(prior, np.log(counts / mass).tolist(), strict=True))
     learned = spark.sparkContext.broadcast(weights)
 

@@ -496,6 +496,66 @@ def test_lattice_sums_all_segmentations():
         assert expected[i] == pytest.approx(2 * sum(w * c.count(p) for w, c in zip(weights, cuts("abba"), strict=True)) / sum(weights), abs=1e-9)
 
 
+def test_long_words_equal_short_ones(monkeypatch):
+    """Words solved in stretches give what words solved at once give, forward and expected."""
+    rng = np.random.default_rng(15)
+    lattice = lm_score.Lattice(lm_score.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    words = [lm_score.SPACE + "".join(rng.choice(list("etaoinshr\u00e9\u4e2d"), n)) for n in (3, 40, 200, 200, 501)]
+    counts = np.array([1.0, 2.0, 3.0, 1.0, 0.5])
+    at_once, expected = lattice.marginals(words), lattice.expected(words, counts)
+    monkeypatch.setattr(lm_score, "LONG", 10)
+    monkeypatch.setattr(lm_score, "STRETCH", 64)
+    assert np.allclose(lattice.marginals(words), at_once, rtol=1e-10)
+    assert np.allclose(lattice.expected(words, counts), expected, rtol=1e-8, atol=1e-10)
+
+
+def test_one_very_long_word():
+    lattice = lm_score.Lattice(lm_score.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    word = lm_score.SPACE + "ab" * 400_000
+    tracemalloc.start()
+    m = lattice.marginals([word])[0]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert m < -800_000 * 0.5
+
+
+def test_lm_score_is_the_texts_probability(spark):
+    """``score`` against all segmentations of all words of each text, with the pieces that training leaves."""
+    rows = [(i, t) for i, t in enumerate(["a bad cab", "dab dab", "", "bad \u2603 ab", "cab", "a a a b"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    prior = lm_score.vocabulary(path)
+    own = lambda t: [lm_score.SPACE + w for w in WORD.findall(lower(t))]
+    train = Counter(w for i, t in rows if bucket(i, 7) != 2 for w in own(t))
+    ends = sum(bucket(i, 7) != 2 for i, _ in rows)
+
+    def cuts(w):
+        if not w:
+            yield []
+        for n in range(1, len(w) + 1):
+            if w[:n] in prior or n == 1:
+                for rest in cuts(w[n:]):
+                    yield [w[:n], *rest]
+
+    byte = 0.01 / 256
+    chance = lambda pieces, cut: math.prod(pieces.get(p, byte ** len(p.encode())) for p in cut)
+    pieces = {p: 0.99 * math.exp(x) for p, x in prior.items()}
+    for _ in range(3):
+        used = Counter()
+        for w, n in train.items():
+            all_cuts = [(c, chance(pieces, c)) for c in cuts(w)]
+            whole = sum(x for _, x in all_cuts)
+            for c, x in all_cuts:
+                for p in c:
+                    used[p] += n * x / whole
+        counts = {p: 1000 * math.exp(x) + used[p] for p, x in prior.items()}
+        mass = (sum(counts.values()) + ends + 1) / 0.99
+        pieces = {p: x / mass for p, x in counts.items()}
+    want = {i: sum(math.log10(sum(chance(pieces, c) for c in cuts(w))) for w in own(t)) + math.log10((ends + 1) / mass) for i, t in rows}
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(docs, path).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_long_words_do_not_underflow():
     lattice = lm_score.Lattice(lm_score.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
     m = lattice.marginals([lm_score.SPACE + "ab" * 3000])[0]
