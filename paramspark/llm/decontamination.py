@@ -5,9 +5,11 @@ rightmost of equal ones). A shared span of ``window`` words holds one whole such
 it: every shared span of at least ``window`` words meets in the join of fingerprints. Each hit is then extended word by word to
 the left and right, and counts if the shared run reaches ``window`` words. Items shorter than a window are looked up whole.
 
-The item side is a bounded block of the benchmark: blocks hold at most ``block_bytes`` of item text (one larger item is a block
-of its own), each block is broadcast to the tasks that read documents, and documents meet every block. Nothing is grouped by
-document, k-gram or item, so hot passages are only more rows of the scan; memory follows one block and one Arrow batch.
+The item side is a bounded block of the benchmark: blocks are cut by their bytes and hold at most ``block_bytes`` of item text (one
+larger item is a block of its own). One block at a time is broadcast to the tasks that read documents, and documents meet every
+block; with more than one, what a block found is written before the next one is read, so the driver holds one block, not the
+benchmark. Nothing is grouped by document, k-gram or item, so hot passages are only more rows of the scan; memory follows one
+block and one Arrow batch.
 
 Edge cases: null and empty texts have no words; items without words or id have no windows; items with equal ids count as one;
 repeated documents are judged one by one; an empty benchmark hits nothing.
@@ -15,13 +17,13 @@ repeated documents are judged one by one; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +135,37 @@ class ItemIndex:
         return start, at + (int(ahead.argmax()) if ahead.any() else right)
 
 
+def _cut_blocks(items: DataFrame, block_bytes: int) -> DataFrame | None:
+    """(item_id, text, block), written: no block holds more than ``block_bytes`` of text, but for one of a single item. None if one block will do."""
+    if (items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) <= block_bytes:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            own = []
+            for size in batch.column(1).cast(pa.binary()).to_pylist():
+                size = len(size or b"")
+                if held and held + size > block_bytes:
+                    block, held = block + 1, 0
+                held += size
+                own.append(block)
+            yield record_batch({"item_id": batch.column(0), "text": batch.column(1), "block": pa.array(own, pa.int64())})
+
+    return materialize(items.coalesce(64).mapInArrow(run, "item_id string, text binary, block bigint"), "benchmark")
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, bytes | None]]]]:
+    """The items of one block after another; the flag: there are more."""
+    cut = _cut_blocks(items, block_bytes)
+    if cut is None:
+        yield False, [tuple(r) for r in items.collect()]
+        return
+    numbers = sorted(r["block"] for r in cut.select("block").distinct().collect())
+    for b in numbers:
+        yield True, [(r["item_id"], r["text"]) for r in cut.where(F.col("block") == b).collect()]
+
+
 def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int, k: int, extra: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -158,16 +191,14 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     """(doc_id, n_words, hits): the shared runs (item_id, start, end) in words of the document, of at least ``window`` words or a whole short item."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    if blocks == 1:
-        return _scan(docs, [tuple(r) for r in items.collect()], window, k, "")
-    docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "benchmark")
-    parts = [_scan(docs, [(r["item_id"], r["text"]) for r in items.where(F.col("block") == b).collect()], window, k, "row") for b in range(blocks)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    every = None
+    for several, block in _blocks(items, block_bytes):
+        if not several:
+            return _scan(docs, block, window, k, "")
+        if every is None:
+            docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+        found = materialize(_scan(docs, block, window, k, "row"), "spans")
+        every = found if every is None else every.unionByName(found)
     return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits")).drop("row")
 
 
@@ -186,12 +217,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
     """``docs``, all columns, without the documents that hold a run of ``window`` words of any benchmark item. Items of fewer words are left out:
     a phrase of a few words is no evidence of a leak."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("binary").alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
     place = docs.columns.index(text)
-    for b in range(blocks):
-        own = [(r["item_id"] or "", r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast([x for x in own if len(words(x[1])) >= window])
+    for several, block in _blocks(items, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast([(name or "", raw) for name, raw in block if len(words(raw)) >= window])
 
         def make(shared=shared) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
             index = ItemIndex(shared.value, window, k)
@@ -206,6 +234,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
             return each
 
         docs = rewrite_batches(docs, make)
+        if several:
+            docs = materialize(docs, "clean")
     return docs
 
 

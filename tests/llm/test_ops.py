@@ -576,6 +576,30 @@ def test_decontamination(spark, odd, block_bytes):
     assert long["n_hit"] == long["n_words"] - 1 and list(long["items"]) == ["21"]
 
 
+def test_benchmark_of_several_blocks(spark):
+    rng = np.random.default_rng(14)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(300, size=rng.integers(3, 40)))) for i in range(60)]
+    rows = []
+    for i in range(80):
+        own = [f"v{x}" for x in rng.integers(300, size=30)]
+        for _ in range(rng.integers(0, 4)):
+            own += items[rng.integers(60)][1].split()[: rng.integers(4, 30)]
+        rows.append((i, " ".join(own)))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted((i, *brute.hits(t, items)) for i, t in rows)
+    for size in (700, 1 << 20):
+        cut = decontamination._cut_blocks(benchmark.selectExpr("cast(item_id as string) item_id", "cast(text as binary) text"), size)
+        if size == 700:
+            sizes = cut.groupBy("block").agg(F.sum(F.length("text")).alias("n")).collect()
+            assert len(sizes) > 10 and max(r["n"] for r in sizes) <= 700
+        assert (cut is None) == (size > 700)
+        got = decontamination.contaminated(docs, benchmark, block_bytes=size).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got) == want
+        left = {r["doc_id"] for r in decontamination.keep_clean(docs, benchmark, block_bytes=size).collect()}
+        long = [(i, t) for i, t in items if len(t.split()) >= 8]
+        assert left == {i for i, t in rows if not brute.hits(t, long)[2]}
+
+
 def test_winnowing_guarantees_shared_windows():
     rng = np.random.default_rng(8)
     item = [f"w{i}" for i in rng.integers(0, 60, 40)]
