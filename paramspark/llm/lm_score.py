@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, record_batch, slices
+from .common import held_out, materialize, record_batch, slices, tidy
 
 BLOCK_BYTES = 24 << 20
 #: Weight of the vocabulary's own scores, in counts.
@@ -279,7 +279,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield from close(held, number)
 
-    return docs.mapInArrow(run, f"block bigint, at bigint, word binary, n bigint, doc_id {kind}, held_out boolean, numbers binary")
+    return docs.mapInArrow(tidy(run), f"block bigint, at bigint, word binary, n bigint, doc_id {kind}, held_out boolean, numbers binary")
 
 
 def _scored(texts: pa.Table, words: pa.Table, model: tuple[int, int, int, float]) -> pa.Table:
@@ -314,7 +314,7 @@ def _expected_counts(counted: DataFrame, weights: dict[str, float]) -> list:
         used = np.flatnonzero(out)
         yield record_batch({"piece": pa.array(used), "n": pa.array(out[used])})
 
-    return counted.where("c > 0").mapInArrow(expect, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    return counted.where("c > 0").mapInArrow(tidy(expect), "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
 
 
 def lm_scores(docs: DataFrame, vocabulary_path: str, *, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, rounds: int = ROUNDS) -> DataFrame:
@@ -345,7 +345,7 @@ def lm_scores(docs: DataFrame, vocabulary_path: str, *, doc_id: str = "doc_id",
             words = [SPACE + w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
             yield record_batch({"word": batch.column(0), "c": batch.column(1), "m": pa.array(lattice.marginals(words))})
 
-    solved = counted.mapInArrow(solve, "word binary, c bigint, m double")
+    solved = counted.mapInArrow(tidy(solve), "word binary, c bigint, m double")
     back = lists.select("block", "at", "word").join(solved, "word").select(F.col("block").alias("home"), "at", "c", "m")
     model = (int(total), int(distinct), int(ends), math.log((ends + 1.0) / mass))
     kind = kept.schema["doc_id"].dataType.simpleString()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_batches, materialize, record_batch, slices
+from .common import map_batches, materialize, record_batch, slices, tidy
 
 SIZE = 2048
 MAX_SOURCES = 100_000
@@ -93,7 +93,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
                 yield record_batch({"doc_id": batch.column(0), "source": batch.column(1), "n": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary()), "wide": pa.array([bpe.width == "<u4"] * size), "part": pa.array([part] * size, pa.int64()), "place": pa.array(places, pa.int64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, source string, n bigint, ids binary, wide boolean, part bigint, place bigint")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, source string, n bigint, ids binary, wide boolean, part bigint, place bigint")
 
 
 class Schedule:

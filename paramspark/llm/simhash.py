@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_batches, materialize, record_batch
+from .common import discard, map_batches, materialize, record_batch, tidy
 from .components import connected_components
 
 DISTANCE = 3
@@ -164,7 +164,7 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     spread = fps.select("fp").distinct().select("fp", F.explode(keys).alias("k")).select("k.choice", "k.key", "fp")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = spread.repartition(n, "choice", "key").sortWithinPartitions("choice", "key", "fp")
-    return dealt.mapInArrow(lambda batches: _links(batches, distance), "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(lambda batches: _links(batches, distance)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
@@ -185,7 +185,7 @@ BANDS, ROWS = 32, 7
 WHOLE = 5
 #: Members of a key that one task compares.
 PIECE = 20_000
-_COMPARED = 32 << 20
+_COMPARED = 8 << 20
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +356,7 @@ def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int,
 def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of all nodes that have a link."""
     n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mates = materialize(_keys(distinct).repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_mates, "key bigint, a bigint, b bigint"), "mates")
+    mates = materialize(_keys(distinct).repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(tidy(_mates), "key bigint, a bigint, b bigint"), "mates")
     pairs = materialize(mates.where("key IS NULL AND a <> b").select("a", "b").distinct(), "pairs")
     links = _alike(pairs, distinct, kept, shingle, similarity)
     large = mates.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
@@ -372,7 +372,7 @@ def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, simi
         else:
             members = rooted.select("key", F.lit(0).alias("piece"), "node", "root", F.lit(None).cast("boolean").alias("asks"), "signs")
         dealt = members.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", "node")
-        found = materialize(dealt.mapInArrow(lambda batches, most=most: _nearest(batches, most, least), "key bigint, a bigint, b bigint"), "nearest")
+        found = materialize(dealt.mapInArrow(tidy(lambda batches, most=most: _nearest(batches, most, least)), "key bigint, a bigint, b bigint"), "nearest")
         fresh = found.where("key IS NULL AND a <> b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
         pairs = materialize(fresh, "pairs")
         links = _alike(pairs, distinct, kept, shingle, similarity)
