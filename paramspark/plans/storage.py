@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_A_FILE = 250_000
 #: Folders of tables written and not deleted yet.
 _written: set[str] = set()
 
@@ -25,8 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once and reads it back; survives lost executors, unlike a local checkpoint."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` once and reads it back; survives lost executors, unlike a local checkpoint. ``rows``: about how many there are at most, of
+    a few bytes each; a small table is then a few files, however many partitions a shuffle has."""
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
