@@ -186,6 +186,8 @@ WHOLE = 5
 #: Members of a key that one task compares.
 PIECE = 20_000
 _COMPARED = 8 << 20
+#: A set of shingles and the comparison of two weigh as much as so many rows of numbers.
+_SET_ROWS, _PAIR_ROWS = 200, 50
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -318,10 +320,12 @@ def _pieces(rooted: DataFrame, alone: bool) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes of ``distinct`` whose whole shingle sets have the Jaccard similarity or more, written."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "digest", "first"), "node"), "compared")
+    """Those of the (written) pairs (a, b) of nodes of ``distinct`` whose whole shingle sets have the Jaccard similarity or more, written."""
+    n = pairs.count()
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "digest", "first"), "node"), "compared", 2 * n)
     ids = wanted.select(F.col("first").alias("doc_id")).distinct()
-    side = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    count = wanted.count()
+    side = F.broadcast(ids) if count <= BROADCAST_IDS else ids
 
     def shingled() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -345,10 +349,10 @@ def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int,
         return each
 
     read = map_batches(kept.join(side, "doc_id", "left_semi").select("doc_id", "text"), shingled, "digest binary, hashes binary")
-    sets = materialize(read.join(wanted.select("node", "digest"), "digest").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = materialize(read.join(wanted.select("node", "digest"), "digest").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets", _SET_ROWS * count)
     first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
     met = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    found = materialize(map_batches(met, compared, "a bigint, b bigint"), "alike")
+    found = materialize(map_batches(met, compared, "a bigint, b bigint"), "alike", _PAIR_ROWS * n)
     discard(wanted, sets)
     return found
 
@@ -364,7 +368,7 @@ def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, simi
     alone, most, least = split, 1, least_agreeing(similarity)
     roots = connected_components(links)
     done = pairs
-    while large.take(1):
+    while members_count := large.count():
         rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(distinct.select("node", "signs"), "node")
         if split:
             rooted = materialize(rooted, "rooted")
@@ -372,14 +376,15 @@ def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, simi
         else:
             members = rooted.select("key", F.lit(0).alias("piece"), "node", "root", F.lit(None).cast("boolean").alias("asks"), "signs")
         dealt = members.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", "node")
-        found = materialize(dealt.mapInArrow(tidy(lambda batches, most=most: _nearest(batches, most, least)), "key bigint, a bigint, b bigint"), "nearest")
+        found = dealt.mapInArrow(tidy(lambda batches, most=most: _nearest(batches, most, least)), "key bigint, a bigint, b bigint")
+        found = materialize(found, "nearest")
         fresh = found.where("key IS NULL AND a <> b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        pairs = materialize(fresh, "pairs")
+        pairs = materialize(fresh, "pairs", found.count())
         links = _alike(pairs, distinct, kept, shingle, similarity)
         if links.take(1):  # what was linked before is a star by now
             roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
         if not alone:
-            large = materialize(large.join(found.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi"), "large")
+            large = materialize(large.join(found.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi"), "large", members_count)
             most *= 16
         done, alone = done.unionByName(pairs), False
         if split:
