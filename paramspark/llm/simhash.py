@@ -184,7 +184,9 @@ BANDS, ROWS = 32, 7
 #: Groups of a key up to this size send out all their pairs at once; larger ones the nearest few of each member, round by round.
 WHOLE = 5
 #: Members of a key that one task compares.
-PIECE = 20_000
+PIECE = 5_000
+#: Hashes of a shingle set that a member of a large group is compared by.
+SKETCH = 1024
 _COMPARED = 8 << 20
 #: A set of shingles and the comparison of two weigh as much as so many rows of numbers.
 _SET_ROWS, _PAIR_ROWS = 200, 50
@@ -272,10 +274,52 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, piece, node, root, asks, signs) in order of keys and pieces: pairs (a, b) of each asking member and the ``most`` that agree
-    with it best of those which have another root and agree in ``least`` minima; the key instead, with null ends, once if some were
-    left for another round. Where ``asks`` is null, all ask but the largest part: pairs with it are found from their other end."""
+class _Sketches:
+    """The shingle sets of the members of a group, each by its smallest ``SKETCH`` hashes; sets of no more are whole, and most are."""
+
+    def __init__(self, sizes: np.ndarray, sketches: list[bytes]):
+        self.sizes = sizes
+        lengths = np.fromiter((len(x) // 4 for x in sketches), np.int64, len(sketches))
+        self.stops = np.cumsum(lengths)
+        self.starts = self.stops - lengths
+        self.flat = np.frombuffer(b"".join(sketches), np.uint32)
+        self.names, self.of = np.unique(self.flat, return_inverse=True)
+        self.mark = np.zeros(len(self.names), bool)
+        self.whole = lengths == sizes
+
+    def alike(self, one: int, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the others that may be ``similarity`` alike or more, and their estimates: exact, but for equal 32-bit hashes, where both are whole."""
+        small, large = np.minimum(self.sizes[one], self.sizes[others]), np.maximum(self.sizes[one], self.sizes[others])
+        others = others[small >= similarity * large]
+        both = self.whole[others] & self.whole[one]
+        exact, rest = others[both], others[~both]
+        found = np.zeros(len(exact))
+        if len(exact):
+            own = self.of[self.starts[one] : self.stops[one]]
+            self.mark[own] = True
+            counts = self.stops[exact] - self.starts[exact]
+            places = np.arange(counts.sum()) + np.repeat(self.starts[exact] - (np.cumsum(counts) - counts), counts)
+            shared = np.add.reduceat(self.mark[self.of[places]], np.cumsum(counts) - counts, dtype=np.int64) if (counts > 0).all() else np.zeros(len(exact), np.int64)
+            self.mark[own] = False
+            found = shared / np.maximum(self.sizes[one] + self.sizes[exact] - shared, 1)
+        guessed = np.array([self._guess(one, x) for x in rest.tolist()])
+        slack = 4 * np.sqrt(similarity * (1 - similarity) / SKETCH)
+        near, maybe = found >= similarity - 1e-9, guessed >= similarity - slack
+        return np.concatenate([exact[near], rest[maybe]]), np.concatenate([found[near], guessed[maybe]])
+
+    def _guess(self, a: int, b: int) -> float:
+        x, y = (self.flat[self.starts[i] : self.stops[i]] for i in (a, b))
+        most = min(v[-1] for v, i in ((x, a), (y, b)) if not self.whole[i])
+        x, y = x[x <= most], y[y <= most]
+        shared = len(np.intersect1d(x, y, assume_unique=False))
+        return shared / max(len(x) + len(y) - shared, 1)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], most: int, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, piece, node, root, asks, signs, size, sketch) in order of keys and pieces: pairs (a, b) of each asking member and the ``most``
+    that are likest to it of those which have another root, agree in ``least`` minima and may be ``similarity`` alike; the key instead,
+    with null ends, once if some were left for another round. Where ``asks`` is null, all ask but the largest part: pairs with it are
+    found from their other end."""
     for rows, starts, stops in _groups(batches):
         node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
         for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
@@ -283,28 +327,32 @@ def _nearest(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterat
             names, of, counts = np.unique(roots, return_inverse=True, return_counts=True)
             if len(names) == 1:
                 continue
-            signs = np.frombuffer(b"".join(rows["signs"].slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, -1)
-            told = rows["asks"].slice(s, e - s)
-            asking = np.flatnonzero(of != counts.argmax() if told.null_count else told.to_numpy())
+            part = rows.slice(s, e - s)
+            signs = np.frombuffer(b"".join(part["signs"].to_pylist()), np.uint8).reshape(e - s, -1)
+            sketches = _Sketches(part["size"].to_numpy(), part["sketch"].to_pylist())
+            asking = np.flatnonzero(of != counts.argmax() if part["asks"].null_count else part["asks"].to_numpy())
             step, left = max(1, _COMPARED // signs.size), False
             for at in range(0, len(asking), step):
                 own = asking[at : at + step]
                 agree = (signs[own][:, None, :] == signs[None, :, :]).sum(axis=2, dtype=np.int32)
                 agree[roots[own][:, None] == roots[None, :]] = -1
-                a, b = np.nonzero(agree >= least)
-                if len(a):
-                    order = np.lexsort((-agree[a, b], a))
-                    a, b = a[order], b[order]
-                    place = np.arange(len(a)) - np.searchsorted(a, a)
-                    left = left or bool((place >= most).any())
-                    a, b = ids[own[a[place < most]]], ids[b[place < most]]
-                    yield record_batch({"key": pa.nulls(len(a), pa.int64()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                a: list[np.ndarray] = []
+                b: list[np.ndarray] = []
+                for i, row in zip(own.tolist(), agree, strict=True):
+                    near, likeness = sketches.alike(i, np.flatnonzero(row >= least), similarity)
+                    near = near[np.argsort(-likeness, kind="stable")]
+                    left = left or len(near) > most
+                    b.append(ids[near[:most]])
+                    a.append(np.full(len(b[-1]), ids[i]))
+                x, y = np.concatenate(a), np.concatenate(b)
+                if len(x):
+                    yield record_batch({"key": pa.nulls(len(x), pa.int64()), "a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
             if left:
-                yield record_batch({"key": rows["key"].slice(s, 1).combine_chunks(), "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
+                yield record_batch({"key": part["key"].slice(0, 1).combine_chunks(), "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
 
 
 def _pieces(rooted: DataFrame, alone: bool) -> DataFrame:
-    """(key, piece, node, root, asks, signs): the members of keys of more than ``PIECE`` dealt out over pieces. ``alone``: the pieces are to find
+    """(key, piece, node, root, asks, signs, size, sketch): the members of keys of more than ``PIECE`` dealt out over pieces. ``alone``: the pieces are to find
     links of their own only, which leaves few parts of a large group; else members outside of a key's largest part ask in every piece,
     so that no pair of two parts is missed."""
     of = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main"))
@@ -313,27 +361,42 @@ def _pieces(rooted: DataFrame, alone: bool) -> DataFrame:
     own = F.pmod(F.xxhash64("node", "key"), F.col("pieces")).cast("int")
     none = F.lit(None).cast("boolean")
     if alone:
-        return sized.select("key", own.alias("piece"), "node", "root", none.alias("asks"), "signs")
-    dealt = sized.select("key", own.alias("piece"), "node", "root", F.when(F.col("pieces") > 1, False).alias("asks"), "signs")
-    asking = sized.where((F.col("pieces") > 1) & (F.col("root") != F.col("main"))).select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "node", "root", F.lit(True).alias("asks"), "signs")
+        return sized.select("key", own.alias("piece"), "node", "root", none.alias("asks"), "signs", "size", "sketch")
+    dealt = sized.select("key", own.alias("piece"), "node", "root", F.when(F.col("pieces") > 1, False).alias("asks"), "signs", "size", "sketch")
+    asking = sized.where((F.col("pieces") > 1) & (F.col("root") != F.col("main"))).select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "node", "root", F.lit(True).alias("asks"), "signs", "size", "sketch")
     return dealt.unionByName(asking)
 
 
-def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the (written) pairs (a, b) of nodes of ``distinct`` whose whole shingle sets have the Jaccard similarity or more, written."""
-    n = pairs.count()
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "digest", "first"), "node"), "compared", 2 * n)
+def _shingle_sets(wanted: DataFrame, kept: DataFrame, shingle: int, most: int | None = None) -> DataFrame:
+    """(node, hashes) of rows (node, digest, first): the 64-bit hashes of its shingle set, in order; ``most``: the smallest ones, by their upper 32 bits."""
     ids = wanted.select(F.col("first").alias("doc_id")).distinct()
-    count = wanted.count()
-    side = F.broadcast(ids) if count <= BROADCAST_IDS else ids
+    side = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
 
     def shingled() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.unique(shingle_hashes(raw, shingle)).tobytes() for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-            return record_batch({"digest": pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), "hashes": pa.array(sets, pa.binary())})
+            sets = [np.unique(shingle_hashes(raw, shingle)) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+            held = [x.tobytes() if most is None else (x[:most] >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]
+            return record_batch({"digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), "size": pa.array(map(len, sets), pa.int64()), "hashes": pa.array(held, pa.binary())})
 
         return each
 
+    read = map_batches(kept.join(side, "doc_id", "left_semi").select("doc_id", "text"), shingled, "digest binary, size bigint, hashes binary")
+    return read.join(wanted.select("node", "digest"), "digest").groupBy("node").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes"))
+
+
+def _sketched(members: DataFrame, kept: DataFrame, shingle: int) -> DataFrame:
+    """(node, signs, size, sketch) of members of large groups."""
+    members = materialize(members.select("node", "digest", "first", "signs"), "members")
+    sets = _shingle_sets(members, kept, shingle, SKETCH).withColumnRenamed("hashes", "sketch")
+    return members.select("node", "signs").join(sets, "node")
+
+
+def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the (written) pairs (a, b) of nodes of ``distinct`` whose whole shingle sets have the Jaccard similarity or more, written."""
+    n = pairs.count()
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "digest", "first"), "node"), "compared", 2 * n)
+    count = wanted.count()
+
     def compared() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             near = np.zeros(batch.num_rows, bool)
@@ -348,8 +411,7 @@ def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int,
 
         return each
 
-    read = map_batches(kept.join(side, "doc_id", "left_semi").select("doc_id", "text"), shingled, "digest binary, hashes binary")
-    sets = materialize(read.join(wanted.select("node", "digest"), "digest").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets", _SET_ROWS * count)
+    sets = materialize(_shingle_sets(wanted, kept, shingle).select("node", "hashes"), "sets", _SET_ROWS * count)
     first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
     met = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
     found = materialize(map_batches(met, compared, "a bigint, b bigint"), "alike", _PAIR_ROWS * n)
@@ -366,21 +428,22 @@ def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, simi
     large = mates.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
     split = bool(large.groupBy("key").count().where(F.col("count") > PIECE).take(1))
     alone, most, least = split, 1, least_agreeing(similarity)
+    sketched = materialize(_sketched(large.select("node").distinct().join(distinct, "node"), kept, shingle), "sketches")
     roots = connected_components(links)
     done = pairs
     while members_count := large.count():
-        rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(distinct.select("node", "signs"), "node")
+        rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sketched, "node")
         if split:
             rooted = materialize(rooted, "rooted")
             members = _pieces(rooted, alone)
         else:
-            members = rooted.select("key", F.lit(0).alias("piece"), "node", "root", F.lit(None).cast("boolean").alias("asks"), "signs")
+            members = rooted.select("key", F.lit(0).alias("piece"), "node", "root", F.lit(None).cast("boolean").alias("asks"), "signs", "size", "sketch")
         dealt = members.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", "node")
-        found = dealt.mapInArrow(tidy(lambda batches, most=most: _nearest(batches, most, least)), "key bigint, a bigint, b bigint")
+        found = dealt.mapInArrow(tidy(lambda batches, most=most: _nearest(batches, most, least, similarity)), "key bigint, a bigint, b bigint")
         found = materialize(found, "nearest")
         fresh = found.where("key IS NULL AND a <> b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
         pairs = materialize(fresh, "pairs", found.count())
-        links = _alike(pairs, distinct, kept, shingle, similarity)
+        links = _alike(pairs, distinct, kept, shingle, similarity) if pairs.take(1) else pairs
         if links.take(1):  # what was linked before is a star by now
             roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
         if not alone:
@@ -429,8 +492,9 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     Candidates therefore share one of ``BANDS`` bands of ``ROWS`` minima of their shingle hashes each: a pair does with a probability
     of 0.9995 at 0.8, 0.99998 at 0.85 and more above. Every link is verified on the whole shingle sets (64-bit hashes), so none is
     under ``similarity``. Groups of a key of more than ``WHOLE`` texts send each member's nearest few (by all minima) of other
-    components, verify and connect them, and repeat with sixteen times as many until no pair of two components is left: groups that
-    are linked, however large, cost rows in proportion, and no candidate is given up. A key of more than ``PIECE`` texts is dealt out over
+    components, verify and connect them, and repeat with sixteen times as many until no pair of two components is left: groups,
+    however large, cost rows in proportion. There a candidate must agree in as many of all minima as all but 1 pair of 30,000 do, and
+    then by the whole sets of up to ``SKETCH`` shingles, or by an estimate with the same slack for longer ones. A key of more than ``PIECE`` texts is dealt out over
     tasks, and those outside of its largest component meet every piece of it. Equal sets (exact copies) are one row before that;
     rows with a null id are left out; rows of one id with unlike texts are judged each by its text."""
     return shingle_groups(docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity).select("doc_id", "component_id")
