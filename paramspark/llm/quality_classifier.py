@@ -140,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     trusted = F.broadcast(known.where((F.col("label") == 1) & draw(ones, "positive")))
     picked = docs.join(trusted, "doc_id", "left").withColumn("free", draw(rows, "unlabelled")).where("label IS NOT NULL OR free")
     each = F.explode(F.filter(F.array(F.col("label"), F.when(F.col("free"), F.lit(0))), lambda x: x.isNotNull()))
-    found = _measured(picked.select(each.alias("label"), "text", F.xxhash64("doc_id", "text").alias("order"))).orderBy("label", "order").collect()
+    found = _measured(picked.select(each.alias("label"), "text", F.xxhash64("doc_id", "text").alias("order"))).collect()
+    found.sort(key=lambda r: (r["label"], r["order"], r["x"]))  # bounded by ``sample``; the order makes the fit repeatable
     positive, unlabelled = (np.array([r["x"] for r in found if r["label"] == k]).reshape(-1, N_FEATURES) for k in (1, 0))
     prior = ones / (ones + zeros)
     if not zeros and len(positive) and len(unlabelled):

@@ -456,7 +456,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["bytes"] / RUN_BYTES))  # runs, buckets and ranges grow with the data
     each = max(1, math.ceil(size["bytes"] / (parts * RUN_BYTES)))
     keys = _even_keys(spark, parts, each)
     buckets = ranges = _even_keys(spark, parts)
@@ -464,7 +464,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     splitters = [heads[len(heads) * i // len(ranges)] for i in range(1, len(ranges))] if heads else []
     ranges = ranges[: len(splitters) + 1]
 
-    run: Column = F.pmod(F.xxhash64("doc_id"), F.lit(len(keys)))
+    run: Column = F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("text")), F.lit(len(keys)))  # rows without an id are dealt out
     if keys != list(range(len(keys))):
         run = F.element_at(F.array(*map(F.lit, keys)), (run + 1).cast("int"))
     dealt = rows.select(run.cast("long").alias("run"), "doc_id", "text").repartition(parts, "run")

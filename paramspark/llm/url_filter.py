@@ -2,8 +2,9 @@
 
 The filter's blocks are a DataFrame ``(block, w0..w3)`` built by ``bit_or`` per block, so it is built by the cluster and never
 passes through the driver. It is broadcast only when its size, which follows from the number of listed URLs, is under a bound;
-beyond that the probe is a shuffled join on the block. URLs that pass meet the list in an exact join, which removes false
-positives; URLs that do not pass skip that join's shuffle.
+beyond that the probe is a shuffled join on the block. URLs that pass meet the list in an exact hash join, which removes false
+positives: by broadcast under the same bound, in the one pass that probes; else URLs that do not pass skip that join's shuffle. The
+list is written once before its three readers.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, fits no rule and is never listed (verdict ``allow``);
 repeated rows are judged one by one; null entries and duplicates of the list count once; an empty list lists nothing.
@@ -18,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower
+from .common import LOWER, UPPER, ascii_lower, materialize
 
 MAX_RULES = 1000
 BROADCAST_BYTES = 32 << 20
@@ -82,10 +83,12 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
 
 def mark_listed(pages: DataFrame, listed: DataFrame, url: str, bits_per_url: int = 12) -> DataFrame:
     """``pages`` with a boolean ``listed``: whether column ``url`` (canonical) is in ``listed.url``."""
-    listed = listed.where(F.col("url").isNotNull()).select("url").distinct()
-    blocks = max(1, math.ceil(listed.count() * bits_per_url / BLOCK_BITS))
+    listed = materialize(listed.where(F.col("url").isNotNull()).select("url").distinct(), "listed_urls")
+    n = listed.count()
+    blocks = max(1, math.ceil(n * bits_per_url / BLOCK_BITS))
     built = bloom_blocks(listed, blocks).withColumnsRenamed({"block": "__block"} | {w: f"__{w}" for w in WORDS})
-    keyed = pages.withColumn("__block", F.pmod(F.xxhash64(url), F.lit(blocks)))
+    apart = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))  # null URLs are dealt out
+    keyed = pages.withColumn("__block", F.when(F.col(url).isNotNull(), F.pmod(F.xxhash64(url), F.lit(blocks))).otherwise(apart))
     probed = keyed.join(F.broadcast(built) if blocks * 40 <= BROADCAST_BYTES else built, "__block", "left")
     passes = F.lit(True)
     for w, mask in zip(WORDS, _masks(F.col(url)), strict=True):
@@ -93,6 +96,9 @@ def mark_listed(pages: DataFrame, listed: DataFrame, url: str, bits_per_url: int
     probed = probed.withColumn("__maybe", F.coalesce(passes & F.col(url).isNotNull(), F.lit(False)))
     scratch = ["__block", "__maybe", "__hit", "__url", *(f"__{w}" for w in WORDS)]
     exact = listed.select(F.col("url").alias("__url"), F.lit(True).alias("__hit"))
+    if (listed.agg(F.sum(F.octet_length("url"))).first()[0] or 0) + 32 * n <= BROADCAST_BYTES:  # one pass over the pages
+        hit = probed.join(F.broadcast(exact), F.when(F.col("__maybe"), F.col(url)) == F.col("__url"), "left")
+        return hit.withColumn("listed", F.coalesce("__hit", F.lit(False))).drop(*scratch)
     maybe = probed.where("__maybe").join(exact, F.col(url) == F.col("__url"), "left").withColumn("listed", F.coalesce("__hit", F.lit(False)))
     no = probed.where(~F.col("__maybe")).withColumn("listed", F.lit(False))
     return maybe.drop(*scratch).unionByName(no.drop(*scratch))
@@ -116,31 +122,31 @@ RULES = [
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 ]
-#: The list that the op8 query blocks: every canonical URL of `pages` on one of these known bad sites.
-BAD_SITES = r"(^|\.)(spam-farm|cheap-pills|casino-win)\."
+#: The list that the op8 query blocks: the canonical URL of each page that a look at its content found to be junk (symbols for text).
+JUNK = r"(%%%|\*\*\*|###|\|\|\|)"
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    listed = pages.where(host_of(F.col("url")).rlike(BAD_SITES)).select(canonical(F.col("url")).alias("url"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    listed = pages.where(F.col("html").rlike(JUNK)).select(canonical(F.col("url")).alias("url"))
     return judge_urls(pages, listed, RULES)
 
 
 OP8_SQL = rf"""
 WITH cut AS (
-  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+  SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
 ), parsed AS (
-  SELECT page_id, url,
+  SELECT page_id, url, html,
     coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
     list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)='))) AS kept
   FROM cut
 ), canon AS (
-  SELECT page_id, host, path, CASE WHEN regexp_replace(host, '^www\.', '') <> '' THEN
+  SELECT page_id, html, host, path, CASE WHEN regexp_replace(host, '^www\.', '') <> '' THEN
     regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical_url
   FROM parsed
 ), listed AS (
-  SELECT DISTINCT canonical_url AS u FROM canon WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win)\.') AND canonical_url IS NOT NULL
+  SELECT DISTINCT canonical_url AS u FROM canon WHERE regexp_matches(html, '{JUNK}') AND canonical_url IS NOT NULL
 ), rules(verdict, rhost, rpath) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), best AS (

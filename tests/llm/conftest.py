@@ -54,7 +54,7 @@ def odd(spark, tmp_path_factory):
     ]
     labels = [(i, int(i % 3 > 0), 0) for i in range(1, 16)] + [(1, 1, 0), (None, 1, 0), (2, None, None), (99, 0, 0)]
     items = [(1, SHARED), (1, SHARED), (2, "the lazy dog and"), (3, None), (4, ""), (None, "lorem ipsum dolor sit amet lorem ipsum dolor sit"), (5, "fuchs"), (6, "line one line one line one other and more"), (21, "ipsum dolor sit amet lorem ipsum dolor sit amet lorem")]
-    return write(spark, tmp_path_factory.mktemp("odd"), ODD, labels, [(*p, "<p>") for p in pages], items)
+    return write(spark, tmp_path_factory.mktemp("odd"), ODD, labels, [(*p, "<p>***" if p[0] in (5, 8, 9) else "<p>") for p in pages], items)
 
 
 @pytest.fixture(scope="session")

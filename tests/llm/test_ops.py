@@ -59,6 +59,31 @@ def test_language_distance_is_out_of_place():
     assert language_id.Profiles({"b": own, "a": own}, 5).predict(text)[0] == "a"
 
 
+def test_language_query_is_brute_force(spark, small):
+    """All predictions against profiles counted and compared plainly (no language exceeds the sample's bound here)."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        line = " " + " ".join(words) + " " if words else ""
+        return [line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1) if n > 1 or line[i] != " "]
+
+    code = lambda g: sum((0 if c == " " else ord(c)) << 20 * (len(g) - 1 - i) for i, c in enumerate(g)) | {1: 0, 2: 1 << 60, 3: 1 << 61}[len(g)]
+    order = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:300]
+    totals = {}
+    for i, t, lang in rows:
+        if bucket(i, 4) != 2 and lang is not None and t is not None:
+            totals.setdefault(lang, Counter()).update(grams(t))
+    profiles = {lang: {g: n for n, g in enumerate(order(c))} for lang, c in totals.items()}
+    want = {}
+    for i, t, _ in rows:
+        own = order(Counter(grams(t)))
+        far = {lang: sum(abs(p[g] - n) if g in p else 300 for n, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want[i] = (best, round(1 - far[best] / (300 * len(own)), 9)) if own else ("und", 0.0)
+    assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language_id.op1(spark, small).collect()} == want
+
+
 def test_letters():
     assert language_id.letters("Ab, 12 ç!").tolist() == [0, 97, 98, 0, 231, 0]
     assert language_id.letters("\U00020000").tolist() == [0, 0x20000, 0]
@@ -152,6 +177,22 @@ def test_quality_does_not_learn_held_out_labels(spark, middle):
     assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
 
 
+def test_quality_query_is_brute_force(spark, small):
+    """All scores against a fit on rows that are picked plainly (no class exceeds the sample's bound here)."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r["doc_id"]: r["quality"] for r in labels.where("quality IS NOT NULL").collect() if bucket(r["doc_id"], 4) != 2}
+    rows = [(r["doc_id"], r["text"], r["h"]) for r in docs.withColumn("h", F.xxhash64("doc_id", "text")).collect()]
+    measure = lambda t: quality_classifier.features((t or "").encode())
+    ours = sorted((h, list(measure(t)), i) for i, t, h in rows if bucket(i, 4) != 2)
+    positive, unlabelled = np.array([x for _, x, i in ours if known.get(i) == 1]), np.array([x for _, x, _ in ours])
+    ones = sum(known.values())
+    model = quality_classifier.fit_nnpu(positive, unlabelled, ones / len(known))
+    want = {i: s for (i, t, _), s in zip(rows, model.scores(np.array([measure(t) for _, t, _ in rows])), strict=True)}
+    got = quality_classifier.op3(spark, small).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, abs=1e-9)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (bucket(r["doc_id"], 4) == 2) for r in got)
+
+
 def test_nnpu_prefers_positives_without_negatives():
     rng = np.random.default_rng(5)
     n = quality_classifier.N_FEATURES
