@@ -44,8 +44,7 @@ END_ID = 1
 # Fixed value: the split pattern of byte-level BPE with 50,257 ids.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on whose classes all Unicode versions agree; a text with others goes to the tokenizers library itself.
-#: So does one with a long blank run, which the fast encoder's pattern cannot take.
-_UNUSUAL = re.compile(r"(?<!\s)\s{1000}|[^\x20-\x7e\t\n\r\xa1-ɏ–—‘-‟…€]")
+_UNUSUAL = re.compile(r"[^\x20-\x7e\t\n\r\xa1-ɏ–—‘-‟…€]")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -71,7 +70,10 @@ class ByteBpe:
     def ids(self, text: str) -> np.ndarray:
         if _UNUSUAL.search(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.width)
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.width)
+        except ValueError:  # its pattern takes no blank run of some hundred thousand characters
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width)
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
