@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .registry import learning, params, sketches
+from .registry import learning, params, sketches, workers
 
-QUERIES = params.QUERIES | sketches.QUERIES | learning.QUERIES
-ORACLE_SQL = params.ORACLE_SQL | sketches.ORACLE_SQL | learning.ORACLE_SQL
+QUERIES = params.QUERIES | sketches.QUERIES | workers.QUERIES | learning.QUERIES
+ORACLE_SQL = params.ORACLE_SQL | sketches.ORACLE_SQL | workers.ORACLE_SQL | learning.ORACLE_SQL
