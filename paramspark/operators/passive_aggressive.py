@@ -119,29 +119,40 @@ def zero_weights(features: DataFrame, classes: int = 0) -> DataFrame:
     return features.select("feature").distinct().withColumn("w", zero)
 
 
+def multi_round(features: DataFrame, labels: DataFrame, weights: DataFrame, *, classes: int, method: str = "OVA", variant: str = "PA", c: float = 1.0, cost: list[list[float]] | None = None, how: str = "mean") -> DataFrame:
+    """Weights after one round of ``method`` OVA, PB or ML; the cost of a wrong class is 1 by default."""
+    if method == "OVA":
+        return ova_round(features, labels, weights, classes=classes, variant=variant, c=c, how=how)
+    return cost_round(features, labels, weights, classes=classes, cost=cost or [[float(a != b) for b in range(classes)] for a in range(classes)], method=method, how=how)
+
+
 def train_multi(features: DataFrame, labels: DataFrame, *, classes: int, rounds: int = 5, method: str = "OVA", variant: str = "PA", c: float = 1.0, cost: list[list[float]] | None = None, how: str = "mean") -> DataFrame:
     weights = zero_weights(features, classes)
     for _ in range(rounds):
-        if method == "OVA":
-            weights = ova_round(features, labels, weights, classes=classes, variant=variant, c=c, how=how)
-        else:
-            weights = cost_round(features, labels, weights, classes=classes, cost=cost or [[float(a != b) for b in range(classes)] for a in range(classes)], method=method, how=how)
-        weights = materialize(weights, "weights")
+        weights = materialize(multi_round(features, labels, weights, classes=classes, method=method, variant=variant, c=c, cost=cost, how=how), "weights")
     return weights
 
 
-def train_and_predict(examples: DataFrame, features: DataFrame, *, batches: int, variant: str = "PA", c: float = 1.0) -> DataFrame:
-    """A mixed stream (vec, seq, label or null) in micro-batches: labelled examples train, the others get the model's answer of their time."""
-    weights, answers = zero_weights(features), None
+def train_and_predict(examples: DataFrame, features: DataFrame, *, batches: int, variant: str = "PA", c: float = 1.0, classes: int = 2, method: str = "OVA", cost: list[list[float]] | None = None) -> DataFrame:
+    """A mixed stream (vec, seq, label or null) in micro-batches: labelled examples train, the others get the model's answer of their time.
+    Two classes: labels -1 and 1; more: 0 to ``classes`` - 1, learned by ``method``."""
+    several = classes > 2
+    weights, answers = zero_weights(features, classes if several else 0), None
     n = max(1, examples.count())
     cut = materialize(numbered(examples, [F.col("seq"), F.col("vec")], "place").withColumn("batch", F.floor(F.col("place") * batches / n)), "examples")
     for b in range(batches):
         now = cut.where(F.col("batch") == b)
-        asked = binary_predict(features.join(now.where("label IS NULL").select("vec"), "vec", "left_semi"), weights).withColumn("batch", F.lit(b))
-        asked = materialize(asked, "answers")
+        unlabelled = features.join(now.where("label IS NULL").select("vec"), "vec", "left_semi")
+        asked = multi_predict(unlabelled, weights, classes) if several else binary_predict(unlabelled, weights)
+        asked = materialize(asked.withColumn("batch", F.lit(b)), "answers")
         answers = asked if answers is None else answers.unionByName(asked)
         taught = now.where("label IS NOT NULL").select("vec", "label")
-        weights = materialize(binary_round(features.join(taught.select("vec"), "vec", "left_semi"), taught, weights, variant=variant, c=c), "weights")
+        own = features.join(taught.select("vec"), "vec", "left_semi")
+        if several:
+            weights = multi_round(own, taught, weights, classes=classes, method=method, variant=variant, c=c, cost=cost)
+        else:
+            weights = binary_round(own, taught, weights, variant=variant, c=c)
+        weights = materialize(weights, "weights")
     return answers
 
 

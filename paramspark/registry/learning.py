@@ -68,10 +68,23 @@ def mf_online(spark, d):
     return tall(factors)
 
 
+def mf_online_negatives(spark, d):
+    rated = M.materialize(ratings(spark, d), "ratings")
+    factors = M.train_online(rated, size=SIZE, low=0.0, high=0.4, rate=0.5, batches=3, negatives=2, memory=4)
+    return tall(factors)
+
+
 def negatives(spark, d):
     return M.negative_samples(ratings(spark, d), rate=2, memory=4)
 
 
+def negatives_of_few(spark, d):
+    """Four negatives of five event types, of which a user's last three and the event's own are taken: all that are free."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("user"), F.col("event_type").alias("item"), F.col("event_id").alias("ts"))
+    found = M.negative_samples(events, rate=4, memory=3)
+    return events.join(found, ["user", "item", "ts"], "left").groupBy("ts").agg(F.count_distinct("negative").alias("n"), F.count_if(F.col("negative") == F.col("item")).alias("own"))
+
+
 def user_memory(spark, d):
     events = table(spark, d, "events")
     noted = K.recent_items(events, user="user_id", item="event_type", order="event_id", memory=3)
@@ -129,6 +142,11 @@ def prequential(spark, d):
     return lists
 
 
+def prequential_negatives(spark, d):
+    lists, _ = M.prequential(implicit(spark, d), size=SIZE, rate=0.4, k=5, batches=2, low=0.0, high=0.1, memory=4, negatives=2)
+    return lists
+
+
 def popular(spark, d):
     """(user, rank, item): the most frequent training items that a user has not had."""
     return E.popular_items(implicit(spark, d).where("ts < 9500"), k=5)
@@ -233,6 +251,41 @@ def multi_step(method, variant="PA"):
     return run
 
 
+def multi_predict(spark, d):
+    """Classes under a fixed model: a class weighs every tenth feature."""
+    features, _ = dense(spark, d)
+    model = features.select("feature").distinct().withColumn("w", F.array(*(F.when(F.col("feature") % CLASSES == k, 1.0).otherwise(0.0) for k in range(CLASSES))))
+    return PA.multi_predict(features, model, CLASSES)
+
+
+def multi_accuracy(spark, d):
+    return E.accuracy(multi_predict(spark, d).join(dense(spark, d)[1], "vec"))
+
+
+def binary_accuracy(spark, d):
+    return E.confusion(pa_predict(spark, d).join(sparse(spark, d)[1].select("vec", (F.col("label") > 0).alias("label")), "vec"))
+
+
+def multi_stream(method):
+    def run(spark, d):
+        features, labels = dense(spark, d)
+        mixed = labels.select("vec", F.col("vec").alias("seq"), F.when(F.col("vec") % 5 != 0, F.col("label")).alias("label"))
+        cost = COST if method != "OVA" else None
+        return PA.train_and_predict(mixed, features, batches=3, classes=CLASSES, method=method, cost=cost).select("vec", "predicted", "batch")
+
+    return run
+
+
+def merged_top(spark, d):
+    """Lists of the best five of each label's vectors, merged into one of seven for each query."""
+    queries, _ = split(spark, d)
+    parts = None
+    for label in range(CLASSES):
+        found = K.top_items(queries, vectors(spark, d).where(F.col("label") == label).select("id", "vec"), k=5, strategy="length")
+        parts = found if parts is None else parts.unionByName(found)
+    return K.merge_top(parts.select("query", "item", "score"), 7).select("query", "rank", "item", "score")
+
+
 def multi_offline(spark, d):
     features, labels = dense(spark, d)
     w = PA.train_multi(features, labels, classes=CLASSES, rounds=5, method="OVA")
@@ -249,7 +302,16 @@ QUERIES = {
     "mf_offline_negatives": mf_offline_negatives,
     "mf_online": mf_online,
     "mf_prequential_topk": prequential,
+    "mf_online_negatives": mf_online_negatives,
+    "mf_prequential_negatives": prequential_negatives,
     "negative_samples": negatives,
+    "negative_samples_exhausted": negatives_of_few,
+    "topk_merged": merged_top,
+    "pa_multi_predict": multi_predict,
+    "pa_multi_accuracy": multi_accuracy,
+    "pa_binary_accuracy": binary_accuracy,
+    "pa_multi_train_and_predict": multi_stream("OVA"),
+    "pa_cost_train_and_predict": multi_stream("ML"),
     "user_memory": user_memory,
     "vector_lengths": vector_lengths,
     "topk_length": top("length"),
@@ -359,22 +421,114 @@ def _ova(variant: str) -> str:
     return _multi(f"SELECT vec, class, {_rate(variant, f'greatest(0.0::DOUBLE, 1 - {y} * s)', 'n', 0.5)} * {y} AS t FROM s{{n}}")
 
 
-def _cost(method: str) -> str:
+def _cost_tau(method: str) -> str:
     root = "sqrt(abs({a} - {b}) / 2.0::DOUBLE)"
     own = root.format(a="label", b="class")
     order = f"s + {own}" if method == "ML" else "s"
-    return _multi(f"""SELECT a.vec, a.class, CASE WHEN r.rival = a.label THEN 0 ELSE (r.s - m.s + sqrt(abs(a.label - r.rival) / 2.0::DOUBLE)) / (2 * a.n) END
+    return f"""SELECT a.vec, a.class, CASE WHEN r.rival = a.label THEN 0 ELSE (r.s - m.s + sqrt(abs(a.label - r.rival) / 2.0::DOUBLE)) / (2 * a.n) END
         * (CASE WHEN a.class = a.label THEN 1.0::DOUBLE WHEN a.class = r.rival THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END) AS t
       FROM s{{n}} a JOIN s{{n}} m ON m.vec = a.vec AND m.class = m.label
-      JOIN (SELECT vec, class AS rival, s FROM s{{n}} QUALIFY row_number() OVER (PARTITION BY vec ORDER BY {order} DESC, class) = 1) r ON r.vec = a.vec""")
+      JOIN (SELECT vec, class AS rival, s FROM s{{n}} QUALIFY row_number() OVER (PARTITION BY vec ORDER BY {order} DESC, class) = 1) r ON r.vec = a.vec"""
+
+
+def _cost(method: str) -> str:
+    return _multi(_cost_tau(method))
+
+
+def _negatives(source: str, rate: int, memory: int, name: str = "ng") -> str:
+    """CTE of negatives (user, item, ts, negative) of the ratings ``source``: the walk over all items, no matter how long it must be."""
+    return f"""it AS MATERIALIZED (SELECT item, row_number() OVER (ORDER BY {hash_sql('item', '0')}, item) - 1 AS number FROM (SELECT DISTINCT item FROM {source})),
+  st AS MATERIALIZED (SELECT "user", item, ts, list(item) OVER (PARTITION BY "user" ORDER BY ts, item ROWS BETWEEN {memory} PRECEDING AND CURRENT ROW) AS recent,
+    {hash_sql('"user" || chr(124) || item || chr(124) || ts || chr(124) || 0', '0')} % (SELECT count(*) FROM it) AS start FROM {source}),
+  wk AS (SELECT "user", st.item, ts, it.item AS negative, row_number() OVER (PARTITION BY "user", st.item, ts ORDER BY j) AS k
+    FROM (SELECT *, (start + j) % (SELECT count(*) FROM it) AS number FROM st, unnest(range(0, least({rate + memory + 1}, (SELECT count(*) FROM it)))) AS u(j)) st JOIN it USING (number) WHERE NOT list_contains(recent, it.item)),
+  {name} AS MATERIALIZED (SELECT "user", item, ts, negative FROM wk WHERE k <= {rate})"""
+
+
+_NEG = f'WITH {RATINGS_SQL}, {_negatives("r", 2, 4)} SELECT "user", item, ts, negative FROM ng'
+
+
+def _factors(source: str, size: int, low: float, high: float) -> str:
+    """CTEs u0 and i0 (id, k, v) of the ids of ``source``."""
+    value = lambda seed: f"{low} + {hash_sql(f'id || chr(58) || {seed}', 'k')} / {float(16**15)}::DOUBLE * {high - low}"
+    one = lambda side, seed: f"(SELECT id, CAST(k AS INTEGER) AS k, {value(seed)} AS v FROM (SELECT DISTINCT {side} AS id FROM {source}), unnest(range(0, {size})) AS u(k))"
+    return f"u0 AS MATERIALIZED {one('\"user\"', 0)}, i0 AS MATERIALIZED {one('item', 1)}"
+
+
+def _learn(n: int, rows: str, rate: float) -> str:
+    """CTEs of round ``n`` over rows (user, item, rating), each row a step of its own."""
+    side = lambda s, mine, other, key, okey: f"""{s}{n + 1} AS MATERIALIZED (SELECT a.id, a.k, a.v + coalesce(d, 0) AS v FROM {s}{n} a LEFT JOIN (
+      SELECT e.{key} AS id, o.k, avg({rate} * e.e * o.v) AS d FROM e{n} e JOIN {other}{n} o ON o.id = e.{okey} GROUP BY 1, 2) USING (id, k))"""
+    return f"""s{n} AS MATERIALIZED (SELECT "user", item, rating, row_number() OVER () AS row FROM ({rows})),
+      e{n} AS MATERIALIZED (SELECT any_value(s."user") AS "user", any_value(item) AS item, any_value(rating) - sum(u.v * i.v) AS e FROM s{n} s JOIN u{n} u ON u.id = s."user" JOIN i{n} i ON i.id = s.item AND i.k = u.k GROUP BY row),
+      {side("u", "u", "i", '"user"', "item")}, {side("i", "i", "u", "item", '"user"')}"""
+
+
+_STEPS = lambda source, n: f"(SELECT *, CAST(floor((ts - (SELECT min(ts) FROM {source})) / (((SELECT max(ts) - min(ts) FROM {source}) + 1) / {n}::DOUBLE)) AS INTEGER) AS batch FROM {source})"
+_RATED = 'SELECT "user", item, rating FROM r'
+_RMSE = """SELECT round(sqrt(avg((p - rating) * (p - rating))), 6) AS rmse FROM (SELECT any_value(rating) AS rating, sum(u.v * i.v) AS p
+  FROM r JOIN u{n} u ON u.id = r."user" JOIN i{n} i ON i.id = r.item AND i.k = u.k GROUP BY r."user", r.item)"""
+_BOTH = 'b AS MATERIALIZED (SELECT "user", item, rating, ts FROM r UNION ALL SELECT "user", negative, 0.0::DOUBLE, ts FROM ng)'
+
+
+def _rounds(rows: list[str], rate: float) -> str:
+    return ", ".join(_learn(n, x, rate) for n, x in enumerate(rows))
+
+
+def _in_time(source: str, batches: int) -> list[str]:
+    return [f'SELECT "user", item, rating FROM {_STEPS(source, batches)} WHERE batch = {n}' for n in range(batches)]
+
+
+def _prequential(k: int, batches: int, memory: int, negatives: int) -> str:
+    """Lists from the factors before each batch: known users and items, without the user's last ``memory`` items."""
+    head = f"WITH {_IMPLICIT}, r AS (SELECT *, 1.0::DOUBLE AS rating FROM p)".replace("r AS (SELECT o_orderkey", "p AS (SELECT o_orderkey")
+    parts = [head, f"""m AS MATERIALIZED (SELECT *, coalesce(list(item) OVER (PARTITION BY "user" ORDER BY event ROWS BETWEEN {memory} PRECEDING AND 1 PRECEDING), []) AS recent FROM {_STEPS('r', batches)})""", _factors("r", SIZE, 0.0, 0.1)]
+    rows = _in_time("r", batches)
+    if negatives:
+        parts += [_negatives("r", negatives, memory), _BOTH]
+        rows = _in_time("b", batches)
+    parts.append(_rounds(rows[:-1], 0.4))
+    for n in range(1, batches):
+        parts.append(f"""d{n} AS (SELECT m.event AS query, i.id AS item, round(sum(u.v * i.v), 6) + 0.0::DOUBLE AS score FROM m JOIN u{n} u ON u.id = m."user" JOIN i{n} i ON i.k = u.k
+          WHERE m.batch = {n} AND m."user" IN (SELECT "user" FROM m WHERE batch < {n}) AND i.id IN (SELECT item FROM m WHERE batch < {n}) AND NOT list_contains(m.recent, i.id) GROUP BY 1, 2),
+          l{n} AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS INTEGER) AS rank, item, score FROM d{n} QUALIFY rank <= {k})""")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM l{n}" for n in range(1, batches))
+
+
+def _pa_rounds(rows: list[str], variant: str = "PA", c: float = 1.0) -> str:
+    """CTEs w0, w1, … of rounds over labelled examples (vec, label)."""
+    parts = ["w0 AS MATERIALIZED (SELECT DISTINCT feature, 0.0::DOUBLE AS w FROM f)"]
+    for n, x in enumerate(rows):
+        parts.append(f"""m{n} AS MATERIALIZED (SELECT vec, label, sum(x * w) AS m, sum(x * x) AS n FROM f JOIN ({x}) USING (vec) JOIN w{n} USING (feature) GROUP BY 1, 2),
+          t{n} AS MATERIALIZED (SELECT vec, {_rate(variant, "greatest(0.0::DOUBLE, 1 - label * m)", "n", c)} * label AS t FROM m{n}),
+          w{n + 1} AS MATERIALIZED (SELECT feature, w + coalesce(d, 0) AS w FROM w{n} LEFT JOIN (SELECT feature, avg(t * x) AS d FROM f JOIN t{n} USING (vec) GROUP BY 1) USING (feature))""")
+    return ", ".join(parts)
+
+
+def _multi_rounds(rows: list[str], method: str = "OVA") -> str:
+    """The same for several classes."""
+    parts = [f"w0 AS MATERIALIZED (SELECT DISTINCT feature, CAST(c AS INTEGER) AS class, 0.0::DOUBLE AS w FROM f, unnest(range(0, {CLASSES})) AS u(c))"]
+    y = "(CASE WHEN label = class THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)"
+    for n, x in enumerate(rows):
+        tau = f"SELECT vec, class, greatest(0.0::DOUBLE, 1 - {y} * s) / n * {y} AS t FROM s{n}" if method == "OVA" else _cost_tau(method).format(n=n)
+        parts.append(f"""s{n} AS MATERIALIZED (SELECT vec, class, label, sum(x * w) AS s, sum(x * x) AS n FROM f JOIN w{n} USING (feature) JOIN ({x}) USING (vec) GROUP BY 1, 2, 3),
+          t{n} AS MATERIALIZED ({tau}),
+          w{n + 1} AS MATERIALIZED (SELECT feature, class, w + coalesce(d, 0) AS w FROM w{n} LEFT JOIN (SELECT feature, class, avg(t * x) AS d FROM f JOIN t{n} USING (vec) GROUP BY 1, 2) USING (feature, class))""")
+    return ", ".join(parts)
+
+
+_CONFUSION = """SELECT count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn,
+  round(100 * avg(CAST(y = p AS INTEGER)), 6) AS accuracy FROM"""
+_MIXED = "mx AS MATERIALIZED (SELECT vec, label, vec % 5 = 0 AS asked, CAST(floor((row_number() OVER (ORDER BY vec) - 1) * 3 / (SELECT count(*) FROM y)::DOUBLE) AS INTEGER) AS batch FROM y)"
+_TAUGHT = [f"SELECT vec, label FROM mx WHERE batch = {b} AND NOT asked" for b in range(2)]
+_CLASS = lambda w, rows: f"SELECT vec, class AS predicted FROM (SELECT vec, class, sum(x * w) AS s FROM f JOIN {w} USING (feature) WHERE vec IN ({rows}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY vec ORDER BY s DESC, class) = 1"
+_ASKED = lambda b: f"SELECT vec FROM mx WHERE batch = {b} AND asked"
+
 
+def _multi_stream(method: str) -> str:
+    answers = " UNION ALL ".join(f"SELECT *, CAST({b} AS INTEGER) AS batch FROM ({_CLASS(f'w{b}', _ASKED(b))})" for b in range(3))
+    return f"{_DENSE}, {_MIXED}, {_multi_rounds(_TAUGHT, method)} {answers}"
 
-_NEG = f"""WITH {RATINGS_SQL}, it AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS number FROM (SELECT DISTINCT item FROM r)),
-  m AS (SELECT "user", item, ts, list(item) OVER (PARTITION BY "user" ORDER BY ts, item ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent FROM r),
-  dr AS (SELECT "user", item, ts, recent, j, {hash_sql('"user" || chr(124) || item || chr(124) || ts || chr(124) || 0', 'j')} % (SELECT count(*) FROM it) AS number FROM m, unnest(range(0, 8)) AS u(j)),
-  un AS (SELECT "user", item, ts, recent, number, min(j) AS j FROM dr GROUP BY ALL),
-  ok AS (SELECT "user", un.item, ts, it.item AS negative, row_number() OVER (PARTITION BY "user", un.item, ts ORDER BY j) AS k FROM un JOIN it USING (number) WHERE NOT list_contains(recent, it.item))
-  SELECT "user", item, ts, negative FROM ok WHERE k <= 2"""
 
 ORACLE_SQL = {
     "mf_ratings": f"WITH {RATINGS_SQL} SELECT * FROM r",
@@ -382,7 +536,24 @@ ORACLE_SQL = {
     "mf_sgd_step": _step("squared"),
     "mf_sgd_step_sigmoid": _step("sigmoid"),
     "mf_epoch_bsp": f"{_START}, {_round(0)}, {_round(1)} {_tall(2)}",
+    "mf_offline_rmse": f"WITH {RATINGS_SQL}, {_factors('r', 10, 0.0, 0.4)}, {_rounds([_RATED] * 6, 0.5)} {_RMSE.format(n=6)}",
+    "mf_offline_negatives": f"WITH {RATINGS_SQL}, {_negatives('r', 2, 8)}, {_BOTH}, {_factors('r', SIZE, 0.0, 0.4)}, {_rounds(['SELECT \"user\", item, rating FROM b'] * 2, 0.3)} {_RMSE.format(n=2)}",
+    "mf_online": f"WITH {RATINGS_SQL}, {_factors('r', SIZE, 0.0, 0.4)}, {_rounds(_in_time('r', 6), 0.5)} {_tall(6)}",
+    "mf_online_negatives": f"WITH {RATINGS_SQL}, {_negatives('r', 2, 4)}, {_BOTH}, {_factors('r', SIZE, 0.0, 0.4)}, {_rounds(_in_time('b', 3), 0.5)} {_tall(3)}",
+    "mf_prequential_topk": _prequential(10, 3, 4, 0),
+    "mf_prequential_negatives": _prequential(5, 2, 4, 2),
     "negative_samples": _NEG,
+    "negative_samples_exhausted": """SELECT event_id AS ts, least(4, 5 - len(list_distinct(list(event_type) OVER (PARTITION BY user_id ORDER BY event_id, event_type ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)))) AS n,
+        CAST(0 AS BIGINT) AS own FROM events""",
+    "topk_merged": _best(f"SELECT query, item, score FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, item) AS place FROM ({_SCORES.replace('AS score FROM', 'AS score, x.label AS label FROM')} WHERE q.vec_id % 50 = 0)) WHERE place <= 5", 7),
+    "pa_binary_offline": f"{_SPARSE}, {_pa_rounds(['SELECT vec, label FROM y'] * 5)} {_CONFUSION} (SELECT vec, label > 0 AS y, sum(x * w) > 0 AS p FROM f JOIN y USING (vec) JOIN w5 USING (feature) GROUP BY vec, label)",
+    "pa_train_and_predict": f"{_SPARSE}, {_MIXED}, {_pa_rounds(_TAUGHT)} " + " UNION ALL ".join(f"SELECT vec, sum(x * w) > 0 AS predicted, CAST({b} AS INTEGER) AS batch FROM f JOIN w{b} USING (feature) WHERE vec IN ({_ASKED(b)}) GROUP BY vec" for b in range(3)),
+    "pa_multi_offline": f"{_DENSE}, {_multi_rounds(['SELECT vec, label FROM y'] * 5)} SELECT count(*) AS n, round(100 * avg(CAST(label = predicted AS INTEGER)), 6) AS accuracy FROM ({_CLASS('w5', 'SELECT vec FROM y')}) JOIN y USING (vec)",
+    "pa_multi_train_and_predict": _multi_stream("OVA"),
+    "pa_cost_train_and_predict": _multi_stream("ML"),
+    "pa_multi_predict": f"{_DENSE}, w AS (SELECT feature, CAST(c AS INTEGER) AS class, CAST(feature % {CLASSES} = c AS INTEGER)::DOUBLE AS w FROM (SELECT DISTINCT feature FROM f), unnest(range(0, {CLASSES})) AS u(c)) {_CLASS('w', 'SELECT vec FROM y')}",
+    "pa_multi_accuracy": f"{_DENSE}, w AS (SELECT feature, CAST(c AS INTEGER) AS class, CAST(feature % {CLASSES} = c AS INTEGER)::DOUBLE AS w FROM (SELECT DISTINCT feature FROM f), unnest(range(0, {CLASSES})) AS u(c)) SELECT count(*) AS n, round(100 * avg(CAST(label = predicted AS INTEGER)), 6) AS accuracy FROM ({_CLASS('w', 'SELECT vec FROM y')}) JOIN y USING (vec)",
+    "pa_binary_accuracy": f"{_SPARSE} {_CONFUSION} (SELECT vec, label > 0 AS y, round(sum(x * (CASE WHEN feature % 2 = 0 THEN 1 ELSE -1 END)), 6) > 0 AS p FROM f JOIN y USING (vec) GROUP BY vec, label)",
     "user_memory": """SELECT event_id, coalesce(array_to_string(list_sort(list_distinct(list(event_type) OVER w)), ','), '') AS recent FROM events
         WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""",
     "vector_lengths": "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS len FROM embeddings",

@@ -168,6 +168,7 @@ ORACLE_SQL = {
         UNION ALL SELECT o_custkey, count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) GROUP BY id""",
     "param_range_partition": "SELECT l_partkey AS id, CAST(l_partkey // 250 AS INTEGER) AS owner, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY 1",
     "param_hash_partition": "SELECT CAST(l_partkey % 8 AS INTEGER) AS owner, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY 1",
+    "param_explicit_logic": "SELECT event_type AS id, list_reduce(list(CAST(trunc(value) AS BIGINT) ORDER BY event_id), lambda a, b: greatest(a // 2, b)) AS value FROM events GROUP BY 1",
     "lock_serial_updates": "SELECT event_id AS seq, event_type AS id, CAST(sum(trunc(value)) OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS value FROM events",
     "tweet_reader": f"""SELECT doc_id, array_to_string(k, ' ') AS words FROM (SELECT doc_id,
         list_filter(string_split(lower(text), ' '), lambda x: x IN ({", ".join(f"'{k}'" for k in KEEP)})) AS k FROM documents) WHERE len(k) > 0""",

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..functions.hashing import family, java_hash
 from ..operators import sketches as S
 from .tables import EVENTS_SQL, PAIRS_SQL, WORDED_SQL, hash_sql, slotted, word_list, worded
 
@@ -71,6 +72,30 @@ def additive_top(spark, d):
     return S.additive_top(S.tow_build(worded(spark, d), num_hashes=TOW), word_list(spark, QUERY_WORDS), k=K)
 
 
+def family_values(spark, d):
+    """Each family's hashes of the ids 0 to 4 as they are."""
+    ids = spark.range(5).withColumn("id", F.col("id"))
+    both = F.concat(family(F.col("id"), 2, "murmur3"), family(F.col("id"), 2, "xx64"))
+    return ids.select("id", F.posexplode(both).alias("i", "h"), java_hash(F.concat(F.lit("word"), F.col("id").cast("string"))).alias("java"))
+
+
+def bloom_murmur(spark, d):
+    """Bloom sketches of few documents for each word, by Murmur3; as bits only tell what was hashed, their estimates are compared."""
+    model = S.bloom_build(slotted(spark, d), num_bits=1 << 20, num_hashes=HASHES, hashes="murmur3")
+    counted = model.select("word", F.round(-(1 << 20) / HASHES * F.log(1 - F.size("bits") / F.lit(1 << 20)), 0).cast("long").alias("estimate"))
+    exact = S.word_count(slotted(spark, d))
+    near = F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(2.0), 0.02 * F.col("n"))
+    return counted.join(exact, "word").select("word", near.alias("near"))
+
+
+def tow_xx(spark, d):
+    """Tug-of-war sums by XXH64: a word's sums have the parity of its count and never exceed it."""
+    docs = slotted(spark, d)
+    model = S.tow_build(docs, num_hashes=TOW, hashes="xx64").join(S.word_count(docs), "word")
+    fits = F.forall("sums", lambda x: (F.abs(x) <= F.col("n")) & (F.pmod(x + F.col("n"), F.lit(2)) == 0))
+    return model.select("word", "n", fits.alias("fits"))
+
+
 def word_count(spark, d):
     return S.word_count(worded(spark, d))
 
@@ -141,6 +166,9 @@ _CORR = f"""{_BLOOM}, {_BLOOM_SCORE}, g AS ({_top("SELECT query, word, score FRO
   z AS (SELECT query, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(kendall, 6) AS kendall, round(weighted_kendall, 6) AS weighted_kendall FROM l LEFT JOIN q USING (query))"""
 
 QUERIES = {
+    "hash_families": family_values,
+    "bloom_murmur3": bloom_murmur,
+    "tow_xx64": tow_xx,
     "word_count": word_count,
     "bloom_build": bloom_build,
     "bloom_build_slotted": bloom_build_slotted,
@@ -160,6 +188,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "hash_families": "SELECT id, CAST(i AS INTEGER) AS i, h, CAST(java AS INTEGER) AS java FROM (VALUES (0, 0, -764297089, 113318502), (0, 1, -1302509589, 113318502), (0, 2, 3803688792395291579, 113318502), (0, 3, 2506089352882295055, 113318502), (1, 0, -1810453357, 113318503), (1, 1, -1570063170, 113318503), (1, 2, -6977822845260490347, 113318503), (1, 3, -8432069089065462007, 113318503), (2, 0, 19522071, 113318504), (2, 1, -497233321, 113318504), (2, 2, -1529185102714098256, 113318504), (2, 3, 3385192193508492419, 113318504), (3, 0, 264741300, 113318505), (3, 1, 1849022499, 113318505), (3, 2, -8667152822649993151, 113318505), (3, 3, 5120491529425815822, 113318505), (4, 0, -516830072, 113318506), (4, 1, -1532871171, 113318506), (4, 2, 3145212359238734475, 113318506), (4, 3, -2881828142325668802, 113318506)) t(id, i, h, java)",
+    "bloom_murmur3": f"WITH {EVENTS_SQL} SELECT word, true AS near FROM sw GROUP BY 1",
+    "tow_xx64": f"WITH {EVENTS_SQL} SELECT word, count(*) AS n, true AS fits FROM sw GROUP BY 1",
     "word_count": f"WITH {WORDED_SQL} SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM w) GROUP BY word",
     "bloom_build": _BLOOM + " SELECT word, count(*) AS n_bits, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM b GROUP BY word",
     "bloom_build_slotted": _BLOOM_S + " SELECT word, slot, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM b GROUP BY word, slot",

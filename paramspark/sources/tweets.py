@@ -61,6 +61,14 @@ def factor_lines(factors: DataFrame) -> DataFrame:
     return factors.select("id", F.posexplode("vec").alias("k", "v")).orderBy("id", "k").select(F.concat_ws(";", F.col("id").cast("string"), F.col("v").cast("string")).alias("value"))
 
 
+def read_factors(lines: DataFrame) -> DataFrame:
+    """(id, vec) of factor lines ``id;value``: an id's lines are its coordinates in the order of the file, which the offsets of lines keep
+    (``monotonically_increasing_id`` of a text scan), each a number of its own partition order."""
+    parts = F.split("value", ";")
+    rows = lines.where("value <> ''").select(F.get(parts, F.lit(0)).cast("bigint").alias("id"), F.get(parts, F.lit(1)).cast("double").alias("v"), F.monotonically_increasing_id().alias("at"))
+    return rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("vec"))
+
+
 def split_by_time(events: DataFrame, ts: str, train_days: int, test_days: int) -> tuple[DataFrame, DataFrame]:
     """Train: the first ``train_days`` from the earliest time on; test: the next ``test_days``."""
     first = events.agg(F.min(ts).alias("first"))

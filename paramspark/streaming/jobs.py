@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,26 +89,37 @@ def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame
 
 
 class _ReplayReader(SimpleDataSourceStreamReader):
-    """Serves lines ``ts,...`` in order of time: each read moves the clock by ``speed`` seconds of event time."""
+    """Serves lines ``ts,...`` in order of time: each read moves the clock by ``speed`` seconds of event time, and past ``until`` by all there is."""
 
     def __init__(self, options: dict):
-        rows = sorted((int(x.split(",", 1)[0]), x) for x in options["lines"].split("\n") if x)
-        self.rows, self.speed = rows, int(options.get("speed", "3600"))
-        self.start = rows[0][0] if rows else 0
+        rows = sorted((int(x.split(",", 1)[0]), x) for x in self._lines(options) if x)
+        self.rows, self.times, self.speed = rows, [t for t, _ in rows], int(options.get("speed", "3600"))
+        self.until = int(options["until"]) if "until" in options else None
+
+    @staticmethod
+    def _lines(options: dict) -> list[str]:
+        if "lines" in options:
+            return options["lines"].split("\n")
+        with open(options["path"], encoding="utf-8") as file:
+            return file.read().split("\n")
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"clock": self.start}
+        return {"clock": self.times[0] if self.rows else 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = start["clock"] + self.speed
-        return iter([(t, x) for t, x in self.rows if start["clock"] <= t < end]), {"clock": min(end, self.rows[-1][0] + 1) if self.rows else end}
+        end, last = start["clock"] + self.speed, self.times[-1] + 1 if self.rows else 0
+        if self.until is not None and start["clock"] >= self.until:
+            end = last
+        end = max(start["clock"], min(end, last))
+        return self.readBetweenOffsets(start, {"clock": end}), {"clock": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([(t, x) for t, x in self.rows if start["clock"] <= t < end["clock"]])
+        return iter(self.rows[bisect_left(self.times, start["clock"]) : bisect_left(self.times, end["clock"])])
 
 
 class ReplaySource(DataSource):
-    """Stream source ``replay``: event-time replay of text lines given as option ``lines`` at ``speed`` seconds a micro-batch."""
+    """Stream source ``replay``: event-time replay of the text lines of the file ``path`` (which the driver reads, as a replay of one clock must)
+    or of the option ``lines``, at ``speed`` seconds a micro-batch until ``until``."""
 
     @classmethod
     def name(cls) -> str:
@@ -118,3 +130,12 @@ class ReplaySource(DataSource):
 
     def simpleStreamReader(self, schema) -> _ReplayReader:  # noqa: N802
         return _ReplayReader(self.options)
+
+
+def replayed(spark: SparkSession, path: str, *, speed: int = 3600, until: int | None = None, late: str = "0 seconds") -> DataFrame:
+    """(ts, value, event_time) of a replayed file, with a watermark on the event time."""
+    spark.dataSource.register(ReplaySource)
+    reader = spark.readStream.format("replay").option("path", path).option("speed", str(speed))
+    if until is not None:
+        reader = reader.option("until", str(until))
+    return reader.load().withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", late)

@@ -72,3 +72,21 @@ def test_nan_raises(spark):
         vectors.np_add(np.array([1.0]), np.array([np.nan]))
     with pytest.raises(Exception, match="NaN"):
         spark.range(1).select(vectors.add(F.array(F.lit(float("nan"))), F.array(F.lit(1.0)))).collect()
+
+
+def test_vectorised_hashes_equal_the_jvm(spark):
+    """Murmur3 of strings and Java's string hash as the JVM's own libraries compute them; XXH64 as xxhash does."""
+    import numpy as np
+    import xxhash
+
+    from paramspark.functions import hashing as H
+
+    jvm = spark._jvm
+    murmur = getattr(getattr(jvm.scala.util.hashing, "MurmurHash3$"), "MODULE$")
+    texts = ["", "a", "ab", "abc", "hello world", "é😀x", "x" * 501]
+    for t, row, java in zip(texts, H.murmur3_utf16_all(texts, 3).tolist(), H.java_string_hash_all(texts).tolist(), strict=True):
+        assert row == [murmur.stringHash(t, s) for s in range(3)] == [H.murmur3_utf16(t, s) for s in range(3)]
+        assert java == jvm.java.util.Objects.hashCode(t) == H.java_string_hash(t)
+    values = np.array([0, 1, -1, 1 << 40, -(1 << 63), (1 << 63) - 1])
+    for v, row in zip(values.tolist(), H.xx64_all(values, 3).tolist(), strict=True):
+        assert [x % (1 << 64) for x in row] == [xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), s) for s in range(3)]

@@ -98,3 +98,56 @@ def test_replay(spark, tmp_path):
         assert [r["value"] for r in spark.table("replayed").orderBy("ts").collect()] == ["10,a", "30,b", "95,c"]
     finally:
         q.stop()
+
+
+def test_factor_text_round_trip(spark, tmp_path):
+    from paramspark.sources import tweets as T
+
+    rows = [(i, [i + k / 8 for k in range(6)]) for i in range(20)]
+    T.factor_lines(spark.createDataFrame(rows, "id bigint, vec array<double>")).coalesce(1).write.text(f"{tmp_path}/f")
+    assert sorted((r["id"], list(r["vec"])) for r in T.read_factors(spark.read.text(f"{tmp_path}/f")).collect()) == rows
+
+
+def test_replay_of_a_file_under_a_watermark(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from paramspark.streaming import jobs as J
+
+    (tmp_path / "log").write_text("\n".join(f"{t},u{t % 3},i{t}" for t in range(0, 36_000, 600)))
+    stream = J.replayed(spark, str(tmp_path / "log"), speed=7200, until=20_000)
+    hours = stream.groupBy(F.window("event_time", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+    query = hours.writeStream.format("memory").queryName("replayed_hours").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = spark.table("replayed_hours").collect()
+    assert len(got) >= 5 and all(r["n"] == 6 for r in got)
+
+
+def test_jobs_factorize_classify_evaluate(spark, tmp_path):
+    from paramspark import jobs
+    from paramspark.sources import tweets as T
+
+    (tmp_path / "ratings").write_text("".join(f"{t},{t % 7},{t % 5}\n" for t in range(60)))
+    jobs.main(["mf", str(tmp_path / "ratings"), str(tmp_path / "mf"), "--rounds", "2", "--factors", "3", "--negatives", "1"])
+    users = T.read_factors(spark.read.text(str(tmp_path / "mf" / "users"))).collect()
+    assert {r["id"] for r in users} == set(range(7)) and all(len(r["vec"]) == 3 for r in users)
+    for classes, label in ((2, lambda t: 1 if t % 2 else -1), (3, lambda t: t % 3)):
+        (tmp_path / f"train{classes}").write_text("".join(f"{label(t)} {t % classes}:1.0 {5 + t % 4}:0.1\n" for t in range(90)))
+        jobs.main(["pa", str(tmp_path / f"train{classes}"), str(tmp_path / f"pa{classes}"), "--classes", str(classes), "--rounds", "3"])
+        jobs.main(["evaluate", str(tmp_path / f"pa{classes}"), str(tmp_path / f"ok{classes}")])
+        assert spark.read.text(str(tmp_path / f"ok{classes}")).first()[0] == "90,100.0"
+
+
+def test_jobs_minhash_predict(spark, tmp_path):
+    from paramspark import jobs
+
+    (tmp_path / "tweets").write_text("".join(f"{i},0,,,,{'a b' if i % 2 else 'a c'}\n" for i in range(40)))
+    (tmp_path / "words").write_text("a\nb\nc\n")
+    (tmp_path / "counts").write_text("a:40\nb:20\nc:20\n")
+    for job in ("minhash", "minhash-variation"):
+        jobs.main([job, str(tmp_path / "tweets"), str(tmp_path / job), "--words", str(tmp_path / "words"), "--hashes", "8"])
+        jobs.main(["minhash-predict", str(tmp_path / job), str(tmp_path / f"{job}-p"), "--words", str(tmp_path / "words"), "--counts", str(tmp_path / "counts"), "--hashes", "8", "--k", "2"])
+        lines = {r[0].split(" - ")[0]: r[0] for r in spark.read.text(str(tmp_path / f"{job}-p")).collect()}
+        assert set(lines) == {"a", "b", "c"} and lines["a"].startswith("a - (a,40)")
