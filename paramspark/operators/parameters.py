@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize
+
 AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -27,8 +29,21 @@ def push(data: DataFrame, *, id: str, delta: str | Column, order: str | None = N
         return rows.groupBy("id").agg(total("delta").alias("value")).withColumn("value", start(F.col("value")))
     if order is None:
         raise ValueError("emitting at every push needs an order")
-    running = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("seq", "id", start(total("delta").over(running)).alias("value"))
+    return _running(rows, update).select("seq", "id", start(F.col("value")).alias("value"))
+
+
+def _running(rows: DataFrame, update: str) -> DataFrame:
+    """(seq, id, value) after each push. Rows are dealt out by ranges of (id, seq), so a hot id is many ranges: what a range does to an id
+    is one row, and these few rows are summed up in order."""
+    total, merge = AGGREGATES[update], {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[update]
+    placed = materialize(rows.repartitionByRange("id", "seq").withColumn("__part", F.spark_partition_id()), "pushes")
+    inside = Window.partitionBy("__part", "id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy("__part", "id").agg(total("delta").alias("v"))
+    ends = ends.select(F.col("__part").alias("__p"), F.col("id").alias("__id"), total("v").over(before).alias("__before"))
+    here = placed.withColumn("__now", total("delta").over(inside))
+    met = here.join(ends, (F.col("__part") == F.col("__p")) & F.col("id").eqNullSafe(F.col("__id")))
+    return met.select("seq", "id", F.when(F.col("__before").isNull(), F.col("__now")).when(F.col("__now").isNull(), F.col("__before")).otherwise(merge(F.col("__before"), F.col("__now"))).alias("value"))
 
 
 def push_loose(data: DataFrame, *, id: str, delta: Column, order: str, init: Column, on_first_push: str = "init_then_update") -> DataFrame:  # noqa: A002

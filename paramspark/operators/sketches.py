@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.bloom_math import estimate_column
 from ..functions.hashing import family, pack_bits
 from ..functions.vectors import round_half_up
+from ..plans.storage import materialize
 
 MAX_QUERIES = 10_000
 
@@ -90,6 +91,7 @@ def bloom_predict(model: DataFrame, queries: DataFrame, *, num_bits: int, num_ha
     """(query[, slot], rank, word, score): words by estimated number of shared documents. Slotted: within each slot that has the query.
 
     Bits in common are counted by a join on the bit with the queries' few bits, not by meeting two arrays for every pair."""
+    model = materialize(model, "model")  # read four times
     at = ["slot"] if slot else []
     pairs = _against_all(model.select(*_keys(slot), F.size("bits").alias("n"), "bits"), queries, "bits", slot).select("query", *_keys(slot), "n", F.coalesce(F.size("q"), F.lit(0)).alias("nq"))
     own = model.join(F.broadcast(queries.select(F.col("word").alias("query")).distinct()), F.col("query") == F.col("word")).select("query", *at, F.explode("bits").alias("bit"))
@@ -104,6 +106,7 @@ def bloom_predict(model: DataFrame, queries: DataFrame, *, num_bits: int, num_ha
 
 def minhash_predict(model: DataFrame, counts: DataFrame, queries: DataFrame, *, num_hashes: int, k: int | None = None) -> DataFrame:
     """(query, rank, word, score): estimated number of shared documents from the similarity and the words' counts (word, n)."""
+    model, counts = materialize(model, "model"), materialize(counts, "counts")
     pairs = _against_all(model, queries, "signature", False)
     same = F.size(F.filter(F.zip_with("signature", F.coalesce("q", F.array().cast("array<bigint>")), lambda a, b: a == b), lambda x: x))
     similar = pairs.select("query", "word", (same / F.lit(num_hashes)).alias("j"))
@@ -130,6 +133,7 @@ def median_of_means(a: Column, b: Column, num_hashes: int, num_means: int) -> Co
 
 def tow_predict(model: DataFrame, queries: DataFrame, *, num_hashes: int, num_means: int, k: int, slot: bool = False) -> DataFrame:
     """(query[, slot], rank, word, score): words by estimated number of shared occurrences."""
+    model = materialize(model, "model")
     pairs = _against_all(model, queries, "sums", slot)
     zeros = F.array(*(F.lit(0).cast("long") for _ in range(num_hashes)))
     score = F.round(median_of_means(F.col("sums"), F.coalesce("q", zeros), num_hashes, num_means), 6)
@@ -139,6 +143,7 @@ def tow_predict(model: DataFrame, queries: DataFrame, *, num_hashes: int, num_me
 
 def additive_top(model: DataFrame, queries: DataFrame, *, k: int = 100) -> DataFrame:
     """(query, rank, word, score): words by dot product of additive sketches."""
+    model = materialize(model, "model")
     pairs = _against_all(model, queries, "sums", False)
     score = F.aggregate(F.zip_with("sums", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)))
     return top_k(pairs.select("query", "word", score.alias("score")), k, by=["query"]).select("query", "rank", "word", "score")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize
+
 BLOCK_ITEMS = 200_000
 
 
@@ -110,7 +112,7 @@ def top_items(queries: DataFrame, items: DataFrame, *, k: int, strategy: str = "
     blocks = -(-n // BLOCK_ITEMS)
     has_skip = "skip" in queries.columns
     asked = queries.where("vec IS NOT NULL").select(F.col("id").alias("query"), "vec", *(["skip"] if has_skip else []))
-    cut = items.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(blocks))) if blocks > 1 else items
+    cut = materialize(items.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "items") if blocks > 1 else items
     parts = []
     for b in range(max(1, blocks)):
         rows = (cut.where(F.col("__block") == b) if blocks > 1 else cut).select("id", "vec").toPandas()
@@ -126,7 +128,11 @@ def top_items(queries: DataFrame, items: DataFrame, *, k: int, strategy: str = "
                     out += zip([query] * len(found), found, np.round(scores, digits) + 0.0, strict=True)
                 yield pd.DataFrame(out, columns=["query", "item", "score"])
 
-        parts.append(asked.mapInPandas(search, f"query {asked.schema['query'].dataType.simpleString()}, item {items.schema['id'].dataType.simpleString()}, score double"))
+        found = asked.mapInPandas(search, f"query {asked.schema['query'].dataType.simpleString()}, item {items.schema['id'].dataType.simpleString()}, score double")
+        if blocks > 1:  # the driver and the executors hold one block at a time
+            found = materialize(found, "block_scores")
+            shared.destroy()
+        parts.append(found)
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

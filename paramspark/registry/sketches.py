@@ -188,7 +188,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "hash_families": "SELECT id, CAST(i AS INTEGER) AS i, h, CAST(java AS INTEGER) AS java FROM (VALUES (0, 0, -764297089, 113318502), (0, 1, -1302509589, 113318502), (0, 2, 3803688792395291579, 113318502), (0, 3, 2506089352882295055, 113318502), (1, 0, -1810453357, 113318503), (1, 1, -1570063170, 113318503), (1, 2, -6977822845260490347, 113318503), (1, 3, -8432069089065462007, 113318503), (2, 0, 19522071, 113318504), (2, 1, -497233321, 113318504), (2, 2, -1529185102714098256, 113318504), (2, 3, 3385192193508492419, 113318504), (3, 0, 264741300, 113318505), (3, 1, 1849022499, 113318505), (3, 2, -8667152822649993151, 113318505), (3, 3, 5120491529425815822, 113318505), (4, 0, -516830072, 113318506), (4, 1, -1532871171, 113318506), (4, 2, 3145212359238734475, 113318506), (4, 3, -2881828142325668802, 113318506)) t(id, i, h, java)",
+    "hash_families": "SELECT CAST(id AS BIGINT) AS id, CAST(i AS INTEGER) AS i, h, CAST(java AS INTEGER) AS java FROM (VALUES (0, 0, -764297089, 113318502), (0, 1, -1302509589, 113318502), (0, 2, 3803688792395291579, 113318502), (0, 3, 2506089352882295055, 113318502), (1, 0, -1810453357, 113318503), (1, 1, -1570063170, 113318503), (1, 2, -6977822845260490347, 113318503), (1, 3, -8432069089065462007, 113318503), (2, 0, 19522071, 113318504), (2, 1, -497233321, 113318504), (2, 2, -1529185102714098256, 113318504), (2, 3, 3385192193508492419, 113318504), (3, 0, 264741300, 113318505), (3, 1, 1849022499, 113318505), (3, 2, -8667152822649993151, 113318505), (3, 3, 5120491529425815822, 113318505), (4, 0, -516830072, 113318506), (4, 1, -1532871171, 113318506), (4, 2, 3145212359238734475, 113318506), (4, 3, -2881828142325668802, 113318506)) t(id, i, h, java)",
     "bloom_murmur3": f"WITH {EVENTS_SQL} SELECT word, true AS near FROM sw GROUP BY 1",
     "tow_xx64": f"WITH {EVENTS_SQL} SELECT word, count(*) AS n, true AS fits FROM sw GROUP BY 1",
     "word_count": f"WITH {WORDED_SQL} SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM w) GROUP BY word",

@@ -68,17 +68,37 @@ def sums_from_model(stream: DataFrame, model: DataFrame) -> DataFrame:
 
 
 class OnlineFactors:
-    """A ``foreachBatch`` sink that learns each micro-batch of ratings; a batch that comes again after a failure is skipped."""
-
-    def __init__(self, factors: Factors, *, size: int, rate: float, loss: str = "squared"):
-        self.factors, self.size, self.rate, self.loss, self.last = factors, size, rate, loss, -1
+    """A ``foreachBatch`` sink that learns each micro-batch of ratings; a batch that comes again after a failure is skipped. With a
+    ``location`` (a shared folder), the factors after each batch are tables under the batch's number there, and a new sink goes on
+    from the last one that is complete, so a restart learns no batch twice."""
+
+    def __init__(self, factors: Factors, *, size: int, rate: float, loss: str = "squared", location: str | None = None):
+        self.factors, self.size, self.rate, self.loss, self.last, self.location = factors, size, rate, loss, -1, location
+        if location:
+            spark = factors.users.sparkSession
+            root = spark._jvm.org.apache.hadoop.fs.Path(location)
+            files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+            done = lambda n, side: files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{location}/{n}/{side}/_SUCCESS"))
+            numbers = [int(x.getPath().getName()) for x in files.listStatus(root)] if files.exists(root) else []
+            if whole := [n for n in numbers if done(n, "users") and done(n, "items")]:
+                self.last = max(whole)
+                self.factors = self._read(spark)
+
+    def _read(self, spark: SparkSession) -> Factors:
+        return Factors(*(spark.read.parquet(f"{self.location}/{self.last}/{side}") for side in ("users", "items")))
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         if number <= self.last:
             return
         new = sgd_round(batch.select("user", "item", "rating"), self.factors, size=self.size, rate=self.rate, loss=self.loss)
-        self.factors = Factors(materialize(new.users, "users"), materialize(new.items, "items"))
-        self.last = number
+        if self.location:
+            new.users.write.mode("overwrite").parquet(f"{self.location}/{number}/users")
+            new.items.write.mode("overwrite").parquet(f"{self.location}/{number}/items")
+            self.last = number
+            self.factors = self._read(batch.sparkSession)
+        else:
+            self.factors = Factors(materialize(new.users, "users"), materialize(new.items, "items"))
+            self.last = number
 
 
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

@@ -151,3 +151,21 @@ def test_jobs_minhash_predict(spark, tmp_path):
         jobs.main(["minhash-predict", str(tmp_path / job), str(tmp_path / f"{job}-p"), "--words", str(tmp_path / "words"), "--counts", str(tmp_path / "counts"), "--hashes", "8", "--k", "2"])
         lines = {r[0].split(" - ")[0]: r[0] for r in spark.read.text(str(tmp_path / f"{job}-p")).collect()}
         assert set(lines) == {"a", "b", "c"} and lines["a"].startswith("a - (a,40)")
+
+
+def test_online_factors_go_on_after_a_restart(spark, tmp_path):
+    from paramspark.operators.factorization import Factors, initial
+    from paramspark.streaming.jobs import OnlineFactors
+
+    rated = spark.createDataFrame([(i % 5, i % 3, 1.0) for i in range(15)], "user int, item int, rating double")
+    start = Factors(initial(rated, "user", 3, 0.0, 0.5, 0), initial(rated, "item", 3, 0.0, 0.5, 1))
+    sink = OnlineFactors(start, size=3, rate=0.1, location=str(tmp_path / "f"))
+    sink(rated, 0)
+    sink(rated, 1)
+    vectors = lambda s: sorted((r["id"], list(r["vec"])) for r in s.factors.users.collect())
+    again = OnlineFactors(start, size=3, rate=0.1, location=str(tmp_path / "f"))
+    assert again.last == 1 and vectors(again) == vectors(sink)
+    again(rated, 1)  # a batch that comes again
+    assert vectors(again) == vectors(sink)
+    again(rated, 2)
+    assert vectors(again) != vectors(sink)
