@@ -8,8 +8,8 @@ links among them, not the links: connectivity is all that components need, and n
 
 Hot groups: exact copies collapse into their fingerprint. Many near copies that share a key stay distinct fingerprints of 8
 bytes; a task resolves a key by a search that removes what it has reached (each step is one vectorised comparison), and keys
-with more than ``SPLIT`` fingerprints are first divided by a further pigeonhole over the bits outside the key, in pieces of
-which close pairs must share one. No fingerprint or link of all documents reaches the driver.
+with more than ``SPLIT`` fingerprints are first divided, over tasks and inside of them, by a further pigeonhole over the bits outside
+the key, in pieces of which close pairs must share one. No fingerprint or link of all documents reaches the driver.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows and equal ids are judged
 row by row (they share the fingerprint, so the component); rows with a null id get a component like others, whose id ignores nulls.
@@ -35,6 +35,9 @@ SEED = 42
 #: Bit ranges of the 6 blocks.
 BLOCKS = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
 SPLIT = 20_000
+#: One of so many fingerprints is looked at to find the keys of more than ``SPLIT``.
+SAMPLED = 64
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(raw: bytes | None, size: int) -> np.ndarray:
@@ -120,11 +123,14 @@ def _key_links(fps: np.ndarray, mask: int, distance: int) -> Iterator[tuple[int,
 
 
 def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows (choice, key, fp) in order of choice and key; yields the links of each key."""
+    """Rows (choice, key, piece, part, fp) in this order; yields the links of each group of equal first four."""
     rest: tuple[np.ndarray, ...] | None = None
 
-    def close(choice: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        change = np.flatnonzero((np.diff(key) != 0) | (np.diff(choice) != 0)) + 1
+    def changes(rows: tuple[np.ndarray, ...]) -> np.ndarray:
+        return np.flatnonzero(np.logical_or.reduce([np.diff(x) != 0 for x in rows[:4]])) + 1
+
+    def close(choice: np.ndarray, key: np.ndarray, piece: np.ndarray, part: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+        change = changes((choice, key, piece, part))
         starts, stops = np.concatenate([[0], change]), np.concatenate([change, [len(key)]])
         some = stops - starts > 1
         a: list[int] = []
@@ -135,7 +141,8 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         a += x[near].tolist()
         b += y[near].tolist()
         for s, e in zip(starts[some & ~pair].tolist(), stops[some & ~pair].tolist(), strict=True):
-            for p, q in _key_links(fp[s:e], CHOICES[int(choice[s])], distance):
+            mask = CHOICES[int(choice[s])] | (PIECES[int(choice[s])][int(piece[s])] if piece[s] >= 0 else 0)
+            for p, q in _key_links(fp[s:e], mask, distance):
                 a.append(p)
                 b.append(q)
         if not a:
@@ -145,10 +152,10 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
+        now = (*(batch.column(i).to_numpy() for i in range(4)), batch.column(4).to_numpy().view(np.uint64))
         if rest is not None:
             now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
-        cut = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[-1]) + 1 if (now[0][0], now[1][0]) != (now[0][-1], now[1][-1]) else 0
+        cut = int(changes(now)[-1:].sum())
         rest = tuple(x[cut:] for x in now)
         if cut and (out := close(*(x[:cut] for x in now))) is not None:
             yield out
@@ -156,14 +163,42 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         yield out
 
 
+def _free_pieces(mask: int) -> list[int]:
+    """Masks of the four pieces of the bits outside of a key: two fingerprints of the key that differ in 3 bits at most agree in one."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << b for b in free[i::4]) for i in range(4)]
+
+
+PIECES = [_free_pieces(m) for m in CHOICES]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links that connect exactly the distinct fingerprints of ``fps.fp`` that chains of links within ``distance`` connect."""
+    """(a, b): links that connect exactly the distinct fingerprints of ``fps.fp`` that chains of links within ``distance`` connect.
+
+    Keys of which a sample tells that they have more than ``SPLIT`` fingerprints are dealt out over tasks by the pieces of their other bits;
+    the sample only balances the work, as either way no close pair is apart."""
     if not 0 <= distance <= 3:
         raise ValueError("the 6 blocks guarantee pairs that differ in at most 3 bits")
-    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(CHOICES)))
+    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(CHOICES)))
     spread = fps.select("fp").distinct().select("fp", F.explode(keys).alias("k")).select("k.choice", "k.key", "fp")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spread.repartition(n, "choice", "key").sortWithinPartitions("choice", "key", "fp")
+    sampled = spread.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).groupBy("choice", "key").count()
+    hot = materialize(sampled.where(F.col("count") > max(1, SPLIT // SAMPLED)).select("choice", "key", F.lit(True).alias("hot")), "hot_keys", 0)
+    many = hot.count()
+    if many:
+        spread = spread.join(F.broadcast(hot) if many <= BROADCAST_IDS else hot, ["choice", "key"], "left")
+        pieces = F.array(*(F.lit(_signed(m)) for own in PIECES for m in own))
+        piece = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(-1)))).alias("piece")
+        part = F.when(F.col("piece") >= 0, F.col("fp").bitwiseAND(F.element_at(pieces, F.col("choice") * 4 + F.greatest(F.col("piece"), F.lit(0)) + 1))).otherwise(F.lit(0).cast("long"))
+        spread = spread.select("choice", "key", piece, "fp").select("choice", "key", "piece", part.alias("part"), "fp")
+        dealt = spread.repartition(n, "choice", "key", "piece", "part").sortWithinPartitions("choice", "key", "piece", "part", "fp")
+    else:
+        dealt = spread.repartition(n, "choice", "key").sortWithinPartitions("choice", "key", "fp")
+        dealt = dealt.select("choice", "key", F.lit(-1).alias("piece"), F.lit(0).cast("long").alias("part"), "fp")
     return dealt.mapInArrow(tidy(lambda batches: _links(batches, distance)), "a bigint, b bigint")
 
 
@@ -500,9 +535,6 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     return shingle_groups(docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity).select("doc_id", "component_id")
 
 
-BROADCAST_IDS = 1_000_000
-
-
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs``, all columns, without the rows of a group of similar texts other than one of the smallest id (of several rows of that id,
     the one with the smallest hash). Rows of one id whose texts are unlike are documents of their own, each kept or not by its own

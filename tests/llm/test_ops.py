@@ -302,6 +302,21 @@ def test_large_keys_are_divided(monkeypatch):
     assert parts(whole) == parts(simhash._key_links(fps, 0, 3))
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, hot):
+    """A large group of near fingerprints and some others; with ``hot``, its keys are dealt out over tasks."""
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    monkeypatch.setattr(simhash, "SPLIT", 20 if hot else 20_000)
+    rng = np.random.default_rng(16)
+    base = int(rng.integers(0, 1 << 62))
+    near = [base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(250)]
+    fps = sorted({x - (1 << 64) if x >> 63 else x for x in [*near, *(int(x) for x in rng.integers(0, 1 << 62, 100))]})
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in fps], "fp bigint"))
+    got = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
+    want = brute.components(fps, [x % (1 << 64) for x in fps])
+    assert [got.get(x, x) for x in fps] == want
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(300, 330)] + [(1, 1), (50, 60), (60, 50)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links + [(None, 3)], "a bigint, b bigint")).collect()}
