@@ -69,7 +69,7 @@ def rewrite_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     return map_batches(df, make, df.schema)
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy runs of rows of about ``most_bytes`` at most (a longer row comes alone), so that Python objects for long texts stay few."""
     if batch.nbytes <= most_bytes or batch.num_rows < 2:
         if batch.num_rows:
