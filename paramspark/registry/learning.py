@@ -131,10 +131,10 @@ def vector_lengths(spark, d):
 
 
 def implicit(spark, d):
-    """(event, user, item, rating, ts): orders as implicit feedback, an order's item being the part number modulo 100 of its cheapest line."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.min("l_partkey") % 100).alias("item"))
-    orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return orders.select(F.col("o_orderkey").alias("event"), F.col("o_custkey").alias("user"), "item", F.lit(1.0).alias("rating"), F.floor(F.unix_timestamp("o_orderdate") / 86_400).cast("long").alias("ts"))
+    """(event, user, item, rating, ts): the parts of each order as implicit feedback; an order and a part make an event's number."""
+    bought = table(spark, d, "orders").join(table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"))
+    event, day = F.col("l_orderkey").cast("long") * (1 << 32) + F.col("l_partkey"), F.floor(F.unix_timestamp("o_orderdate") / 86_400).cast("long")
+    return bought.select(event.alias("event"), F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"), F.lit(1.0).alias("rating"), day.alias("ts"))
 
 
 def prequential(spark, d):
@@ -377,8 +377,8 @@ def _best(sql: str, k: int) -> str:
 
 
 _TOP = _best(f"{_SCORES} WHERE q.vec_id % 50 = 0", 10)
-_IMPLICIT = """r AS (SELECT o_orderkey AS event, o_custkey AS "user", item, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS ts
-  FROM orders JOIN (SELECT l_orderkey, min(l_partkey) % 100 AS item FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
+_IMPLICIT = """r AS (SELECT CAST(l_orderkey AS BIGINT) * 4294967296 + l_partkey AS event, o_custkey AS "user", l_partkey AS item, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS ts
+  FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON o_orderkey = l_orderkey)"""
 _GAINS = f"""WITH {_IMPLICIT}, best AS (SELECT item, row_number() OVER (ORDER BY n DESC, item) AS rank FROM (SELECT item, count(*) AS n FROM r GROUP BY 1) QUALIFY rank <= 10),
   g AS (SELECT ts, CASE WHEN rank IS NULL THEN 0 ELSE ln(2) / ln(1.0::DOUBLE + rank) END AS ndcg FROM r LEFT JOIN best USING (item))"""
 _POPULAR = f"""WITH {_IMPLICIT}, train AS (SELECT * FROM r WHERE ts < 9500), n AS (SELECT item, count(*) AS n FROM train GROUP BY 1 HAVING count(*) > 5),
@@ -438,9 +438,9 @@ def _cost(method: str) -> str:
 def _negatives(source: str, rate: int, memory: int, name: str = "ng") -> str:
     """CTE of negatives (user, item, ts, negative) of the ratings ``source``: the walk over all items, no matter how long it must be."""
     return f"""it AS MATERIALIZED (SELECT item, row_number() OVER (ORDER BY {hash_sql('item', '0')}, item) - 1 AS number FROM (SELECT DISTINCT item FROM {source})),
-  st AS MATERIALIZED (SELECT "user", item, ts, list(item) OVER (PARTITION BY "user" ORDER BY ts, item ROWS BETWEEN {memory} PRECEDING AND CURRENT ROW) AS recent,
+  st AS MATERIALIZED (SELECT "user", item, ts, row_number() OVER () AS row, list(item) OVER (PARTITION BY "user" ORDER BY ts, item ROWS BETWEEN {memory} PRECEDING AND CURRENT ROW) AS recent,
     {hash_sql('"user" || chr(124) || item || chr(124) || ts || chr(124) || 0', '0')} % (SELECT count(*) FROM it) AS start FROM {source}),
-  wk AS (SELECT "user", st.item, ts, it.item AS negative, row_number() OVER (PARTITION BY "user", st.item, ts ORDER BY j) AS k
+  wk AS (SELECT "user", st.item, ts, it.item AS negative, row_number() OVER (PARTITION BY row ORDER BY j) AS k
     FROM (SELECT *, (start + j) % (SELECT count(*) FROM it) AS number FROM st, unnest(range(0, least({rate + memory + 1}, (SELECT count(*) FROM it)))) AS u(j)) st JOIN it USING (number) WHERE NOT list_contains(recent, it.item)),
   {name} AS MATERIALIZED (SELECT "user", item, ts, negative FROM wk WHERE k <= {rate})"""
 
@@ -481,7 +481,7 @@ def _in_time(source: str, batches: int) -> list[str]:
 
 def _prequential(k: int, batches: int, memory: int, negatives: int) -> str:
     """Lists from the factors before each batch: known users and items, without the user's last ``memory`` items."""
-    head = f"WITH {_IMPLICIT}, r AS (SELECT *, 1.0::DOUBLE AS rating FROM p)".replace("r AS (SELECT o_orderkey", "p AS (SELECT o_orderkey")
+    head = f"WITH {_IMPLICIT.replace('r AS (', 'p AS (', 1)}, r AS (SELECT *, 1.0::DOUBLE AS rating FROM p)"
     parts = [head, f"""m AS MATERIALIZED (SELECT *, coalesce(list(item) OVER (PARTITION BY "user" ORDER BY event ROWS BETWEEN {memory} PRECEDING AND 1 PRECEDING), []) AS recent FROM {_STEPS('r', batches)})""", _factors("r", SIZE, 0.0, 0.1)]
     rows = _in_time("r", batches)
     if negatives:

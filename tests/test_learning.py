@@ -56,6 +56,12 @@ def test_negatives_avoid_recent(rated):
         assert r["negative"] not in seen
 
 
+def test_equal_ratings_have_negatives_each(spark):
+    rated = spark.createDataFrame([(1, 1, 1.0, 0)] * 2 + [(2, i, 1.0, i) for i in range(1, 30)], "user bigint, item bigint, rating double, ts bigint")
+    got = [r["negative"] for r in M.negative_samples(rated, rate=3, memory=20).where("user = 1").collect()]
+    assert len(got) == 6 and len(set(got)) == 3 and 1 not in got
+
+
 def test_online_and_prequential(rated):
     factors = M.train_online(rated, size=4, low=0.0, high=0.3, rate=0.3, batches=3)
     assert factors.users.count() == rated.select("user").distinct().count()
