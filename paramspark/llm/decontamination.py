@@ -5,6 +5,10 @@ rightmost of equal ones). A shared span of ``window`` words holds one whole such
 it: every shared span of at least ``window`` words meets in the join of fingerprints. Each hit is then extended word by word to
 the left and right, and counts if the shared run reaches ``window`` words. Items shorter than a window are looked up whole.
 
+An item that keeps one k-gram at over ``REPEATS`` places (a phrase said again and again) would meet a document that repeats it too in
+every pair of places. There the hit is extended by the windows around it, each looked up among the item's windows around that k-gram, and
+windows that follow each other are one run: work in proportion to the document, the same words hit.
+
 The item side is a bounded block of the benchmark: blocks are cut by their bytes and hold at most ``block_bytes`` of item text (one
 larger item is a block of its own). One block at a time is broadcast to the tasks that read documents, and documents meet every
 block; with more than one, what a block found is written before the next one is read, so the driver holds one block, not the
@@ -17,7 +21,7 @@ repeated documents are judged one by one; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -31,6 +35,8 @@ from .common import map_batches, materialize, record_batch, rewrite_batches
 
 WINDOW, K = 8, 4
 BLOCK_BYTES = 32 << 20
+#: Places of one k-gram in one item beyond which hits are extended by windows instead of place by place.
+REPEATS = 32
 #: Lower-cases A-Z and turns what is not a letter, digit or non-ASCII byte into a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -99,6 +105,22 @@ class ItemIndex:
                 prints[int(hashes[at])].append((item, at))
         self.hashes = np.array(sorted(prints), np.uint64)
         self.places = [prints[h] for h in self.hashes.tolist()]
+        self.repeated = np.zeros(len(self.hashes), bool)
+        around: dict[bytes, set[int]] = defaultdict(set)
+        for slot, places in enumerate(self.places):
+            if len(places) <= REPEATS:
+                continue
+            often = {item for item, n in Counter(item for item, _ in places).items() if n > REPEATS}
+            if not often:
+                continue
+            self.repeated[slot] = True
+            for item, at in places:
+                if item in often:
+                    own = self.ids[item]
+                    for start in range(max(0, at - window + k), min(at, len(own) - window) + 1):
+                        around[own[start : start + window].tobytes()].add(item)
+            self.places[slot] = [(item, at) for item, at in places if item not in often]
+        self.around = {w: sorted(x) for w, x in around.items()}
         self.short = {m: dict(x) for m, x in self.short.items()}
         self.short_hashes = {m: np.unique([gram_hashes(np.frombuffer(b, np.int32), m)[0] for b in x]) for m, x in self.short.items()}
 
@@ -119,12 +141,27 @@ class ItemIndex:
                     reach[item, at - q] = max(end, at + 1)
                     if end - start >= self.window:
                         found.append((item, start, end))
+            found += self._runs(ids, kept[same & self.repeated[slot]])
         for m, table in self.short.items():
             hashes = gram_hashes(ids, m)
             for at in np.flatnonzero(np.isin(hashes, self.short_hashes[m])).tolist():
                 found += [(item, at, at + m) for item in table.get(ids[at : at + m].astype(np.int32).tobytes(), ())]
         return found
 
+    def _runs(self, ids: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, end) of runs of windows that hold a kept k-gram at ``at`` and that an item has around a k-gram it repeats."""
+        found: list[tuple[int, int, int]] = []
+        starts = np.unique(at[:, None] - np.arange(self.window - self.k + 1))
+        last: dict[int, tuple[int, int]] = {}
+        for start in starts[(starts >= 0) & (starts <= len(ids) - self.window)].tolist():
+            for item in self.around.get(ids[start : start + self.window].tobytes(), ()):
+                first, end = last.get(item, (start, start))
+                if start > end:
+                    found.append((item, first, end))
+                    first = start
+                last[item] = first, start + self.window
+        return found + [(item, first, end) for item, (first, end) in last.items()]
+
     @staticmethod
     def _extend(ids: np.ndarray, item: np.ndarray, at: int, q: int) -> tuple[int, int]:
         left = min(at, q)
