@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import held_out, materialize, record_batch, slices, tidy
 
 BLOCK_BYTES = 24 << 20
+#: Blocks whose words one partition of a shuffle may hold on average; where the session sets fewer partitions, there are more.
+PARTITION_BLOCKS = 8
 #: Weight of the vocabulary's own scores, in counts.
 PRIOR_COUNTS = 1000.0
 #: Passes of expected counts over the training words.
@@ -323,9 +325,13 @@ def lm_scores(docs: DataFrame, vocabulary_path: str, *, doc_id: str = "doc_id",
     kept = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id), modulus).alias("held_out"), F.col(text).alias("text"))
     blocks = materialize(_blocks(kept), "blocks")
     lists, texts = blocks.where("word IS NOT NULL").select("block", "at", "word", "n"), blocks.where("numbers IS NOT NULL").select("block", "doc_id", "held_out", "numbers")
-    counted = materialize(lists.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    sizes = texts.agg(F.count_if(~F.col("held_out")).alias("ends"), F.count_distinct("block").alias("blocks")).first()
+    parts = -(-sizes["blocks"] // PARTITION_BLOCKS)
+    few = parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df, key: df.repartition(parts, key) if few else df  # noqa: E731  partitions grow with the data
+    counted = materialize(spread(lists.select("word", "n"), "word").groupBy("word").agg(F.sum("n").alias("c")), "words")
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count_if(F.col("c") > 0).alias("distinct")).first()
-    ends = texts.where("NOT held_out").count()
+    ends = sizes["ends"]
     total, distinct = sums["total"] + ends, sums["distinct"] + (ends > 0)
 
     prior = vocabulary(vocabulary_path)
@@ -346,11 +352,11 @@ def lm_scores(docs: DataFrame, vocabulary_path: str, *, doc_id: str = "doc_id",
             yield record_batch({"word": batch.column(0), "c": batch.column(1), "m": pa.array(lattice.marginals(words))})
 
     solved = counted.mapInArrow(tidy(solve), "word binary, c bigint, m double")
-    back = lists.select("block", "at", "word").join(solved, "word").select(F.col("block").alias("home"), "at", "c", "m")
+    back = spread(lists.select("block", "at", "word"), "word").join(solved, "word").select(F.col("block").alias("home"), "at", "c", "m")
     model = (int(total), int(distinct), int(ends), math.log((ends + 1.0) / mass))
     kind = kept.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return texts.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(lambda a, b: _scored(a, b, model), schema)
+    return spread(texts, "block").groupBy("block").cogroup(back.groupBy("home")).applyInArrow(lambda a, b: _scored(a, b, model), schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
