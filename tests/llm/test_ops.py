@@ -673,3 +673,43 @@ def test_slices_bound_batches():
     batch = record_batch({"t": pa.array(["x" * 1000] * 64)})
     parts = list(slices(batch, 10_000))
     assert sum(p.num_rows for p in parts) == 64 and max(p.num_rows for p in parts) <= 8
+
+
+def test_lm_partitions_grow_with_the_data(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").cache()
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = lambda: {r["doc_id"]: r for r in lm_score.lm_scores(docs, path, rounds=1).collect()}
+    plain, whole = rows(), docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", whole // 10)
+    monkeypatch.setattr(lm_score, "PARTITION_BLOCKS", 1)
+    many = rows()
+    assert many.keys() == plain.keys()
+    for i, r in many.items():
+        assert r[:5] == plain[i][:5] and r["score"] == pytest.approx(plain[i]["score"]) and r["base_score"] == pytest.approx(plain[i]["base_score"])
+
+
+@pytest.mark.parametrize("repeats", [0, 1, 3, 32])
+def test_repeated_grams_hit_the_same_words(monkeypatch, repeats):
+    """Items and texts that say a phrase again and again: the words hit are those of plain windows, however hits are extended."""
+    monkeypatch.setattr(decontamination, "REPEATS", repeats)
+    rng = np.random.default_rng(5)
+    for alphabet in ("a", "ab", "abc"):
+        say = lambda n, letters=alphabet: list(rng.choice(list(letters), n))
+        items = [say(int(n)) for n in rng.integers(8, 60, 6)] + [(["x", *"abcb"] * 9)[: int(n)] for n in rng.integers(8, 45, 3)]
+        index = decontamination.ItemIndex([(str(i), " ".join(w).encode()) for i, w in enumerate(items)])
+        docs = [say(int(n)) for n in rng.integers(0, 120, 12)] + [["x", *"abcb"] * 12, ["x", *"abcb", "y"] * 5]
+        ids, starts, sizes = decontamination._numbered([" ".join(d).encode() for d in docs], index)
+        got, want = set(), set()
+        for item, start, end in index.hits(ids):
+            got |= {(item, at) for at in range(start, end)}
+        for i, own in enumerate(items):
+            windows = {tuple(own[j : j + 8]) for j in range(len(own) - 7)}
+            for doc, first in zip(docs, starts.tolist(), strict=False):
+                want |= {(i, first + j + o) for j in range(len(doc) - 7) if tuple(doc[j : j + 8]) in windows for o in range(8)}
+        assert got == want
+
+
+def test_one_word_repeated_takes_work_in_proportion():
+    index = decontamination.ItemIndex([("x", b"ha " * 400), ("y", b"ha " * 20)])
+    ids, _, _ = decontamination._numbered([b"ha " * 400_000], index)
+    assert index.hits(ids)[-1] == (0, 0, 400_000)
