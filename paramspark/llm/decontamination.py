@@ -225,7 +225,8 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes | None]], window: int, k
 
 
 def shared_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, hits): the shared runs (item_id, start, end) in words of the document, of at least ``window`` words or a whole short item."""
+    """(doc_id, n_words, hits): the shared runs (item_id, start, end) in words of the document, of at least ``window`` words or a whole short item;
+    around a k-gram that an item repeats over ``REPEATS`` times, the stretches that the item's windows cover."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("binary").alias("text"))
     every = None
