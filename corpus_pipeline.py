@@ -27,7 +27,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """The document of the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more.
+    Candidates agree in a block of their SimHash fingerprints and are near by Hamming distance; an exact comparison follows."""
     return simhash.keep_first(docs, shingle=5, similarity=0.8)
 
 

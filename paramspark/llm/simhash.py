@@ -213,52 +213,106 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(members, "fp")
 
 
-# --- A lower similarity than blocks of a fingerprint can guarantee ---
-
-BANDS, ROWS = 32, 7
-#: Groups of a key up to this size send out all their pairs at once; larger ones the nearest few of each member, round by round.
-WHOLE = 5
+# --- A lower similarity than blocks of 64 bits can guarantee: blocks of a wider fingerprint ---
+
+#: Bits of a block at least; there are more once a block's value would have over ``MATES`` texts by chance.
+BLOCK, MATES = 14, 512
+#: The chance that two sets at the stated similarity agree in no block.
+MISSED = 1 / 2000
+#: Words of 64 bits that go with each key, for the Hamming check.
+CHECKED = 2
+#: Sets of so few shingles may differ in more bits than larger ones at one similarity: they are also sent out whole and without each one
+#: shingle, under negative keys, and need no Hamming check among themselves.
+FEW = 9
+#: Keys up to this size are compared whole; of larger ones all members are left to the rounds.
+TOGETHER = 2_048
+#: Keys with up to so many close pairs send them out at once; others the nearest few of each member, round by round.
+PAIRS = 10
 #: Members of a key that one task compares.
 PIECE = 5_000
 #: Hashes of a shingle set that a member of a large group is compared by.
 SKETCH = 1024
-_COMPARED = 8 << 20
+_COMPARED = 1 << 20
 #: A set of shingles and the comparison of two weigh as much as so many rows of numbers.
 _SET_ROWS, _PAIR_ROWS = 200, 50
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    factors, shifts = rng.integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
-    return factors | np.uint32(1), shifts
-
-
-def minima(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """The smallest of the hashes under each permutation: two sets agree in one with a probability of their Jaccard similarity."""
-    low = np.full(len(factors), 0xFFFFFFFF, np.uint32)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), 1024):
-        np.minimum(low, (factors[:, None] * short[at : at + 1024] + shifts[:, None]).min(axis=1), out=low)
-    return low
-
-
-def least_agreeing(similarity: float) -> int:
-    """Minima that sets of this similarity agree in, less four deviations: 1 pair of 30,000 agrees in fewer."""
-    n = BANDS * ROWS
-    return max(0, int(n * similarity - 4 * np.sqrt(n * similarity * (1 - similarity))))
-
-
-def _keys(distinct: DataFrame) -> DataFrame:
-    """(key, node) for each band of each set of shingles."""
+def differing(similarity: float) -> float:
+    """The share of bits in which fingerprints of large sets of this Jaccard similarity differ, at most (sets of equal size)."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def most_differing(similarity: float, bits: int) -> int:
+    """Bits that such fingerprints differ in, plus 4.5 deviations. Sets of more than ``FEW`` shingles differ in no more than 0.005 of the bits more
+    than large ones."""
+    share = differing(similarity) + 0.005
+    return int(bits * share + 4.5 * np.sqrt(bits * share * (1 - share)))
+
+
+def block_shape(n: int, similarity: float) -> tuple[int, int]:
+    """(blocks, bits of a block) for ``n`` texts: so many that all but ``MISSED`` of the pairs at the similarity agree in one."""
+    width = max(BLOCK, int(np.ceil(np.log2(max(n, 1) / MATES))))
+    agree = (1 - differing(similarity)) ** width
+    return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-min(agree, 1 - 1e-9))))), width
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint of the hashes, and ``words`` - 1 more of other hashes mixed from each of them. Ties go to the bit of the first hash: were
+    they zeros, unrelated small sets would agree too often."""
+    ones = np.zeros(64 * words, np.int64)
+    if len(hashes) and len(hashes) % 2 == 0:
+        hashes = np.concatenate([hashes, hashes[:1]])
+    seeds = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 255):
+        own = hashes[at : at + 255]
+        mixed = own[:, None] + seeds
+        mixed ^= mixed >> np.uint64(30)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(27)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        mixed[:, 0] = own
+        ones += np.unpackbits(mixed.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def block_keys(prints: np.ndarray, blocks: int, width: int) -> np.ndarray:
+    """The key of each block (columns) of each fingerprint (rows of words): two that differ in fewer bits than there are blocks share one."""
+    keys = np.empty((len(prints), blocks), np.int64)
+    for i in range(blocks):
+        word, shift = divmod(i * width, 64)
+        value = prints[:, word] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | prints[:, word + 1] << np.uint64(64 - shift)
+        keys[:, i] = (value & np.uint64((1 << width) - 1)) | np.uint64(i << width)
+    return keys
+
+
+def few_keys(hashes: np.ndarray, similarity: float) -> bytes:
+    """Keys of a set of up to ``FEW`` shingles: of the whole set, and without each one where that is as similar."""
+    n = len(hashes)
+    if not 0 < n <= FEW:
+        return b""
+    parts = [hashes] + ([np.delete(hashes, i) for i in range(n)] if n > 1 and n - 1 >= similarity * n - 1e-9 else [])
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) | 1 << 63 for x in parts], np.uint64).tobytes()
+
+
+def _keys(distinct: DataFrame, blocks: int, width: int) -> DataFrame:
+    """(key, node, c0, c1) for each block of each fingerprint, and for each key of a small set: the words go with it for the Hamming check."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
-            return record_batch({"key": pa.array(keys), "node": batch.column(1).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))})
+            prints = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            few = batch.column(1).to_pylist()
+            keys = np.concatenate([block_keys(prints, blocks, width).ravel(), np.frombuffer(b"".join(few), np.int64)])
+            of = np.arange(batch.num_rows)
+            of = np.concatenate([np.repeat(of, blocks), np.repeat(of, [len(x) // 8 for x in few])])
+            checks = {f"c{i}": pa.array(prints[of, i].view(np.int64)) for i in range(CHECKED)}
+            return record_batch({"key": pa.array(keys), "node": batch.column(2).take(pa.array(of)), **checks})
 
         return each
 
-    return map_batches(distinct.select("bands", "node"), make, "key bigint, node bigint")
+    return map_batches(distinct.select("print", "few", "node"), make, "key bigint, node bigint, c0 bigint, c1 bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -288,24 +342,43 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield bounds(rest)
 
 
-def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) in order of keys: all pairs (a, b) of the small groups, with a null key, and the members (a) of the large ones."""
+def _mates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, c0, c1) in order of keys: the pairs (a, b) that differ in ``most`` of these bits at most, with a null key, of keys with few
+    of them. Of the other keys the first such pair of each member, which connects most of a group at once, and the members (a) of such pairs; of
+    very large keys the pairs with their first member, and all members."""
     for rows, starts, stops in _groups(batches):
         key, node, sizes = rows["key"].to_numpy(), rows["node"].to_numpy(), stops - starts
+        checks = [rows[f"c{i}"].to_numpy().view(np.uint64) for i in range(CHECKED)]
+        group, stop = np.repeat(np.arange(len(sizes)), sizes), np.repeat(stops, sizes)
+        large = sizes[group] > TOGETHER
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for size in range(2, WHOLE + 1):
-            at = starts[sizes == size]
-            for i, j in combinations(range(size), 2):
-                a.append(node[at + i])
-                b.append(node[at + j])
+
+        def near(one: np.ndarray, other: np.ndarray) -> None:
+            close = (sum(np.bitwise_count(x[one] ^ x[other]) for x in checks) <= most) | (key[one] < 0)
+            a.append(one[close])
+            b.append(other[close])
+
+        at, step = np.flatnonzero(~large), 1
+        while len(at := at[at + step < stop[at]]):  # each row with the one ``step`` places on in its group
+            near(at, at + step)
+            step += 1
+        x, y = np.concatenate(a), np.concatenate(b)
+        few = np.bincount(group[x], minlength=len(sizes))[group[x]] <= PAIRS
+        large[x[~few]] = large[y[~few]] = True
+        order = np.flatnonzero(~few)
+        order = order[np.lexsort((x[order], y[order]))]
+        first = order[np.unique(y[order], return_index=True)[1]]
+        a, b = [x[few], x[first]], [y[few], y[first]]
+        most_of = np.flatnonzero(sizes[group] > TOGETHER)
+        near(starts[group[most_of]], most_of)
         x, y = np.concatenate(a), np.concatenate(b)
-        large = np.repeat(sizes > WHOLE, sizes)
+        x, y = node[x[x != y]], node[y[x != y]]
         n, more = len(x), int(large.sum())
         if n + more:
             yield record_batch({
                 "key": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key[large])]),
-                "a": pa.array(np.concatenate([x, node[large]])),
-                "b": pa.concat_arrays([pa.array(y), pa.nulls(more, pa.int64())]),
+                "a": pa.array(np.concatenate([np.minimum(x, y), node[large]])),
+                "b": pa.concat_arrays([pa.array(np.maximum(x, y)), pa.nulls(more, pa.int64())]),
             })
 
 
@@ -350,9 +423,9 @@ class _Sketches:
         return shared / max(len(x) + len(y) - shared, 1)
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], most: int, least: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, piece, node, root, asks, signs, size, sketch) in order of keys and pieces: pairs (a, b) of each asking member and the ``most``
-    that are likest to it of those which have another root, agree in ``least`` minima and may be ``similarity`` alike; the key instead,
+def _nearest(batches: Iterator[pa.RecordBatch], most: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, piece, node, root, asks, print, size, sketch) in order of keys and pieces: pairs (a, b) of each asking member and the ``most``
+    that are likest to it of those which have another root, a fingerprint near enough and may be ``similarity`` alike; the key instead,
     with null ends, once if some were left for another round. Where ``asks`` is null, all ask but the largest part: pairs with it are
     found from their other end."""
     for rows, starts, stops in _groups(batches):
@@ -363,18 +436,21 @@ def _nearest(batches: Iterator[pa.RecordBatch], most: int, least: int, similarit
             if len(names) == 1:
                 continue
             part = rows.slice(s, e - s)
-            signs = np.frombuffer(b"".join(part["signs"].to_pylist()), np.uint8).reshape(e - s, -1)
-            sketches = _Sketches(part["size"].to_numpy(), part["sketch"].to_pylist())
+            prints = np.frombuffer(b"".join(part["print"].to_pylist()), np.uint64).reshape(e - s, -1)
+            bits = 64 * prints.shape[1]
+            sizes = part["size"].to_numpy()
+            sketches = _Sketches(sizes, part["sketch"].to_pylist())
             asking = np.flatnonzero(of != counts.argmax() if part["asks"].null_count else part["asks"].to_numpy())
-            step, left = max(1, _COMPARED // signs.size), False
+            step, left = max(1, _COMPARED // prints.size), False
             for at in range(0, len(asking), step):
                 own = asking[at : at + step]
-                agree = (signs[own][:, None, :] == signs[None, :, :]).sum(axis=2, dtype=np.int32)
-                agree[roots[own][:, None] == roots[None, :]] = -1
+                differ = np.bitwise_count(prints[own][:, None, :] ^ prints[None, :, :]).sum(axis=2, dtype=np.int32)
+                differ[roots[own][:, None] == roots[None, :]] = bits + 1
                 a: list[np.ndarray] = []
                 b: list[np.ndarray] = []
-                for i, row in zip(own.tolist(), agree, strict=True):
-                    near, likeness = sketches.alike(i, np.flatnonzero(row >= least), similarity)
+                for i, row in zip(own.tolist(), differ, strict=True):
+                    tiny = (sizes <= FEW) & (sizes[i] <= FEW) & (row <= bits)
+                    near, likeness = sketches.alike(i, np.flatnonzero((row <= most_differing(similarity, bits)) | tiny), similarity)
                     near = near[np.argsort(-likeness, kind="stable")]
                     left = left or len(near) > most
                     b.append(ids[near[:most]])
@@ -387,7 +463,7 @@ def _nearest(batches: Iterator[pa.RecordBatch], most: int, least: int, similarit
 
 
 def _pieces(rooted: DataFrame, alone: bool) -> DataFrame:
-    """(key, piece, node, root, asks, signs, size, sketch): the members of keys of more than ``PIECE`` dealt out over pieces. ``alone``: the pieces are to find
+    """(key, piece, node, root, asks, print, size, sketch): the members of keys of more than ``PIECE`` dealt out over pieces. ``alone``: the pieces are to find
     links of their own only, which leaves few parts of a large group; else members outside of a key's largest part ask in every piece,
     so that no pair of two parts is missed."""
     of = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main"))
@@ -396,9 +472,9 @@ def _pieces(rooted: DataFrame, alone: bool) -> DataFrame:
     own = F.pmod(F.xxhash64("node", "key"), F.col("pieces")).cast("int")
     none = F.lit(None).cast("boolean")
     if alone:
-        return sized.select("key", own.alias("piece"), "node", "root", none.alias("asks"), "signs", "size", "sketch")
-    dealt = sized.select("key", own.alias("piece"), "node", "root", F.when(F.col("pieces") > 1, False).alias("asks"), "signs", "size", "sketch")
-    asking = sized.where((F.col("pieces") > 1) & (F.col("root") != F.col("main"))).select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "node", "root", F.lit(True).alias("asks"), "signs", "size", "sketch")
+        return sized.select("key", own.alias("piece"), "node", "root", none.alias("asks"), "print", "size", "sketch")
+    dealt = sized.select("key", own.alias("piece"), "node", "root", F.when(F.col("pieces") > 1, False).alias("asks"), "print", "size", "sketch")
+    asking = sized.where((F.col("pieces") > 1) & (F.col("root") != F.col("main"))).select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "node", "root", F.lit(True).alias("asks"), "print", "size", "sketch")
     return dealt.unionByName(asking)
 
 
@@ -420,14 +496,30 @@ def _shingle_sets(wanted: DataFrame, kept: DataFrame, shingle: int, most: int |
 
 
 def _sketched(members: DataFrame, kept: DataFrame, shingle: int) -> DataFrame:
-    """(node, signs, size, sketch) of members of large groups."""
-    members = materialize(members.select("node", "digest", "first", "signs"), "members")
+    """(node, print, size, sketch) of members of large groups."""
+    members = materialize(members.select("node", "digest", "first", "print"), "members")
     sets = _shingle_sets(members, kept, shingle, SKETCH).withColumnRenamed("hashes", "sketch")
-    return members.select("node", "signs").join(sets, "node")
+    return members.select("node", "print").join(sets, "node")
 
 
 def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the (written) pairs (a, b) of nodes of ``distinct`` whose whole shingle sets have the Jaccard similarity or more, written."""
+    """Those of the (written) pairs (a, b) of nodes of ``distinct`` whose whole shingle sets have the Jaccard similarity or more, written: of
+    those that pass the Hamming check of all bits the sets are read."""
+
+    def checked() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 4))
+            m, n = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most_differing(similarity, 64 * x.shape[1])
+            near = (near | (np.maximum(m, n) <= FEW)) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9)
+            at = pa.array(np.flatnonzero(near))
+            return record_batch({"a": batch.column(0).take(at), "b": batch.column(1).take(at)})
+
+        return each
+
+    prints = distinct.select("node", "print", "size")
+    both = pairs.join(prints.toDF("a", "x", "m"), "a").join(prints.toDF("b", "y", "n"), "b").select("a", "b", "x", "m", "y", "n")
+    pairs = materialize(map_batches(both, checked, "a bigint, b bigint"), "checked", pairs.count())
     n = pairs.count()
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "digest", "first"), "node"), "compared", 2 * n)
     count = wanted.count()
@@ -450,32 +542,37 @@ def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int,
     first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
     met = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
     found = materialize(map_batches(met, compared, "a bigint, b bigint"), "alike", _PAIR_ROWS * n)
-    discard(wanted, sets)
+    discard(pairs, wanted, sets)
     return found
 
 
-def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float, blocks: int, width: int) -> DataFrame:
     """(node, root) of all nodes that have a link."""
     n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mates = materialize(_keys(distinct).repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(tidy(_mates), "key bigint, a bigint, b bigint"), "mates")
+    near = most_differing(similarity, 64 * CHECKED)
+    dealt = _keys(distinct, blocks, width).repartition(n, "key").sortWithinPartitions("key", "node")
+    mates = materialize(dealt.mapInArrow(tidy(lambda batches: _mates(batches, near)), "key bigint, a bigint, b bigint"), "mates")
     pairs = materialize(mates.where("key IS NULL AND a <> b").select("a", "b").distinct(), "pairs")
     links = _alike(pairs, distinct, kept, shingle, similarity)
     large = mates.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
     split = bool(large.groupBy("key").count().where(F.col("count") > PIECE).take(1))
-    alone, most, least = split, 1, least_agreeing(similarity)
+    alone, most = split, 1
     sketched = materialize(_sketched(large.select("node").distinct().join(distinct, "node"), kept, shingle), "sketches")
     roots = connected_components(links)
     done = pairs
     while members_count := large.count():
-        rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sketched, "node")
+        linked = materialize(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots", members_count)
+        open_keys = linked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        rooted = linked.join(open_keys, "key", "left_semi").join(sketched, "node")
         if split:
             rooted = materialize(rooted, "rooted")
             members = _pieces(rooted, alone)
         else:
-            members = rooted.select("key", F.lit(0).alias("piece"), "node", "root", F.lit(None).cast("boolean").alias("asks"), "signs", "size", "sketch")
+            members = rooted.select("key", F.lit(0).alias("piece"), "node", "root", F.lit(None).cast("boolean").alias("asks"), "print", "size", "sketch")
         dealt = members.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", "node")
-        found = dealt.mapInArrow(tidy(lambda batches, most=most: _nearest(batches, most, least, similarity)), "key bigint, a bigint, b bigint")
+        found = dealt.mapInArrow(tidy(lambda batches, most=most: _nearest(batches, most, similarity)), "key bigint, a bigint, b bigint")
         found = materialize(found, "nearest")
+        discard(linked)
         fresh = found.where("key IS NULL AND a <> b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
         pairs = materialize(fresh, "pairs", found.count())
         links = _alike(pairs, distinct, kept, shingle, similarity) if pairs.take(1) else pairs
@@ -495,25 +592,26 @@ def shingle_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     Jaccard similarity of ``similarity`` or more connect; the smallest id in the group. Written."""
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
 
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        factors, shifts = _permutations()
+    blocks, width = block_shape(kept.count(), similarity)
+    words = max(CHECKED, -(-blocks * width // 64))
 
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            digests, bands, signs = [], [], []
+            digests, prints, sizes, few = [], [], [], []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():
                 hashes = np.unique(shingle_hashes(raw, shingle))
-                low = minima(hashes, factors, shifts)
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                bands.append(b"".join(xxhash.xxh3_64_digest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, ROWS))))
-                signs.append((low >> np.uint32(8)).astype(np.uint8).tobytes())
-            return record_batch({"doc_id": batch.column(0), "digest": pa.array(digests, pa.binary()), "bands": pa.array(bands, pa.binary()), "signs": pa.array(signs, pa.binary())})
+                prints.append(wide_fingerprint(hashes, words).tobytes())
+                sizes.append(len(hashes))
+                few.append(few_keys(hashes, similarity))
+            return record_batch({"doc_id": batch.column(0), "digest": pa.array(digests, pa.binary()), "print": pa.array(prints, pa.binary()), "size": pa.array(sizes, pa.int64()), "few": pa.array(few, pa.binary())})
 
         return each
 
-    prints = materialize(map_batches(kept, make, "doc_id bigint, digest binary, bands binary, signs binary"), "fingerprints")
+    prints = materialize(map_batches(kept, make, "doc_id bigint, digest binary, print binary, size bigint, few binary"), "fingerprints")
     # Numbers of the rows of a written table: they stay what they are.
-    distinct = materialize(prints.groupBy("digest", "bands", "signs").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    roots = _compared_as_groups(distinct, kept, shingle, similarity)
+    distinct = materialize(prints.groupBy("digest", "print", "size", "few").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    roots = _compared_as_groups(distinct, kept, shingle, similarity, blocks, width)
     rooted = distinct.join(roots, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     members = rooted.select("digest", "root").join(lowest, "root")
@@ -523,14 +621,19 @@ def shingle_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) by chains of documents whose shingle sets have a Jaccard similarity of ``similarity`` or more; ids are integers.
 
-    At 0.8 some 15 of 100 bits of a SimHash differ, so no block of it that is long enough to have few chance mates is likely to agree.
-    Candidates therefore share one of ``BANDS`` bands of ``ROWS`` minima of their shingle hashes each: a pair does with a probability
-    of 0.9995 at 0.8, 0.99998 at 0.85 and more above. Every link is verified on the whole shingle sets (64-bit hashes), so none is
-    under ``similarity``. Groups of a key of more than ``WHOLE`` texts send each member's nearest few (by all minima) of other
-    components, verify and connect them, and repeat with sixteen times as many until no pair of two components is left: groups,
-    however large, cost rows in proportion. There a candidate must agree in as many of all minima as all but 1 pair of 30,000 do, and
-    then by the whole sets of up to ``SKETCH`` shingles, or by an estimate with the same slack for longer ones. A key of more than ``PIECE`` texts is dealt out over
-    tasks, and those outside of its largest component meet every piece of it. Equal sets (exact copies) are one row before that;
+    The method is that of the module, on a wider fingerprint: the majority bits over 64-bit hashes of the set's shingles, as many words
+    of them as its blocks need. Texts that agree in a block are candidates. Two fingerprints that differ in fewer bits than there are
+    blocks agree in one for sure; at a similarity of 0.8 some 15 of 100 bits differ, and the number of blocks (72 of 14 bits for up to 8
+    million texts) is such that a pair there agrees in one with a probability of 0.9995, at 0.85 of 0.99998 and above of more. Beyond that
+    blocks get a bit wider each time the texts double, which takes 1.18 times as many. Small sets may differ in more bits: those of up to ``FEW``
+    shingles also meet where they are equal but for one shingle. Candidates must pass a Hamming check of 128 bits and one of all bits; then every
+    link is verified on the whole shingle sets (64-bit hashes), so none is under ``similarity``.
+
+    Keys of more than ``PAIRS`` close pairs send the first one of each member; those whose members are in several components by then send each member's nearest few of other components, verify and connect them, and repeat
+    with sixteen times as many until no pair of two components is left: groups, however large, cost rows in proportion. There a
+    candidate must pass a Hamming check of all bits, and then one by the whole sets of up to ``SKETCH`` shingles, or by an estimate with a slack of
+    four deviations for longer ones. A key of more than ``PIECE`` texts is dealt out over tasks, and those outside of its largest component
+    meet every piece of it. Equal sets (exact copies) are one row before that;
     rows with a null id are left out; rows of one id with unlike texts are judged each by its text."""
     return shingle_groups(docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity).select("doc_id", "component_id")
 

@@ -104,3 +104,34 @@ def test_unlike_texts_under_one_id_stay(spark):
     assert sorted(left, key=str) == sorted([(5, a), (5, b), (6, c), (None, a), (9, None)], key=str)
     once = spark.createDataFrame([(3, a, 1), (3, a, 2), (3, a, 1)], "doc_id bigint, text string, node int")
     assert len(simhash.keep_first(once).collect()) == 1
+
+
+def test_candidates_come_from_blocks_of_the_fingerprint(spark):
+    """Pigeonhole: fingerprints that differ in fewer bits than there are blocks agree in a block; so do nearly all pairs at the threshold."""
+    rng = np.random.default_rng(11)
+    blocks, width = simhash.block_shape(220_000, 0.8)
+    words = -(-blocks * width // 64)
+    hashes = rng.integers(0, 1 << 63, 301, dtype=np.uint64)
+    wide = simhash.wide_fingerprint(hashes, words)
+    assert int(wide[0]) == simhash.fingerprint(hashes)
+    caught = 0
+    for _ in range(300):
+        other = wide.copy()
+        for bit in rng.choice(blocks * width, blocks - 1, replace=False).tolist():
+            other[bit // 64] ^= np.uint64(1 << bit % 64)
+        assert (np.diff(simhash.block_keys(np.stack([wide, other]), blocks, width), axis=0) == 0).any()
+        both, own, new = np.split(rng.integers(0, 1 << 63, 8 * 33 + 66, dtype=np.uint64), [264, 297])
+        pair = np.stack([simhash.wide_fingerprint(np.concatenate([both, x]), words) for x in (own, new)])
+        caught += (np.diff(simhash.block_keys(pair, blocks, width), axis=0) == 0).any()
+        assert np.bitwise_count(pair[0] ^ pair[1]).sum() <= simhash.most_differing(0.8, 64 * words)
+    assert caught >= 298
+
+
+def test_small_sets_meet(spark):
+    """Four of five shingles: similarity 0.8, too few for their fingerprints to be as near as those of longer texts."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(200):
+        own = [f"w{x}" for x in rng.integers(1 << 40, size=9)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:8]))]
+    assert {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {2 * i for i in range(200)}
