@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,6 +228,8 @@ FEW = 9
 TOGETHER = 2_048
 #: Keys with up to so many close pairs send them out at once; others the nearest few of each member, round by round.
 PAIRS = 10
+#: Before the rounds a text is compared with so many of its mates under such other keys, the nearest ones: more keys bring no more pairs.
+NEAREST = 4
 #: Members of a key that one task compares.
 PIECE = 5_000
 #: Hashes of a shingle set that a member of a large group is compared by.
@@ -344,41 +346,46 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
 
 def _mates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, node, c0, c1) in order of keys: the pairs (a, b) that differ in ``most`` of these bits at most, with a null key, of keys with few
-    of them. Of the other keys the first such pair of each member, which connects most of a group at once, and the members (a) of such pairs; of
-    very large keys the pairs with their first member, and all members."""
+    of them. Of the other keys the nearest such pair of each member (b) with one before it, and in how many bits it differs, and the members (a) of
+    such pairs; of very large keys the pairs with their first member, likewise, and all members."""
     for rows, starts, stops in _groups(batches):
         key, node, sizes = rows["key"].to_numpy(), rows["node"].to_numpy(), stops - starts
         checks = [rows[f"c{i}"].to_numpy().view(np.uint64) for i in range(CHECKED)]
         group, stop = np.repeat(np.arange(len(sizes)), sizes), np.repeat(stops, sizes)
         large = sizes[group] > TOGETHER
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        a, b, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
 
         def near(one: np.ndarray, other: np.ndarray) -> None:
-            close = (sum(np.bitwise_count(x[one] ^ x[other]) for x in checks) <= most) | (key[one] < 0)
+            differ = sum(np.bitwise_count(x[one] ^ x[other]) for x in checks)
+            close = (differ <= most) | (key[one] < 0)
             a.append(one[close])
             b.append(other[close])
+            d.append(differ[close])
 
         at, step = np.flatnonzero(~large), 1
         while len(at := at[at + step < stop[at]]):  # each row with the one ``step`` places on in its group
             near(at, at + step)
             step += 1
-        x, y = np.concatenate(a), np.concatenate(b)
+        x, y, differ = np.concatenate(a), np.concatenate(b), np.concatenate(d)
         few = np.bincount(group[x], minlength=len(sizes))[group[x]] <= PAIRS
         large[x[~few]] = large[y[~few]] = True
         order = np.flatnonzero(~few)
-        order = order[np.lexsort((x[order], y[order]))]
+        order = order[np.lexsort((x[order], differ[order], y[order]))]
         first = order[np.unique(y[order], return_index=True)[1]]
-        a, b = [x[few], x[first]], [y[few], y[first]]
+        whole = int(few.sum())
+        a, b, d = [x[few], x[first]], [y[few], y[first]], [differ[few], differ[first]]
         most_of = np.flatnonzero(sizes[group] > TOGETHER)
         near(starts[group[most_of]], most_of)
-        x, y = np.concatenate(a), np.concatenate(b)
-        x, y = node[x[x != y]], node[y[x != y]]
+        x, y, differ = np.concatenate(a), np.concatenate(b), np.concatenate(d)
         n, more = len(x), int(large.sum())
+        helps = pa.array(differ.astype(np.int32), mask=np.arange(n) < whole)
+        x, y = node[x], node[y]
         if n + more:
             yield record_batch({
                 "key": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key[large])]),
                 "a": pa.array(np.concatenate([np.minimum(x, y), node[large]])),
                 "b": pa.concat_arrays([pa.array(np.maximum(x, y)), pa.nulls(more, pa.int64())]),
+                "differ": pa.concat_arrays([helps, pa.nulls(more, pa.int32())]),
             })
 
 
@@ -425,9 +432,9 @@ class _Sketches:
 
 def _nearest(batches: Iterator[pa.RecordBatch], most: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows (key, piece, node, root, asks, print, size, sketch) in order of keys and pieces: pairs (a, b) of each asking member and the ``most``
-    that are likest to it of those which have another root, a fingerprint near enough and may be ``similarity`` alike; the key instead,
-    with null ends, once if some were left for another round. Where ``asks`` is null, all ask but the largest part: pairs with it are
-    found from their other end."""
+    that are likest to it of those which have another root, a fingerprint near enough and may be ``similarity`` alike. Their key is null but where
+    others were left of the same roots, which need no other round if the pair is a link; the key with null ends, once, if some were
+    left of other roots. Where ``asks`` is null, all ask but the largest part: pairs with it are found from their other end."""
     for rows, starts, stops in _groups(batches):
         node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
         for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
@@ -448,16 +455,19 @@ def _nearest(batches: Iterator[pa.RecordBatch], most: int, similarity: float) ->
                 differ[roots[own][:, None] == roots[None, :]] = bits + 1
                 a: list[np.ndarray] = []
                 b: list[np.ndarray] = []
+                depends: list[np.ndarray] = []
                 for i, row in zip(own.tolist(), differ, strict=True):
                     tiny = (sizes <= FEW) & (sizes[i] <= FEW) & (row <= bits)
                     near, likeness = sketches.alike(i, np.flatnonzero((row <= most_differing(similarity, bits)) | tiny), similarity)
                     near = near[np.argsort(-likeness, kind="stable")]
-                    left = left or len(near) > most
+                    left = left or not np.isin(of[near[most:]], of[near[:most]]).all()
                     b.append(ids[near[:most]])
                     a.append(np.full(len(b[-1]), ids[i]))
+                    depends.append(np.full(len(b[-1]), len(near) > most))
                 x, y = np.concatenate(a), np.concatenate(b)
                 if len(x):
-                    yield record_batch({"key": pa.nulls(len(x), pa.int64()), "a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+                    keys = pa.array(np.full(len(x), part["key"][0].as_py(), np.int64), mask=~np.concatenate(depends))
+                    yield record_batch({"key": keys, "a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
             if left:
                 yield record_batch({"key": part["key"].slice(0, 1).combine_chunks(), "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
 
@@ -546,13 +556,23 @@ def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int,
     return found
 
 
+def _first_pairs(mates: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of the rows of ``_mates``: all of keys with few, and of the others the ``NEAREST`` of each b. What these leave out is not
+    lost, as the members of the other keys go through the rounds; a member's row under each of its keys would else be as many pairs,
+    the more of them the larger its group is."""
+    met = mates.where("key IS NULL AND a <> b")
+    place = F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))
+    others = met.where("differ IS NOT NULL").select("a", "b", "differ").distinct().withColumn("place", place).where(F.col("place") <= NEAREST)
+    return met.where("differ IS NULL").select("a", "b").unionByName(others.select("a", "b")).distinct()
+
+
 def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float, blocks: int, width: int) -> DataFrame:
     """(node, root) of all nodes that have a link."""
     n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = most_differing(similarity, 64 * CHECKED)
     dealt = _keys(distinct, blocks, width).repartition(n, "key").sortWithinPartitions("key", "node")
-    mates = materialize(dealt.mapInArrow(tidy(lambda batches: _mates(batches, near)), "key bigint, a bigint, b bigint"), "mates")
-    pairs = materialize(mates.where("key IS NULL AND a <> b").select("a", "b").distinct(), "pairs")
+    mates = materialize(dealt.mapInArrow(tidy(lambda batches: _mates(batches, near)), "key bigint, a bigint, b bigint, differ int"), "mates")
+    pairs = materialize(_first_pairs(mates), "pairs")
     links = _alike(pairs, distinct, kept, shingle, similarity)
     large = mates.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
     split = bool(large.groupBy("key").count().where(F.col("count") > PIECE).take(1))
@@ -573,13 +593,14 @@ def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, simi
         found = dealt.mapInArrow(tidy(lambda batches, most=most: _nearest(batches, most, similarity)), "key bigint, a bigint, b bigint")
         found = materialize(found, "nearest")
         discard(linked)
-        fresh = found.where("key IS NULL AND a <> b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+        fresh = found.where("a <> b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
         pairs = materialize(fresh, "pairs", found.count())
         links = _alike(pairs, distinct, kept, shingle, similarity) if pairs.take(1) else pairs
         if links.take(1):  # what was linked before is a star by now
             roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
         if not alone:
-            large = materialize(large.join(found.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi"), "large", members_count)
+            left = found.where("key IS NOT NULL").join(links, ["a", "b"], "left_anti")
+            large = materialize(large.join(left.select("key").distinct(), "key", "left_semi"), "large", members_count)
             most *= 16
         done, alone = done.unionByName(pairs), False
         if split:

@@ -135,3 +135,21 @@ def test_small_sets_meet(spark):
         own = [f"w{x}" for x in rng.integers(1 << 40, size=9)]
         rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:8]))]
     assert {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {2 * i for i in range(200)}
+
+
+def test_pairs_of_a_group_grow_no_faster_than_the_group(spark, monkeypatch):
+    """Texts around a common one, half of them too far for a link: each is compared with its nearest mates, not with one under each of its keys."""
+    rng, counts = np.random.default_rng(13), []
+
+    def alike(pairs, *rest, real=simhash._alike):
+        counts[-1] += pairs.count()
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_alike", alike)
+    for n in (150, 900):
+        counts.append(0)
+        own = [f"w{x}" for x in rng.integers(1 << 40, size=120)]
+        texts = [changed(rng, own, *((0.72, 0.79) if i % 2 else (0.86, 0.96))) for i in range(n)]
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == components(texts)
+    assert counts[1] <= 6 * counts[0], counts
