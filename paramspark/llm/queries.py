@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from . import decontamination, filter_audit, language_id, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_url_filter": url_filter.op8,
     "op9_lm_score": lm_score.op9,
     "op10_decontamination": decontamination.op10,
+    "op12_filter_audit": filter_audit.op12,
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }
