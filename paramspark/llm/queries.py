@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, filter_audit, language_id, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from . import alignment, decontamination, filter_audit, language_id, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_score": lm_score.op9,
     "op10_decontamination": decontamination.op10,
     "op12_filter_audit": filter_audit.op12,
+    "op13_alignment": alignment.op13,
 }
 
 ORACLE_SQL = {
