@@ -22,8 +22,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -220,16 +221,16 @@ BLOCK, MATES = 14, 512
 #: The chance that two sets at the stated similarity agree in no block.
 MISSED = 1 / 2000
 #: Words of 64 bits that go with each key, for the Hamming check.
-CHECKED = 2
+CHECKED = 4
 #: Sets of so few shingles may differ in more bits than larger ones at one similarity: they are also sent out whole and without each one
 #: shingle, under negative keys, and need no Hamming check among themselves.
 FEW = 9
-#: Keys up to this size are compared whole; of larger ones all members are left to the rounds.
-TOGETHER = 2_048
-#: Keys with up to so many close pairs send them out at once; others the nearest few of each member, round by round.
+#: Keys up to this size are compared whole; of larger ones those outside of the largest component with all others, in up to so many comparisons.
+TOGETHER, COMPARED = 2_048, 1 << 28
+#: Keys with up to so many close pairs of two components send them out; the members of others are compared round by round.
 PAIRS = 10
-#: Before the rounds a text is compared with so many of its mates under such other keys, the nearest ones: more keys bring no more pairs.
-NEAREST = 4
+#: Blocks by which groups of copies are linked before all blocks are looked at, and how many neighbours under a key a text is compared with there.
+EARLY, NEIGHBOURS = (3, 9), 32
 #: Members of a key that one task compares.
 PIECE = 5_000
 #: Hashes of a shingle set that a member of a large group is compared by.
@@ -278,15 +279,16 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def block_keys(prints: np.ndarray, blocks: int, width: int) -> np.ndarray:
+def block_keys(prints: np.ndarray, blocks: int | range, width: int) -> np.ndarray:
     """The key of each block (columns) of each fingerprint (rows of words): two that differ in fewer bits than there are blocks share one."""
-    keys = np.empty((len(prints), blocks), np.int64)
-    for i in range(blocks):
+    blocks = range(blocks) if isinstance(blocks, int) else blocks
+    keys = np.empty((len(prints), len(blocks)), np.int64)
+    for at, i in enumerate(blocks):
         word, shift = divmod(i * width, 64)
         value = prints[:, word] >> np.uint64(shift)
         if shift + width > 64:
             value = value | prints[:, word + 1] << np.uint64(64 - shift)
-        keys[:, i] = (value & np.uint64((1 << width) - 1)) | np.uint64(i << width)
+        keys[:, at] = (value & np.uint64((1 << width) - 1)) | np.uint64(i << width)
     return keys
 
 
@@ -299,8 +301,9 @@ def few_keys(hashes: np.ndarray, similarity: float) -> bytes:
     return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) | 1 << 63 for x in parts], np.uint64).tobytes()
 
 
-def _keys(distinct: DataFrame, blocks: int, width: int) -> DataFrame:
-    """(key, node, c0, c1) for each block of each fingerprint, and for each key of a small set: the words go with it for the Hamming check."""
+def _keys(rooted: DataFrame, blocks: range, width: int) -> DataFrame:
+    """(key, node, root, size, c0, ..) for each of the blocks of each fingerprint, and for each key of a small set: the words go with it for the Hamming
+    check. A root that is the node itself is null: rows of nodes that have no link compress well."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -308,13 +311,14 @@ def _keys(distinct: DataFrame, blocks: int, width: int) -> DataFrame:
             few = batch.column(1).to_pylist()
             keys = np.concatenate([block_keys(prints, blocks, width).ravel(), np.frombuffer(b"".join(few), np.int64)])
             of = np.arange(batch.num_rows)
-            of = np.concatenate([np.repeat(of, blocks), np.repeat(of, [len(x) // 8 for x in few])])
+            of = np.concatenate([np.repeat(of, len(blocks)), np.repeat(of, [len(x) // 8 for x in few])])
             checks = {f"c{i}": pa.array(prints[of, i].view(np.int64)) for i in range(CHECKED)}
-            return record_batch({"key": pa.array(keys), "node": batch.column(2).take(pa.array(of)), **checks})
+            return record_batch({"key": pa.array(keys), "node": batch.column(2).take(pa.array(of)), "root": batch.column(3).take(pa.array(of)), "size": batch.column(4).take(pa.array(of)), **checks})
 
         return each
 
-    return map_batches(distinct.select("print", "few", "node"), make, "key bigint, node bigint, c0 bigint, c1 bigint")
+    words = ", ".join(f"c{i} bigint" for i in range(CHECKED))
+    return map_batches(rooted.select("print", "few", "node", F.nullif("root", "node").alias("root"), "size"), make, f"key bigint, node bigint, root bigint, size bigint, {words}")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -344,48 +348,98 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield bounds(rest)
 
 
-def _mates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, c0, c1) in order of keys: the pairs (a, b) that differ in ``most`` of these bits at most, with a null key, of keys with few
-    of them. Of the other keys the nearest such pair of each member (b) with one before it, and in how many bits it differs, and the members (a) of
-    such pairs; of very large keys the pairs with their first member, likewise, and all members."""
+def _members(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Keys, nodes, roots, sizes and words of rows of ``_keys``."""
+    roots = pc.coalesce(rows["root"], rows["node"])
+    return rows["key"].to_numpy(), rows["node"].to_numpy(), roots.to_numpy(), rows["size"].to_numpy(), [rows[f"c{i}"].to_numpy().view(np.uint64) for i in range(CHECKED)]
+
+
+def _met_before(key: np.ndarray, one: list[np.ndarray], other: list[np.ndarray], width: int) -> np.ndarray:
+    """Whether each pair under a key agrees in an earlier block, as far as these words tell: it has met there."""
+    met = np.zeros(len(key), bool)
+    for i in range(64 * CHECKED // width):
+        word, shift = divmod(i * width, 64)
+        x, y = one[word] >> np.uint64(shift), other[word] >> np.uint64(shift)
+        if shift + width > 64:
+            x, y = (v | w[word + 1] << np.uint64(64 - shift) for v, w in ((x, one), (y, other)))
+        met |= ((x ^ y) & np.uint64((1 << width) - 1) == 0) & (key >> width > i)
+    return met
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], most: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_keys`` in order of keys and words: for each the nearest one of another root, if near and of a size of ``least`` of the other at least, of the ``NEIGHBOURS`` before it and
+    the key's first one, as a pair (a, b)."""
     for rows, starts, stops in _groups(batches):
-        key, node, sizes = rows["key"].to_numpy(), rows["node"].to_numpy(), stops - starts
-        checks = [rows[f"c{i}"].to_numpy().view(np.uint64) for i in range(CHECKED)]
+        key, node, root, own_size, checks = _members(rows)
+        sizes = stops - starts
+        start = np.repeat(starts, sizes)
+        best, mate = np.full(len(key), 64 * CHECKED + 1), np.full(len(key), -1)
+
+        def look(at: np.ndarray, other: np.ndarray) -> None:
+            differ = sum(np.bitwise_count(x[at] ^ x[other]).astype(np.int64) for x in checks)
+            alike = np.minimum(own_size[at], own_size[other]) >= least * np.maximum(own_size[at], own_size[other]) - 1e-9
+            nearer = ((differ <= most) | (key[at] < 0)) & alike & (root[at] != root[other]) & (differ < best[at])
+            best[at[nearer]], mate[at[nearer]] = differ[nearer], other[nearer]
+
+        at = np.arange(len(key))
+        for step in range(1, NEIGHBOURS + 1):
+            at = at[at - step >= start[at]]
+            look(at, at - step)
+        at = np.flatnonzero(np.arange(len(key)) - start > NEIGHBOURS)
+        look(at, start[at])
+        found = np.flatnonzero(mate >= 0)
+        if len(found):
+            x, y = node[found], node[mate[found]]
+            yield record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+
+def _mates(batches: Iterator[pa.RecordBatch], most: int, least: float, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_keys`` in order of keys: the pairs (a, b) of two roots that differ in ``most`` of these bits at most, have sizes that are near (``least``) and have not met
+    under an earlier key, with a null key. Of keys with many of them the key with the members (a) of such pairs; of very large keys that have many members outside of their largest root, the key with all its members."""
+    for rows, starts, stops in _groups(batches):
+        key, node, root, own_size, checks = _members(rows)
+        sizes = stops - starts
         group, stop = np.repeat(np.arange(len(sizes)), sizes), np.repeat(stops, sizes)
-        large = sizes[group] > TOGETHER
-        a, b, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
+        left = np.zeros(len(key), bool)
+        a, b, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
         def near(one: np.ndarray, other: np.ndarray) -> None:
-            differ = sum(np.bitwise_count(x[one] ^ x[other]) for x in checks)
-            close = (differ <= most) | (key[one] < 0)
-            a.append(one[close])
-            b.append(other[close])
-            d.append(differ[close])
-
-        at, step = np.flatnonzero(~large), 1
+            alike = np.minimum(own_size[one], own_size[other]) >= least * np.maximum(own_size[one], own_size[other]) - 1e-9
+            apart = np.flatnonzero((root[one] != root[other]) & alike)
+            one, other = one[apart], other[apart]
+            differ = sum(np.bitwise_count(x[one] ^ x[other]).astype(np.int64) for x in checks)
+            close = np.flatnonzero((differ <= most) | (key[one] < 0))
+            one, other, differ = one[close], other[close], differ[close]
+            new = ~_met_before(key[one], [x[one] for x in checks], [x[other] for x in checks], width)
+            a.append(one[new])
+            b.append(other[new])
+            d.append(differ[new])
+
+        at, step = np.flatnonzero(sizes[group] <= TOGETHER), 1
         while len(at := at[at + step < stop[at]]):  # each row with the one ``step`` places on in its group
             near(at, at + step)
             step += 1
+        for g in np.flatnonzero(sizes > TOGETHER).tolist():
+            s, e = int(starts[g]), int(stops[g])
+            names, of, counts = np.unique(root[s:e], return_inverse=True, return_counts=True)
+            outside = s + np.flatnonzero(of != counts.argmax())
+            if len(outside) * (e - s) > COMPARED:
+                left[s:e] = True
+                continue
+            inside = s + np.flatnonzero(of == counts.argmax())
+            for i, x in enumerate(outside.tolist()):  # those outside with each other once, and with all inside
+                for others in (inside, outside[i + 1 :]):
+                    near(np.full(len(others), x), others)
         x, y, differ = np.concatenate(a), np.concatenate(b), np.concatenate(d)
         few = np.bincount(group[x], minlength=len(sizes))[group[x]] <= PAIRS
-        large[x[~few]] = large[y[~few]] = True
-        order = np.flatnonzero(~few)
-        order = order[np.lexsort((x[order], differ[order], y[order]))]
-        first = order[np.unique(y[order], return_index=True)[1]]
-        whole = int(few.sum())
-        a, b, d = [x[few], x[first]], [y[few], y[first]], [differ[few], differ[first]]
-        most_of = np.flatnonzero(sizes[group] > TOGETHER)
-        near(starts[group[most_of]], most_of)
-        x, y, differ = np.concatenate(a), np.concatenate(b), np.concatenate(d)
-        n, more = len(x), int(large.sum())
-        helps = pa.array(differ.astype(np.int32), mask=np.arange(n) < whole)
-        x, y = node[x], node[y]
+        left[x[~few]] = left[y[~few]] = True
+        x, y = node[x[few]], node[y[few]]
+        n, more = len(x), int(left.sum())
         if n + more:
             yield record_batch({
-                "key": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key[large])]),
-                "a": pa.array(np.concatenate([np.minimum(x, y), node[large]])),
+                "key": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key[left])]),
+                "a": pa.array(np.concatenate([np.minimum(x, y), node[left]])),
                 "b": pa.concat_arrays([pa.array(np.maximum(x, y)), pa.nulls(more, pa.int64())]),
-                "differ": pa.concat_arrays([helps, pa.nulls(more, pa.int32())]),
             })
 
 
@@ -430,9 +484,10 @@ class _Sketches:
         return shared / max(len(x) + len(y) - shared, 1)
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], most: int, similarity: float) -> Iterator[pa.RecordBatch]:
+def _nearest(batches: Iterator[pa.RecordBatch], most: int, bits_apart: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
     """Rows (key, piece, node, root, asks, print, size, sketch) in order of keys and pieces: pairs (a, b) of each asking member and the ``most``
-    that are likest to it of those which have another root, a fingerprint near enough and may be ``similarity`` alike. Their key is null but where
+    that are likest to it of those which have another root, a fingerprint near enough and, by their sketches, may be ``similarity`` alike (None: the
+    fingerprint alone decides). Their key is null but where
     others were left of the same roots, which need no other round if the pair is a link; the key with null ends, once, if some were
     left of other roots. Where ``asks`` is null, all ask but the largest part: pairs with it are found from their other end."""
     for rows, starts, stops in _groups(batches):
@@ -457,8 +512,11 @@ def _nearest(batches: Iterator[pa.RecordBatch], most: int, similarity: float) ->
                 b: list[np.ndarray] = []
                 depends: list[np.ndarray] = []
                 for i, row in zip(own.tolist(), differ, strict=True):
-                    tiny = (sizes <= FEW) & (sizes[i] <= FEW) & (row <= bits)
-                    near, likeness = sketches.alike(i, np.flatnonzero((row <= most_differing(similarity, bits)) | tiny), similarity)
+                    tiny = (sizes <= FEW) & (sizes[i] <= FEW) & (row <= bits) & (similarity is not None)
+                    near = np.flatnonzero((row <= bits_apart) | tiny)
+                    likeness = -row[near]
+                    if similarity is not None:
+                        near, likeness = sketches.alike(i, near, similarity)
                     near = near[np.argsort(-likeness, kind="stable")]
                     left = left or not np.isin(of[near[most:]], of[near[:most]]).all()
                     b.append(ids[near[:most]])
@@ -552,60 +610,79 @@ def _alike(pairs: DataFrame, distinct: DataFrame, kept: DataFrame, shingle: int,
     first, second = sets.toDF("a", "x"), sets.toDF("b", "y")
     met = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
     found = materialize(map_batches(met, compared, "a bigint, b bigint"), "alike", _PAIR_ROWS * n)
-    discard(pairs, wanted, sets)
+    discard(wanted, sets)
     return found
 
 
-def _first_pairs(mates: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of the rows of ``_mates``: all of keys with few, and of the others the ``NEAREST`` of each b. What these leave out is not
-    lost, as the members of the other keys go through the rounds; a member's row under each of its keys would else be as many pairs,
-    the more of them the larger its group is."""
-    met = mates.where("key IS NULL AND a <> b")
-    place = F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))
-    others = met.where("differ IS NOT NULL").select("a", "b", "differ").distinct().withColumn("place", place).where(F.col("place") <= NEAREST)
-    return met.where("differ IS NULL").select("a", "b").unionByName(others.select("a", "b")).distinct()
-
-
-def _compared_as_groups(distinct: DataFrame, kept: DataFrame, shingle: int, similarity: float, blocks: int, width: int) -> DataFrame:
-    """(node, root) of all nodes that have a link."""
-    n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = most_differing(similarity, 64 * CHECKED)
-    dealt = _keys(distinct, blocks, width).repartition(n, "key").sortWithinPartitions("key", "node")
-    mates = materialize(dealt.mapInArrow(tidy(lambda batches: _mates(batches, near)), "key bigint, a bigint, b bigint, differ int"), "mates")
-    pairs = materialize(_first_pairs(mates), "pairs")
-    links = _alike(pairs, distinct, kept, shingle, similarity)
+def components_by_blocks(nodes: DataFrame, blocks: int, width: int, *, bits: int, bits_apart: Callable[[int], int], alike: Callable[[DataFrame], DataFrame], sketched: Callable[[DataFrame], DataFrame], similarity: float | None) -> DataFrame:
+    """(node, root) of all nodes of the written table ``nodes(node, print, few, size, ..)`` that have a link: pairs of fingerprints of ``bits`` bits that agree in
+    a block (or a key of ``few``), differ in ``bits_apart(bits)`` bits at most, and pass ``alike``, which gives the links of a written table of pairs.
+
+    Groups of copies are linked first, by a few blocks in which each looks at its neighbours only. What all blocks are then asked for is pairs of
+    two components, so a group costs rows for what is not linked yet, whatever its size. Of keys with many such pairs the members go through
+    rounds: each sends its nearest few of other components, until no pair of two components is left."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = bits_apart(64 * CHECKED)
+    roots: DataFrame | None = None
+    done: DataFrame | None = None
+
+    def rooted() -> DataFrame:
+        if roots is None:
+            return nodes.withColumn("root", F.col("node"))
+        return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def link(pairs: DataFrame, most_rows: int | None = None) -> DataFrame:
+        """Verifies pairs that have not been so yet, and connects those that are links, which it returns."""
+        nonlocal roots, done
+        pairs = pairs.distinct()
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs", most_rows)
+        done = pairs if done is None else done.unionByName(pairs)
+        links = alike(pairs) if pairs.take(1) else pairs
+        if links.take(1):  # what was linked before is a star by now
+            before = links if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+            roots = connected_components(before)
+        return links
+
+    first = 0
+    for last in EARLY:
+        if last < blocks:
+            dealt = _keys(rooted(), range(first, last), width).repartition(n, "key").sortWithinPartitions("key", "c0", "c1", "node")
+            link(dealt.mapInArrow(tidy(lambda batches: _neighbours(batches, near, similarity or 0.0)), "a bigint, b bigint"))
+        first = last
+    dealt = _keys(rooted(), range(blocks), width).repartition(n, "key").sortWithinPartitions("key", "node")
+    mates = materialize(dealt.mapInArrow(tidy(lambda batches: _mates(batches, near, similarity or 0.0, width)), "key bigint, a bigint, b bigint"), "mates")
+    link(mates.where("key IS NULL").select("a", "b"))
     large = mates.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
+    members_count = large.count()
+    none = nodes.select("node", F.col("node").alias("root")).limit(0)
+    if not members_count:
+        return none if roots is None else roots
     split = bool(large.groupBy("key").count().where(F.col("count") > PIECE).take(1))
     alone, most = split, 1
-    sketched = materialize(_sketched(large.select("node").distinct().join(distinct, "node"), kept, shingle), "sketches")
-    roots = connected_components(links)
-    done = pairs
-    while members_count := large.count():
-        linked = materialize(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots", members_count)
+    sketches = materialize(sketched(large.select("node").distinct().join(nodes, "node")), "sketches")
+    while members_count:
+        linked = large.withColumn("root", F.col("node")) if roots is None else large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        linked = materialize(linked, "roots", members_count)
         open_keys = linked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        rooted = linked.join(open_keys, "key", "left_semi").join(sketched, "node")
+        members = linked.join(open_keys, "key", "left_semi").join(sketches, "node")
         if split:
-            rooted = materialize(rooted, "rooted")
-            members = _pieces(rooted, alone)
+            members = materialize(members, "rooted")
+            pieces = _pieces(members, alone)
         else:
-            members = rooted.select("key", F.lit(0).alias("piece"), "node", "root", F.lit(None).cast("boolean").alias("asks"), "print", "size", "sketch")
-        dealt = members.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", "node")
-        found = dealt.mapInArrow(tidy(lambda batches, most=most: _nearest(batches, most, similarity)), "key bigint, a bigint, b bigint")
+            pieces = members.select("key", F.lit(0).alias("piece"), "node", "root", F.lit(None).cast("boolean").alias("asks"), "print", "size", "sketch")
+        dealt = pieces.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", "node")
+        found = dealt.mapInArrow(tidy(lambda batches, most=most: _nearest(batches, most, bits_apart(bits), similarity)), "key bigint, a bigint, b bigint")
         found = materialize(found, "nearest")
         discard(linked)
-        fresh = found.where("a <> b").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        pairs = materialize(fresh, "pairs", found.count())
-        links = _alike(pairs, distinct, kept, shingle, similarity) if pairs.take(1) else pairs
-        if links.take(1):  # what was linked before is a star by now
-            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        links = link(found.where("a <> b").select("a", "b"), found.count())
         if not alone:
             left = found.where("key IS NOT NULL").join(links, ["a", "b"], "left_anti")
             large = materialize(large.join(left.select("key").distinct(), "key", "left_semi"), "large", members_count)
             most *= 16
-        done, alone = done.unionByName(pairs), False
+        members_count, alone = large.count(), False
         if split:
-            discard(rooted)
-    return roots
+            discard(members)
+    return none if roots is None else roots
 
 
 def shingle_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -632,7 +709,10 @@ def shingle_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     prints = materialize(map_batches(kept, make, "doc_id bigint, digest binary, print binary, size bigint, few binary"), "fingerprints")
     # Numbers of the rows of a written table: they stay what they are.
     distinct = materialize(prints.groupBy("digest", "print", "size", "few").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    roots = _compared_as_groups(distinct, kept, shingle, similarity, blocks, width)
+    roots = components_by_blocks(
+        distinct, blocks, width, bits=64 * words, bits_apart=lambda bits: most_differing(similarity, bits), similarity=similarity,
+        alike=lambda pairs: _alike(pairs, distinct, kept, shingle, similarity), sketched=lambda members: _sketched(members, kept, shingle),
+    )
     rooted = distinct.join(roots, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     members = rooted.select("digest", "root").join(lowest, "root")
@@ -650,8 +730,8 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     shingles also meet where they are equal but for one shingle. Candidates must pass a Hamming check of 128 bits and one of all bits; then every
     link is verified on the whole shingle sets (64-bit hashes), so none is under ``similarity``.
 
-    Keys of more than ``PAIRS`` close pairs send the first one of each member; those whose members are in several components by then send each member's nearest few of other components, verify and connect them, and repeat
-    with sixteen times as many until no pair of two components is left: groups, however large, cost rows in proportion. There a
+    Copies are linked first by ``EARLY`` blocks, in which each text looks at its neighbours only; from then on only pairs of two components count.
+    Keys of more than ``PAIRS`` such pairs go through rounds: each member sends its nearest few of other components, which are verified and connected, and again sixteen times as many until no pair of two components is left: groups, however large, cost rows in proportion. There a
     candidate must pass a Hamming check of all bits, and then one by the whole sets of up to ``SKETCH`` shingles, or by an estimate with a slack of
     four deviations for longer ones. A key of more than ``PIECE`` texts is dealt out over tasks, and those outside of its largest component
     meet every piece of it. Equal sets (exact copies) are one row before that;
