@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontamination, filter_audit, language_id, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from . import alignment, decontamination, edit_embedding, filter_audit, language_id, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8,
     "op9_lm_score": lm_score.op9,
     "op10_decontamination": decontamination.op10,
+    "op11_edit_embedding": edit_embedding.op11,
     "op12_filter_audit": filter_audit.op12,
     "op13_alignment": alignment.op13,
 }

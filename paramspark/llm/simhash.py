@@ -254,8 +254,13 @@ def most_differing(similarity: float, bits: int) -> int:
 
 def block_shape(n: int, similarity: float) -> tuple[int, int]:
     """(blocks, bits of a block) for ``n`` texts: so many that all but ``MISSED`` of the pairs at the similarity agree in one."""
+    return block_shape_of(n, differing(similarity))
+
+
+def block_shape_of(n: int, share: float) -> tuple[int, int]:
+    """The same for pairs that differ in this share of the bits."""
     width = max(BLOCK, int(np.ceil(np.log2(max(n, 1) / MATES))))
-    agree = (1 - differing(similarity)) ** width
+    agree = (1 - share) ** width
     return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-min(agree, 1 - 1e-9))))), width
 
 
