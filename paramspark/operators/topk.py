@@ -1,24 +1,31 @@
-"""Top-K items by scalar product, exactly, with length, coordinate or incremental pruning.
-
-Items are sorted by falling length and cut into buckets. Once K scores are held, a bucket whose longest item times the query's
-length cannot beat the K-th score ends the search, and inside a bucket a bound removes items before their product is taken. Every
-strategy gives the same rows as brute force; only the number of products differs. Item blocks are bounded: beyond
-``BLOCK_ITEMS`` items each block is searched by itself and the blocks' best are merged by rank.
+"""Top-K items by scalar product, exactly, with length, coordinate or incremental pruning, as a join of queries and buckets of items.
+
+Index: items are numbered by falling length and cut into buckets of at most ``BUCKET_ITEMS``. Seeds: the ``SEED_ITEMS`` longest items, whose
+number is fixed, give each query a K-th score to start from. Since no product exceeds the product of both lengths, a query has
+nothing to find in buckets whose longest item is too short for that score; as lengths fall, those left are the first few, and the query becomes a row
+for each. These meet the items of the bucket, at most ``PART_QUERIES`` or so at a time, and inside a bucket the search goes on in steps of
+``bucket`` items, with a bound that removes items before their product is taken. Every strategy gives the same rows as brute
+force; only the number of products differs. The driver sees the seeds and the greatest length of each of at most
+``MAX_BUCKETS`` buckets; a hot bucket (the first one, which all queries ask) is dealt out by query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from ..plans.storage import materialize
 
-BLOCK_ITEMS = 200_000
+BUCKET_ITEMS, MAX_BUCKETS = 4096, 100_000
+SEED_ITEMS = 1024
+PART_QUERIES = 4096
 
 
 class Strategy(NamedTuple):
@@ -83,14 +90,15 @@ class Items:
         rest = np.sqrt(np.maximum(0, lengths**2 - (self.vectors[at][:, focus] ** 2).sum(axis=1)) * max(0.0, size**2 - float((q[focus] ** 2).sum())))
         return seen + rest >= theta - slack
 
-    def top(self, q: np.ndarray, k: int, strategy: Strategy, skip: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best items outside of ``skip``, by falling score, then id."""
+    def top(self, q: np.ndarray, k: int, strategy: Strategy, skip: frozenset = frozenset(), least: float = -np.inf, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the ``k`` best items outside of ``skip`` that reach ``least``, by falling score, then id; with a ``slack`` also of those that
+        are no more than that below the k-th."""
         size = float(np.sqrt((q**2).sum()))
         ids, scores = np.empty(0, self.ids.dtype), np.empty(0)
         for start in range(0, len(self.ids), self.bucket):
             at = slice(start, start + self.bucket)
-            theta = scores[-1] if len(scores) == k else -np.inf
-            if self.lengths[start] * size < theta:
+            theta = max(least, scores[k - 1] if len(scores) >= k else -np.inf) - slack
+            if self.lengths[start] * size < theta - 1e-9 * (1 + abs(theta)):
                 break
             keep = np.flatnonzero(self._candidates(q, size, at, theta, strategy)) + start
             if skip:
@@ -98,44 +106,74 @@ class Items:
             self.products += len(keep)
             every = np.concatenate([scores, (self.vectors[keep] * q).sum(axis=1)])
             names = np.concatenate([ids, self.ids[keep]])
-            order = np.lexsort((names, -every))[:k]
+            order = np.lexsort((names, -every))
             ids, scores = names[order], every[order]
-        return ids, scores
+            if len(scores) > k:
+                n = max(k, int(np.searchsorted(-scores, slack - scores[k - 1], "right"))) if slack else k
+                ids, scores = ids[:n], scores[:n]
+        enough = scores >= least - slack
+        return ids[enough], scores[enough]
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), float).reshape(len(column), -1 if len(column) else 0)
+
+
+def length_index(items: DataFrame) -> DataFrame:
+    """(bucket, id, vec, len) of items (id, vec), written: buckets of equal numbers of items by falling length, of equal length by id."""
+    size = F.sqrt(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
+    placed = numbered(items.where("vec IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("vec"), size.alias("len")), [F.desc("len"), F.col("id")], "number")
+    per = max(BUCKET_ITEMS, math.ceil(items.count() / MAX_BUCKETS))
+    return materialize(placed.select("number", F.expr(f"number div {per}").alias("bucket"), "id", "vec", "len"), "item_index")
 
 
 def top_items(queries: DataFrame, items: DataFrame, *, k: int, strategy: str = "coord", bucket: int = 100, digits: int = 6) -> DataFrame:
     """(query, rank, item, score) for queries (id, vec[, skip]) over items (id, vec); a null query vector gives no rows. ``skip``: items left out.
 
     Scores are rounded to ``digits`` before they are ranked, so equal ones are ranked by item."""
-    plan = parse_strategy(strategy)
-    n = items.count()
-    blocks = -(-n // BLOCK_ITEMS)
+    plan, slack = parse_strategy(strategy), 10.0**-digits
     has_skip = "skip" in queries.columns
-    asked = queries.where("vec IS NOT NULL").select(F.col("id").alias("query"), "vec", *(["skip"] if has_skip else []))
-    cut = materialize(items.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "items") if blocks > 1 else items
-    parts = []
-    for b in range(max(1, blocks)):
-        rows = (cut.where(F.col("__block") == b) if blocks > 1 else cut).select("id", "vec").toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), np.array(rows["vec"].tolist(), float).reshape(len(rows), -1)))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, vectors = shared.value
-            known = Items(ids, vectors, bucket)
-            for rows in batches:
-                out = []
-                for i, (query, vec) in enumerate(zip(rows["query"], rows["vec"], strict=True)):
-                    found, scores = known.top(np.asarray(vec, float), k + 8, plan, frozenset(rows["skip"].iloc[i]) if has_skip else frozenset())
-                    out += zip([query] * len(found), found, np.round(scores, digits) + 0.0, strict=True)
-                yield pd.DataFrame(out, columns=["query", "item", "score"])
-
-        found = asked.mapInPandas(search, f"query {asked.schema['query'].dataType.simpleString()}, item {items.schema['id'].dataType.simpleString()}, score double")
-        if blocks > 1:  # the driver and the executors hold one block at a time
-            found = materialize(found, "block_scores")
-            shared.destroy()
-        parts.append(found)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    asked = queries.where("vec IS NOT NULL").select(F.col("id").alias("query"), F.col("vec").cast("array<double>").alias("vec"), *(["skip"] if has_skip else []))
+    query_type, item_type = asked.schema["query"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
+    index = length_index(items)
+    longest = -np.array([r["n"] for r in index.groupBy("bucket").agg(F.max("len").alias("n")).orderBy("bucket").collect()])
+    seeds = index.where(F.col("number") < SEED_ITEMS).select("id", "vec").toArrow()
+    shared = queries.sparkSession.sparkContext.broadcast((seeds["id"].to_numpy(), _vectors(seeds["vec"]), longest))
+    skips = lambda rows: [frozenset(x or ()) for x in rows["skip"].to_pylist()] if has_skip else [frozenset()] * rows.num_rows
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """With the number of buckets that each query asks, and the score that it has to reach there."""
+        ids, vectors, falling = shared.value
+        known = Items(ids, vectors, bucket)
+        for rows in batches:
+            least, depth = [], []
+            for q, skip in zip(_vectors(rows["vec"]), skips(rows), strict=True):
+                found = known.top(q, k, plan, skip)[1]
+                least.append(float(found[k - 1]) if len(found) == k else -math.inf)
+                size = float(np.sqrt((q**2).sum()))
+                needed = (least[-1] - slack) / size if size and len(found) == k else -math.inf
+                depth.append(int(np.searchsorted(falling, -needed + 1e-9 * (1 + abs(needed)), "right")) if np.isfinite(needed) else len(falling))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(least, pa.float64()), pa.array(depth, pa.int32())], [*rows.schema.names, "least", "depth"])
+
+    skip_type = f", skip {asked.schema['skip'].dataType.simpleString()}" if has_skip else ""
+    asked = materialize(asked.mapInArrow(seeded, f"query {query_type}, vec array<double>{skip_type}, least double, depth int"), "asked")
+    parts = max(1, math.ceil(asked.count() / PART_QUERIES))
+    rows = asked.where("depth > 0").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts))).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("depth") - F.lit(1).cast("long"))))
+    met = rows.select("bucket", "part").distinct().join(index.select("bucket", "id", F.col("vec").alias("item_vec")), "bucket").withColumnsRenamed({"bucket": "of_bucket", "part": "of_part"})
+
+    def search(own: pa.Table, others: pa.Table) -> pa.Table:
+        known = Items(others["id"].to_numpy(), _vectors(others["item_vec"]), bucket)
+        query, item, score = [], [], []
+        for i, (q, skip, least) in enumerate(zip(_vectors(own["vec"]), skips(own), own["least"].to_pylist(), strict=True)):
+            ids, scores = known.top(q, k, plan, skip, least, slack)
+            query.append(np.full(len(ids), i))
+            item.append(ids)
+            score.append(np.round(scores, digits) + 0.0)
+        at = np.concatenate(query) if query else np.empty(0, int)
+        names = np.concatenate(item) if item else others["id"].to_numpy()[:0]
+        return pa.table({"query": own["query"].take(pa.array(at)), "item": pa.array(names, others["id"].type), "score": pa.array(np.concatenate(score) if score else [], pa.float64())})
+
+    every = rows.groupBy("bucket", "part").cogroup(met.groupBy("of_bucket", "of_part")).applyInArrow(search, f"query {query_type}, item {item_type}, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "item", "score")
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paramspark.operators import topk as K
 
@@ -41,17 +42,68 @@ def test_parser():
             K.parse_strategy(bad)
 
 
-def test_blocks_and_null_vectors(spark, monkeypatch):
-    monkeypatch.setattr(K, "BLOCK_ITEMS", 7)
+def test_null_vectors_and_skipped_items(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(0, 1, (20, 4))
-    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, vec array<double>")
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(99, None)], "id int, vec array<double>")
     queries = spark.createDataFrame([(0, vectors[0].tolist(), [0, 1]), (1, None, None)], "id int, vec array<double>, skip array<int>")
     got = K.top_items(queries, items, k=4, strategy="coord").collect()
     want = [i for i in brute(np.arange(20), vectors, vectors[0], 20) if i not in (0, 1)][:4]
     assert [r["item"] for r in sorted(got, key=lambda r: r["rank"])] == want
 
 
+def found(df):
+    lists = {}
+    for r in df.collect():
+        lists.setdefault(r["query"], []).append((r["rank"], r["item"]))
+    return {q: [i for _, i in sorted(x)] for q, x in lists.items()}
+
+
+@pytest.mark.parametrize("text", ["length", "li:3:1.1"])
+def test_many_buckets_in_one_job(spark, monkeypatch, text):
+    """Items over many buckets and queries over several parts of each, skewed lengths, ties, repeated vectors and queries of no length."""
+    monkeypatch.setattr(K, "BUCKET_ITEMS", 40)
+    monkeypatch.setattr(K, "SEED_ITEMS", 16)
+    monkeypatch.setattr(K, "PART_QUERIES", 7)
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(0, 1, (700, 5)) * rng.random((700, 1)) ** 2, 2)
+    vectors[100:140] = vectors[100]
+    vectors[300:310] = 0
+    asked = np.round(rng.normal(0, 1, (30, 5)), 2)
+    asked[7] = 0
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vec array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, v.tolist(), [j for j in range(i)]) for i, v in enumerate(asked)], "id long, vec array<double>, skip array<long>")
+    got = found(K.top_items(queries, items, k=6, strategy=text))
+    for i, q in enumerate(asked):
+        scores = np.round((vectors * q).sum(axis=1), 6)
+        order = [x for x in np.lexsort((np.arange(700), -scores)).tolist() if x >= i][:6]
+        assert got[i] == order, i
+
+
+def test_short_items_are_not_asked(spark, monkeypatch):
+    """Queries become rows for the buckets that their seeds leave open only."""
+    monkeypatch.setattr(K, "BUCKET_ITEMS", 50)
+    monkeypatch.setattr(K, "SEED_ITEMS", 50)
+    written = {}
+    monkeypatch.setattr(K, "materialize", lambda df, name, real=K.materialize: written.setdefault(name, real(df, name)))
+    rng = np.random.default_rng(5)
+    vectors = np.abs(rng.normal(0, 1, (1000, 8))) * (rng.random((1000, 1)) ** 4)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, vec array<double>")
+    asked = rng.normal(1, 1, (40, 8))
+    queries = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(asked)], "id int, vec array<double>")
+    got = found(K.top_items(queries, items, k=5, strategy="coord"))
+    assert all(got[i] == brute(np.arange(1000), vectors, asked[i], 5) for i in range(40))
+    assert max(r["depth"] for r in written["asked"].collect()) < 20 and written["asked"].selectExpr("avg(depth)").first()[0] < 8
+
+
+def test_no_items_and_few_items(spark):
+    none = spark.createDataFrame([], "id int, vec array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 2.0])], "id int, vec array<double>")
+    assert K.top_items(queries, none, k=3).count() == 0
+    assert found(K.top_items(queries, queries.withColumn("id", F.lit("a")), k=3)) == {1: ["a"]}
+    assert K.top_items(queries.limit(0), queries, k=3).count() == 0
+
+
 def test_recent_items(spark):
     events = spark.createDataFrame([(i, 1, "abcab"[i]) for i in range(5)], "n int, u int, item string")
     at = lambda m: [r["recent"] for r in K.recent_items(events, user="u", item="item", order="n", memory=m).orderBy("n").collect()]
