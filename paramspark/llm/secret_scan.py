@@ -7,7 +7,8 @@ characters that hold the bytes, compressed data to the whole run that held it. A
 unwrapped again, which ends cycles (a compressed stream may contain itself).
 
 Decoding is tolerant: bytes that are no UTF-8 stand for themselves; bytes are read as UTF-16 too where 16 letters look like it; a base64
-run is decoded at each of its four alignments, as it may be glued to other letters; compressed data may begin anywhere in a run. A
+run is decoded at each of its four alignments, as it may be glued to other letters; lines of base64 of one width (MIME, PEM) are one run, with line
+breaks as they are or as escapes, and spans reach over these; compressed data may begin anywhere in a run. A
 reading without 16 plain characters in a row is left out: no pattern and no further encoding fits into fewer.
 
 One row stays in one task. Compressed runs are unfolded as streams to the end of their last member and scanned in chunks that end
@@ -28,6 +29,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,11 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_CLASS = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 _B64_CLASS = bytes(98 if chr(c).isascii() and (chr(c).isalnum() or c in b"+/_-") else 32 for c in range(256))
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Base64 over several lines: each line of an unbroken run up to its end, and line breaks, which may themselves be written as escapes.
+_B64_BREAK = r"(?:\r\n|\n|\\r\\n|\\n)[ \t]*"
+_B64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{20,}}+(?:{_B64_BREAK}(?!-----)[A-Za-z0-9+/_-]++)++={{0,2}}")
+_B64_SPLIT = re.compile(_B64_BREAK)
+_B64_LINE = re.compile(rb"[ \t]*[A-Za-z0-9+/_-]{20,}\r?\n")
 _ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
 #: Tokens that may write bytes with escapes, and the escapes.
 _ESCAPED = re.compile(r"[A-Za-z0-9_.~/%\\+!*'()-]{12,}")
@@ -308,6 +315,8 @@ def _chunks(stream: _Stream) -> Iterator[tuple[bytes, bool]]:
                 yield buffer, False
             return
         cut = buffer.translate(_BREAKS).rfind(b"\n") + 1
+        while cut and _B64_LINE.fullmatch(buffer, line := buffer.rfind(b"\n", 0, cut - 1) + 1, cut):  # base64 may go on in the next line
+            cut = line
         if cut:
             yield buffer[:cut], False
             rest = buffer[cut:]
@@ -356,17 +365,39 @@ def _unfolded(data: bytes, begin: int, end: int, most: int | None, met: _Found)
                 met.unread.add((begin, end))
 
 
+def _wrapped(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 runs that line breaks divide, without these, and the place of each character: all lines but the first and the last are of one
+    width, which the last one does not pass; a first line may be longer or shorter, by what stands before it."""
+    for m in _B64_LINES.finditer(text):
+        lines, at = [], m.start()
+        for gap in _B64_SPLIT.finditer(text, m.start(), m.end()):
+            lines.append((at, gap.start()))
+            at = gap.end()
+        lines.append((at, m.end()))
+        first = 0
+        while first < len(lines) - 1:
+            last = first + 1
+            width = len(text[slice(*lines[last])].rstrip("="))
+            while last + 1 < len(lines) and lines[last][1] - lines[last][0] == width >= 20 and lines[last + 1][1] - lines[last + 1][0] <= width:
+                last += 1
+            if last > first + 1 or width <= lines[first][1] - lines[first][0]:
+                places = np.concatenate([np.arange(s, e) for s, e in lines[first : last + 1]])
+                yield "".join(text[s:e] for s, e in lines[first : last + 1]), places
+            first = last
+
+
 def _decoded_runs(layer: Layer, most: int | None, met: _Found) -> Iterator[Layer]:
-    """The layers inside base64 runs, one at a time."""
-    for m in _B64.finditer(layer.text):
-        whole = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    """The layers inside base64 runs, one at a time; in one line, and over several."""
+    runs = ((m[0], np.arange(m.start(), m.end())) for m in _B64.finditer(layer.text))
+    for found, places in chain(runs, _wrapped(layer.text)):
+        whole = found.rstrip("=").replace("-", "+").replace("_", "/")
         for shift in range(4):
             run = whole[shift:]
             run = run[:-1] if len(run) % 4 == 1 else run
             data = base64.b64decode(run + "=" * (-len(run) % 4))
-            yield from _unfolded(data, *layer.source(m.start() + shift, m.end()), most, met)
+            yield from _unfolded(data, *layer.source(int(places[shift]), int(places[-1]) + 1), most, met)
             for text, begin, end in _readings(data):
-                begin, end = m.start() + shift + begin * 4 // 3, m.start() + shift + -(-end * 4 // 3)
+                begin, end = places[shift + begin * 4 // 3], places[shift - (-end * 4 // 3) - 1] + 1
                 if layer.begin is not None:
                     begin, end = layer.begin[begin], layer.end[end - 1]
                 yield Layer(text, begin, end)

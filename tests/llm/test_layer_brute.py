@@ -62,6 +62,20 @@ def plain(text):
                         inner.append((c, cells[first + n * 4 // 3][1], cells[first - (-(n + size) * 4 // 3) - 1][2]))
                         n += size
                     visit(inner, depth + 1)
+        for block in wrapped(own):
+            run = "".join(own[i] for i in block).rstrip("=").replace("-", "+").replace("_", "/")
+            for shift in range(4):
+                some = run[shift:]
+                some = some[: len(some) - (len(some) % 4 == 1)]
+                data = base64.b64decode(some + "=" * (-len(some) % 4))
+                unfold(data, cells[block[shift]][1], cells[block[-1]][2], depth)
+                if re.search(rb"[\x20-\x7e\t\r\n]{16}", data):
+                    n, inner = 0, []
+                    for c in data.decode("utf-8", "surrogateescape"):
+                        size = len(c.encode("utf-8", "surrogateescape"))
+                        inner.append((c, cells[block[shift + n * 4 // 3]][1], cells[block[shift - (-(n + size) * 4 // 3) - 1]][2]))
+                        n += size
+                    visit(inner, depth + 1)
         for m in re.finditer(r"[A-Za-z0-9_.~/%+!*'()-]{12,}", own):
             if "%" in m[0]:
                 unfold(unquote_to_bytes(m[0]), cells[m.start()][1], cells[m.end() - 1][2], depth)
@@ -81,6 +95,39 @@ def plain(text):
     return found
 
 
+def wrapped(text):
+    """Lists of places: base64 on lines of one width, the last one no wider, read line by line."""
+    ends = [(m.start(), m.end()) for m in re.finditer(r"\r\n|\n|\\r\\n|\\n", text)]
+    bounds = list(zip([0] + [e for _, e in ends], [s for s, _ in ends] + [len(text)], strict=True))
+    k = 0
+    while k < len(bounds):
+        head = re.search(r"[A-Za-z0-9+/_-]{20,}$", text[slice(*bounds[k])])
+        block = list(range(bounds[k][0] + head.start(), bounds[k][1])) if head else []
+        width = None
+        while head and k + 1 < len(bounds):
+            line = text[slice(*bounds[k + 1])]
+            body = re.match(r"[A-Za-z0-9+/_-]*={0,2}", line)[0]
+            if not body or body.startswith("-----") or len(body) > (width or len(body)):
+                break
+            width = width or len(body)
+            block += range(bounds[k + 1][0], bounds[k + 1][0] + len(body))
+            k += 1
+            if len(body) < width or body != line:
+                break
+        if width:
+            yield block
+        k += 1 if not width else 0
+        if width and not re.search(r"[A-Za-z0-9+/_-]{20,}$", text[slice(*bounds[k])]):
+            k += 1
+        elif width:
+            k += 1
+
+
+def lines_of(data, width, end="\n"):
+    run = base64.b64encode(data).decode()
+    return end.join(run[i : i + width] for i in range(0, len(run), width)).encode()
+
+
 WRAPS = [
     lambda b: base64.b64encode(b),
     lambda b: base64.urlsafe_b64encode(b),
@@ -94,6 +141,10 @@ WRAPS = [
     lambda b: quote(zlib.compress(b), safe="").encode(),
     lambda b: b"see /x/y_" + base64.b64encode(b),
     lambda b: b"words before " + b + b" and behind",
+    lambda b: lines_of(b, 64),
+    lambda b: lines_of(b, 76, "\r\n"),
+    lambda b: b"-----BEGIN X-----\n" + lines_of(gzip.compress(b), 64) + b"\n-----END X-----\n",
+    lambda b: b'{"key": "' + lines_of(b, 76, "\\n") + b'"}',
 ]
 
 
@@ -105,7 +156,9 @@ def test_spans_equal_a_plain_unwrapper(seed):
         data = rng.choice(WRAPS)(data)
     text = "é first, " + data.decode() + " last"
     got = {(secret_scan.KINDS[k], s, e) for s, k, e in secret_scan.decoded_spans(text, text.encode())[0]}
-    assert got == plain(text)
+    want = plain(text)
+    # A compressed run on several lines is also read to the end of its first line, as damaged data would be.
+    assert want <= got and all(any(k == kind and s <= start and end <= e for k, s, e in want) for kind, start, end in got - want)
 
 
 SECRET = "token=abcdefgh12345678"
@@ -138,6 +191,38 @@ def test_tolerant_decoding(inner):
     assert SECRET not in secret_scan.redact(text)
 
 
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\n    "])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, lambda b: gzip.compress(b + random.Random(1).randbytes(900))])
+@pytest.mark.parametrize("at", [0, 7, 40, 41, 46, 55, 62, 90, 133, 400])
+def test_base64_on_several_lines(width, end, pack, at):
+    """A secret at any place of a wrapped run, with what stands around it: its span is that of the characters that hold it."""
+    data = (b"plain words go here " * 30)[:at] + b" " + SECRET.encode() + b" and then some more of them " * 5
+    run = lines_of(pack(data), width, end).decode()
+    for before, after in (("é first: ", " last"), ("-----BEGIN A-----\n", "\n-----END A-----"), ('{"a": "', '"}')):
+        text = before + run + after
+        spans = secret_scan.decoded_spans(text, text.encode())[0]
+        assert spans and all(k == 0 and len(before) <= s < e <= len(before) + len(run) for s, k, e in spans)
+        if pack is bytes:
+            kept = [i for i in range(len(run)) if i not in breaks(run, end)]
+            want = [(len(before) + kept[(at + 1) * 4 // 3], 0, len(before) + kept[-(-(at + 1 + len(SECRET)) * 4 // 3) - 1] + 1)]
+            assert sorted(spans) == want
+        assert SECRET not in secret_scan.redact(text) and b64(SECRET.encode())[4:20] not in secret_scan.redact(text)
+
+
+def breaks(run, end):
+    return {i + j for i in range(len(run)) if run.startswith(end, i) for j in range(len(end))}
+
+
+def test_wrapped_base64_across_chunks(monkeypatch):
+    """Lines of base64 inside of a compressed run are not divided where a chunk ends."""
+    monkeypatch.setattr(secret_scan, "CHUNK_BYTES", 700)
+    for at in range(0, 900, 37):
+        inner = b"text line\n" * (at // 10) + lines_of(b"x" * at + b" " + SECRET.encode() + b" " + b"y" * 300, 64) + b"\n" + b"more\n" * 200
+        text = b64(gzip.compress(inner))
+        assert secret_scan.decoded_spans(text, text.encode())[0], at
+
+
 def test_binary_runs_are_no_secrets():
     noise = random.Random(3).randbytes(200_000)
     text = b64(noise)
