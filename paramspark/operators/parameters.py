@@ -81,8 +81,8 @@ def hash_owner(id: Column, parts: int) -> Column:  # noqa: A002
 
 
 def range_owner(id: Column, features: int, parts: int) -> Column:  # noqa: A002
-    """Owner of an integer id under equal ranges of ``features`` ids."""
-    return F.floor(F.abs(id) / math.ceil(features / parts)).cast("int")
+    """Owner of an integer id under equal ranges of ``features`` ids: 0 to ``parts`` - 1. Ids from ``features`` on are the last owner's."""
+    return F.least(F.floor(F.abs(id) / math.ceil(features / parts)), F.lit(parts - 1)).cast("int")
 
 
 def range_partition(df: DataFrame, id: str, features: int, parts: int) -> DataFrame:  # noqa: A002

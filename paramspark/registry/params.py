@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import parameters as P
 from ..operators.logic import LockServer, Server
-from ..sources.tweets import read_tweets, split_by_time
-from .tables import START, epoch, slotted, table
+from ..plans.storage import written_text
+from ..sources.tweets import factor_lines, read_factors, read_tweets, split_by_time
+from .tables import START, epoch, slotted, table, vectors
 
 KEEP = ["the", "of", "and", "die", "la", "des"]
 
@@ -54,8 +55,9 @@ def pulled_only(spark, d):
 
 def range_partition(spark, d):
     lines = table(spark, d, "lineitem")
-    dealt = P.range_partition(lines.select("l_partkey", "l_quantity"), "l_partkey", 2000, 8)
-    return dealt.groupBy(F.col("l_partkey").alias("id"), P.range_owner(F.col("l_partkey"), 2000, 8).alias("owner")).agg(F.sum("l_quantity").cast("long").alias("value"))
+    features = (lines.agg(F.max("l_partkey")).first()[0] or 0) + 1
+    dealt = P.range_partition(lines.select("l_partkey", "l_quantity"), "l_partkey", features, 8)
+    return dealt.groupBy(F.col("l_partkey").alias("id"), P.range_owner(F.col("l_partkey"), features, 8).alias("owner")).agg(F.sum("l_quantity").cast("long").alias("value"))
 
 
 def hash_partition(spark, d):
@@ -130,6 +132,13 @@ def activity_quantiles(spark, d):
     return found
 
 
+def factor_text(spark, d):
+    """Vectors written as lines of one coordinate and read back: a sum that depends on the order of the coordinates."""
+    found = read_factors(spark, written_text(factor_lines(vectors(spark, d).select("id", "vec")), "factors"))
+    order = F.aggregate(F.transform("vec", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return found.select("id", F.size("vec").alias("n"), (F.round(order, 4) + 0.0).alias("weighted"))
+
+
 _PUSH = "SELECT event_type, floor(value)::BIGINT AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events"
 
 QUERIES = {
@@ -151,6 +160,7 @@ QUERIES = {
     "tweet_reader_slotted": tweet_slots,
     "time_split": time_split,
     "user_activity_quantiles": activity_quantiles,
+    "factor_text": factor_text,
 }
 
 ORACLE_SQL = {
@@ -166,7 +176,7 @@ ORACLE_SQL = {
         JOIN (SELECT event_type, CAST(sum(floor(value)) AS BIGINT) AS type_value FROM events GROUP BY 1) USING (event_type)""",
     "param_pulled_only": """SELECT id, CAST(max(n) AS BIGINT) AS value FROM (SELECT c_custkey AS id, 0 AS n FROM customer
         UNION ALL SELECT o_custkey, count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) GROUP BY id""",
-    "param_range_partition": "SELECT l_partkey AS id, CAST(l_partkey // 250 AS INTEGER) AS owner, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY 1",
+    "param_range_partition": "SELECT l_partkey AS id, CAST(least(l_partkey // CAST(ceil((SELECT max(l_partkey) + 1 FROM lineitem) / 8.0) AS BIGINT), 7) AS INTEGER) AS owner, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY 1",
     "param_hash_partition": "SELECT CAST(l_partkey % 8 AS INTEGER) AS owner, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY 1",
     "param_explicit_logic": "SELECT event_type AS id, list_reduce(list(CAST(trunc(value) AS BIGINT) ORDER BY event_id), lambda a, b: greatest(a // 2, b)) AS value FROM events GROUP BY 1",
     "lock_serial_updates": "SELECT event_id AS seq, event_type AS id, CAST(sum(trunc(value)) OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS value FROM events",
@@ -177,6 +187,7 @@ ORACLE_SQL = {
         FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2""",
     "time_split": """SELECT user_id, count(*) AS n, CASE WHEN d < 10 THEN 'train' ELSE 'test' END AS part FROM (
         SELECT user_id, floor((floor(epoch(ts)) - floor(epoch((SELECT min(ts) FROM events)))) / 86400) AS d FROM events) WHERE d < 15 GROUP BY user_id, part""",
+    "factor_text": "SELECT vec_id AS id, 64 AS n, round(list_sum(list_transform(embedding, lambda v, k: v::DOUBLE * k)), 4) AS weighted FROM embeddings",
     "user_activity_quantiles": """SELECT round(quantile_cont(n, 0.1), 6) AS q10, round(quantile_cont(n, 0.25), 6) AS q25, round(quantile_cont(n, 0.5), 6) AS q50, round(quantile_cont(n, 0.75), 6) AS q75, round(quantile_cont(n, 0.9), 6) AS q90
         FROM (SELECT count(*) AS n FROM events GROUP BY user_id)""",
 }

@@ -57,16 +57,26 @@ def prediction_lines(predictions: DataFrame) -> DataFrame:
 
 
 def factor_lines(factors: DataFrame) -> DataFrame:
-    """Lines ``id;value``, one for each coordinate in order."""
-    return factors.select("id", F.posexplode("vec").alias("k", "v")).orderBy("id", "k").select(F.concat_ws(";", F.col("id").cast("string"), F.col("v").cast("string")).alias("value"))
+    """Lines ``id;value``, one for each coordinate in order; those of an id are in one partition, so in one file."""
+    one = factors.select("id", F.posexplode("vec").alias("k", "v"))
+    placed = one.repartitionByRange("id").sortWithinPartitions("id", "k")
+    return placed.select(F.concat_ws(";", F.col("id").cast("string"), F.col("v").cast("string")).alias("value"))
 
 
-def read_factors(lines: DataFrame) -> DataFrame:
-    """(id, vec) of factor lines ``id;value``: an id's lines are its coordinates in the order of the file, which the offsets of lines keep
-    (``monotonically_increasing_id`` of a text scan), each a number of its own partition order."""
+def read_factors(spark: SparkSession, path: str) -> DataFrame:
+    """(id, vec) of text files of factor lines ``id;value``: an id's lines are its coordinates in the order of its file, whatever order the files are
+    read in. Ids whose lines are in two files have no order and are refused (when the rows are read)."""
+    files = spark.read.text(path)
     parts = F.split("value", ";")
-    rows = lines.where("value <> ''").select(F.get(parts, F.lit(0)).cast("bigint").alias("id"), F.get(parts, F.lit(1)).cast("double").alias("v"), F.monotonically_increasing_id().alias("at"))
-    return rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("vec"))
+    own = F.col("_metadata")
+    rows = files.where("value <> ''").select(
+        F.get(parts, F.lit(0)).cast("bigint").alias("id"), F.get(parts, F.lit(1)).cast("double").alias("v"),
+        own["file_path"].alias("file"), own["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"),
+    )
+    # Blocks of a file are read in any order, rows of a block in the file's.
+    found = rows.groupBy("id").agg(F.min("file").alias("first"), F.max("file").alias("last"), F.collect_list(F.struct("block", "row", "v")).alias("rows"))
+    twice = F.raise_error(F.concat(F.lit("factor "), F.col("id").cast("string"), F.lit(" is in two files: "), F.col("first"), F.lit(" and "), F.col("last"))).cast("array<double>")
+    return found.select("id", F.when(F.col("first") == F.col("last"), F.transform(F.array_sort("rows"), lambda x: x["v"])).otherwise(twice).alias("vec"))
 
 
 def split_by_time(events: DataFrame, ts: str, train_days: int, test_days: int) -> tuple[DataFrame, DataFrame]:

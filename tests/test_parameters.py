@@ -31,6 +31,7 @@ def test_owners(spark):
     df = spark.createDataFrame([(-5,), (0,), (7,), (9,)], "id int")
     assert [r[0] for r in df.select(P.hash_owner(F.col("id"), 4)).collect()] == [3, 0, 3, 1]
     assert [r[0] for r in df.select(P.range_owner(F.col("id"), 10, 3)).collect()] == [1, 0, 1, 2]
+    assert [r[0] for r in df.select(P.range_owner(F.col("id") + 95, 10, 3)).collect()] == [2, 2, 2, 2]
 
 
 def test_explicit_logic_equals_sum(spark):

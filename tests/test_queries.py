@@ -12,9 +12,8 @@ def test_equals_sql(spark, duck, small, name):
     same_rows(Q.QUERIES[name](spark, small).toPandas(), duck.sql(Q.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
-def test_runs(spark, small, name):
-    assert Q.QUERIES[name](spark, small).count() > 0
+def test_every_query_has_sql():
+    assert set(Q.QUERIES) == set(Q.ORACLE_SQL)
 
 
 def test_entry(spark):

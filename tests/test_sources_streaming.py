@@ -105,7 +105,32 @@ def test_factor_text_round_trip(spark, tmp_path):
 
     rows = [(i, [i + k / 8 for k in range(6)]) for i in range(20)]
     T.factor_lines(spark.createDataFrame(rows, "id bigint, vec array<double>")).coalesce(1).write.text(f"{tmp_path}/f")
-    assert sorted((r["id"], list(r["vec"])) for r in T.read_factors(spark.read.text(f"{tmp_path}/f")).collect()) == rows
+    assert sorted((r["id"], list(r["vec"])) for r in T.read_factors(spark, f"{tmp_path}/f").collect()) == rows
+
+
+def test_factors_over_many_files(spark, tmp_path):
+    """Shuffled vectors over eight files, read in small blocks; an id whose lines are in two files is refused."""
+    import random
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    rows = [(i, [i + k / 8 for k in range(9)]) for i in range(5003)]
+    mixed = random.Random(4).sample(rows, len(rows))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.factor_lines(spark.createDataFrame(mixed, "id bigint, vec array<double>").repartition(6)).write.text(f"{tmp_path}/many")
+        assert len(list((tmp_path / "many").glob("part-*"))) > 1
+        assert sorted((r["id"], list(r["vec"])) for r in T.read_factors(spark, f"{tmp_path}/many").collect()) == rows
+        spark.createDataFrame([("1;0.5",)], "value string").select(F.col("value")).write.mode("append").text(f"{tmp_path}/many")
+        with pytest.raises(Exception, match="two files"):
+            T.read_factors(spark, f"{tmp_path}/many").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_replay_of_a_file_under_a_watermark(spark, tmp_path):
@@ -131,7 +156,7 @@ def test_jobs_factorize_classify_evaluate(spark, tmp_path):
 
     (tmp_path / "ratings").write_text("".join(f"{t},{t % 7},{t % 5}\n" for t in range(60)))
     jobs.main(["mf", str(tmp_path / "ratings"), str(tmp_path / "mf"), "--rounds", "2", "--factors", "3", "--negatives", "1"])
-    users = T.read_factors(spark.read.text(str(tmp_path / "mf" / "users"))).collect()
+    users = T.read_factors(spark, str(tmp_path / "mf" / "users")).collect()
     assert {r["id"] for r in users} == set(range(7)) and all(len(r["vec"]) == 3 for r in users)
     for classes, label in ((2, lambda t: 1 if t % 2 else -1), (3, lambda t: t % 3)):
         (tmp_path / f"train{classes}").write_text("".join(f"{label(t)} {t % classes}:1.0 {5 + t % 4}:0.1\n" for t in range(90)))
