@@ -9,11 +9,13 @@ from ..functions.vectors import attach_length
 from ..operators import evaluation as E
 from ..operators import factorization as M
 from ..operators import passive_aggressive as PA
+from ..operators import stratified as ST
 from ..operators import topk as K
 from .tables import RATINGS_SQL, WORDED_SQL, hash_sql, ratings, table, vectors, worded
 
 SIZE, RATE, LOW, HIGH = 4, 0.1, -0.5, 0.5
 FEATURES, CLASSES = 4096, 10
+STRATA = 256
 
 
 # --- Factorization -------------------------------------------------------------------------------------------------------
@@ -56,6 +58,13 @@ def mf_offline(spark, d):
     return E.rmse(M.predict(rated, factors))
 
 
+def mf_stratum(spark, d):
+    """All factors after the ordered steps of one stratum of many."""
+    placed = M.materialize(ST.placed_ratings(ratings(spark, d), STRATA), "ratings")
+    state = ST.state_of(M.Factors(M.initial(placed, "user", SIZE, LOW, HIGH, 0), M.initial(placed, "item", SIZE, LOW, HIGH, 1)), STRATA, 0)
+    return tall(ST.factors_of(M.materialize(ST.stratum_pass(placed, state, 3, blocks=STRATA, rate=RATE), "state")))
+
+
 def mf_offline_negatives(spark, d):
     rated = M.materialize(ratings(spark, d), "ratings")
     factors = M.train_offline(rated, size=SIZE, low=0.0, high=0.4, rate=0.3, rounds=2, negatives=2, memory=8)
@@ -299,6 +308,7 @@ QUERIES = {
     "mf_sgd_step_sigmoid": mf_step("sigmoid"),
     "mf_epoch_bsp": mf_epoch,
     "mf_offline_rmse": mf_offline,
+    "mf_stratum": mf_stratum,
     "mf_offline_negatives": mf_offline_negatives,
     "mf_online": mf_online,
     "mf_prequential_topk": prequential,
@@ -530,7 +540,25 @@ def _multi_stream(method: str) -> str:
     return f"{_DENSE}, {_MIXED}, {_multi_rounds(_TAUGHT, method)} {answers}"
 
 
+# One stratum, step by step: in step n each pair of blocks takes its n-th rating.
+_BLOCK = lambda id, seed: f"CAST({hash_sql(id, str(seed))} % {STRATA} AS INTEGER)"
+_STRATUM = f"""WITH RECURSIVE {RATINGS_SQL}, u0 AS {_init('"user"', 0)}, i0 AS {_init('item', 1)},
+  p AS (SELECT "user", item, rating, {_BLOCK('"user"', 0)} AS blk, {_BLOCK('item', 1)} AS iblk, {hash_sql('"user" || chr(124) || item', '0')} AS h FROM r),
+  q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY h, "user", item) AS n FROM p WHERE (iblk - blk + {STRATA}) % {STRATA} = 3),
+  st AS (
+    SELECT 0 AS step, side, id, v FROM (SELECT 'user' AS side, id, list(v ORDER BY k) AS v FROM u0 GROUP BY id UNION ALL SELECT 'item', id, list(v ORDER BY k) FROM i0 GROUP BY id)
+    UNION ALL
+    SELECT step + 1, side, id, CASE WHEN rating IS NULL THEN v ELSE
+        list_transform(list_zip(v, other), lambda z: z[1] + {RATE} * (rating - list_dot_product(v, other)) * z[2]) END
+    FROM (SELECT st.step, st.side, st.id, st.v, q.rating,
+        CASE WHEN side = 'user' THEN any_value(v) FILTER (side = 'item') OVER w ELSE any_value(v) FILTER (side = 'user') OVER w END AS other
+      FROM st LEFT JOIN q ON q.n = st.step + 1 AND st.id = CASE WHEN st.side = 'user' THEN q."user" ELSE q.item END
+      WINDOW w AS (PARTITION BY coalesce(q.blk, -1)))
+    WHERE step < (SELECT max(n) FROM q))
+  SELECT side, id, CAST(k - 1 AS INTEGER) AS k, round(v[k], 6) + 0.0::DOUBLE AS v FROM st, unnest(range(1, {SIZE + 1})) AS x(k) WHERE step = (SELECT max(n) FROM q)"""
+
 ORACLE_SQL = {
+    "mf_stratum": _STRATUM,
     "mf_ratings": f"WITH {RATINGS_SQL} SELECT * FROM r",
     "mf_init": f"{_START} {_tall(0)}",
     "mf_sgd_step": _step("squared"),
