@@ -2,8 +2,9 @@
 share documents.
 
 Builders are one grouped aggregation, so the map side combines before the shuffle. Hashes are taken once a document, before its
-words are exploded. Predictors meet each query's sketch with all sketches: queries are a stated, small set of words, whose number
-is checked before they are broadcast.
+words are exploded. The MinHash predictor joins an inverted index of signatures, with any number of queries; the others meet each
+query's sketch with all sketches: there queries are a stated, small set of words, whose number is checked before they are broadcast. Other
+sides are broadcast up to ``BROADCAST_BYTES`` only.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ..functions.vectors import round_half_up
 from ..plans.storage import materialize
 
 MAX_QUERIES = 10_000
+#: What a side of a join may hold to be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def _keys(slot: bool) -> list[str]:
@@ -93,9 +96,10 @@ def bloom_predict(model: DataFrame, queries: DataFrame, *, num_bits: int, num_ha
     Bits in common are counted by a join on the bit with the queries' few bits, not by meeting two arrays for every pair."""
     model = materialize(model, "model")  # read four times
     at = ["slot"] if slot else []
-    pairs = _against_all(model.select(*_keys(slot), F.size("bits").alias("n"), "bits"), queries, "bits", slot).select("query", *_keys(slot), "n", F.coalesce(F.size("q"), F.lit(0)).alias("nq"))
-    own = model.join(F.broadcast(queries.select(F.col("word").alias("query")).distinct()), F.col("query") == F.col("word")).select("query", *at, F.explode("bits").alias("bit"))
-    met = model.select(*_keys(slot), F.explode("bits").alias("bit")).join(F.broadcast(own), ["bit", *at])
+    sizes = model.select(*_keys(slot), F.size("bits").alias("n"))
+    pairs = _against_all(sizes, queries, "n", slot).select("query", *_keys(slot), "n", F.coalesce("q", F.lit(0)).alias("nq"))
+    own = model.join(_small(queries.select(F.col("word").alias("query")).distinct(), 64), F.col("query") == F.col("word")).select("query", *at, F.explode("bits").alias("bit"))
+    met = model.select(*_keys(slot), F.explode("bits").alias("bit")).join(_small(own, 64), ["bit", *at])
     common = met.groupBy("query", *_keys(slot)).agg(F.count("*").alias("c"))
     counted = pairs.join(common, ["query", *_keys(slot)], "left")
     both = F.col("n") + F.col("nq") - F.coalesce("c", F.lit(0))
@@ -104,14 +108,36 @@ def bloom_predict(model: DataFrame, queries: DataFrame, *, num_bits: int, num_ha
     return top_k(scored, k, by=["query", *at]).select("query", *at, "rank", "word", "score")
 
 
-def minhash_predict(model: DataFrame, counts: DataFrame, queries: DataFrame, *, num_hashes: int, k: int | None = None) -> DataFrame:
-    """(query, rank, word, score): estimated number of shared documents from the similarity and the words' counts (word, n)."""
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, to be broadcast where its rows, of about ``row_bytes`` each, are few enough; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_BYTES // row_bytes + 1).count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def minhash_postings(model: DataFrame) -> DataFrame:
+    """(i, doc, word): the inverted index of signatures."""
+    return model.select("word", F.posexplode("signature").alias("i", "doc")).select("i", "doc", "word")
+
+
+def minhash_predict(model: DataFrame, counts: DataFrame, queries: DataFrame, *, num_hashes: int, k: int | None = None, matched_only: bool = False) -> DataFrame:
+    """(query, rank, word, score): estimated number of shared documents from the similarity and the words' counts (word, n).
+
+    Words meet a query where they have the same document at the same place of the signature: a join of the inverted index with the queries' own
+    postings, however many queries there are. Words that share none have the score 0; they are listed for at most ``MAX_QUERIES`` queries, and left out with
+    ``matched_only``."""
     model, counts = materialize(model, "model"), materialize(counts, "counts")
-    pairs = _against_all(model, queries, "signature", False)
-    same = F.size(F.filter(F.zip_with("signature", F.coalesce("q", F.array().cast("array<bigint>")), lambda a, b: a == b), lambda x: x))
-    similar = pairs.select("query", "word", (same / F.lit(num_hashes)).alias("j"))
-    own = F.broadcast(counts.join(F.broadcast(queries.select("word")), "word").select(F.col("word").alias("query"), F.col("n").alias("nq")))
-    known = similar.join(counts, "word").join(own, "query", "left")
+    asked = queries.select(F.col("word").alias("query")).distinct()
+    postings = minhash_postings(model)
+    own = _small(postings.join(_small(asked, 64), F.col("word") == F.col("query")).select("i", "doc", "query"), 64)
+    same = postings.join(own, ["i", "doc"]).groupBy("query", "word").agg(F.count("*").alias("same"))
+    if not matched_only:
+        names = [r[0] for r in asked.limit(MAX_QUERIES + 1).collect()]
+        if len(names) > MAX_QUERIES:
+            raise ValueError(f"all words are listed for at most {MAX_QUERIES} query words at once")
+        every = model.select("word", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("query"))
+        same = every.join(same, ["query", "word"], "left").select("query", "word", F.coalesce("same", F.lit(0)).alias("same"))
+    similar = same.select("query", "word", (F.col("same") / F.lit(num_hashes)).alias("j"))
+    own_counts = _small(counts.join(_small(asked, 64), F.col("word") == F.col("query")).select("query", F.col("n").alias("nq")), 64)
+    known = similar.join(counts, "word").join(own_counts, "query", "left")
     score = round_half_up(F.col("j") * (F.col("n") + F.coalesce("nq", F.lit(0))) / (F.col("j") + 1))
     return top_k(known.select("query", "word", score.alias("score")), k, by=["query"]).select("query", "rank", "word", "score")
 
@@ -153,6 +179,6 @@ def cooccurrence_exact(docs: DataFrame, queries: DataFrame, k: int | None = None
     """(query, rank, word, score): words by exact number of shared documents."""
     words = queries.select(F.col("word").alias("query"))
     pairs = docs.select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
-    holding = pairs.join(F.broadcast(words), F.col("word") == F.col("query")).select("doc_id", "query")
+    holding = pairs.join(_small(words, 64), F.col("word") == F.col("query")).select("doc_id", "query")
     met = pairs.join(holding, "doc_id").groupBy("query", "word").agg(F.count("*").alias("score"))
     return top_k(met, k, by=["query"]).select("query", "rank", "word", "score")

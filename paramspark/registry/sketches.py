@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..functions.hashing import family, java_hash
 from ..operators import sketches as S
+from ..plans.numbering import numbered
+from ..plans.storage import materialize
 from .tables import EVENTS_SQL, PAIRS_SQL, WORDED_SQL, hash_sql, slotted, word_list, worded
 
 BITS, HASHES, TOW, MEANS, K = 1 << 16, 4, 32, 4, 10
@@ -50,6 +52,14 @@ def minhash_predict(spark, d):
     return S.minhash_predict(S.minhash_build(docs, num_hashes=HASHES), S.word_count(docs), word_list(spark, QUERY_WORDS), num_hashes=HASHES)
 
 
+def minhash_search(spark, d):
+    """The ten best for every 50th word, of those that share a document of their signatures."""
+    docs = worded(spark, d)
+    model, counts = S.minhash_build(docs, num_hashes=HASHES), materialize(S.word_count(docs), "counts")
+    asked = numbered(counts.select("word"), [F.col("word")], "number").where(F.col("number") % 50 == 0).select("word")
+    return S.minhash_predict(model, counts, asked, num_hashes=HASHES, k=K, matched_only=True)
+
+
 def tow_build(spark, d):
     return S.tow_build(worded(spark, d), num_hashes=TOW).select("word", text("sums"))
 
@@ -177,6 +187,7 @@ QUERIES = {
     "minhash_build": minhash_build,
     "minhash_variation": minhash_variation,
     "minhash_predict": minhash_predict,
+    "minhash_search": minhash_search,
     "tow_build": tow_build,
     "tow_build_slotted": tow_build_slotted,
     "tow_predict": tow_predict,
@@ -202,6 +213,10 @@ ORACLE_SQL = {
       j AS (SELECT query, n.word, count(a.d)::DOUBLE / {HASHES} AS j FROM {_words(QUERY_WORDS)} CROSS JOIN n LEFT JOIN (SELECT x.word, q.word AS qw, x.d FROM m x JOIN m q ON x.i = q.i AND x.d = q.d) a ON a.word = n.word AND a.qw = query GROUP BY 1, 2),
       p AS (SELECT query, j.word, CAST(floor(j * (n.n + coalesce(k.n, 0)) / (j + 1) + 0.5) AS BIGINT) AS score FROM j JOIN n ON n.word = j.word LEFT JOIN n k ON k.word = query) """
     + _top("SELECT query, word, score FROM p", "query", None),
+    "minhash_search": f"""{_MIN}, n AS (SELECT word, count(*) AS n, row_number() OVER (ORDER BY encode(word)) - 1 AS number FROM (SELECT unnest(words) AS word FROM w) GROUP BY word),
+      j AS (SELECT q.word AS query, x.word, count(*)::DOUBLE / {HASHES} AS j FROM m x JOIN m q ON x.i = q.i AND x.d = q.d JOIN n ON n.word = q.word AND n.number % 50 = 0 GROUP BY 1, 2),
+      p AS (SELECT query, j.word, CAST(floor(j * (n.n + k.n) / (j + 1) + 0.5) AS BIGINT) AS score FROM j JOIN n ON n.word = j.word JOIN n k ON k.word = query) """
+    + _top("SELECT query, word, score FROM p", "query", K),
     "tow_build": _TOW + " SELECT word, string_agg(CAST(s AS VARCHAR), ',' ORDER BY i) AS sums FROM t GROUP BY word",
     "tow_build_slotted": _TOW_S + " SELECT word, slot, string_agg(CAST(s AS VARCHAR), ',' ORDER BY i) AS sums FROM t GROUP BY word, slot",
     "tow_predict": f"""{_TOW}, d AS (SELECT query, t.word, t.i // {_SLICE} AS g, sum(t.s * coalesce(q.s, 0)) / {_SLICE}.0::DOUBLE AS m

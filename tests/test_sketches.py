@@ -80,3 +80,33 @@ def test_too_many_queries(spark, docs, monkeypatch):
     monkeypatch.setattr(S, "MAX_QUERIES", 1)
     with pytest.raises(ValueError):
         S.additive_top(S.tow_build(docs, num_hashes=8), queries(spark, "a", "b"))
+
+
+def test_minhash_search_is_a_join_of_postings(spark, monkeypatch):
+    """No cross join, whatever the number of queries; the same rows with and without broadcasts; words without a match can be left out."""
+    import random
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, rng.sample("abcdefghijklmnop", 3)) for i in range(60)] + [(99, ["lonely"]), (100, [])], "doc_id long, words array<string>")
+    model, counts = S.minhash_build(docs, num_hashes=4), S.word_count(docs)
+    signatures = {r["word"]: r["signature"] for r in model.collect()}
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    asked = spark.createDataFrame([(w,) for w in [*signatures, "unknown"]], "word string")
+
+    def rows(**options):
+        found = S.minhash_predict(model, counts, asked, num_hashes=4, **options)
+        assert not any(x in found._jdf.queryExecution().toString() for x in ("CartesianProduct", "BroadcastNestedLoopJoin"))
+        return {(r["query"], r["word"]): r["score"] for r in found.collect()}
+
+    def score(q, w):
+        j = sum(a == b for a, b in zip(signatures.get(q, []), signatures[w], strict=False)) / 4
+        return j and int(j * (n[w] + n.get(q, 0)) / (j + 1) + 0.5)
+
+    want = {(q, w): score(q, w) for q in signatures for w in signatures if set(zip(range(4), signatures[q], strict=True)) & set(zip(range(4), signatures[w], strict=True))}
+    assert rows(matched_only=True) == want
+    assert rows() == {(q, w): score(q, w) for q in [*signatures, "unknown"] for w in signatures}
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    assert rows(matched_only=True) == want
+    monkeypatch.setattr(S, "MAX_QUERIES", 3)
+    with pytest.raises(ValueError):
+        rows()
