@@ -1,6 +1,7 @@
 """Near copies at and under the stated similarity, alone and in groups."""
 
 import numpy as np
+import pytest
 
 from paramspark.llm import simhash
 
@@ -153,3 +154,39 @@ def test_pairs_of_a_group_grow_no_faster_than_the_group(spark, monkeypatch):
         docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
         assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == components(texts)
     assert counts[1] <= 6 * counts[0], counts
+
+
+def test_rows_of_a_group_do_not_grow_a_member(spark, monkeypatch):
+    """Of groups of near copies most are linked by a few blocks first; what the pass over all blocks puts out follows what is open then."""
+    counts, real = {}, simhash.materialize
+
+    def noted(df, name, rows=None):
+        found = real(df, name, rows)
+        if name in ("mates", "pairs"):
+            counts[name] = counts.get(name, 0) + found.count()
+        return found
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    a_member = {}
+    for n in (100, 900):
+        counts.clear()
+        rng = np.random.default_rng(5)
+        own = [f"w{x}" for x in rng.integers(1 << 40, size=120)]
+        docs = spark.createDataFrame([(i, " ".join(changed(rng, own, 0.82, 0.97))) for i in range(n)], "doc_id bigint, text string")
+        assert simhash.shingle_groups(docs).select("root").distinct().count() <= 3
+        a_member[n] = sum(counts.values()) / n
+    assert a_member[900] <= 2 * a_member[100] + 5 and a_member[900] < 40, a_member
+
+
+@pytest.mark.parametrize("switch", [{"TOGETHER": 20, "PAIRS": 0}, {"TOGETHER": 20, "COMPARED": 0, "NEIGHBOURS": 1}, {"EARLY": (), "BROADCAST_IDS": 0, "PAIRS": 10**9}])
+def test_plans_on_both_sides_of_each_switch(spark, monkeypatch, switch):
+    """What only chooses a plan changes no component."""
+    for name, value in switch.items():
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(21)
+    texts = [[f"w{x}" for x in rng.integers(1 << 40, size=150)] for _ in range(4)]
+    for _ in range(60):
+        texts.append(changed(rng, texts[rng.integers(len(texts))], 0.72, 0.95))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
+    assert kept == set(components(texts).values())
