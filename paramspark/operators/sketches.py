@@ -2,9 +2,10 @@
 share documents.
 
 Builders are one grouped aggregation, so the map side combines before the shuffle. Hashes are taken once a document, before its
-words are exploded. The MinHash predictor joins an inverted index of signatures, with any number of queries; the others meet each
-query's sketch with all sketches: there queries are a stated, small set of words, whose number is checked before they are broadcast. Other
-sides are broadcast up to ``BROADCAST_BYTES`` only.
+words are exploded. The MinHash predictor joins an inverted index of signatures, with any number of queries. Additive sketches are searched by
+``bounded_pairs``, which leaves a word out of a product where the lengths of the two sketches show that it cannot be among the best. The Bloom
+predictor meets each query's sketch with all sketches: there queries are a stated, small set of words, whose number is checked before they are
+broadcast. Other sides are broadcast up to ``BROADCAST_BYTES`` only.
 """
 
 from __future__ import annotations
@@ -142,37 +143,122 @@ def minhash_predict(model: DataFrame, counts: DataFrame, queries: DataFrame, *,
     return top_k(known.select("query", "word", score.alias("score")), k, by=["query"]).select("query", "rank", "word", "score")
 
 
+def _parts(num_hashes: int, num_means: int) -> list[tuple[int, int]]:
+    """Slices (start, stop) of a sketch; the last may be shorter."""
+    size = num_hashes // num_means
+    return [(at, min(at + size, num_hashes)) for at in range(0, num_hashes, size)]
+
+
+def _median(values: list[Column]) -> Column:
+    ordered, n = F.array_sort(F.array(*values)), len(values)
+    middle = F.get(ordered, F.lit(n // 2))
+    return middle if n % 2 else (middle + F.get(ordered, F.lit(n // 2 - 1))) / 2
+
+
 def median_of_means(a: Column, b: Column, num_hashes: int, num_means: int) -> Column:
     """Median over slices of the mean product of two additive sketches."""
-    size = num_hashes // num_means
     means = []
-    for at in range(0, num_hashes, size):
-        stop = min(at + size, num_hashes)
+    for at, stop in _parts(num_hashes, num_means):
         total = F.lit(0).cast("long")
         for i in range(at, stop):
             total = total + F.get(a, F.lit(i)) * F.get(b, F.lit(i))
         means.append(total / F.lit(stop - at))
-    ordered, n = F.array_sort(F.array(*means)), len(means)
-    middle = F.get(ordered, F.lit(n // 2))
-    return middle if n % 2 else (middle + F.get(ordered, F.lit(n // 2 - 1))) / 2
+    return _median(means)
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Product of two additive sketches; places that one of them lacks count as zero."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)))
+
+
+#: How many of a slot's longest sketches give a query its first scores.
+SEEDS = 256
+#: Tasks that a (slot, bucket) of words is dealt out over where the queries are too many to be broadcast.
+SALTS = 16
+
+
+def _lengths(values: Column, parts: list[tuple[int, int]] | None) -> Column:
+    """Length of each slice of a sketch (of the whole one: no ``parts``)."""
+    some = [F.slice(values, at + 1, stop - at) for at, stop in parts] if parts else [values]
+    return F.array(*(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)) for x in some))
+
+
+def _most(a: Column, b: Column, parts: list[tuple[int, int]] | None) -> Column:
+    """What the score of two sketches with slices of these lengths is at most, with room for the rounding of doubles: a product of slices is at most that of
+    their lengths, and a median of values that are all at most others is at most the median of those."""
+    sizes = [stop - at for at, stop in parts] if parts else [1]
+    return _median([F.get(a, F.lit(i)) * F.get(b, F.lit(i)) / n for i, n in enumerate(sizes)]) * (1 + 1e-9) + 1e-6
+
+
+def bounded_pairs(model: DataFrame, own: DataFrame, *, k: int, parts: list[tuple[int, int]] | None, score) -> DataFrame:
+    """(query, slot, word, score): for each query of ``own`` (query, slot, q: its sketch) the words of ``model`` (word, slot, sums) that may be among its
+    ``k`` best of the slot, and so these for certain. ``score`` is a function of two sketches, ``parts`` the slices that it takes a median of.
+
+    The scores of the slot's ``SEEDS`` longest sketches give each query a k-th score to beat. Words are in buckets of like length, whose longest
+    slices are few rows; a query goes to the buckets that may hold a better score, and meets a word there only if the word's own lengths may give one. It is an
+    equality join of slot and bucket. With fewer than ``k`` words in a slot all are met."""
+    lengths = model.select("word", "slot", "sums", _lengths(F.col("sums"), parts).alias("lengths"))
+    bucket = F.coalesce(F.floor(2 * F.log2(F.array_max("lengths"))), F.lit(-1)).cast("int")
+    model = materialize(lengths.withColumn("bucket", bucket), "lengths")
+    own = own.select("query", "slot", "q", _lengths(F.col("q"), parts).alias("ql"))
+    longest = Window.partitionBy("slot").orderBy(F.desc(F.array_max("lengths")), "word")
+    seeds = model.withColumn("place", F.row_number().over(longest)).where(F.col("place") <= max(SEEDS, 4 * k)).select("slot", F.col("sums").alias("s"))
+    first = own.join(seeds, "slot").select("query", "slot", score(F.col("s"), F.col("q")).alias("score"))
+    least = first.groupBy("query", "slot").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)).alias("least"))
+    slices = range(len(parts) if parts else 1)
+    caps = model.groupBy("slot", "bucket").agg(*(F.max(F.get("lengths", F.lit(i))).alias(f"m{i}") for i in slices)).select("slot", "bucket", F.array(*(f"m{i}" for i in slices)).alias("caps"))
+    open_ = lambda lengths: F.col("least").isNull() | (_most(F.col(lengths), F.col("ql"), parts) >= F.col("least"))
+    asked = materialize(own.join(least, ["query", "slot"]).join(caps, "slot").where(open_("caps")).drop("caps"), "asked")
+    bytes_ = 96 + 8 * (parts[-1][1] if parts else 64) + 8 * len(slices)
+    if asked.limit(BROADCAST_BYTES // bytes_ + 1).count() * bytes_ <= BROADCAST_BYTES:
+        met = model.join(F.broadcast(asked), ["slot", "bucket"])
+    else:
+        dealt = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = model.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")).join(dealt, ["slot", "bucket", "salt"])
+    return met.where(open_("lengths")).select("query", "slot", "word", score(F.col("sums"), F.col("q")).alias("score"))
+
+
+def _search(model: DataFrame, queries: DataFrame, *, k: int, parts: list[tuple[int, int]] | None, score, slot: bool) -> DataFrame:
+    """The ``k`` best words of each of the (distinct) query words; a word that the model lacks has the score 0 with every word, and without slots the last
+    ``k`` words in order are its best."""
+    at = ["slot"] if slot else []
+    model = materialize(model.select("word", (F.col("slot") if slot else F.lit(0)).alias("slot"), "sums"), "model")
+    asked = queries.select(F.col("word").alias("query")).distinct()
+    if (n := asked.limit(MAX_QUERIES + 1).count()) > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} query words at once: pass them in blocks")
+    own = model.join(F.broadcast(asked), F.col("query") == F.col("word")).select("query", "slot", F.col("sums").alias("q"))
+    best = top_k(bounded_pairs(model, own, k=k, parts=parts, score=score), k, by=["query", "slot"]).select("query", *at, "rank", "word", "score")
+    if slot or not n:
+        return best
+    last = [r[0] for r in model.select("word").orderBy(F.desc("word")).limit(k).collect()]
+    unknown = asked.join(own, "query", "left_anti")
+    if not last or unknown.isEmpty():
+        return best
+    listed = unknown.select("query", F.posexplode(F.array(*map(F.lit, last))).alias("place", "word"))
+    zero = F.lit(0).cast(best.schema["score"].dataType)
+    return best.unionByName(listed.select("query", (F.col("place") + 1).alias("rank"), "word", zero.alias("score")))
+
+
+def tow_score(num_hashes: int, num_means: int):
+    """The predictor's score of two sketches."""
+    return lambda a, b: F.round(median_of_means(a, b, num_hashes, num_means), 6)
 
 
 def tow_predict(model: DataFrame, queries: DataFrame, *, num_hashes: int, num_means: int, k: int, slot: bool = False) -> DataFrame:
     """(query[, slot], rank, word, score): words by estimated number of shared occurrences."""
-    model = materialize(model, "model")
-    pairs = _against_all(model, queries, "sums", slot)
-    zeros = F.array(*(F.lit(0).cast("long") for _ in range(num_hashes)))
-    score = F.round(median_of_means(F.col("sums"), F.coalesce("q", zeros), num_hashes, num_means), 6)
-    scored = pairs.select("query", *_keys(slot), score.alias("score"))
-    return top_k(scored, k, by=["query", *(["slot"] if slot else [])]).select("query", *(["slot"] if slot else []), "rank", "word", "score")
+    return _search(model, queries, k=k, parts=_parts(num_hashes, num_means), score=tow_score(num_hashes, num_means), slot=slot)
+
+
+def tow_answers(model: DataFrame, asked: DataFrame, *, num_hashes: int, num_means: int, k: int) -> DataFrame:
+    """(query, slot, rank, word, score) for queries (word, slot) that each ask in one slot of a slotted model; a word that its slot lacks has no answer."""
+    own = asked.distinct().join(model, ["word", "slot"]).select(F.col("word").alias("query"), "slot", F.col("sums").alias("q"))
+    found = bounded_pairs(model, own, k=k, parts=_parts(num_hashes, num_means), score=tow_score(num_hashes, num_means))
+    return top_k(found, k, by=["query", "slot"]).select("query", "slot", "rank", "word", "score")
 
 
 def additive_top(model: DataFrame, queries: DataFrame, *, k: int = 100) -> DataFrame:
     """(query, rank, word, score): words by dot product of additive sketches."""
-    model = materialize(model, "model")
-    pairs = _against_all(model, queries, "sums", False)
-    score = F.aggregate(F.zip_with("sums", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)))
-    return top_k(pairs.select("query", "word", score.alias("score")), k, by=["query"]).select("query", "rank", "word", "score")
+    return _search(model, queries, k=k, parts=None, score=dot, slot=False)
 
 
 def cooccurrence_exact(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
