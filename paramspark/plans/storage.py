@@ -41,16 +41,22 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return found
 
 
-def written_text(lines: DataFrame, name: str) -> str:
-    """The folder in shared storage that the lines (column ``value``) are written to; it goes with the tables of ``materialize``."""
-    path = f"{shared_dir(lines.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    lines.write.text(path)
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in shared storage; it goes with the tables of ``materialize``."""
     if not _written:
         atexit.register(_clean)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _written.add(path)
     return path
 
 
+def written_text(lines: DataFrame, name: str) -> str:
+    """The folder in shared storage that the lines (column ``value``) are written to; it goes with the tables of ``materialize``."""
+    path = folder(lines.sparkSession, name)
+    lines.write.text(path)
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``materialize`` that no later plan reads. Others are left alone."""
     for table in tables:

@@ -9,8 +9,9 @@ from ..operators import evaluation as E
 from ..functions.hashing import family, java_hash
 from ..operators import sketches as S
 from ..plans.numbering import numbered
-from ..plans.storage import materialize
-from .tables import EVENTS_SQL, PAIRS_SQL, WORDED_SQL, hash_sql, slotted, word_list, worded
+from ..plans.storage import folder, materialize
+from ..streaming.slots import answered
+from .tables import EVENTS_SQL, PAIRS_SQL, START, WORDED_SQL, epoch, hash_sql, slotted, streamed, word_list, worded
 
 BITS, HASHES, TOW, MEANS, K = 1 << 16, 4, 32, 4, 10
 QUERY_WORDS = ["the", "of", "und", "la", "queque"]
@@ -78,6 +79,15 @@ def tow_predict_slotted(spark, d):
     return S.tow_predict(model, word_list(spark, SLOT_WORDS), num_hashes=TOW, num_means=MEANS, k=3, slot=True)
 
 
+def tow_stream(spark, d):
+    """Events as a stream: type and user as words, a day a slot; every 50th event asks for its user in its slot. Rows of the slots that have closed."""
+    events = streamed(spark, d, "events").withColumn("at", epoch(F.col("ts")))
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    docs = events.select(F.col("at").alias("ts"), F.col("event_id").alias("doc_id"), F.array("event_type", user).alias("words"))
+    queries = events.where(F.col("event_id") % 50 == 0).select(F.col("at").alias("ts"), user.alias("word"))
+    return answered(docs, queries, folder(spark, "answers"), folder(spark, "stream"), num_hashes=TOW, num_means=MEANS, k=3, hours=24, start=START)
+
+
 def additive_top(spark, d):
     return S.additive_top(S.tow_build(worded(spark, d), num_hashes=TOW), word_list(spark, QUERY_WORDS), k=K)
 
@@ -192,6 +202,7 @@ QUERIES = {
     "tow_build_slotted": tow_build_slotted,
     "tow_predict": tow_predict,
     "tow_predict_slotted": tow_predict_slotted,
+    "tow_stream_slots": tow_stream,
     "additive_sketch_top": additive_top,
     "cooccurrence_exact": exact,
     "sketch_rank_correlation": rank_correlation,
@@ -227,6 +238,12 @@ ORACLE_SQL = {
         FROM {_words(SLOT_WORDS)} JOIN t q ON q.word = query JOIN t ON t.slot = q.slot AND q.i = t.i GROUP BY 1, 2, 3, 4),
       p AS (SELECT query, slot, word, round({_MEDIAN}, 6) AS score FROM (SELECT query, slot, word, list(m ORDER BY m) AS l FROM d GROUP BY 1, 2, 3)) """
     + _top("SELECT query, slot, word, score FROM p", "query, slot", 3),
+    "tow_stream_slots": f"""{_TOW_S}, a AS (SELECT slot, 'u' || user_id AS query FROM s JOIN events ON event_id = doc_id WHERE doc_id % 50 = 0 GROUP BY ALL),
+      z AS (SELECT floor((least(max(floor(epoch(ts))), max(floor(epoch(ts))) FILTER (event_id % 50 = 0)) - {START} - 3600) / 86400) AS closed FROM events),
+      d AS (SELECT query, t.slot, t.word, t.i // {_SLICE} AS g, sum(t.s * q.s) / {_SLICE}.0::DOUBLE AS m
+        FROM a JOIN t q ON q.word = query AND q.slot = a.slot JOIN t ON t.slot = q.slot AND q.i = t.i WHERE t.slot < (SELECT closed FROM z) GROUP BY 1, 2, 3, 4),
+      p AS (SELECT query, slot, word, round({_MEDIAN}, 6) AS score FROM (SELECT query, slot, word, list(m ORDER BY m) AS l FROM d GROUP BY 1, 2, 3)) """
+    + _top("SELECT query, slot, word, score FROM p", "query, slot", 3),
     "additive_sketch_top": f"""{_TOW}, p AS (SELECT query, t.word, CAST(coalesce(sum(t.s * q.s), 0) AS BIGINT) AS score FROM {_words(QUERY_WORDS)} CROSS JOIN t LEFT JOIN t q ON q.word = query AND q.i = t.i GROUP BY 1, 2) """
     + _top("SELECT query, word, score FROM p", "query", K),
     "cooccurrence_exact": f"{_COUNTS} " + _top("SELECT query, word, score FROM c", "query", K),

@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream. It may be one file, which a stream reads by a pattern only."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{{{name}.parquet}}")
+
+
 def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, words) of all documents."""
     return table(spark, sf_dir, "documents").select("doc_id", words_of(F.col("text"), separator=BLANKS).alias("words"))
