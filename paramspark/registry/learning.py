@@ -11,6 +11,8 @@ from ..operators import factorization as M
 from ..operators import passive_aggressive as PA
 from ..operators import stratified as ST
 from ..operators import topk as K
+from ..plans.storage import folder
+from ..streaming.measures import measured
 from .tables import RATINGS_SQL, WORDED_SQL, hash_sql, ratings, table, vectors, worded
 
 SIZE, RATE, LOW, HIGH = 4, 0.1, -0.5, 0.5
@@ -182,6 +184,16 @@ def ndcg_by_period(spark, d):
     return E.ndcg_by_period(E.gains(lists, rated), 100)
 
 
+def ndcg_stream(spark, d):
+    """The same events as a stream with their lists: nDCG of the periods that have closed."""
+    rated = implicit(spark, d)
+    most = rated.groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item").limit(10).collect()
+    lists = F.array(*(F.lit(r["item"]) for r in most)) if most else F.array().cast("array<bigint>")
+    events = M.materialize(rated.select("ts", "item", lists.alias("recommended")), "events")
+    stream = spark.readStream.schema(events.schema).parquet(events._shared_path)
+    return measured(stream, folder(spark, "periods"), folder(spark, "stream"), period=100, late="50 seconds")
+
+
 def precision_recall(spark, d):
     rated = implicit(spark, d)
     return E.precision_recall(E.popular_items(rated.where("ts < 9500"), k=5), rated.where("ts >= 9500"), 5)
@@ -333,6 +345,7 @@ QUERIES = {
     "topk_memory_exclusion": top_memory,
     "ndcg_total": ndcg_total,
     "ndcg_by_period": ndcg_by_period,
+    "ndcg_stream": ndcg_stream,
     "popular_items": popular,
     "precision_recall_at_5": precision_recall,
     "rmse": rmse,
@@ -591,6 +604,8 @@ ORACLE_SQL = {
     "topk_memory_exclusion": _best(f"{_SCORES} WHERE q.vec_id % 50 = 0 AND NOT (x.vec_id BETWEEN q.vec_id - 10 AND q.vec_id)", 5),
     "ndcg_total": f"{_GAINS} SELECT count(*) AS n, count(*) FILTER (ndcg > 0) AS hits, round(sum(ndcg), 6) AS ndcg_sum, round(avg(ndcg), 6) AS ndcg_avg FROM g",
     "ndcg_by_period": f"{_GAINS} SELECT ts // 100 AS period, count(*) AS n, count(*) FILTER (ndcg > 0) AS hits, round(avg(ndcg), 6) AS ndcg_avg FROM g GROUP BY 1",
+    "ndcg_stream": f"""{_GAINS} SELECT ts // 100 AS period, count(*) AS n, count(*) FILTER (ndcg > 0) AS hits, round(sum(ndcg), 6) AS ndcg_sum, round(avg(ndcg), 6) AS ndcg_avg
+      FROM g GROUP BY 1 HAVING (period + 1) * 100 <= (SELECT max(ts) - 50 FROM g)""",
     "popular_items": f"{_POPULAR} SELECT * FROM l",
     "precision_recall_at_5": f"""{_POPULAR}, t AS (SELECT DISTINCT "user", item FROM r WHERE ts >= 9500),
         h AS (SELECT t."user", count(*) AS n, count(l.item) AS hits FROM t LEFT JOIN l ON l."user" = t."user" AND l.item = t.item GROUP BY 1)
