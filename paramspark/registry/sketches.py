@@ -11,7 +11,8 @@ from ..operators import sketches as S
 from ..plans.numbering import numbered
 from ..plans.storage import folder, materialize
 from ..streaming.slots import answered
-from .tables import EVENTS_SQL, PAIRS_SQL, START, WORDED_SQL, epoch, hash_sql, slotted, streamed, word_list, worded
+from .hashes import java_sql, murmur_sql, xx64_sql
+from .tables import EVENTS_SQL, PAIRS_SQL, START, WORDED_SQL, epoch, hash_sql, slotted, streamed, table, word_list, worded
 
 BITS, HASHES, TOW, MEANS, K = 1 << 16, 4, 32, 4, 10
 QUERY_WORDS = ["the", "of", "und", "la", "queque"]
@@ -93,27 +94,27 @@ def additive_top(spark, d):
 
 
 def family_values(spark, d):
-    """Each family's hashes of the ids 0 to 4 as they are."""
-    ids = spark.range(5).withColumn("id", F.col("id"))
+    """Each family's hashes of all document ids as they are, and the string hash of texts that end in them."""
+    ids = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
     both = F.concat(family(F.col("id"), 2, "murmur3"), family(F.col("id"), 2, "xx64"))
     return ids.select("id", F.posexplode(both).alias("i", "h"), java_hash(F.concat(F.lit("word"), F.col("id").cast("string"))).alias("java"))
 
 
+def java_hash_words(spark, d):
+    """The string hash of every distinct word of all documents."""
+    words = S.word_count(worded(spark, d)).select("word")
+    return words.select("word", java_hash(F.col("word")).alias("java"))
+
+
 def bloom_murmur(spark, d):
-    """Bloom sketches of few documents for each word, by Murmur3; as bits only tell what was hashed, their estimates are compared."""
+    """Bloom sketches by Murmur3, as a digest of their bits."""
     model = S.bloom_build(slotted(spark, d), num_bits=1 << 20, num_hashes=HASHES, hashes="murmur3")
-    counted = model.select("word", F.round(-(1 << 20) / HASHES * F.log(1 - F.size("bits") / F.lit(1 << 20)), 0).cast("long").alias("estimate"))
-    exact = S.word_count(slotted(spark, d))
-    near = F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(2.0), 0.02 * F.col("n"))
-    return counted.join(exact, "word").select("word", near.alias("near"))
+    return model.select("word", F.size("bits").cast("long").alias("n_bits"), F.md5(F.array_join(F.col("bits").cast("array<string>"), ",")).alias("bits_md5"))
 
 
 def tow_xx(spark, d):
-    """Tug-of-war sums by XXH64: a word's sums have the parity of its count and never exceed it."""
-    docs = slotted(spark, d)
-    model = S.tow_build(docs, num_hashes=TOW, hashes="xx64").join(S.word_count(docs), "word")
-    fits = F.forall("sums", lambda x: (F.abs(x) <= F.col("n")) & (F.pmod(x + F.col("n"), F.lit(2)) == 0))
-    return model.select("word", "n", fits.alias("fits"))
+    """Tug-of-war sums by XXH64."""
+    return S.tow_build(slotted(spark, d), num_hashes=TOW, hashes="xx64").select("word", text("sums"))
 
 
 def word_count(spark, d):
@@ -187,6 +188,7 @@ _CORR = f"""{_BLOOM}, {_BLOOM_SCORE}, g AS ({_top("SELECT query, word, score FRO
 
 QUERIES = {
     "hash_families": family_values,
+    "java_hash_words": java_hash_words,
     "bloom_murmur3": bloom_murmur,
     "tow_xx64": tow_xx,
     "word_count": word_count,
@@ -210,9 +212,16 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "hash_families": "SELECT CAST(id AS BIGINT) AS id, CAST(i AS INTEGER) AS i, h, CAST(java AS INTEGER) AS java FROM (VALUES (0, 0, -764297089, 113318502), (0, 1, -1302509589, 113318502), (0, 2, 3803688792395291579, 113318502), (0, 3, 2506089352882295055, 113318502), (1, 0, -1810453357, 113318503), (1, 1, -1570063170, 113318503), (1, 2, -6977822845260490347, 113318503), (1, 3, -8432069089065462007, 113318503), (2, 0, 19522071, 113318504), (2, 1, -497233321, 113318504), (2, 2, -1529185102714098256, 113318504), (2, 3, 3385192193508492419, 113318504), (3, 0, 264741300, 113318505), (3, 1, 1849022499, 113318505), (3, 2, -8667152822649993151, 113318505), (3, 3, 5120491529425815822, 113318505), (4, 0, -516830072, 113318506), (4, 1, -1532871171, 113318506), (4, 2, 3145212359238734475, 113318506), (4, 3, -2881828142325668802, 113318506)) t(id, i, h, java)",
-    "bloom_murmur3": f"WITH {EVENTS_SQL} SELECT word, true AS near FROM sw GROUP BY 1",
-    "tow_xx64": f"WITH {EVENTS_SQL} SELECT word, count(*) AS n, true AS fits FROM sw GROUP BY 1",
+    "hash_families": f"""WITH m AS ({murmur_sql("SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS t FROM documents", 2)}), x AS ({xx64_sql("SELECT doc_id AS id FROM documents", 2)}),
+      j AS ({java_sql("SELECT doc_id AS id, 'word' || doc_id AS t FROM documents")})
+      SELECT id, i, h, java FROM (SELECT id, i, CAST(h AS BIGINT) AS h FROM m UNION ALL SELECT id, i + 2, CAST(h AS BIGINT) FROM x) JOIN j USING (id)""",
+    "java_hash_words": f"""WITH {WORDED_SQL} SELECT id AS word, java FROM ({java_sql("SELECT DISTINCT word AS id, word AS t FROM (SELECT unnest(words) AS word FROM w)")})""",
+    "bloom_murmur3": f"""WITH {EVENTS_SQL}, m AS ({murmur_sql("SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS t FROM s", HASHES)}),
+      b AS (SELECT DISTINCT word, CAST((h + 4294967296) % {1 << 20} AS INTEGER) AS bit FROM sw JOIN m ON id = doc_id)
+      SELECT word, count(*) AS n_bits, md5(string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit)) AS bits_md5 FROM b GROUP BY word""",
+    "tow_xx64": f"""WITH {EVENTS_SQL}, x AS ({xx64_sql("SELECT doc_id AS id FROM s", 1)}),
+      t AS (SELECT word, i, CAST(sum(((u >> i::UHUGEINT) & 1::UHUGEINT)::BIGINT * 2 - 1) AS BIGINT) AS s FROM sw JOIN (SELECT id, u FROM x) ON id = doc_id, {_RANGE.format(n=TOW)} GROUP BY 1, 2)
+      SELECT word, string_agg(CAST(s AS VARCHAR), ',' ORDER BY i) AS sums FROM t GROUP BY word""",
     "word_count": f"WITH {WORDED_SQL} SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM w) GROUP BY word",
     "bloom_build": _BLOOM + " SELECT word, count(*) AS n_bits, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM b GROUP BY word",
     "bloom_build_slotted": _BLOOM_S + " SELECT word, slot, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits FROM b GROUP BY word, slot",

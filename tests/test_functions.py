@@ -90,3 +90,10 @@ def test_vectorised_hashes_equal_the_jvm(spark):
     values = np.array([0, 1, -1, 1 << 40, -(1 << 63), (1 << 63) - 1])
     for v, row in zip(values.tolist(), H.xx64_all(values, 3).tolist(), strict=True):
         assert [x % (1 << 64) for x in row] == [xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), s) for s in range(3)]
+
+
+def test_fixed_hash_values():
+    """Values of the JVM's own hash functions of the ids 0 and 4."""
+    assert [hashing.murmur3_utf16(t, s) for t in "04" for s in (0, 1)] == [-764297089, -1302509589, -516830072, -1532871171]
+    assert [hashing.xx64_long(v, s) for v in (0, 4) for s in (0, 1)] == [3803688792395291579, 2506089352882295055, 3145212359238734475, -2881828142325668802]
+    assert hashing.java_string_hash("word0") == 113318502
