@@ -115,3 +115,22 @@ def test_recent_items(spark):
 def test_merge_top(spark):
     parts = spark.createDataFrame([(1, 5, 0.5), (1, 6, 0.9), (1, 5, 0.7), (1, 7, 0.7)], "query int, item int, score double")
     assert [(r["item"], r["rank"]) for r in K.merge_top(parts, 2).orderBy("rank").collect()] == [(6, 1), (5, 2)]
+
+
+@pytest.mark.parametrize("text", [*STRATEGIES, "li:9:2.5"])
+def test_many_queries_at_once(monkeypatch, text):
+    """The search of many queries by matrix products finds what that of one query finds, with ties, left out items and scores to reach."""
+    monkeypatch.setattr(K, "BLOCK", 700)
+    rng = np.random.default_rng(9)
+    vectors = np.round(rng.normal(0, 1, (300, 8)) * rng.random((300, 1)), 1)
+    vectors[:20] = 0
+    items = K.Items(rng.permutation(300), vectors, bucket=20)
+    queries = np.round(rng.normal(0, 1, (30, 8)), 2)
+    queries[3] = 0
+    skip = [rng.choice(300, n % 5, replace=False) for n in range(30)]
+    pairs = np.repeat(np.arange(30), [len(x) for x in skip]), np.concatenate(skip)
+    least = np.where(rng.random(30) < 0.5, -np.inf, 1.0)
+    row, ids, scores = items.top_many(queries, 6, K.parse_strategy(text), pairs, least, 1e-6)
+    for i, q in enumerate(queries):
+        want = items.top(q, 6, K.parse_strategy(text), frozenset(skip[i].tolist()), least[i], 1e-6)
+        assert ids[row == i].tolist() == want[0].tolist() and np.allclose(scores[row == i], want[1])
