@@ -177,3 +177,32 @@ def test_correlations(spark):
     r = E.correlations(both).first()
     assert r["pearson"] == pytest.approx(0.8) and r["spearman"] == pytest.approx(0.8) and r["kendall"] == pytest.approx(2 / 3, abs=1e-6)
     assert E.mean_correlations(E.correlations(both)).first()["n"] == 1
+
+
+@pytest.mark.parametrize("memory", [0, 2, -1])
+def test_prequential_searches_once_for_a_user(spark, monkeypatch, memory):
+    """With a bounded memory a search serves all events of a user in a batch; lists are those of a search for each event."""
+    from paramspark.operators import topk as K
+
+    rng = np.random.default_rng(6)
+    rows = [(n, int(rng.integers(3)), int(rng.integers(8)), 1.0, n) for n in range(60)]
+    events = spark.createDataFrame(rows, "event bigint, user bigint, item bigint, rating double, ts bigint")
+    asked, real = [], K.top_items
+
+    def top_items(queries, items, **options):
+        asked.append((queries.count(), {r["id"]: np.array(r["vec"]) for r in items.collect()}, {r["id"]: np.array(r["vec"]) for r in queries.collect()}))
+        return real(queries, items, **options)
+
+    monkeypatch.setattr(K, "top_items", top_items)
+    lists, _ = M.prequential(events, size=3, rate=0.3, k=3, batches=2, low=0.0, high=0.3, memory=memory)
+    n, items, vectors = asked[0]
+    assert n == (3 if memory >= 0 else 30)
+    got = {}
+    for r in lists.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["item"])
+    for event, user, *_ in rows[30:]:
+        before = [i for _, u, i, *_ in rows[:event] if u == user]
+        recent = set(before if memory < 0 else before[len(before) - memory :] if memory else [])
+        q = vectors[user if memory >= 0 else event]
+        best = sorted((-round(float(v @ q), 6), i) for i, v in items.items() if i not in recent)[:3]
+        assert got.get(event, []) == [i for _, i in best]
