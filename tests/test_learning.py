@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +208,55 @@ def test_prequential_searches_once_for_a_user(spark, monkeypatch, memory):
         q = vectors[user if memory >= 0 else event]
         best = sorted((-round(float(v @ q), 6), i) for i, v in items.items() if i not in recent)[:3]
         assert got.get(event, []) == [i for _, i in best]
+
+
+def moved(spark, run):
+    """Bytes that ``run`` writes to shuffles, by Spark's own count."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        time.sleep(0.3)  # the counts are brought up to date by the next task
+        spark.range(1).count()
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+@pytest.mark.parametrize("how", ["mean", "sum"])
+@pytest.mark.parametrize("loss", ["squared", "sigmoid"])
+def test_rounds_in_parts_are_rounds(rated, monkeypatch, how, loss):
+    """Parts cut through users; unknown ids, nulls and repeated ratings are as in a round by joins."""
+    monkeypatch.setattr(M, "PART_RATINGS", 15)
+    ratings = rated.unionByName(rated.limit(5)).unionByName(rated.limit(3).withColumn("rating", F.lit(None).cast("double"))).unionByName(rated.limit(1).withColumn("user", F.lit(99)))
+    factors = M.Factors(M.initial(rated, "user", 3, 0.0, 0.3, 0), M.initial(rated, "item", 3, 0.0, 0.3, 1))
+    got, want = M.Parts(ratings).round(factors, size=3, rate=0.1, loss=loss, how=how), M.sgd_round(ratings, factors, size=3, rate=0.1, loss=loss, how=how)
+    for a, b in zip(got, want, strict=True):
+        a, b = ({r["id"]: r["vec"] for r in x.collect()} for x in (a, b))
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in b)
+    assert E.rmse(M.Parts(ratings).predict(factors)).first() == E.rmse(M.predict(ratings, factors)).first()
+
+
+def test_rounds_do_not_move_a_vector_for_each_rating(spark):
+    """Two more rounds over the same ids with ten times the ratings move little more than the ratings."""
+    rows = spark.range(40_000).select((F.col("id") % 50).alias("user"), F.expr("id div 50 % 800").alias("item"), F.lit(1.0).alias("rating"), F.col("id").alias("ts"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = (moved(spark, lambda n=n: M.train_offline(rows, size=10, rounds=n)) for n in (1, 3))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert many - few < 2 * 40_000 * 40, (few, many)
+
+
+def test_negatives_do_not_multiply_the_ratings(spark):
+    """A rating meets the items ahead of it once, not in a row for each."""
+    rows = spark.range(40_000).select((F.col("id") % 500).alias("user"), F.expr("id div 500").alias("item"), F.col("id").alias("ts"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bytes_ = moved(spark, lambda: M.negative_samples(rows, rate=2, memory=4).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert bytes_ < 40_000 * 100, bytes_
