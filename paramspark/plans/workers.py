@@ -8,13 +8,14 @@ repeat. A worker's limit of open pulls holds back the others until answers come.
 
 A worker logic has ``on_recv(row, client)``, ``on_pull(id, value, client)`` and ``close(client)``; a server logic ``on_pull(id, worker, ps)``,
 ``on_push(id, delta, worker, ps)``, ``load(id, value)`` and ``close(ps)``. Whatever a partition holds must fit in one task, as keyed state must:
-choose ``workers`` and ``servers`` accordingly. Where an update is an aggregate, ``operators.parameters`` needs no rounds.
+choose ``workers``, ``servers`` and ``rows_a_round`` accordingly. A worker with a ``limit`` gets new rows only in every so many rounds as it needs to send
+the pulls of the rows before (if a row pulls once), so that what waits does not grow with the input. Where an update is an aggregate, ``operators.parameters`` needs no rounds.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 from typing import Any, NamedTuple
@@ -53,7 +54,7 @@ class Client:
     def __init__(self, limit: int | None):
         self.sent: list[tuple] = []
         self.outputs: list[tuple] = []
-        self.then: dict[Any, list] = defaultdict(list)
+        self.then: dict[Any, deque] = defaultdict(deque)
         self.limiter = PullLimiter(self._send_pull, limit) if limit else None
 
     def _send_pull(self, id: Any) -> None:  # noqa: A002
@@ -73,7 +74,7 @@ class Client:
     def _answered(self, id: Any, value: Any, logic: Any) -> None:  # noqa: A002
         if self.limiter:
             self.limiter.answered()
-        then = self.then[id].pop(0) if self.then[id] else None
+        then = self.then[id].popleft() if self.then[id] else None
         if not self.then[id]:
             del self.then[id]
         then(value, self) if then else logic.on_pull(id, value, self)
@@ -229,7 +230,7 @@ def run_workers(data: DataFrame, worker: Callable[[], Any], server: Callable[[],
             held = rows[names].to_dict("records")
             yield pd.DataFrame({"place": rows["__place"], "kind": "row", "n": rows["__turn"], "payload": [cloudpickle.dumps(SimpleNamespace(**x)) for x in held], "round": rows["__round"]})
 
-    inputs = materialize(dealt.mapInPandas(packed, f"{_MESSAGES}, round bigint"), "rows")
+    inputs = materialize(dealt.mapInPandas(packed, f"{_MESSAGES}, round bigint"), "rows", by="round")
     rounds = (inputs.agg(F.max("round")).first()[0] if names else None) or 0
     nothing = spark.createDataFrame([], _MESSAGES)
 
@@ -241,9 +242,11 @@ def run_workers(data: DataFrame, worker: Callable[[], Any], server: Callable[[],
     to_servers = model.mapInPandas(loads, _MESSAGES) if model is not None else nothing
     worker_state = server_state = answers = nothing
     worker_out, server_out = [], []
+    pause = max(1, -(-rows_a_round // limit)) if limit and rows_a_round else 1
     number, closing, closed = 0, False, False
     while not closed:
-        kept = inputs.where(F.col("round") == number).drop("round") if number <= rounds else nothing
+        turn = number // pause
+        kept = inputs.where(F.col("round") == turn).drop("round") if number % pause == 0 and turn <= rounds else nothing
         end = spark.range(workers).select(F.col("id").cast("int").alias("place"), F.lit("close").alias("kind"), F.lit(1 << 40).alias("n"), F.lit(None).cast("binary").alias("payload")) if closing else nothing
         met = worker_state.unionByName(answers).unionByName(kept).unionByName(end)
         done = materialize(met.groupBy("place").applyInPandas(_worker_round(worker, limit, owner, servers, batch), _MESSAGES), "workers")
@@ -255,7 +258,7 @@ def run_workers(data: DataFrame, worker: Callable[[], Any], server: Callable[[],
         server_state, answers, to_servers = done.where("kind = 'state'"), done.where("kind = 'to'"), nothing
         server_out.append(done.where("kind = 'out'"))
         number, closed = number + 1, closing
-        closing = closing or number > rounds and not answers.take(1)
+        closing = closing or number > rounds * pause and not answers.take(1)
     return Outputs(_unpacked(worker_out, output), _unpacked(server_out, emitted))
 
 

@@ -70,12 +70,17 @@ def parity_queues(spark, d):
     return found.servers.select("id", F.array_join(F.array_sort("items"), ",").alias("items"))
 
 
+#: Open pulls of a worker at most; it gets twice as many rows at a time.
+OPEN_PULLS = 25_000
+
+
 def event_counts(logic):
-    """Pulls and pushes of each event's type, 100 open pulls a worker, in rounds of 2,000 rows; with the workers' outputs counted."""
+    """Pulls and pushes of each event's type, with the workers' outputs counted. A worker has a third of its rows as open pulls, but at most ``OPEN_PULLS``: more
+    events are more rounds, not larger ones."""
 
     def run(spark, d):
         data = table(spark, d, "events").select(F.col("event_type").alias("id"), F.col("event_id").alias("seq"), "user_id")
-        n = max(1, data.count() // (8 * 3))
+        n = min(OPEN_PULLS, max(1, data.count() // (8 * 3)))
         server = lambda: Simple(lambda _: 0, lambda a, b: a + b, emit="close")
         found = run_workers(data, logic, server, order="seq", partition=F.col("user_id"), workers=8, output="id string, value bigint", emitted="id string, value bigint", limit=n, rows_a_round=2 * n)
         answers = found.workers.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("answers"))

@@ -102,3 +102,30 @@ def test_or_and_and():
     assert either == [[0, 1, 2, 3, 4]] and both == []
     t.add(5, 6)
     assert both == [[0, 1, 2, 3, 4, 5]]
+
+
+def test_what_waits_does_not_grow_with_the_input(spark, monkeypatch):
+    """A worker gets new rows when the pulls of those before have been sent: its state is as large for five times the rounds."""
+    from pyspark.sql import functions as F
+
+    from paramspark.plans import workers as W
+    from paramspark.registry.workers import PullThenPush
+
+    states, real = [], W.materialize
+
+    def materialize(df, name, **options):
+        found = real(df, name, **options)
+        if name == "workers":
+            states.append(found.where("kind = 'state'").agg(F.max(F.length("payload"))).first()[0])
+        return found
+
+    monkeypatch.setattr(W, "materialize", materialize)
+    largest = []
+    for n in (400, 2000):
+        states.clear()
+        data = spark.range(n).select((F.col("id") % 3).alias("id"), F.col("id").alias("seq"))
+        server = lambda: W.Simple(lambda _: 0, lambda a, b: a + b, emit="close")
+        found = W.run_workers(data, PullThenPush, server, order="seq", output="id bigint, value bigint", emitted="id bigint, value bigint", workers=1, servers=1, limit=100, rows_a_round=200)
+        assert sum(r["value"] for r in found.servers.collect()) == n
+        largest.append(max(states))
+    assert largest[1] <= 1.2 * largest[0], largest
