@@ -66,6 +66,23 @@ def test_most_words_leave_before_the_product(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(model, [("w0", 0), ("w3", 0), ("w40", 0)], 5, parts, median_score(parts))
 
 
+@pytest.mark.parametrize("words", [24, 400])
+def test_many_queries_are_not_broadcast(spark, monkeypatch, words):
+    """Spark would broadcast them by their compressed bytes, and with a copy for each salt. With few words these are broadcast instead."""
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 40 * 200)
+    model = sketched(random.Random(6), words, 8)
+    parts = S._parts(8, 4)
+    table = frame(spark, {x: v for x, v in model.items()})
+    own = table.crossJoin(spark.range(150)).select(F.concat("word", F.lit("-"), "id").alias("query"), "slot", F.col("sums").alias("q"))
+    pairs = S.bounded_pairs(table, own, k=3, parts=parts, score=S.tow_score(8, 4))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    build = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
+    assert len(build) == (words == 24) and all("BuildRight" in x for x in build)
+    got = S.top_k(pairs, 3, by=["query", "slot"]).where("query LIKE '%-7'").select("query", "slot", "rank", "word", "score")
+    want = brute(model, sorted(model), 3, parts, median_score(parts))
+    assert sorted((r["query"].removesuffix("-7"), *r[1:]) for r in got.collect()) == want
+
+
 def test_dot_products_and_unknown_words(spark, monkeypatch):
     monkeypatch.setattr(S, "SEEDS", 2)
     model = {(w, 0): v for (w, _), v in sketched(random.Random(1), 60, 5).items()}
