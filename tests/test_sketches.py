@@ -110,3 +110,18 @@ def test_minhash_search_is_a_join_of_postings(spark, monkeypatch):
     monkeypatch.setattr(S, "MAX_QUERIES", 3)
     with pytest.raises(ValueError):
         rows()
+
+
+def test_signatures_are_aggregated_by_hashing(spark, docs):
+    """No sort of all (word, document) rows before they are combined."""
+    for build in (S.minhash_build, S.minhash_build_rehashed):
+        assert "SortAggregate" not in build(docs, num_hashes=4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_of_equal_hashes_the_smallest_id_counts(spark, monkeypatch):
+    monkeypatch.setattr(S, "family", lambda key, n, name: F.array(*(F.pmod(key, F.lit(3 + i)) for i in range(n))))
+    docs = spark.createDataFrame([(i, [f"w{j}" for j in range(5) if (i * 7 + j) % 3]) for i in range(40)], "doc_id long, words array<string>")
+    held = {f"w{j}": [i for i in range(40) if (i * 7 + j) % 3] for j in range(5)}
+    want = {w: [min(ids, key=lambda x: (x % (3 + i), x)) for i in range(4)] for w, ids in held.items()}
+    for build in (S.minhash_build, S.minhash_build_rehashed):
+        assert {r["word"]: r["signature"] for r in build(docs, num_hashes=4).collect()} == want
