@@ -125,3 +125,15 @@ def test_of_equal_hashes_the_smallest_id_counts(spark, monkeypatch):
     want = {w: [min(ids, key=lambda x: (x % (3 + i), x)) for i in range(4)] for w, ids in held.items()}
     for build in (S.minhash_build, S.minhash_build_rehashed):
         assert {r["word"]: r["signature"] for r in build(docs, num_hashes=4).collect()} == want
+
+
+@pytest.mark.parametrize("slot", [False, True])
+def test_bits_in_common_are_looked_up_not_joined(spark, docs, monkeypatch, slot):
+    """A join on the bit makes a row for each bit of each word that a frequent query has; the same rows by both ways."""
+    rows = docs.withColumn("slot", (F.col("doc_id") % 3).cast("int")) if slot else docs
+    model, asked = S.bloom_build(rows, num_bits=256, num_hashes=2, slot=slot), queries(spark, "a", "b", "zzz")
+    found = lambda: S.bloom_predict(model, asked, num_bits=256, num_hashes=2, k=4, slot=slot)
+    looked = found()
+    assert "Join" not in looked._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, looked.collect())) == sorted(map(tuple, found().collect()))
