@@ -94,6 +94,14 @@ def test_dot_products_and_unknown_words(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_products_compile(spark):
+    """Sketches of unlike sizes too: a place that one lacks counts as zero."""
+    model = spark.createDataFrame([("a", [1, 2, 3]), ("b", [4, 5]), ("c", [-1, 7, 2])], "word string, sums array<bigint>")
+    found = S.additive_top(model, spark.createDataFrame([("a",), ("b",)], "word string"), k=3)
+    assert "lambdafunction(" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("a", 1, "c", 19), ("a", 2, "b", 14), ("a", 3, "a", 14), ("b", 1, "b", 41), ("b", 2, "c", 31), ("b", 3, "a", 14)]
+
+
 def test_a_query_asks_in_its_slot_only(spark):
     model = sketched(random.Random(2), 40, 8, slots=2)
     asked = [*[x for x in sorted(model) if x[1] == 1][:5], ("w0", 7), ("nobody", 0)]
