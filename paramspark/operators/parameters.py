@@ -8,7 +8,7 @@ logic, run once for each id.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -92,14 +92,16 @@ def range_partition(df: DataFrame, id: str, features: int, parts: int) -> DataFr
 def transform(data: DataFrame, *, id: str, order: str, logic: Callable[[], Any], output: str) -> DataFrame:  # noqa: A002
     """User logic for each id, exactly in order: ``on_push(id, row) -> outputs`` and ``close(id) -> outputs``, one object an id.
 
-    Ids are independent, so they run in parallel; all rows of one id meet in one task, as keyed state must."""
+    Ids are independent, so they run in parallel; the rows of one id pass through one task in order, a batch at a time, so that Python holds
+    the object and a batch, however many rows an id has. Spark sorts them, on disk where they are many."""
     names = [part.split()[0] for part in output.split(", ")]
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        server, out = logic(), []
-        for row in rows.sort_values(order, kind="stable").itertuples(index=False):
-            out.extend(server.on_push(key[0], row))
-        out.extend(server.close(key[0]))
-        return pd.DataFrame(out, columns=names)
+    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        server = logic()
+        for rows in batches:
+            yield pd.DataFrame([x for row in rows.itertuples(index=False) for x in server.on_push(key[0], row)], columns=names)
+        yield pd.DataFrame(list(server.close(key[0])), columns=names)
 
-    return data.groupBy(id).applyInPandas(fold, output)
+    # groups of rows that are dealt out and sorted by the id already are neither dealt out nor sorted again
+    placed = data.repartition(id).sortWithinPartitions(F.col(id), F.col(order).asc_nulls_last())
+    return placed.groupBy(id).applyInPandas(fold, output)

@@ -1,3 +1,7 @@
+import gc
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from paramspark.operators import parameters as P
@@ -50,6 +54,43 @@ def test_explicit_logic_equals_sum(spark):
     assert rows(got) == rows(P.push(data, id="id", delta="d"))
 
 
+def test_explicit_logic_holds_a_batch_of_an_id(spark):
+    """Ids longer and shorter than a batch, one of them null: pushes come in order, and what Python holds does not grow with an id's rows."""
+
+    class Logic:
+        def __init__(self):
+            self.seen, self.sum, self.most = 0, 0, 0
+
+        def on_push(self, id, row):
+            self.seen, self.sum = self.seen + 1, (7 * self.sum + row.d) % 1_000_003
+            if self.seen % 1000 == 0:
+                self.most = max(self.most, *(len(x) for x in gc.get_objects() if isinstance(x, pd.DataFrame)))
+            yield (row.n, id, self.sum, 0)
+
+        def close(self, id):
+            yield (-1, id, self.sum, self.most)
+
+    ids = [2**60 + 1] * 12_000 + [2**60] * 700 + [None] * 1500 + list(range(40))
+    random.Random(1).shuffle(ids)
+    pushes = [(n, id, n % 97) for n, id in enumerate(ids)]
+    want, sums = set(), {}
+    for n, id, d in pushes:
+        sums[id] = (7 * sums.get(id, 0) + d) % 1_000_003
+        want.add((n, id, sums[id]))
+    random.Random(2).shuffle(pushes)
+    data = spark.createDataFrame(pushes, "n int, id bigint, d int").repartition(8)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, 500)
+    try:
+        got = P.transform(data, id="id", order="n", logic=Logic, output="n int, id bigint, value bigint, most int").collect()
+    finally:
+        spark.conf.set(name, usual)
+    assert {tuple(r)[:3] for r in got if r["n"] >= 0} == want
+    assert {r["id"]: r["value"] for r in got if r["n"] < 0} == sums
+    assert 0 < max(r["most"] for r in got) <= 1000
+
+
 def test_vector_parameters(spark):
     from paramspark.functions.vectors import sum_vectors
 
