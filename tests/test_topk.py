@@ -134,3 +134,15 @@ def test_many_queries_at_once(monkeypatch, text):
     for i, q in enumerate(queries):
         want = items.top(q, 6, K.parse_strategy(text), frozenset(skip[i].tolist()), least[i], 1e-6)
         assert ids[row == i].tolist() == want[0].tolist() and np.allclose(scores[row == i], want[1])
+
+
+def test_memory_leaves_out_near_ids_of_the_own_label_only(spark, tmp_path):
+    """Of the ten ids before a query those of its label; other labels, the query itself and what is further away may be among the best."""
+    from paramspark.registry.learning import top_memory
+
+    near = {49: 7, 48: 3, 45: 7, 41: None, 40: 3, 39: 7, 51: 7}
+    rows = [(i, [float(i in near or i == 50), i / 1e3], near.get(i, 7)) for i in range(30, 60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert found(top_memory(spark, str(tmp_path))) == {50: [51, 50, 48, 41, 40]}
+    spark.createDataFrame([(i, v, None if i == 50 else k) for i, v, k in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/null/embeddings.parquet")
+    assert found(top_memory(spark, f"{tmp_path}/null")) == {50: [51, 50, 49, 48, 45]}
