@@ -116,3 +116,39 @@ def test_empty_tables(spark):
     some = frame(spark, {("a", 0): [1] * 8})
     assert S.tow_predict(some, asked.limit(0), num_hashes=8, num_means=4, k=3).count() == 0
     assert [tuple(r) for r in S.tow_predict(some, asked, num_hashes=8, num_means=4, k=3).collect()] == [("a", 1, "a", 1.0)]
+
+
+@pytest.mark.parametrize("hashes, means, k", [(8, 4, 3), (10, 3, 5), (6, 1, 1), (7, 7, 2), (8, 4, 400)])
+def test_matrices_equal_all_products(spark, monkeypatch, hashes, means, k):
+    for name, n in (("SEEDS", 4), ("MANY_PAIRS", 0), ("CELL_WORDS", 30), ("CELL_QUERIES", 7), ("BLOCK", 64)):
+        monkeypatch.setattr(S, name, n)
+    model = sketched(random.Random(hashes + k), 300, hashes, slots=3)
+    parts = S._parts(hashes, means)
+    words = sorted({w for w, _ in model})[::5]
+    got = S.tow_predict(frame(spark, model), spark.createDataFrame([(w,) for w in words], "word string"), num_hashes=hashes, num_means=means, k=k, slot=True)
+    assert sorted((r["query"], r["slot"], r["rank"], r["word"], r["score"]) for r in got.collect()) == brute(model, [(w, s) for w in words for s in range(3)], k, parts, median_score(parts))
+
+
+def test_many_pairs_leave_a_few_rows_a_query(spark, monkeypatch):
+    """Words much alike, which no length leaves out: the best of a cell come out, not a row for each pair."""
+    monkeypatch.setattr(S, "MANY_PAIRS", 1000, raising=False)
+    rng = random.Random(8)
+    model = {(f"w{i}", 0): [rng.choice([-1, 1]) * 5 for _ in range(8)] for i in range(600)}
+    parts = S._parts(8, 4)
+    table = frame(spark, model)
+    own = table.where("word < 'w2'").select(F.col("word").alias("query"), "slot", F.col("sums").alias("q"))
+    pairs = S.bounded_pairs(table, own, k=3, parts=parts, score=S.tow_score(8, 4))
+    assert pairs.count() <= 3 * own.count()
+    got = S.top_k(pairs, 3, by=["query", "slot"]).select("query", "slot", "rank", "word", "score")
+    assert sorted(map(tuple, got.collect())) == brute(model, [(r["query"], 0) for r in own.collect()], 3, parts, median_score(parts))
+
+
+def test_matrices_are_exact_for_long_sketches():
+    rng = random.Random(2)
+    a, b = ([[rng.randint(-(1 << 27), 1 << 27) for _ in range(8)] for _ in range(n)] for n in (5, 40))
+    parts = S._parts(8, 4)
+    i, j, score = S._best_of_cell(S.np.array(a), S.np.array(b), S.np.full(5, -S.np.inf), 40, parts)
+    exact = lambda x, y: statistics.median(sum(p * q for p, q in zip(x[s:t], y[s:t], strict=True)) / (t - s) for s, t in parts)
+    assert sorted(zip(i.tolist(), j.tolist(), score.tolist(), strict=True)) == sorted((m, n, exact(x, y)) for m, x in enumerate(a) for n, y in enumerate(b))
+    with pytest.raises(OverflowError):
+        S._best_of_cell(S.np.array(a) << 10, S.np.array(b) << 10, S.np.full(5, -S.np.inf), 3, parts)
