@@ -260,3 +260,41 @@ def test_negatives_do_not_multiply_the_ratings(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert bytes_ < 40_000 * 100, bytes_
+
+
+def test_offline_training_deals_out_ratings_once_and_writes_a_sum_for_each_id(spark, small, monkeypatch):
+    """Its prediction reads the parts of the training; sums of steps are added up over the parts before they are written."""
+    from paramspark.registry.learning import mf_offline
+
+    made, steps = [], []
+
+    class Counted(M.Parts):
+        def __init__(self, ratings):
+            made.append(ratings.count())
+            super().__init__(ratings)
+
+    def kept(df, name, *rest, real=M.materialize, **more):
+        found = real(df, name, *rest, **more)
+        if name == "steps":
+            steps.append((found.count(), found.select("user", "item").distinct().count()))
+        return found
+
+    monkeypatch.setattr(M, "PART_RATINGS", 1000)
+    monkeypatch.setattr(M, "Parts", Counted)
+    monkeypatch.setattr(M, "materialize", kept)
+    mf_offline(spark, small).collect()
+    assert len(made) == 1 and made[0] > 3000
+    assert len(steps) == 6 and all(rows == ids for rows, ids in steps)
+
+
+def test_parts_leave_out_ratings_without_factors(spark, monkeypatch):
+    """Also where names are texts and a part is cut in several."""
+    monkeypatch.setattr(M, "PART_RATINGS", 2)
+    rows = [(f"u{a}", f"i{b}", 0.1 * (a + 2 * b)) for a in range(4) for b in range(6)]
+    ratings = spark.createDataFrame(rows, "user string, item string, rating double")
+    factors = M.Factors(M.initial(ratings.where("user <> 'u1'"), "user", 3, 0.0, 1.0), M.initial(ratings.where("item <> 'i4'"), "item", 3, 0.0, 1.0, 1))
+    got, want = M.Parts(ratings).round(factors, size=3, rate=0.1), M.sgd_round(ratings, factors, size=3, rate=0.1)
+    for g, w in zip(got, want, strict=True):
+        g, w = ({r["id"]: r["vec"] for r in x.collect()} for x in (g, w))
+        assert g.keys() == w.keys() and all(abs(x - y) < 1e-12 for i in g for x, y in zip(g[i], w[i], strict=True))
+    assert M.Parts(ratings).predict(factors).count() == 15
