@@ -298,3 +298,15 @@ def test_parts_leave_out_ratings_without_factors(spark, monkeypatch):
         g, w = ({r["id"]: r["vec"] for r in x.collect()} for x in (g, w))
         assert g.keys() == w.keys() and all(abs(x - y) < 1e-12 for i in g for x, y in zip(g[i], w[i], strict=True))
     assert M.Parts(ratings).predict(factors).count() == 15
+
+
+def test_training_with_negatives_leaves_no_parts_behind(rated):
+    """Its rows with negatives, and the parts made of them, are deleted once they are in the factors."""
+    from paramspark.plans import storage
+
+    rows = rated.withColumn("ts", F.col("user") + F.col("item"))
+    for train, more in ((M.train_offline, {"rounds": 2}), (M.train_online, {"batches": 2})):
+        before = set(storage._written)
+        train(rows, size=3, negatives=2, memory=2, **more)
+        left = [x.rsplit("/", 1)[-1].split("-")[0] for x in set(storage._written) - before]
+        assert not {"parts", "links", "ratings", "steps"} & set(left), left
